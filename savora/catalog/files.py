@@ -27,7 +27,7 @@ def ingest_jsonl(t):
 @query("ingest_json_doc", "select conv_id, turn, role, text from {conversations}")
 def ingest_json_doc(t):
     landed = scratch_path(t.spark, "documents-json")
-    files.write_json_lines(t("conversations"), landed)
+    files.write_json_documents(t("conversations"), landed)
     return files.read_json_document(t.spark, landed, "conv_id bigint, turn bigint, role string, text string")
 
 

@@ -76,19 +76,23 @@ def pending_reviews(reviews: DataFrame, answered: DataFrame, key: str) -> DataFr
     return reviews.join(answered.select(key).distinct(), key, "left_anti")
 
 
-def phrases_of(text: Column, longest: int) -> Column:
-    """Distinct runs of one to ``longest`` words."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != "")
-    runs = [
-        F.transform(
-            F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "),
+def words_of(text: Column) -> Column:
+    return F.filter(
+        F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != ""
+    )
+
+
+def phrases_of(words: Column, longest: int) -> Column:
+    """Distinct runs of one to ``longest`` words; each length extends the one before it."""
+    runs, found = words, [words]
+    for n in range(2, longest + 1):
+        following = F.slice(words, F.lit(n), F.size(words))
+        runs = F.filter(
+            F.zip_with(runs, following, lambda a, b: F.concat(a, F.lit(" "), b)),
+            lambda run: run.isNotNull(),
         )
-        for n in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+        found.append(runs)
+    return F.array_distinct(F.concat(*found))
 
 
 def extract_by_dictionary(
@@ -96,9 +100,8 @@ def extract_by_dictionary(
 ) -> DataFrame:
     """Each review with each dictionary meal it mentions; sentiment is the rating scaled to 0..1."""
     meals = dictionary.select(F.lower("meal_name").alias("meal_name")).distinct()
-    runs = reviews.where(F.col(text).isNotNull()).select(
-        key, "rating", F.explode(phrases_of(F.col(text), longest)).alias("meal_name")
-    )
+    cut = reviews.where(F.col(text).isNotNull()).select(key, "rating", words_of(F.col(text)).alias("words"))
+    runs = cut.select(key, "rating", F.explode(phrases_of(F.col("words"), longest)).alias("meal_name"))
     return runs.join(meals, "meal_name").select(
         key, "rating", "meal_name", ((F.col("rating") - 1) / F.lit(4.0)).alias("sentiment")
     )

@@ -2,12 +2,15 @@
 
 A few groups (crawl snapshots, say) may hold all rows, so a window per group would run in as many
 tasks. These operators count keys in coarse ranges, find the range holding the wanted rank, and count
-single keys inside that range only. Both counts combine map-side.
+single keys inside that range only. Both counts combine map-side, and the second reads only the key
+range it needs. What comes back to the driver is one number per listed group and rank, which then
+stands as a literal in later filters: no join, and a plan that stays flat when steps follow each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,57 +23,78 @@ def keys_at_ranks(
     group: str,
     key: str,
     groups: Sequence[str],
-    ranks: dict[str, Column],
+    ranks: Mapping[str, Column],
     bits: int = COARSE_BITS,
-) -> DataFrame:
-    """One row per listed group: ``n`` and, for each rank (an expression over n), the key there.
+) -> dict[str, dict[str, int]]:
+    """For each listed group, the key at every rank; a rank is an expression over the count ``n``.
 
-    ``key`` is a bigint. The sides broadcast below hold at most len(groups) x len(ranks) rows.
+    ``key`` is a bigint; nulls are passed over. A group without keys is left out.
     """
-    listed = rows.where(F.col(group).isin(list(groups)) & F.col(key).isNotNull()).select(
+    if not groups:
+        return {}
+    known = rows.where(F.col(group).isin(list(groups)) & F.col(key).isNotNull()).select(
         F.col(group).alias("g"), F.col(key).cast("bigint").alias("v")
     )
-    listed = listed.withColumn("hi", F.shiftright("v", bits))
     running = Window.partitionBy("g").orderBy("hi").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), at.cast("bigint").alias("at")) for name, at in ranks.items()]
     )
-    coarse = (
-        listed.groupBy("g", "hi")
+    before = F.col("upto") - F.col("c")
+    ranges = (
+        known.groupBy("g", F.shiftright("v", bits).alias("hi"))
         .agg(F.count("*").alias("c"))
         .withColumn("upto", F.sum("c").over(running))
         .withColumn("n", F.sum("c").over(Window.partitionBy("g")))
         .withColumn("rank", F.explode(wanted))
-        .where(F.col("rank.at").between(F.col("upto") - F.col("c") + 1, F.col("upto")))
-        .select("g", "hi", "n", "rank.name", (F.col("rank.at") - F.col("upto") + F.col("c")).alias("within"))
+        .where((F.col("rank.at") > before) & (F.col("rank.at") <= F.col("upto")))
+        .select("g", "hi", "rank.name", (F.col("rank.at") - before).alias("within"))
+        .collect()
     )
-    inside = Window.partitionBy("g", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    fine = (
-        listed.join(F.broadcast(coarse.select("g", "hi").distinct()), ["g", "hi"], "left_semi")
-        .groupBy("g", "hi", "v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(inside))
-        .join(F.broadcast(coarse), ["g", "hi"])
-        .where(F.col("within").between(F.col("upto") - F.col("c") + 1, F.col("upto")))
+    if not ranges:
+        return {}
+    spans = {(r.g, r.hi) for r in ranges}
+    inside = reduce(
+        lambda a, b: a | b,
+        [(F.col("g") == g) & F.col("v").between(hi << bits, ((hi + 1) << bits) - 1) for g, hi in sorted(spans)],
+    )
+    running = Window.partitionBy("g", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    targets = rows.sparkSession.createDataFrame(
+        [tuple(r) for r in ranges], "g string, hi bigint, name string, within bigint"
     )
-    return fine.groupBy(F.col("g").alias(group)).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks],
+    found = (
+        known.where(inside)
+        .groupBy("g", "v")
+        .agg(F.count("*").alias("c"))
+        .withColumn("hi", F.shiftright("v", bits))
+        .withColumn("upto", F.sum("c").over(running))
+        .join(F.broadcast(targets), ["g", "hi"])
+        .where((F.col("within") > before) & (F.col("within") <= F.col("upto")))
+        .select("g", "name", "v")
+        .collect()
     )
+    keys: dict[str, dict[str, int]] = {}
+    for r in found:
+        keys.setdefault(r.g, {})[r.name] = r.v
+    return keys
+
+
+def by_group(group: str, values: Mapping[str, int]) -> Column:
+    """The number of the row's group, null for groups without one."""
+    chosen = F.lit(None).cast("bigint")
+    for name, value in values.items():
+        chosen = F.when(F.col(group) == name, F.lit(value).cast("bigint")).otherwise(chosen)
+    return chosen
 
 
-def doubled_median(rows: DataFrame, group: str, key: str, groups: Sequence[str], name: str) -> DataFrame:
-    """Twice the exact median, which is whole for whole keys."""
+def doubled_medians(rows: DataFrame, group: str, key: str, groups: Sequence[str]) -> dict[str, int]:
+    """Twice the exact median per group, which is whole for whole keys."""
     n = F.col("n")
     middle = {"lower": F.floor((n + 1) / 2), "upper": F.floor(n / 2) + 1}
     found = keys_at_ranks(rows, group, key, groups, middle)
-    return found.select(group, (F.col("lower") + F.col("upper")).alias(name))
+    return {g: at["lower"] + at["upper"] for g, at in found.items()}
 
 
-def first_n_per_group(
-    rows: DataFrame, group: str, key: str, groups: Sequence[str], n: int | Column
-) -> DataFrame:
+def first_n_per_group(rows: DataFrame, group: str, key: str, groups: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of each listed group by a unique bigint key."""
-    at = F.least(F.col("n"), F.lit(n) if isinstance(n, int) else n)
-    cut = keys_at_ranks(rows, group, key, groups, {"cut": at}).select(group, "cut")
-    return rows.join(F.broadcast(cut), group).where(F.col(key) <= F.col("cut")).drop("cut")
+    found = keys_at_ranks(rows, group, key, groups, {"cut": F.least(F.col("n"), F.lit(n))})
+    return rows.where(F.col(key) <= by_group(group, {g: at["cut"] for g, at in found.items()}))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savora.functions.text import day_label, occurrences, url_authority
-from savora.operators.ranks import doubled_median, first_n_per_group
+from savora.operators.ranks import by_group, doubled_medians, first_n_per_group
 
 # Outlier distance, histogram bins, points of a density curve, domains shown.
 MAD_LIMIT = 10
@@ -36,25 +36,18 @@ def reject_outliers(
     is zero, everything stays.
     """
     known = records.where(F.col(column).isNotNull() & F.col("snapshot").isin(list(snapshots)))
-    middle = doubled_median(known, "snapshot", column, snapshots, "median2")
-    away = known.join(F.broadcast(middle), "snapshot").withColumn(
-        "away2", F.abs(F.col(column) * 2 - F.col("median2"))
-    )
-    spread = doubled_median(away, "snapshot", "away2", snapshots, "spread4")
-    return (
-        away.join(F.broadcast(spread), "snapshot")
-        .where((F.col("spread4") == 0) | (F.col("away2") * 2 < F.col("spread4") * limit))
-        .drop("median2", "away2", "spread4")
-    )
+    medians = doubled_medians(known, "snapshot", column, snapshots)
+    away = F.abs(F.col(column) * 2 - by_group("snapshot", medians))
+    spreads = doubled_medians(known.select("snapshot", away.alias("away")), "snapshot", "away", snapshots)
+    spread = by_group("snapshot", spreads)
+    return known.where((spread == 0) | (away * 2 < spread * limit))
 
 
 def truncate_to_shortest(records: DataFrame, snapshots: Sequence[str]) -> DataFrame:
     """Cut every snapshot to the length of the shortest, in id order."""
     listed = records.where(F.col("snapshot").isin(list(snapshots)))
-    lengths = listed.groupBy("snapshot").agg(F.count("*").alias("n"))
-    return first_n_per_group(
-        listed, "snapshot", "record_id", snapshots, lengths.agg(F.min("n")).scalar()
-    )
+    lengths = [r.n for r in listed.groupBy("snapshot").agg(F.count("*").alias("n")).collect()]
+    return first_n_per_group(listed, "snapshot", "record_id", snapshots, min(lengths, default=0))
 
 
 def freshness(

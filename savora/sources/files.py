@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CSV = {
     "header": "true",
     "quote": '"',
@@ -31,6 +36,23 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json_documents(rows: DataFrame, path: str) -> None:
+    """One JSON document, an array of objects, per partition."""
+
+    def wrap(frames):
+        import pandas as pd
+
+        start = "["
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"value": [start + ",\n".join(frame["value"])]})
+                start = ","
+        yield pd.DataFrame({"value": ["[]" if start == "[" else "]"]})
+
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    text.mapInPandas(wrap, "value string").write.text(path)
+
+
 def write_json_lines(rows: DataFrame, path: str, compression: str | None = None) -> None:
     writer = rows.write
     if compression:
