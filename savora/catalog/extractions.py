@@ -69,7 +69,7 @@ def strip_words(t):
 
 
 def _documents_as_reviews(t):
-    return t("documents").select(
+    return t.spread("documents").select(
         "doc_id", (1 + F.col("n_chars") % 5).cast("int").alias("rating"), F.col("text").alias("review_text")
     )
 
@@ -139,7 +139,7 @@ def kmeans_embeddings(t):
 
 @query("tfidf_kmeans")
 def tfidf_kmeans(t):
-    return clustering.tfidf_clusters(t("documents").select("doc_id", "text"), "text").select("doc_id", "cluster")
+    return clustering.tfidf_clusters(t.spread("documents").select("doc_id", "text"), "text").select("doc_id", "cluster")
 
 
 @query("new_business_meals")

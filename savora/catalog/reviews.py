@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from savora.catalog.registry import Tables, query, rounded, sql_list
 from savora.catalog.views import DENIED_PART, DENIED_WORDS
 from savora.functions.text import clean_text
+from savora.operators.grouped import value_counts
 from savora.plans import marts, meals, recommend, staging
+from savora.session import stored
 
 RULES = {"words": DENIED_WORDS, "part": DENIED_PART}
 
@@ -55,7 +57,7 @@ def staged(t: Tables):
 
 
 def scores(t: Tables):
-    return recommend.scored(t("v_mentions"), t("v_feedback"))
+    return recommend.scored(stored(marts.recommendations(t("v_mentions"), t("v_feedback")), "recs"))
 
 
 @query("scan_reviews", "select gmap_id, business_name, user_id, rating, review_text from {v_sheet}")
@@ -178,7 +180,7 @@ def _norm(measure: str) -> str:
         from meals window w as (partition by business_name)""",
 )
 def minmax_norm(t):
-    scaled = recommend.min_max_normalized(marts.meal_reviews(t("v_mentions")))
+    scaled = recommend.min_max_normalized(stored(marts.meal_reviews(t("v_mentions")), "meals"))
     names = [f"{m}_normalized" for m in ("total_reviews", "avg_review_rating", "avg_meal_sentiment")]
     return rounded(scaled.select("business_name", "meal_name", *names), 6, *names)
 
@@ -283,8 +285,6 @@ def cluster_sample_labels(t):
     "select meal_name, count(*) n from {v_mentions} where meal_name is not null group by 1",
 )
 def meal_value_counts(t):
-    from savora.operators.grouped import value_counts
-
     return value_counts(t("v_mentions"), "meal_name")
 
 

@@ -29,17 +29,18 @@ def mention_text(meal: Column, sentiment: Column) -> Column:
 
 def embed_text(rows: DataFrame, text: Column, size: int = 64, name: str = "embedding") -> DataFrame:
     """Hashed character trigrams, scaled to unit length."""
+    whole = F.col("text__")
     grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))),
-        lambda i: F.substring(text, i, F.lit(3)),
+        F.sequence(F.lit(1), F.greatest(F.length(whole) - 2, F.lit(1))),
+        lambda i: F.substring(whole, i, F.lit(3)),
     )
     hashed = HashingTF(inputCol="grams__", outputCol="tf__", numFeatures=size)
     scaled = Normalizer(inputCol="tf__", outputCol="unit__")
-    with_grams = rows.withColumn("grams__", grams)
+    with_grams = rows.withColumn("text__", text).withColumn("grams__", grams)
     return (
         scaled.transform(hashed.transform(with_grams))
         .withColumn(name, vector_to_array("unit__", "float32"))
-        .drop("grams__", "tf__", "unit__")
+        .drop("text__", "grams__", "tf__", "unit__")
     )
 
 
@@ -47,7 +48,7 @@ def _weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, rounds: in
     """Lloyd's rounds from a seeded k-means++ start."""
     rng = np.random.default_rng(17)
     norms = (points**2).sum(axis=1)
-    centers = np.empty((k, points.shape[1]))
+    centers = np.empty((k, points.shape[1]), dtype=points.dtype)
     centers[0] = points[rng.choice(len(points), p=weights / weights.sum())]
     nearest = np.full(len(points), np.inf)
     for i in range(1, k):
@@ -59,17 +60,18 @@ def _weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, rounds: in
             break
         centers[i] = points[rng.choice(len(points), p=mass / mass.sum())]
     labels = np.zeros(len(points), dtype=np.int64)
+    index = np.arange(len(points))
     for step in range(rounds):
         gaps = (centers**2).sum(axis=1) - 2 * points @ centers.T
         found = gaps.argmin(axis=1)
         if step and (found == labels).all():
             break
         labels = found
-        total = np.bincount(labels, weights, k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, labels, points * weights[:, None])
+        member = np.zeros((k, len(points)), dtype=points.dtype)
+        member[labels, index] = weights
+        total = member.sum(axis=1)
         filled = total > 0
-        centers[filled] = sums[filled] / total[filled, None]
+        centers[filled] = (member @ points)[filled] / total[filled, None]
     return labels
 
 
@@ -86,6 +88,34 @@ def _locality_code(embedding: Column, size: int) -> Column:
     return code
 
 
+def _cut_into_cells(units: DataFrame, size: int, cell_rows: int) -> DataFrame:
+    """Cells of near vectors, each with its share of k and the number of its first cluster.
+
+    The leading bits of the locality code name the area; an area that is still too big is split by hash.
+    """
+    bits = F.least(F.lit(CODE_BITS), F.ceil(F.log2(F.col("pairs") / cell_rows)) + 1)
+    code = _locality_code(F.col("embedding"), size)
+    coded = units.withColumn("area", F.floor(code / F.pow(F.lit(2), CODE_BITS - bits)).cast("int"))
+    held = F.col("held")
+    parts = F.ceil(held / cell_rows)
+    share = F.greatest(F.lit(1), F.floor(F.col("k") * held / (F.col("pairs") * F.col("parts"))))
+    earlier = Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        coded.groupBy(F.col("business_name").alias("b"), F.col("area").alias("a"), "pairs", "k")
+        .agg(F.count("*").alias("held"))
+        .withColumn("parts", parts.cast("int"))
+        .withColumn("share", share.cast("int"))
+        .withColumn("first", F.coalesce(F.sum(F.col("share") * F.col("parts")).over(earlier), F.lit(0)))
+        .select("b", "a", "parts", "share", "first")
+    )
+    return (
+        coded.join(cells, F.col("business_name").eqNullSafe(F.col("b")) & (F.col("area") == F.col("a")))
+        .withColumn("part", F.pmod(F.xxhash64("meal_name", "sentiment"), "parts").cast("int"))
+        .withColumn("base", (F.col("first") + F.col("part") * F.col("share")).cast("bigint"))
+        .select(*UNIT, "weight", "embedding", "area", "part", "share", "base")
+    )
+
+
 def cluster_mentions(
     mentions: DataFrame, percent: int = 50, size: int = 64, cell_rows: int = CELL_ROWS, rounds: int = 25
 ) -> DataFrame:
@@ -103,52 +133,23 @@ def cluster_mentions(
         .groupBy("business_name")
         .agg(
             F.sum("pairs").alias("pairs"),
-            F.greatest(F.lit(1), F.floor(F.count("*") * percent / 100)).cast("bigint").alias("k"),
+            F.greatest(F.lit(1), F.floor(F.count("*") * percent / 100)).cast("int").alias("k"),
         )
         .withColumnRenamed("business_name", "b")
     )
-    sized = units.join(sizes, F.col("business_name").eqNullSafe(F.col("b")), "left").drop("b")
-    vectors = embed_text(
-        sized, mention_text(F.coalesce("meal_name", F.lit("")), F.coalesce("sentiment", F.lit(0.5))), size
-    )
-    bits = F.least(F.lit(CODE_BITS), F.ceil(F.log2(F.col("pairs") / cell_rows)) + 1).cast("int")
-    coded = vectors.withColumn(
-        "area",
-        F.when(F.col("pairs") <= cell_rows, F.lit(0)).otherwise(
-            F.floor(_locality_code(F.col("embedding"), size) / F.pow(F.lit(2), CODE_BITS - bits))
-        ).cast("int"),
-    )
-    cells = coded.groupBy("business_name", "area").agg(
-        F.count("*").alias("held"), F.first("pairs").alias("all"), F.first("k").alias("k")
+    sized = units.join(sizes, F.col("business_name").eqNullSafe(F.col("b"))).drop("b")
+    text = mention_text(F.coalesce("meal_name", F.lit("")), F.coalesce("sentiment", F.lit(0.5)))
+    small = embed_text(sized.where(F.col("pairs") <= cell_rows), text, size)
+    large = _cut_into_cells(embed_text(sized.where(F.col("pairs") > cell_rows), text, size), size, cell_rows)
+    whole = small.select(
+        *UNIT, "weight", "embedding", F.lit(0).alias("area"), F.lit(0).alias("part"),
+        F.col("k").alias("share"), F.lit(0).cast("bigint").alias("base"),
     )
-    cells = cells.withColumn("parts", F.ceil(F.col("held") / cell_rows).cast("int"))
-    shards = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    order = Window.partitionBy("business_name").orderBy("area", "part")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    share = F.floor(F.col("k") * F.col("held") / (F.col("all") * F.col("parts")))
-    shards = (
-        shards.withColumn("share", F.greatest(F.lit(1), share).cast("bigint"))
-        .withColumn("base", F.coalesce(F.sum("share").over(before), F.lit(0)))
-        .select(
-            F.col("business_name").alias("b"), F.col("area").alias("a"), F.col("part").alias("p"),
-            "share", "base",
-        )
-    )
-    parted = coded.join(
-        cells.select(F.col("business_name").alias("b"), F.col("area").alias("a"), "parts"),
-        F.col("business_name").eqNullSafe(F.col("b")) & (F.col("area") == F.col("a")),
-    ).drop("b", "a")
-    parted = parted.withColumn("part", F.pmod(F.xxhash64("meal_name", "sentiment"), "parts").cast("int"))
-    ready = parted.join(
-        shards,
-        F.col("business_name").eqNullSafe(F.col("b"))
-        & (F.col("area") == F.col("a"))
-        & (F.col("part") == F.col("p")),
-    ).select(*UNIT, "weight", "embedding", "area", "part", "share", "base")
+    ready = whole.unionByName(large)
 
     def solve(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values(["meal_name", "sentiment"], na_position="first")
-        points = np.array(cell["embedding"].tolist(), dtype=np.float64)
+        points = np.stack(cell["embedding"].to_numpy()).astype(np.float32)
         k = int(min(cell["share"].iloc[0], len(cell)))
         labels = _weighted_kmeans(points, cell["weight"].to_numpy(dtype=np.float64), k, rounds)
         return cell[UNIT].assign(cluster=labels + int(cell["base"].iloc[0]))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,29 +53,28 @@ def keys_at_ranks(
     )
     if not ranges:
         return {}
-    spans = {(r.g, r.hi) for r in ranges}
-    inside = reduce(
-        lambda a, b: a | b,
-        [(F.col("g") == g) & F.col("v").between(hi << bits, ((hi + 1) << bits) - 1) for g, hi in sorted(spans)],
-    )
+    def in_range(r) -> Column:
+        return (F.col("g") == r.g) & F.col("v").between(r.hi << bits, ((r.hi + 1) << bits) - 1)
+
+    def hit(r) -> Column:
+        return in_range(r) & (before < r.within) & (F.col("upto") >= r.within)
+
     running = Window.partitionBy("g", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    targets = rows.sparkSession.createDataFrame(
-        [tuple(r) for r in ranges], "g string, hi bigint, name string, within bigint"
-    )
     found = (
-        known.where(inside)
+        known.where(reduce(or_, map(in_range, ranges)))
         .groupBy("g", "v")
         .agg(F.count("*").alias("c"))
         .withColumn("hi", F.shiftright("v", bits))
         .withColumn("upto", F.sum("c").over(running))
-        .join(F.broadcast(targets), ["g", "hi"])
-        .where((F.col("within") > before) & (F.col("within") <= F.col("upto")))
-        .select("g", "name", "v")
+        .where(reduce(or_, map(hit, ranges)))
+        .select("g", "hi", "v", "upto", "c")
         .collect()
     )
     keys: dict[str, dict[str, int]] = {}
-    for r in found:
-        keys.setdefault(r.g, {})[r.name] = r.v
+    for r in ranges:
+        keys.setdefault(r.g, {})[r.name] = next(
+            f.v for f in found if (f.g, f.hi) == (r.g, r.hi) and f.upto - f.c < r.within <= f.upto
+        )
     return keys
 
 

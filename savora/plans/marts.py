@@ -39,13 +39,10 @@ def feedback_by_meal(feedback: DataFrame, repair_quotes: bool = False) -> DataFr
     )
 
 
-def join_feedback(meals: DataFrame, feedback: DataFrame, repair_quotes: bool = False) -> DataFrame:
-    """Both sides are grouped by the join keys already, so the join adds no shuffle."""
-    return meals.join(feedback_by_meal(feedback, repair_quotes), ["business_name", "meal_name"], "left")
-
-
-def recommendations(mentions: DataFrame, feedback: DataFrame) -> DataFrame:
-    return join_feedback(meal_reviews(mentions), feedback)
+def recommendations(mentions: DataFrame, feedback: DataFrame, repair_quotes: bool = False) -> DataFrame:
+    """Meal aggregates with their feedback; both sides are grouped by the join keys already."""
+    votes = feedback_by_meal(feedback, repair_quotes)
+    return meal_reviews(mentions).join(votes, ["business_name", "meal_name"], "left")
 
 
 def of_business(recs: DataFrame, business_name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from savora.functions.response import explode_meals, parse_response
 from savora.operators.clustering import cluster_mentions
 from savora.operators.extraction import Completer, extract_responses
 from savora.operators.grouped import first_per_group, modal_value
+from savora.session import stored
 from savora.sources.tables import meal_mention_rows
 
 
@@ -54,15 +55,18 @@ def meal_mentions(
 ) -> DataFrame:
     """Ask, read, explode, cluster and label, for every business in ``reviews``.
 
-    ``trial_rows`` keeps that many reviews per business; by default all are processed.
+    The model's answers and the clusters are stored before they are read again, so nothing is asked or
+    clustered twice. ``trial_rows`` keeps that many reviews per business; by default all are processed.
     """
     if trial_rows:
         reviews = first_per_group(
             reviews, ["business_name"], [F.col("review_text"), F.col("rating")], trial_rows
         ).drop("position")
     asked = extract_responses(reviews.select("business_name", "rating", "review_text"), complete, **call)
-    mentions = explode_meals(parse_response(asked)).select("business_name", "rating", "meal_name", "sentiment")
-    return meal_mention_rows(label_clusters(cluster_mentions(mentions, percent)))
+    answers = stored(asked.select("business_name", "rating", "response"), "answers")
+    mentions = explode_meals(parse_response(answers)).select("business_name", "rating", "meal_name", "sentiment")
+    clustered = stored(cluster_mentions(mentions, percent), "clusters")
+    return meal_mention_rows(label_clusters(clustered))
 
 
 def merge_plurals(mentions: DataFrame, per_business: bool = False) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savora.operators.grouped import attach_group_stats
-from savora.plans.marts import join_feedback, meal_reviews
 
 # Weights of the score, step per feedback, generic words and questions.
 WEIGHT_REVIEWS = 0.6
@@ -40,13 +39,13 @@ def min_max_normalized(meals: DataFrame) -> DataFrame:
     return scaled.drop(*[f"{n}__{m}" for m in _MEASURES for n in ("lo", "hi")])
 
 
-def with_base_score(meals: DataFrame, best_of: DataFrame | None = None) -> DataFrame:
+def with_base_score(meals: DataFrame) -> DataFrame:
     """Weighted share of the business's best value, times 100.
 
     The best values come from all meals of the business, before any generic word is filtered out.
     """
     best = [F.max(m).alias(f"top__{m}") for m in _MEASURES]
-    topped = attach_group_stats(meals, ["business_name"], *best, source=best_of)
+    topped = attach_group_stats(meals, ["business_name"], *best)
 
     def share(measure: str) -> Column:
         return F.try_divide(F.col(measure), F.col(f"top__{measure}"))
@@ -66,14 +65,13 @@ def adjusted_score() -> Column:
     return F.when(F.col("total_pos_feedback").isNotNull(), F.least(F.lit(100.0), score * factor)).otherwise(score)
 
 
-def scored(mentions: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Meals with their feedback-adjusted score.
+def scored(recs: DataFrame) -> DataFrame:
+    """Recommendations with their feedback-adjusted score.
 
-    Feedback joins first, on the keys the meals are grouped by; the best values per business come last.
+    ``recs`` is read twice, for the best values and for the rows. Pass the stored mart when scoring all
+    businesses: over the view, a later filter reaches one of the reads only and both aggregate anew.
     """
-    meals = meal_reviews(mentions)
-    joined = join_feedback(meals, feedback)
-    return with_base_score(joined, best_of=meals).withColumn("recommendation_score", adjusted_score())
+    return with_base_score(recs).withColumn("recommendation_score", adjusted_score())
 
 
 def menu_filter(

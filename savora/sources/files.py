@@ -66,8 +66,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Null and '' stay apart: only text is quoted."""
-    rows.write.options(**_CSV).option("emptyValue", '""').csv(path)
+    """Null and '' are both written as blanks and read back as null."""
+    rows.write.options(**_CSV).option("emptyValue", "").csv(path)
 
 
 def with_json(rows: DataFrame, column: str, schema: str, into: str = "payload") -> DataFrame:
