@@ -42,7 +42,7 @@ def build_prompts(t):
                then cast(len(json_extract(response, '$[*]')) as int) end items from parsed""",
 )
 def parse_response(t):
-    return response.parse_response(t("v_responses")).select(
+    return response.parse_response(t.spread("v_responses", "lineitem")).select(
         "review_id", "status", F.when(F.col("items").isNotNull(), F.size("items")).alias("items")
     )
 
@@ -55,7 +55,7 @@ def parse_response(t):
         from items""",
 )
 def explode_meals(t):
-    parsed = response.parse_response(t("v_responses")).drop("response")
+    parsed = response.parse_response(t.spread("v_responses", "lineitem")).drop("response")
     return response.explode_meals(parsed)
 
 

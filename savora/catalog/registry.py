@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from savora.catalog import views
-from savora.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,9 +23,9 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return views.view(self.spark, self.sf_dir, name)
 
-    def spread(self, name: str) -> DataFrame:
-        """A table whose rows take long to work on."""
-        return spread(self(name))
+    def spread(self, name: str, base: str = "documents") -> DataFrame:
+        """The same for rows that take long to work on: the base table's scan is spread first."""
+        return views.view(self.spark, self.sf_dir, name, base)
 
 
 def query(name: str, oracle: str | None = None):

@@ -148,7 +148,7 @@ WORDS = f"""
 
 @query("word_freq", f"with {WORDS} select word, n from counts order by n desc, word limit 100")
 def word_freq(t):
-    return dashboard.word_counts(t("v_sheet"))
+    return dashboard.word_counts(t.spread("v_sheet"))
 
 
 @query(
@@ -161,7 +161,7 @@ def word_freq(t):
         select word, n from merged order by n desc, word limit 100""",
 )
 def word_freq_plurals(t):
-    return dashboard.word_counts(t("v_sheet"), merge_plurals=True)
+    return dashboard.word_counts(t.spread("v_sheet"), merge_plurals=True)
 
 
 @query(

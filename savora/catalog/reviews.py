@@ -53,7 +53,7 @@ MENU = f"""lower(meal_name) not in ({sql_list(DENIED_WORDS)}) and total_reviews
 
 
 def staged(t: Tables):
-    return staging.staging_reviews(t("v_business"), t("v_reviews"))
+    return staging.staging_reviews(t("v_business"), t.spread("v_reviews"))
 
 
 def scores(t: Tables):
@@ -84,7 +84,7 @@ def staging_reviews(t):
     "select doc_id, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') review_text from {documents}",
 )
 def clean(t):
-    return t("documents").select("doc_id", clean_text(F.col("text")).alias("review_text"))
+    return t.spread("documents").select("doc_id", clean_text(F.col("text")).alias("review_text"))
 
 
 @query(

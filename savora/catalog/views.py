@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from savora.session import spread
+
 TABLES = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -96,11 +98,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or a view over tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, spread_over: str = "") -> DataFrame:
+    """A table or a view over tables; ``spread_over`` names a base table with costly rows."""
     if name in TABLES:
-        return table(spark, sf_dir, name)
-    parts = {p: view(spark, sf_dir, p) for p in _NAME.findall(VIEWS[name])}
+        rows = table(spark, sf_dir, name)
+        return spread(rows) if name == spread_over else rows
+    parts = {p: view(spark, sf_dir, p, spread_over) for p in _NAME.findall(VIEWS[name])}
     return spark.sql(VIEWS[name], **parts)
 
 

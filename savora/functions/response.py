@@ -33,15 +33,13 @@ def parse_response(rows: DataFrame, response: str = "response") -> DataFrame:
     The list is read one level at a time, so a bad element does not void its good neighbours.
     """
     answer = F.col(response)
-    listed = F.from_json(answer, "array<string>", _QUOTES)
-    looks_listed = F.trim(answer).startswith("[")
-    status = (
-        F.when(F.contains(answer, F.lit(NO_MEALS)), "no_meals")
-        .when(looks_listed & listed.isNotNull(), "ok")
-        .otherwise("bad_format")
-    )
-    return rows.withColumn("status", status).withColumn(
-        "items", F.when(F.col("status") == "ok", listed)
+    silent = F.contains(answer, F.lit(NO_MEALS))
+    listed = ~silent & F.trim(answer).startswith("[")
+    return rows.withColumn(
+        "items", F.when(listed, F.from_json(answer, "array<string>", _QUOTES))
+    ).withColumn(
+        "status",
+        F.when(silent, "no_meals").when(F.col("items").isNotNull(), "ok").otherwise("bad_format"),
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Scheme, then '//', then everything up to the path, query or fragment.
 AUTHORITY = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
+# All but a-z, 0-9 and blank, spelled as ranges: Java searches a negated class several times slower.
+NOT_PLAIN = r"[\x00-\x1f\x21-\x2f\x3a-\x60\x7b-\x{10ffff}]+"
+
 # Fixed value: default stop words of the word-cloud library.
 CLOUD_STOPWORDS = (
     "a about above after again against all also am an and any are aren't as at be because been "
@@ -27,7 +30,7 @@ CLOUD_STOPWORDS = (
 
 def clean_text(text: Column, unicode_letters: bool = False) -> Column:
     """Lower case without special characters; accents go too unless asked otherwise."""
-    drop = r"[^\p{L}\p{N} ]" if unicode_letters else "[^a-z0-9 ]"
+    drop = r"[^\p{L}\p{N} ]+" if unicode_letters else NOT_PLAIN
     return F.regexp_replace(F.lower(text), drop, "")
 
 

@@ -184,7 +184,7 @@ def tfidf_clusters(
 ) -> DataFrame:
     """TF-IDF vectors of a text column in k clusters; hashed terms need no vocabulary on the driver."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="words__", pattern=r"[^\p{L}\p{N}]+"),
+        RegexTokenizer(inputCol=text, outputCol="words__", pattern=r"[\p{L}\p{N}]+", gaps=False),
         StopWordsRemover(inputCol="words__", outputCol="kept__"),
         HashingTF(inputCol="kept__", outputCol="tf__", numFeatures=size),
         IDF(inputCol="tf__", outputCol="idf__"),

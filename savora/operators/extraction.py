@@ -77,9 +77,7 @@ def pending_reviews(reviews: DataFrame, answered: DataFrame, key: str) -> DataFr
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(
-        F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != ""
-    )
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
 
 
 def phrases_of(words: Column, longest: int) -> Column:

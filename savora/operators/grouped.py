@@ -24,6 +24,11 @@ def attach_group_stats(
     return rows.join(small, same, "left").drop(*[f"{k}__g" for k in keys])
 
 
+def small_enough(rows: DataFrame, most: int) -> bool:
+    """Whether there are at most that many rows; counts no further than one beyond."""
+    return rows.limit(most + 1).count() <= most
+
+
 def modal_value(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """The most frequent value per group; ties go to the smallest, nulls never win.
 
