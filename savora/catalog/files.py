@@ -101,6 +101,11 @@ def pairs_first(t):
     return first.select("business_name", "review_text")
 
 
+@query("pairs_rest", "select doc_id, source, text from {documents} order by doc_id offset 100")
+def pairs_rest(t):
+    return pairs.rows_from(t("documents").select("doc_id", "source", "text"), "doc_id", 100)
+
+
 def _payload(t, table, schema, **fields):
     """One payload per row of ``table``, as JSON text parsed by its schema."""
     text = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))

@@ -135,15 +135,72 @@ def eda_map_points(t):
     return dashboard.map_points(t("v_sheet"))
 
 
-WORDS = f"""
-    words as (
-        select regexp_replace(lower(w), '''s$', '') word
-        from (select unnest(regexp_extract_all(review_text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']+')) w
-              from {{v_sheet}})),
+CUT = """
+    cut as (
+        select list_filter(list_transform(
+                   regexp_extract_all(review_text, '[\\p{L}\\p{N}_][\\p{L}\\p{N}_'']*'),
+                   lambda w: regexp_replace(w, '''[sS]$', '')),
+                   lambda w: not regexp_matches(w, '^\\p{Nd}+$')) ws
+        from {v_sheet})"""
+STOP = sql_list(CLOUD_STOPWORDS)
+WORDS = CUT + f""",
     counts as (
-        select word, count(*) n from words
-        where word not in ({sql_list(CLOUD_STOPWORDS)}) and not regexp_matches(word, '^[0-9]+$')
-        group by 1)"""
+        select lower(w) word, count(*) n from (select unnest(ws) w from cut)
+        where lower(w) not in ({STOP}) group by 1)"""
+
+
+def _fused(name: str, source: str) -> str:
+    stem = "case when lower(c.word) like '%s' and lower(c.word) not like '%ss' then left(lower(c.word), length(c.word) - 1) end"
+    return f"""
+    {name}_spelled as (
+        select coalesce(k.low, lower(c.word)) key,
+               case when k.low is not null then left(c.word, length(c.word) - 1) else c.word end word, sum(c.n) n
+        from {source} c left join (select distinct lower(word) low from {source}) k on k.low = {stem}
+        group by 1, 2),
+    {name} as (
+        select key, (array_agg(word order by n desc, word))[1] word, sum(n)::bigint n
+        from {name}_spelled group by 1)"""
+
+
+CLOUD = CUT + f""",
+    singles as (
+        select w word, count(*) n from (select unnest(ws) w from cut) where lower(w) not in ({STOP}) group by 1),
+    met as (
+        select ws[i] a, ws[i + 1] b from (select ws, unnest(range(1, len(ws))) i from cut)),
+    pairs as (
+        select a || ' ' || b word, count(*) n from met
+        where lower(a) not in ({STOP}) and lower(b) not in ({STOP}) group by 1),
+    {_fused('terms', 'singles')},
+    {_fused('doubles', 'pairs')},
+    lows as (select distinct lower(word) low from singles),
+    entry as (
+        select low, coalesce(s.key, t.key) key, coalesce(s.n, t.n) c from lows
+        left join terms s on s.key = case when low like '%s' and low not like '%ss' then left(low, length(low) - 1) end
+        left join terms t on t.key = low),
+    scored as (
+        select d.key, d.word, d.n::double k, e.key key1, f.key key2, e.c::double c1, f.c::double c2,
+               (select sum(n) from singles)::double n
+        from doubles d join entry e on e.low = split_part(lower(d.word), ' ', 1)
+             join entry f on f.low = split_part(lower(d.word), ' ', 2)),
+    chosen as (
+        select key, word, k::bigint n, key1, key2 from scored where n > c1 and n > c2 and 2 * (
+            ln(greatest(k / c1, 1e-10)) * k + ln(greatest(1 - k / c1, 1e-10)) * (c1 - k)
+            + ln(greatest((c2 - k) / (n - c1), 1e-10)) * (c2 - k)
+            + ln(greatest(1 - (c2 - k) / (n - c1), 1e-10)) * (n - c1 - c2 + k)
+            - ln(greatest(c2 / n, 1e-10)) * k - ln(greatest(1 - c2 / n, 1e-10)) * (c1 - k)
+            - ln(greatest(c2 / n, 1e-10)) * (c2 - k)
+            - ln(greatest(1 - c2 / n, 1e-10)) * (n - c1 - c2 + k)) > 30),
+    inside as (
+        select key, sum(n) n from (select key1 key, n from chosen union all select key2, n from chosen) group by 1),
+    cloud as (
+        select t.key, t.word, (t.n - coalesce(i.n, 0))::bigint n from terms t left join inside i on t.key = i.key
+        where t.n - coalesce(i.n, 0) > 0
+        union all select key, word, n from chosen)"""
+
+
+@query("word_cloud", f"with {CLOUD} select word, n from cloud order by n desc, key limit 100")
+def word_cloud(t):
+    return dashboard.cloud_terms(t.spread("v_sheet"))
 
 
 @query("word_freq", f"with {WORDS} select word, n from counts order by n desc, word limit 100")

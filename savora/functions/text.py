@@ -66,8 +66,10 @@ def day_label(epoch_seconds: Column) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    """Words of two characters or more, as the word-cloud library cuts them."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_']+"), F.lit(0))
+    """Words as the word-cloud library cuts them: no "'s" at the end, no bare numbers."""
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_']*"), F.lit(0))
+    bare = F.transform(found, lambda w: F.regexp_replace(w, "'[sS]$", ""))
+    return F.filter(bare, lambda w: ~w.rlike(r"^\p{Nd}+$"))
 
 
 def strip_stopwords(text: Column, stopwords: list[str]) -> Column:

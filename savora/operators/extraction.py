@@ -99,7 +99,7 @@ def extract_by_dictionary(
     """Each review with each dictionary meal it mentions; sentiment is the rating scaled to 0..1."""
     meals = dictionary.select(F.lower("meal_name").alias("meal_name")).distinct()
     cut = reviews.where(F.col(text).isNotNull()).select(key, "rating", words_of(F.col(text)).alias("words"))
-    runs = cut.select(key, "rating", F.explode(phrases_of(F.col("words"), longest)).alias("meal_name"))
+    runs = cut.select(key, "rating", F.explode_outer(phrases_of(F.col("words"), longest)).alias("meal_name"))
     return runs.join(meals, "meal_name").select(
         key, "rating", "meal_name", ((F.col("rating") - 1) / F.lit(4.0)).alias("sentiment")
     )

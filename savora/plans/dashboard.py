@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savora.functions.text import CLOUD_STOPWORDS, split_words
+from savora.session import stored
 
 
 def totals(sheet: DataFrame) -> DataFrame:
@@ -90,31 +91,141 @@ def word_counts(
     top: int = 100,
     merge_plurals: bool = False,
 ) -> DataFrame:
-    """The most frequent words that are no stop words and no bare numbers."""
-    word = F.regexp_replace(F.lower("word"), "'s$", "")
-    counts = (
-        sheet.select(F.explode(split_words(F.col(text))).alias("word"))
-        .select(word.alias("word"))
-        .where(~F.col("word").isin(list(stopwords)) & ~F.col("word").rlike("^[0-9]+$"))
+    """The most frequent words, in lower case and without stop words."""
+    words = sheet.select(F.explode_outer(split_words(F.col(text))).alias("word"))
+    counts = _counted(words.select(F.lower("word").alias("word")), stopwords)
+    if merge_plurals:
+        counts = _merged(counts).select(F.col("key").alias("word"), "n")
+    return counts.orderBy(F.desc("n"), "word").limit(top)
+
+
+def _counted(words: DataFrame, stopwords: Sequence[str]) -> DataFrame:
+    # Exploding with "outer" keeps Spark from evaluating the word list once more to test it for size.
+    return (
+        words.where(F.col("word").isNotNull() & ~F.lower("word").isin(list(stopwords)))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    if merge_plurals:
-        counts = _join_plurals(counts)
-    return counts.orderBy(F.desc("n"), "word").limit(top)
 
 
-def _join_plurals(counts: DataFrame) -> DataFrame:
-    """Add 'words' to 'word' where both occur; 'ss' is no plural."""
-    word = F.col("word")
-    stem = F.when(word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.length(word) - 1))
-    known = counts.select(F.col("word").alias("known"))
+def _stem(word: Column) -> Column:
+    """The word without its plural 's', null for others; 'ss' is no plural."""
+    return F.when(
+        word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.length(word) - 1)
+    )
+
+
+def _base(low: Column) -> Column:
+    """What a word and its plural have in common."""
+    return F.coalesce(_stem(low), low)
+
+
+def _merged(counts: DataFrame) -> DataFrame:
+    """One row per term over all cases, a plural counting for the singular where that occurs too.
+
+    A base holds at most the word itself and its plural, so one grouping by it tells whether both occur.
+    """
+    low, n = F.lower("word"), F.col("n")
+    plural = _stem(low).isNotNull()
+    sums = counts.groupBy(_base(low).alias("base")).agg(
+        F.sum(F.when(~plural, n)).alias("own"), F.sum(F.when(plural, n)).alias("plural")
+    )
+    return sums.select(
+        "base",
+        F.when(F.col("own").isNull(), F.concat("base", F.lit("s"))).otherwise(F.col("base")).alias("key"),
+        (F.coalesce("own", F.lit(0)) + F.coalesce("plural", F.lit(0))).alias("n"),
+    )
+
+
+def _spelled(counts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The most frequent spelling of each chosen key; ``chosen`` is a short list."""
+    low, word = F.lower("word"), F.col("word")
+    forms = F.array(
+        F.struct(low.alias("key"), word.alias("spelling")),
+        F.struct(_stem(low).alias("key"), F.substring(word, F.lit(1), F.length(word) - 1).alias("spelling")),
+    )
+    best = F.min(F.struct((-F.col("n")).alias("o"), F.col("spelling")))["spelling"]
     return (
-        counts.withColumn("stem", stem)
-        .join(known, F.col("stem") == F.col("known"), "left")
-        .groupBy(F.coalesce("known", "word").alias("word"))
+        counts.select(F.col("n"), F.inline(forms))
+        .join(F.broadcast(chosen.select("key")), "key", "left_semi")
+        .groupBy("key", "spelling")
         .agg(F.sum("n").alias("n"))
+        .groupBy("key")
+        .agg(best.alias("word"))
+    )
+
+
+def _likelihood(k: Column, n: Column, x: Column) -> Column:
+    tiny = F.lit(1e-10)
+    return F.ln(F.greatest(x, tiny)) * k + F.ln(F.greatest(1 - x, tiny)) * (n - k)
+
+
+def _pair_score(both: Column, first: Column, second: Column, words: Column) -> Column:
+    """Dunning's likelihood ratio: how much more often two words meet than by chance."""
+    chance = second / words
+    with_first = both / first
+    without_first = F.try_divide(second - both, words - first)
+    score = 2 * (
+        _likelihood(both, first, with_first)
+        + _likelihood(second - both, words - first, without_first)
+        - _likelihood(both, first, chance)
+        - _likelihood(second - both, words - first, chance)
+    )
+    return F.when((words > first) & (words > second), score).otherwise(0.0)
+
+
+def cloud_terms(
+    sheet: DataFrame,
+    text: str = "review_text",
+    stopwords: Sequence[str] = CLOUD_STOPWORDS,
+    top: int = 100,
+    threshold: float = 30.0,
+) -> DataFrame:
+    """The terms of the word cloud: words, and word pairs that meet far more often than by chance.
+
+    Cases and plurals of a term count together. Occurrences inside a chosen pair no longer count for
+    its words. Pairs are taken within a review. The counts are stored, as several steps read them;
+    nothing after them goes back to the text, and spellings are looked up for the shown terms only.
+    """
+    cut = sheet.select(split_words(F.col(text)).alias("words"))
+    words = F.col("words")
+    listed = list(stopwords)
+    met = F.zip_with(
+        words,
+        F.slice(words, F.lit(2), F.size(words)),
+        lambda a, b: F.when(
+            ~F.lower(a).isin(listed) & ~F.lower(b).isin(listed), F.concat(a, F.lit(" "), b)
+        ),
+    )
+    singles = stored(_counted(cut.select(F.explode_outer(words).alias("word")), stopwords), "words")
+    pairs = stored(_counted(cut.select(F.explode_outer(met).alias("word")), stopwords), "pairs")
+    terms = stored(_merged(singles), "terms")
+    total = singles.agg(F.sum("n").alias("n")).first().n
+    parts = F.split(F.col("key"), " ")
+    found = (
+        _merged(pairs)
+        .select("key", F.col("n").alias("both"), _base(parts[0]).alias("b1"), _base(parts[1]).alias("b2"))
+        .join(terms.toDF("b1", "key1", "c1"), "b1")
+        .join(terms.toDF("b2", "key2", "c2"), "b2")
+    )
+    score = _pair_score(F.col("both"), F.col("c1"), F.col("c2"), F.lit(total))
+    chosen = stored(found.where(score > threshold).select("key", "both", "key1", "key2"), "chosen")
+    inside = (
+        chosen.select("both", F.explode(F.array("key1", "key2")).alias("key"))
+        .groupBy("key")
+        .agg(F.sum("both").alias("inside"))
+    )
+    alone = terms.join(inside, "key", "left").select(
+        "key", (F.col("n") - F.coalesce("inside", F.lit(0))).alias("n")
+    )
+    shown = (
+        alone.where(F.col("n") > 0)
+        .unionByName(chosen.select("key", F.col("both").alias("n")))
+        .orderBy(F.desc("n"), "key")
+        .limit(top)
     )
+    spelled = _spelled(singles.unionByName(pairs), shown)
+    return shown.join(spelled, "key").select("word", "n").orderBy(F.desc("n"), "word")
 
 
 def null_profile(rows: DataFrame) -> DataFrame:

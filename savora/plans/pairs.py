@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from savora.operators.ranks import keys_at_ranks
+
 
 def complete_rows(sheet: DataFrame) -> DataFrame:
     """Without the id columns and without rows that miss a value; the rating becomes text."""
@@ -30,5 +32,12 @@ def first_rows(rows: DataFrame, order: Sequence[Column | str], n: int) -> DataFr
     return rows.orderBy(*order).limit(n)
 
 
-def rows_from(rows: DataFrame, order: Sequence[Column | str], start: int) -> DataFrame:
-    return rows.orderBy(*order).offset(start)
+def rows_from(rows: DataFrame, key: str, start: int) -> DataFrame:
+    """All rows but the first ``start`` by a unique bigint key.
+
+    A plain OFFSET would pass the whole table through one task; the key at that rank is looked up
+    instead and the rest is a filter.
+    """
+    whole = rows.select(F.lit("all").alias("whole"), key)
+    found = keys_at_ranks(whole, "whole", key, ["all"], {"cut": F.least(F.col("n"), F.lit(start))})
+    return rows.where(F.col(key) > found["all"]["cut"]) if start and found else rows

@@ -1,5 +1,7 @@
 """Answers, phrases, words and addresses."""
 
+import collections
+import math
 import random
 import re
 from urllib.parse import urlparse
@@ -92,10 +94,65 @@ def test_pending_reviews(spark):
     assert [r.k for r in extraction.pending_reviews(reviews, reviews.where("k < 3"), "k").orderBy("k").collect()] == [3, 4]
 
 
-def test_word_counts_like_python(spark):
-    texts = ["The taco's tacos, Tacos 42 été", None, "class classes été I've it's"]
+def test_word_counts(spark):
+    texts = ["The taco's tacos, Tacos 42 été", None, "class classes été I've it's b"]
     rows = spark.createDataFrame([(t,) for t in texts], "review_text string")
     found = {r.word: r.n for r in dashboard.word_counts(rows).collect()}
-    assert found == {"taco": 1, "tacos": 2, "été": 2, "class": 1, "classes": 1}
+    assert found == {"taco": 1, "tacos": 2, "été": 2, "class": 1, "classes": 1, "b": 1}
     merged = {r.word: r.n for r in dashboard.word_counts(rows, merge_plurals=True).collect()}
-    assert merged["taco"] == 3 and "tacos" not in merged and merged["class"] == 1
+    assert merged == {"taco": 3, "été": 2, "class": 1, "classes": 1, "b": 1}
+
+
+def brute_force_cloud(texts, threshold):
+    words = [[re.sub("'[sS]$", "", w) for w in re.findall(r"\w[\w']*", t)] for t in texts]
+    words = [[w for w in ws if not w.isdigit()] for ws in words]
+    stop = set(text.CLOUD_STOPWORDS)
+
+    def merged(counts):
+        low = collections.Counter()
+        for w, n in counts.items():
+            low[w.lower()] += n
+        home = {w: w[:-1] if w.endswith("s") and not w.endswith("ss") and w[:-1] in low else w for w in low}
+        total = collections.Counter()
+        for w, n in low.items():
+            total[home[w]] += n
+        return total, home
+
+    singles = collections.Counter(w for ws in words for w in ws if w.lower() not in stop)
+    pairs = collections.Counter(
+        f"{a} {b}" for ws in words for a, b in zip(ws, ws[1:]) if not {a.lower(), b.lower()} & stop
+    )
+    terms, home = merged(singles)
+    total, cloud = sum(singles.values()), dict(terms)
+
+    def likelihood(k, n, x):
+        return math.log(max(x, 1e-10)) * k + math.log(max(1 - x, 1e-10)) * (n - k)
+
+    for pair, k in merged(pairs)[0].items():
+        a, b = (home[w] for w in pair.split(" "))
+        m, n = terms[a], terms[b]
+        score = -2 * (
+            likelihood(k, m, n / total) + likelihood(n - k, total - m, n / total)
+            - likelihood(k, m, k / m) - likelihood(n - k, total - m, (n - k) / (total - m))
+        )
+        if score > threshold:
+            cloud[a] -= k
+            cloud[b] -= k
+            cloud[pair] = k
+    return {w: n for w, n in cloud.items() if n > 0}
+
+
+def test_cloud_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = ["Hot dog", "hot dogs", "lobster roll", "Lobster rolls", "taco", "Tacos", "the", "class", "grass", "of 7", "chef's"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "review_text string")
+    found = {r.word.lower(): r.n for r in dashboard.cloud_terms(rows, top=1000).collect()}
+    expected = brute_force_cloud(texts, 30.0)
+    assert found == expected
+    assert any(" " in w for w in found)
+
+
+def test_cloud_without_words(spark):
+    rows = spark.createDataFrame([(None,)], "review_text string")
+    assert dashboard.cloud_terms(rows).count() == 0
