@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_ROWS = 1024
-CODE_BITS = 16
 UNIT = ["business_name", "meal_name", "sentiment"]
 
 
@@ -27,16 +26,18 @@ def mention_text(meal: Column, sentiment: Column) -> Column:
     return F.concat(F.lit("['"), F.lower(meal), F.lit("', "), sentiment.cast("string"), F.lit("]"))
 
 
+def _trigrams(text: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))),
+        lambda i: F.substring(text, i, F.lit(3)),
+    )
+
+
 def embed_text(rows: DataFrame, text: Column, size: int = 64, name: str = "embedding") -> DataFrame:
     """Hashed character trigrams, scaled to unit length."""
-    whole = F.col("text__")
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(whole) - 2, F.lit(1))),
-        lambda i: F.substring(whole, i, F.lit(3)),
-    )
     hashed = HashingTF(inputCol="grams__", outputCol="tf__", numFeatures=size)
     scaled = Normalizer(inputCol="tf__", outputCol="unit__")
-    with_grams = rows.withColumn("text__", text).withColumn("grams__", grams)
+    with_grams = rows.withColumn("text__", text).withColumn("grams__", _trigrams(F.col("text__")))
     return (
         scaled.transform(hashed.transform(with_grams))
         .withColumn(name, vector_to_array("unit__", "float32"))
@@ -75,44 +76,32 @@ def _weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, rounds: in
     return labels
 
 
-def _locality_code(embedding: Column, size: int) -> Column:
-    """Signs of fixed random projections, as one integer: near vectors share leading bits."""
-    signs = np.random.default_rng(5).choice([-1.0, 1.0], (CODE_BITS, size))
-    code = F.lit(0)
-    for bit, row in enumerate(signs):
-        weights = F.array(*[F.lit(float(x)) for x in row])
-        dot = F.aggregate(
-            F.zip_with(embedding, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x
-        )
-        code = code + F.when(dot > 0, 1 << (CODE_BITS - 1 - bit)).otherwise(0)
-    return code
+def _cut_into_cells(units: DataFrame, cell_rows: int) -> DataFrame:
+    """Cells of like names, each with its share of k and the number of its first cluster.
 
-
-def _cut_into_cells(units: DataFrame, size: int, cell_rows: int) -> DataFrame:
-    """Cells of near vectors, each with its share of k and the number of its first cluster.
-
-    The leading bits of the locality code name the area; an area that is still too big is split by hash.
+    The least hash of a name's trigrams picks the area: the more trigrams two names share, the likelier
+    they meet. An area that is still too big is split by hash.
     """
-    bits = F.least(F.lit(CODE_BITS), F.ceil(F.log2(F.col("pairs") / cell_rows)) + 1)
-    code = _locality_code(F.col("embedding"), size)
-    coded = units.withColumn("area", F.floor(code / F.pow(F.lit(2), CODE_BITS - bits)).cast("int"))
+    low = units.withColumn("low__", F.lower(F.coalesce("meal_name", F.lit(""))))
+    least = F.array_min(F.transform(_trigrams(F.col("low__")), lambda g: F.xxhash64(g)))
+    areas = F.ceil(F.col("pairs") / cell_rows) * 2
+    placed = low.withColumn("area", F.pmod(least, areas).cast("int")).drop("low__")
     held = F.col("held")
-    parts = F.ceil(held / cell_rows)
     share = F.greatest(F.lit(1), F.floor(F.col("k") * held / (F.col("pairs") * F.col("parts"))))
     earlier = Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        coded.groupBy(F.col("business_name").alias("b"), F.col("area").alias("a"), "pairs", "k")
+        placed.groupBy(F.col("business_name").alias("b"), F.col("area").alias("a"), "pairs", "k")
         .agg(F.count("*").alias("held"))
-        .withColumn("parts", parts.cast("int"))
+        .withColumn("parts", F.ceil(held / cell_rows).cast("int"))
         .withColumn("share", share.cast("int"))
         .withColumn("first", F.coalesce(F.sum(F.col("share") * F.col("parts")).over(earlier), F.lit(0)))
         .select("b", "a", "parts", "share", "first")
     )
     return (
-        coded.join(cells, F.col("business_name").eqNullSafe(F.col("b")) & (F.col("area") == F.col("a")))
+        placed.join(cells, F.col("business_name").eqNullSafe(F.col("b")) & (F.col("area") == F.col("a")))
         .withColumn("part", F.pmod(F.xxhash64("meal_name", "sentiment"), "parts").cast("int"))
         .withColumn("base", (F.col("first") + F.col("part") * F.col("share")).cast("bigint"))
-        .select(*UNIT, "weight", "embedding", "area", "part", "share", "base")
+        .select(*UNIT, "weight", "area", "part", "share", "base")
     )
 
 
@@ -123,8 +112,8 @@ def cluster_mentions(
 
     k is that percentage of the business's distinct names, at least one. Distinct pairs are clustered
     with their counts as weights. A business with more than ``cell_rows`` pairs is cut into cells of
-    near vectors (and by hash, should a cell still be too big); each cell gets its share of k, so no
-    task ever holds more than about ``cell_rows`` vectors and none is left out.
+    like names; each cell gets its share of k, so no task ever holds more than about ``cell_rows``
+    vectors at a time and none is left out. Vectors are made where the cells are, not shuffled.
     """
     units = mentions.groupBy(*UNIT).agg(F.count("*").alias("weight"))
     sizes = (
@@ -138,23 +127,26 @@ def cluster_mentions(
         .withColumnRenamed("business_name", "b")
     )
     sized = units.join(sizes, F.col("business_name").eqNullSafe(F.col("b"))).drop("b")
-    text = mention_text(F.coalesce("meal_name", F.lit("")), F.coalesce("sentiment", F.lit(0.5)))
-    small = embed_text(sized.where(F.col("pairs") <= cell_rows), text, size)
-    large = _cut_into_cells(embed_text(sized.where(F.col("pairs") > cell_rows), text, size), size, cell_rows)
-    whole = small.select(
-        *UNIT, "weight", "embedding", F.lit(0).alias("area"), F.lit(0).alias("part"),
+    small = sized.where(F.col("pairs") <= cell_rows).select(
+        *UNIT, "weight", F.lit(0).alias("area"), F.lit(0).alias("part"),
         F.col("k").alias("share"), F.lit(0).cast("bigint").alias("base"),
     )
-    ready = whole.unionByName(large)
+    large = _cut_into_cells(sized.where(F.col("pairs") > cell_rows), cell_rows)
+    # Cells cost far more time than bytes: a set number of partitions is not merged for being small.
+    cell = ["business_name", "area", "part"]
+    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small.unionByName(large).repartition(tasks, *cell)
+    text = mention_text(F.coalesce("meal_name", F.lit("")), F.coalesce("sentiment", F.lit(0.5)))
+    ready = embed_text(dealt, text, size)
 
-    def solve(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["meal_name", "sentiment"], na_position="first")
-        points = np.stack(cell["embedding"].to_numpy()).astype(np.float32)
-        k = int(min(cell["share"].iloc[0], len(cell)))
-        labels = _weighted_kmeans(points, cell["weight"].to_numpy(dtype=np.float64), k, rounds)
-        return cell[UNIT].assign(cluster=labels + int(cell["base"].iloc[0]))
+    def solve(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["meal_name", "sentiment"], na_position="first")
+        points = np.stack(held["embedding"].to_numpy()).astype(np.float32)
+        k = int(min(held["share"].iloc[0], len(held)))
+        labels = _weighted_kmeans(points, held["weight"].to_numpy(dtype=np.float64), k, rounds)
+        return held[UNIT].assign(cluster=labels + int(held["base"].iloc[0]))
 
-    solved = ready.groupBy("business_name", "area", "part").applyInPandas(
+    solved = ready.groupBy(*cell).applyInPandas(
         solve, "business_name string, meal_name string, sentiment double, cluster int"
     )
     solved = solved.toDF("b", "m", "s", "cluster")
