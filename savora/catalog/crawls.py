@@ -108,10 +108,10 @@ def term_counts(t):
 @query(
     "term_share",
     f"""with c as ({TERM_COUNTS})
-        select snapshot, term, round(n / nullif(sum(n) over (partition by snapshot), 0), 6) share from c""",
+        select snapshot, term, round(n / nullif(sum(n) over (partition by snapshot), 0), 9) share from c""",
 )
 def term_share(t):
-    return rounded(crawl.term_share(mentions(t)), 6, "share")
+    return rounded(crawl.term_share(mentions(t)), 9, "share")
 
 
 DOMAIN = "regexp_extract(url, '^\\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)"
@@ -139,13 +139,13 @@ def domain_matrix(t):
     "domain_corr",
     f"with {MATRIX} "
     + " union all ".join(
-        f"select '{a}' snapshot_a, '{b}' snapshot_b, round(corr({a}, {b}), 6) corr from matrix"
+        f"select '{a}' snapshot_a, '{b}' snapshot_b, round(corr({a}, {b}), 9) corr from matrix"
         for a in SNAPSHOTS
         for b in SNAPSHOTS
     ),
 )
 def domain_corr(t):
-    return rounded(crawl.domain_correlation(matrix(t), SNAPSHOTS), 6, "corr")
+    return rounded(crawl.domain_correlation(matrix(t), SNAPSHOTS), 9, "corr")
 
 
 @query(

@@ -114,17 +114,17 @@ def extract_lexicon(t):
     return extraction.extract_by_dictionary(reviews, dictionary, "doc_id", "review_text")
 
 
-@query("embed_meals")
+@query(
+    "embed_meals",
+    """select business_name, meal_name, sentiment, count(*) n, 1.0::double norm
+       from {v_mentions} group by 1, 2, 3""",
+)
 def embed_meals(t):
     units = t("v_mentions").groupBy("business_name", "meal_name", "sentiment").agg(F.count("*").alias("n"))
     text = clustering.mention_text(F.col("meal_name"), F.col("sentiment"))
-    return rounded(
-        clustering.embed_text(units, text)
-        .withColumn("norm", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-        .withColumn("embedding", F.array_join(F.transform("embedding", lambda x: F.round(x, 5)), ",")),
-        4,
-        "norm",
-    )
+    vectors = clustering.embed_text(units, text)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return rounded(vectors.withColumn("norm", norm).drop("embedding"), 4, "norm")
 
 
 @query("cluster_meals")
@@ -132,6 +132,21 @@ def cluster_meals(t):
     return clustering.cluster_mentions(t("v_mentions").drop("cluster", "cluster_label"))
 
 
+@query(
+    "cluster_sizes",
+    """select business_name, count(*) mentions, count(distinct meal_name) meals, true numbered_below_k
+       from {v_mentions} group by 1""",
+)
+def cluster_sizes(t):
+    clustered = clustering.cluster_mentions(t("v_mentions").drop("cluster", "cluster_label"))
+    k = F.greatest(F.lit(1), F.floor(F.count_distinct("meal_name") / 2))
+    return clustered.groupBy("business_name").agg(
+        F.count("*").alias("mentions"),
+        F.count_distinct("meal_name").alias("meals"),
+        ((F.min("cluster") >= 0) & (F.max("cluster") < k)).alias("numbered_below_k"),
+    )
+
+
 @query("kmeans_embeddings")
 def kmeans_embeddings(t):
     return clustering.kmeans_vectors(t("embeddings"), "embedding", k=10).select("vec_id", "label", "cluster")

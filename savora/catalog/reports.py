@@ -93,10 +93,10 @@ def eda_totals(t):
 
 @query(
     "eda_avg_rating",
-    f"with {RATED} select name, round(rating, 6) rating from rated order by rated.rating desc, name limit 25",
+    f"with {RATED} select name, round(rating, 9) rating from rated order by rated.rating desc, name limit 25",
 )
 def eda_avg_rating(t):
-    return rounded(dashboard.top_rated(t("v_sheet")), 6, "rating")
+    return rounded(dashboard.top_rated(t("v_sheet")), 9, "rating")
 
 
 @query(

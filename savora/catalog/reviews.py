@@ -149,28 +149,28 @@ def feedback_by_meal(t):
 
 @query(
     "recs_view",
-    f"""with {RECS} select * replace (round(avg_review_rating, 6) as avg_review_rating,
-           round(avg_meal_sentiment, 6) as avg_meal_sentiment) from recs""",
+    f"""with {RECS} select * replace (round(avg_review_rating, 9) as avg_review_rating,
+           round(avg_meal_sentiment, 9) as avg_meal_sentiment) from recs""",
 )
 def recs_view(t):
     recs = marts.recommendations(t("v_mentions"), t("v_feedback"))
-    return rounded(recs, 6, "avg_review_rating", "avg_meal_sentiment")
+    return rounded(recs, 9, "avg_review_rating", "avg_meal_sentiment")
 
 
 @query(
     "recs_for_business",
-    f"""with {RECS} select * replace (round(avg_review_rating, 6) as avg_review_rating,
-           round(avg_meal_sentiment, 6) as avg_meal_sentiment) from recs
+    f"""with {RECS} select * replace (round(avg_review_rating, 9) as avg_review_rating,
+           round(avg_meal_sentiment, 9) as avg_meal_sentiment) from recs
         where business_name = 'Supplier#000000003'""",
 )
 def recs_for_business(t):
     recs = marts.of_business(marts.recommendations(t("v_mentions"), t("v_feedback")), "Supplier#000000003")
-    return rounded(recs, 6, "avg_review_rating", "avg_meal_sentiment")
+    return rounded(recs, 9, "avg_review_rating", "avg_meal_sentiment")
 
 
 def _norm(measure: str) -> str:
     low, high = f"min({measure}) over w", f"max({measure}) over w"
-    return f"round(({measure} - {low}) / nullif({high} - {low}, 0), 6) {measure}_normalized"
+    return f"round(({measure} - {low}) / nullif({high} - {low}, 0), 9) {measure}_normalized"
 
 
 @query(
@@ -182,32 +182,32 @@ def _norm(measure: str) -> str:
 def minmax_norm(t):
     scaled = recommend.min_max_normalized(stored(marts.meal_reviews(t("v_mentions")), "meals"))
     names = [f"{m}_normalized" for m in ("total_reviews", "avg_review_rating", "avg_meal_sentiment")]
-    return rounded(scaled.select("business_name", "meal_name", *names), 6, *names)
+    return rounded(scaled.select("business_name", "meal_name", *names), 9, *names)
 
 
 @query(
     "recs_score",
     f"""with {SCORED} select business_name, meal_name, total_reviews, total_pos_feedback,
-               total_neg_feedback, round(recommendation_score, 6) recommendation_score from scored""",
+               total_neg_feedback, round(recommendation_score, 9) recommendation_score from scored""",
 )
 def recs_score(t):
     kept = scores(t).select(
         "business_name", "meal_name", "total_reviews", "total_pos_feedback", "total_neg_feedback",
         "recommendation_score",
     )
-    return rounded(kept, 6, "recommendation_score")
+    return rounded(kept, 9, "recommendation_score")
 
 
 @query(
     "recs_final",
-    f"""with {SCORED} select business_name, meal_name, round(recommendation_score, 6) recommendation_score,
-               total_reviews, round(avg_review_rating, 6) avg_review_rating,
-               round(avg_meal_sentiment, 6) avg_meal_sentiment
+    f"""with {SCORED} select business_name, meal_name, round(recommendation_score, 9) recommendation_score,
+               total_reviews, round(avg_review_rating, 9) avg_review_rating,
+               round(avg_meal_sentiment, 9) avg_meal_sentiment
         from scored where {MENU} order by 1, 3 desc, 2""",
 )
 def recs_final(t):
     shown = recommend.ranked(scores(t), **RULES)
-    return rounded(shown, 6, "recommendation_score", "avg_review_rating", "avg_meal_sentiment")
+    return rounded(shown, 9, "recommendation_score", "avg_review_rating", "avg_meal_sentiment")
 
 
 @query("feedback_menu", f"with {RECS} select business_name, meal_name from recs where {MENU}")
@@ -239,12 +239,12 @@ def dietary_grid(t):
 
 @query(
     "meal_rollup",
-    """select cluster_label, count(*) cluster_label_count, round(avg(sentiment), 6) sentiment_avg,
-              round(avg(rating), 6) rating_avg
+    """select cluster_label, count(*) cluster_label_count, round(avg(sentiment), 9) sentiment_avg,
+              round(avg(rating), 9) rating_avg
        from {v_mentions} where cluster_label is not null group by 1""",
 )
 def meal_rollup(t):
-    return rounded(marts.label_rollup(t("v_mentions")), 6, "sentiment_avg", "rating_avg")
+    return rounded(marts.label_rollup(t("v_mentions")), 9, "sentiment_avg", "rating_avg")
 
 
 @query(
