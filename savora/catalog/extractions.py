@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savora.catalog.registry import query, rounded, sql_list
+from savora.catalog.reviews import STAGED, staged
 from savora.functions import response
 from savora.functions.text import strip_stopwords
 from savora.operators import clustering, extraction
@@ -157,9 +158,29 @@ def tfidf_kmeans(t):
     return clustering.tfidf_clusters(t.spread("documents").select("doc_id", "text"), "text").select("doc_id", "cluster")
 
 
+def _new_meals(t):
+    todo = staging.new_reviews(staged(t), t("v_processed"))
+    return meals.meal_mentions(todo, extraction.phrase_completer(PHRASES))
+
+
 @query("new_business_meals")
 def new_business_meals(t):
-    from savora.catalog.reviews import staged
+    return _new_meals(t)
 
-    todo = staging.new_reviews(staged(t), t("v_processed"))
-    return meals.meal_mentions(todo, extraction.phrase_completer(PHRASES))
+
+@query(
+    "new_business_counts",
+    f"""with {STAGED},
+        found as (
+            select business_name, rating, list_filter(["""
+    + ", ".join(f"case when contains(review_text, '{p}') then '{p}' end" for p in PHRASES)
+    + """], lambda x: x is not null) hits
+            from staged where business_name not in (select business_name from {v_processed}))
+        select business_name, meal_name, 0.5::double sentiment, count(*) mentions, sum(rating)::bigint ratings
+        from (select business_name, rating, unnest(case when len(hits) = 0 then [''] else hits end) meal_name from found)
+        group by 1, 2""",
+)
+def new_business_counts(t):
+    return _new_meals(t).groupBy("business_name", "meal_name", "sentiment").agg(
+        F.count("*").alias("mentions"), F.sum("rating").alias("ratings")
+    )

@@ -28,7 +28,7 @@ def feedback_daily(t):
     return monitoring.feedback_daily(t("v_feedback"))
 
 
-_SUMS = ", ".join(f"cast(sum({c}) as bigint) {c}" for c in monitoring._SUMMED)
+_SUMS = ", ".join(f"cast(sum({c}) as bigint) {c}" for c in monitoring.SUMMED)
 
 
 @query(

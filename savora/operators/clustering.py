@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from savora.session import stored
+
 # Workers get this module's functions by value and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -174,15 +176,25 @@ def kmeans_vectors(
 def tfidf_clusters(
     rows: DataFrame, text: str, k: int = 3, size: int = 1 << 14, seed: int = 11
 ) -> DataFrame:
-    """TF-IDF vectors of a text column in k clusters; hashed terms need no vocabulary on the driver."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="words__", pattern=r"[\p{L}\p{N}]+", gaps=False),
-        StopWordsRemover(inputCol="words__", outputCol="kept__"),
-        HashingTF(inputCol="kept__", outputCol="tf__", numFeatures=size),
-        IDF(inputCol="tf__", outputCol="idf__"),
-        Normalizer(inputCol="idf__", outputCol="features"),
-    ]
+    """TF-IDF vectors of a text column in k clusters; gives the other columns and ``cluster``.
+
+    Hashed terms need no vocabulary on the driver. The term counts are stored, so that the passes of
+    IDF and k-means do not cut the text again.
+    """
+    cut = Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="words__", pattern=r"[\p{L}\p{N}]+", gaps=False),
+            StopWordsRemover(inputCol="words__", outputCol="kept__"),
+            HashingTF(inputCol="kept__", outputCol="tf__", numFeatures=size),
+        ]
+    )
     ready = rows.withColumn(text, F.coalesce(text, F.lit("")))
-    features = Pipeline(stages=stages).fit(ready).transform(ready)
-    fitted = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(features)
-    return fitted.transform(features).drop("words__", "kept__", "tf__", "idf__", "features")
+    counted = stored(cut.fit(ready).transform(ready).drop(text, "words__", "kept__"), "terms")
+    weigh = Pipeline(
+        stages=[
+            IDF(inputCol="tf__", outputCol="idf__"),
+            Normalizer(inputCol="idf__", outputCol="features"),
+            KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster"),
+        ]
+    )
+    return weigh.fit(counted).transform(counted).drop("tf__", "idf__", "features")

@@ -12,7 +12,7 @@ from savora.functions.measures import count_where, percent
 # Fixed value: the warehouses watched.
 WAREHOUSES = ("COMPUTE_WH", "DBT_WH", "STREAMLIT_WH")
 
-_SUMMED = (
+SUMMED = (
     "total_restaurants_feedback", "total_meals_feedback", "total_feedback",
     "total_pos_feedback", "total_neg_feedback",
 )
@@ -46,7 +46,7 @@ def feedback_daily(feedback: DataFrame) -> DataFrame:
 
 def feedback_total(daily: DataFrame) -> DataFrame:
     """Sums of the daily columns; a business active on two days counts twice."""
-    return daily.agg(*[F.sum(c).alias(c) for c in _SUMMED]).withColumn(
+    return daily.agg(*[F.sum(c).alias(c) for c in SUMMED]).withColumn(
         "positive_feedback_perc", percent(F.col("total_pos_feedback"), F.col("total_feedback"))
     )
 

@@ -152,6 +152,13 @@ def test_preview_cuts_hot_groups_before_the_shuffle(spark):
     assert top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
 
 
+def test_many_rows_per_group(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"))
+    top = grouped.first_per_group(rows, ["g"], [F.desc("k")], 1500)
+    found = top.groupBy("g").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.max("position").alias("p"))
+    assert {tuple(r) for r in found.collect()} == {(0, 1500, 2000, 1500), (1, 1500, 2001, 1500)}
+
+
 def test_group_stats_join_null_groups(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), (None, 7)], "g string, v int")
     found = grouped.attach_group_stats(rows, ["g"], F.max("v").alias("top")).collect()

@@ -122,8 +122,8 @@ def test_sentiment_text_is_cleaned(spark):
 
 def test_staging(spark):
     business = spark.createDataFrame(
-        [("1", "Anna's", "1 Main St, Brookline, MA", ["Thai restaurant"]), ("2", "Shop", "x", ["Restaurant"]),
-         ("1", "Anna's", "1 Main St, Brookline, MA", ["Thai restaurant"])],
+        [("1", "Anna's", "1 Main St, Springfield, MA", ["Thai restaurant"]), ("2", "Shop", "x", ["Restaurant"]),
+         ("1", "Anna's", "1 Main St, Springfield, MA", ["Thai restaurant"])],
         "gmap_id string, name string, address string, category array<string>",
     )
     reviews = spark.createDataFrame(
@@ -131,7 +131,7 @@ def test_staging(spark):
         "gmap_id string, user_id string, rating int, text string",
     )
     rows = staging.staging_reviews(business, reviews).collect()
-    assert [(r.business_name, r.city, r.review_text) for r in rows] == [("Anna's", " Brookline", "trs good")]
+    assert [(r.business_name, r.city, r.review_text) for r in rows] == [("Anna's", " Springfield", "trs good")]
     kept = staging.staging_reviews(business, reviews, unicode_letters=True).collect()
     assert kept[0].review_text == "très good"
     fallback = reviews.withColumn("review_text", F.lit("spare"))
