@@ -55,11 +55,10 @@ VIEWS = {
         select s_name business_name, p_name meal_name,
                case l_returnflag when 'A' then true when 'R' then false end rec_flag,
                cast(l_shipdate as date) create_date
-        from {lineitem} join {supplier} on l_suppkey = s_suppkey join {part} on l_partkey = p_partkey
-        where l_linenumber = 1 and p_partkey % 4 = 0""",
+        from {lineitem} join {supplier} on l_suppkey = s_suppkey join {part} on l_partkey = p_partkey""",
     "v_processed": """
         select s_name business_name from {lineitem} join {supplier} on l_suppkey = s_suppkey
-        where s_suppkey % 2 = 0""",
+        where s_acctbal >= 4000""",
     "v_metering": """
         select event_type warehouse_name, ts start_time, value credits_used from {events}""",
     "v_billing": """
