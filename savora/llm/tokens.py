@@ -1,20 +1,24 @@
-"""Whole-text encoding with a byte-level BPE vocabulary, as the tokenizers library does it.
+"""Whole-text encoding with a byte-level BPE vocabulary, with the ids of the tokenizers library.
 
-A blank between two characters that are no white space always begins a new pre-token of a byte-level BPE, so a
-text may be cut in front of it and the pieces encoded one by one with the same ids. Words recur, so
-most pieces come from a table of earlier ones; the table is emptied when it is full.
+The library keeps offsets and token texts of everything it encodes, which costs several times the
+encoding. Here a rank encoder built from the same vocabulary file does the bulk. It is used for texts on
+which both are sure to agree: characters whose class has not changed since Unicode 3.2, and no run of
+letters or blanks so long that its merges would dominate. All other texts go through the library.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-import struct
+import unicodedata
 
+import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
-TABLE_ENTRIES = 400_000
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PLAIN = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)(?:\n([{_LETTERS}]+)([.,!?;:]*))?")
+# Fixed value: the split pattern of this byte-level pre-tokenizer.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONGEST_RUN = 2000
 
 
 def byte_alphabet() -> list[str]:
@@ -25,101 +29,62 @@ def byte_alphabet() -> list[str]:
 
 
 _SYMBOLS = dict(enumerate(byte_alphabet()))
+_BYTES = {c: b for b, c in _SYMBOLS.items()}
 
 
 def as_symbols(text: str) -> str:
+    """The text's bytes in the byte alphabet."""
     return text.encode().decode("latin-1").translate(_SYMBOLS)
 
 
-_BLANK, _LINE_FEED = as_symbols(" "), as_symbols("\n")
+def token_bytes(token: str) -> bytes:
+    return bytes(_BYTES[c] for c in token)
 
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+@functools.cache
+def _settled() -> re.Pattern:
+    """Texts of nothing but characters whose class is the same in Unicode 3.2 and now."""
+    old = unicodedata.ucd_3_2_0
+    spans, start = [], None
+    for code in range(0x30000):
+        c = chr(code)
+        fine = old.category(c)[0] == unicodedata.category(c)[0] != "C" or c in "\t\n\r"
+        if fine and start is None:
+            start = code
+        elif not fine and start is not None:
+            spans.append((start, code - 1))
+            start = None
+    inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return re.compile(f"[{inside}]*")
 
 
-class WordTable:
-    """Ids of words that stand behind a blank, each encoded once."""
-
-    def __init__(self, path: str, entries: int = TABLE_ENTRIES):
+class Encoder:
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.entries = entries
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {token_bytes(t): i for t, i in vocab.items() if t not in special}
+        self.special = set(special)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ids: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        """The library's own ids of a text, as little-endian unsigned 32-bit integers."""
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _token(self, symbols: str) -> bytes:
-        """Ids of a single pre-token in byte symbols."""
-        return packed([t.id for t in self.model.tokenize(symbols)])
-
-    def _kept(self, symbols: str) -> bytes:
-        """The same for pre-tokens that are few."""
-        found = self.marks.get(symbols)
-        if found is None:
-            found = self.marks[symbols] = self._token(symbols)
-        return found
-
-    def _behind_blank(self, word: str) -> bytes:
-        """Letters, punctuation and a line feed between letters are pre-tokens of their own; other words go the library's whole way."""
-        plain = _PLAIN.fullmatch(word)
-        if plain is None:
-            return self.whole(" " + word)
-        letters, marks, next_letters, next_marks = plain.groups()
-        if marks or next_letters:
-            found = self.ids.get(letters) or self._token(_BLANK + (letters if word.isascii() else as_symbols(letters)))
-            if marks:
-                found += self._kept(marks) if len(marks) == 1 else self._token(marks)
-            if next_letters:
-                found += self._kept(_LINE_FEED) + self._token(as_symbols(next_letters))
-            if next_marks:
-                found += self._kept(next_marks) if len(next_marks) == 1 else self._token(next_marks)
-            return found
-        return self._token(_BLANK + (letters if word.isascii() else as_symbols(letters)))
-
-    def encode(self, text: str) -> bytes:
-        """The same ids as ``whole``, from the table where possible."""
-        first, *words = text.split(" ")
-        ids = self.ids
-        if len(ids) > self.entries:
-            ids.clear()
-        fresh = {w for w in words if w not in ids}
-        clean = first != "" and not first[-1].isspace()
-        for word in fresh:
-            if word and not word[0].isspace() and not word[-1].isspace():
-                ids[word] = self._behind_blank(word)
-            else:
-                clean = False
-        if clean:
-            return self.whole(first) + b"".join(map(ids.__getitem__, words))
-        out, run = [], [first]
-        for word in words:
-            if word in ids and run[-1] != "" and not run[-1][-1].isspace():
-                out.append(self._run(run, bool(out)))
-                run = [word]
-            else:
-                run.append(word)
-        out.append(self._run(run, bool(out)))
-        return b"".join(out)
-
-    def _run(self, words: list[str], behind_blank: bool) -> bytes:
-        """Ids of words that cannot be cut apart."""
-        if behind_blank and len(words) == 1:
-            return self.ids[words[0]]
-        return self.whole(" " * behind_blank + " ".join(words))
-
-
-_TABLES: dict[str, WordTable] = {}
-
-
-def word_table(path: str) -> WordTable:
-    """One table per Python worker and vocabulary."""
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
-    return _TABLES[path]
+        self.bulk = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if len(text) > LONGEST_RUN and (max(map(len, text.split())) if text.strip() else len(text)) > LONGEST_RUN:
+            return self.library(text)
+        if not text.isascii() and _settled().fullmatch(text) is None:
+            return self.library(text)
+        if len(text) > LONGEST_RUN and re.search(rf"\s{{{LONGEST_RUN}}}", text):
+            return self.library(text)
+        return self.bulk.encode_to_numpy(text, allowed_special=self.special).astype("<u4", copy=False)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker and vocabulary."""
+    return Encoder(path)
