@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import interleave, repetition, secret_ledger
+from savora.llm import bpe_cuts, interleave, packing, repetition, secret_ledger, token_shards
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,25 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "dup_line_chars"
     )
+
+
+@query("op6_bpe_cuts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe_cuts.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+@query("op7_token_shards")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_shards.write_shards(table(spark, folder, "documents"), path, end_id=2)
+    rows = token_shards.read_documents(manifest)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
