@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import bpe_cuts, interleave, packing, repetition, secret_ledger, token_shards
+from savora.llm import bpe_cuts, interleave, packing, repetition, secret_ledger, token_shards, warc_salvage
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,24 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+# DuckDB has SHA-1 in hexadecimal only; base32 takes five bits of it at a time.
+_WARC = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+h as (select page_id, octet_length(body) as n, sha1(body) as hex from p),
+g as (select *, min(page_id) over (partition by hex, n) as first from h)
+select page_id, cast(n as bigint) as payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + cast((cast('0x' || substr(hex, 1 + 10 * (i // 8), 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as integer), 1)),
+         'string_agg', '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from g"""
+
+
+@query("op5_warc_salvage", _WARC)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc_salvage.write_archives(table(spark, folder, "pages"))
+    rows = warc_salvage.good(warc_salvage.read_archives(archives))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
