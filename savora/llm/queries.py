@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import bpe_cuts, interleave, packing, repetition, secret_ledger, token_shards, warc_salvage
+from savora.llm import bpe_cuts, interleave, packing, repetition, secret_ledger, token_shards, toxicity, warc_salvage
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc_salvage.write_archives(table(spark, folder, "pages"))
     rows = warc_salvage.good(warc_salvage.read_archives(archives))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    rows = docs.select("doc_id", toxicity.in_fold(F.col("doc_id")).alias("held_out"), toxicity.scores(model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
