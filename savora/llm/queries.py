@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import bpe_cuts, interleave, packing, repetition, secret_ledger, token_shards, toxicity, warc_salvage
+from savora.llm import bpe_cuts, cap_filters, interleave, packing, repetition, secret_ledger, token_shards, toxicity, warc_salvage
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, folder, "labels"))
     rows = docs.select("doc_id", toxicity.in_fold(F.col("doc_id")).alias("held_out"), toxicity.scores(model).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+# Every pair of a small table, then labels that spread along the links.
+_CAPS = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from v),
+l as (
+  select a.vec_id as a, b.vec_id as b from u a join u b
+  on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
+reach(a, b) as (select vec_id, vec_id from v union select reach.a, l.b from reach join l on reach.b = l.a)
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links,
+       (select min(b) from reach where reach.a = vec_id) as component_id,
+       (select min(b) from reach where reach.a = vec_id) = vec_id as kept
+from v"""
+
+
+@query("op1_cap_filters", _CAPS)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, folder, "embeddings"))
