@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import bpe_cuts, cap_filters, interleave, packing, repetition, secret_ledger, token_shards, toxicity, warc_salvage
+from savora.llm import bpe_cuts, cap_filters, interleave, packing, prefix_groups, repetition, secret_ledger, token_shards, toxicity, warc_salvage
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,24 @@ from v"""
 @query("op1_cap_filters", _CAPS)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, folder, "embeddings"))
+
+
+_JACCARD = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end as sh from w),
+n as (select doc_id, len(sh) as n from s),
+e as (select doc_id, unnest(sh) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) as (select doc_id, doc_id from n union select reach.a, l.b from reach join l on reach.b = l.a),
+m as (select a, min(b) as c from reach group by a)
+select doc_id, cast(n as bigint) as n_shingles, c as component_id from n join m on a = doc_id"""
+
+
+@query("op2_prefix_groups", _JACCARD)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_groups.classes(table(spark, folder, "documents"), width=3, percent=90)
