@@ -4,31 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from savora.llm import repetition, secret_ledger
+from savora.llm import packing, prefix_groups, repetition, secret_ledger, toxicity
 from savora.llm.common import table
 from savora.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model learned from the labels scores below one half."""
+    return toxicity.passing(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the repetition coverage limits."""
     return repetition.passing(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, by five-word shingles at Jaccard 0.8."""
+    return prefix_groups.first_of_each(docs, width=5, percent=80)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by their kind."""
     return secret_ledger.redacted(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 ids."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic_rejected),
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
     ("secret scans", secret_scans),
+    ("packing", packed),
 ]
 
-# Scores learned from labels, whole-text encoding and dynamic programming are beyond SQL.
+# Scores learned from labels, the ids of a tokenizer and dynamic programming are beyond SQL.
 ORACLE_SQL = None
 
 
