@@ -261,7 +261,7 @@ def fetch(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                 for shard, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     wanted.setdefault(shard, []).append(key)
                 for shard, found in wanted.items():
-                    index, payload = _opened(shards[shard].folder, shards[shard].payload, shards[shard].index)
+                    index, payload = _opened(*(shards[shard][c] for c in ("folder", "payload", "index")))
                     with payload:
                         for key, entries in zip(found, index.find(np.array(found, dtype=np.int64)), strict=True):
                             for entry in entries:
