@@ -67,7 +67,12 @@ def snapshot_stats(t):
     return rounded(crawl.snapshot_stats(fresh(t), STAMP), 4, "mean_value")
 
 
-@query("ts_histogram", f"with {BINNED} select * from binned")
+@query(
+    "ts_histogram",
+    f"""with {BINNED},
+        every as (select snapshot, cast(unnest(range(1, 101)) as int) bin from (select distinct snapshot from even))
+        select snapshot, bin, coalesce(n, 0) n from every left join binned using (snapshot, bin)""",
+)
 def ts_histogram(t):
     return crawl.histogram(fresh(t), STAMP)
 

@@ -9,9 +9,10 @@ from savora.catalog.reviews import STAGED, staged
 from savora.functions import response
 from savora.functions.text import strip_stopwords
 from savora.operators import clustering, extraction
-from savora.plans import meals, staging
+from savora.plans import marts, meals, staging
+from savora.session import scratch_path, stored
+from savora.sources.tables import TableStore
 
-PHRASES = ["thereon", "nicht", "dans", "heron", "elle"]
 WORDS = ["blue", "red", "old", "new"]
 
 PAIRS = """
@@ -43,7 +44,7 @@ def build_prompts(t):
                then cast(len(json_extract(response, '$[*]')) as int) end items from parsed""",
 )
 def parse_response(t):
-    return response.parse_response(t.spread("v_responses", "lineitem")).select(
+    return response.parse_response(t("v_responses")).select(
         "review_id", "status", F.when(F.col("items").isNotNull(), F.size("items")).alias("items")
     )
 
@@ -56,7 +57,7 @@ def parse_response(t):
         from items""",
 )
 def explode_meals(t):
-    parsed = response.parse_response(t.spread("v_responses", "lineitem")).drop("response")
+    parsed = response.parse_response(t("v_responses")).drop("response")
     return response.explode_meals(parsed)
 
 
@@ -70,117 +71,212 @@ def strip_words(t):
 
 
 def _documents_as_reviews(t):
-    return t.spread("documents").select(
+    return t("documents").select(
         "doc_id", (1 + F.col("n_chars") % 5).cast("int").alias("rating"), F.col("text").alias("review_text")
     )
 
 
-@query(
-    "extract_batch",
-    "select doc_id, case when len(found) = 0 then 'No Meals in Review' else '[' || array_to_string(found, ', ') || ']' end response "
-    "from (select doc_id, list_filter(["
-    + ", ".join(f"case when contains(text, '{p}') then '[\"{p}\", 0.5]' end" for p in PHRASES)
-    + "], lambda x: x is not null) found from {documents})",
-)
-def extract_batch(t):
-    complete = extraction.phrase_completer(PHRASES)
-    return extraction.extract_responses(_documents_as_reviews(t), complete).select("doc_id", "response")
-
-
+# Every word of the benchmark, every run of three of its words, and every part name is a meal here.
 DICTIONARY = """
+    bench as (
+        select list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}'']+', ' ', 'g'), ' '), lambda x: x <> '') ws
+        from {benchmark} where text is not null),
     dictionary as (
-        select distinct w meal_name from (
-            select unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) w from {benchmark})
-        union select distinct p_name from {part})""".replace("{{7,}}", "{7,}")
+        select unnest(ws) meal_name from bench
+        union select unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) from bench
+        union select distinct p_name from {part})"""
+CUT = """
+    cut as (select doc_id, cast(1 + n_chars % 5 as int) rating,
+                   list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}'']+', ' ', 'g'), ' '),
+                               lambda x: x <> '') ws from {documents} where text is not null),
+    runs as (
+        select doc_id, rating, unnest(list_distinct(list_concat(ws,
+               list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+               list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) meal_name from cut)"""
+
+
+def _dictionary(t):
+    words = t("benchmark").where("text is not null").select(extraction.words_of(F.col("text")).alias("ws"))
+    three = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("ws") - 2, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, 3), " ")
+    )
+    runs = words.where(F.size("ws") > 2).select(F.explode(three).alias("meal_name"))
+    return words.select(F.explode("ws").alias("meal_name")).union(runs).union(t("v_dictionary"))
 
 
 @query(
     "extract_lexicon",
-    f"""with {DICTIONARY},
-        cut as (select doc_id, cast(1 + n_chars % 5 as int) rating,
-                       list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g'), ' '),
-                                   lambda x: x <> '') ws from {{documents}} where text is not null),
-        runs as (
-            select doc_id, rating, unnest(list_distinct(list_concat(ws, list_transform(range(1, len(ws)),
-                   lambda i: ws[i] || ' ' || ws[i + 1])))) meal_name from cut)
+    f"""with {DICTIONARY}, {CUT}
         select doc_id, rating, r.meal_name, (rating - 1) / 4.0 sentiment
         from runs r join dictionary d on r.meal_name = d.meal_name""",
 )
 def extract_lexicon(t):
-    words = t("benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("meal_name")
-    )
-    dictionary = words.union(t("v_dictionary"))
-    reviews = _documents_as_reviews(t)
-    return extraction.extract_by_dictionary(reviews, dictionary, "doc_id", "review_text")
+    return extraction.extract_by_dictionary(_documents_as_reviews(t), _dictionary(t), "doc_id", "review_text")
 
 
 @query(
     "embed_meals",
-    """select business_name, meal_name, sentiment, count(*) n, 1.0::double norm
-       from {v_mentions} group by 1, 2, 3""",
+    """with texts as (
+           select distinct '[''' || lower(meal_name) || ''', ' || cast(sentiment as varchar) || ']' t from {v_mentions}),
+       grams as (
+           select t, cast('0x' || substr(md5(g), 1, 8) as bigint) % 64 place
+           from (select t, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) g from texts)),
+       counts as (select t, place, count(*) n from grams group by 1, 2)
+       select t, cast(place as int) place, round(n / sqrt(sum(n * n) over (partition by t)), 5) value from counts""",
 )
 def embed_meals(t):
-    units = t("v_mentions").groupBy("business_name", "meal_name", "sentiment").agg(F.count("*").alias("n"))
     text = clustering.mention_text(F.col("meal_name"), F.col("sentiment"))
-    vectors = clustering.embed_text(units, text)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return rounded(vectors.withColumn("norm", norm).drop("embedding"), 4, "norm")
+    texts = t("v_mentions").select(text.alias("t")).distinct()
+    long = clustering.embed_text(texts, F.col("t")).select("t", F.posexplode("embedding").alias("place", "value"))
+    return rounded(long.where("value > 0").withColumn("value", F.col("value").cast("double")), 5, "value")
 
 
-@query("cluster_meals")
-def cluster_meals(t):
+def _clustered(t):
     return clustering.cluster_mentions(t("v_mentions").drop("cluster", "cluster_label"))
 
 
+@query(
+    "cluster_meals",
+    """select business_name, meal_name, count(*) mentions, 1::bigint clusters, true in_range
+       from {v_mentions} group by 1, 2""",
+)
+def cluster_meals(t):
+    """Every mention is kept, equal names share a cluster, and numbers stay below k."""
+    names = t("v_mentions").groupBy("business_name").agg(F.count_distinct("meal_name").alias("names"))
+    inside = (F.min("cluster") >= 0) & (F.max("cluster") < F.greatest(F.lit(1), F.floor(F.first("names") / 2)))
+    return (
+        _clustered(t).join(names, "business_name")
+        .groupBy("business_name", "meal_name")
+        .agg(F.count("*").alias("mentions"), F.count_distinct("cluster").alias("clusters"), inside.alias("in_range"))
+    )
+
+
 @query(
     "cluster_sizes",
-    """select business_name, count(*) mentions, count(distinct meal_name) meals, true numbered_below_k
+    """select business_name, count(*) mentions, count(distinct meal_name) meals,
+              cast(greatest(1, count(distinct meal_name) // 2) as bigint) clusters
        from {v_mentions} group by 1""",
 )
 def cluster_sizes(t):
-    clustered = clustering.cluster_mentions(t("v_mentions").drop("cluster", "cluster_label"))
-    k = F.greatest(F.lit(1), F.floor(F.count_distinct("meal_name") / 2))
-    return clustered.groupBy("business_name").agg(
+    return _clustered(t).groupBy("business_name").agg(
         F.count("*").alias("mentions"),
         F.count_distinct("meal_name").alias("meals"),
-        ((F.min("cluster") >= 0) & (F.max("cluster") < k)).alias("numbered_below_k"),
+        F.count_distinct("cluster").alias("clusters"),
     )
 
 
-@query("kmeans_embeddings")
+@query(
+    "cluster_words",
+    f"""with {DICTIONARY}, words as (select distinct meal_name from dictionary)
+        select count(*) meals, cast(greatest(1, count(*) // 2) as bigint) clusters, 1::bigint most_of_a_name from words""",
+)
+def cluster_words(t):
+    """One business with thousands of names, clustered by name alone."""
+    mentions = _dictionary(t).withColumn("business_name", F.lit("all")).withColumn("sentiment", F.lit(None).cast("double"))
+    found = clustering.cluster_mentions(mentions, with_sentiment=False)
+    per_name = found.groupBy("meal_name").agg(F.count_distinct("cluster").alias("c"), F.min("cluster").alias("cluster"))
+    return per_name.agg(F.count("*").alias("meals"), F.count_distinct("cluster").alias("clusters"), F.max("c").alias("most_of_a_name"))
+
+
+def _squared_distance(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+@query("kmeans_embeddings", "select vec_id, label, true own_is_nearest from {embeddings}")
 def kmeans_embeddings(t):
-    return clustering.kmeans_vectors(t("embeddings"), "embedding", k=10).select("vec_id", "label", "cluster")
+    """No other cluster's mean is nearer to a vector than that of its own cluster."""
+    k = 10
+    found = stored(
+        clustering.kmeans_vectors(t("embeddings"), "embedding", k=k).select(
+            "vec_id", "label", "cluster", F.transform("embedding", lambda x: x.cast("double")).alias("v")
+        ),
+        "kmeans",
+    )
+    means = (
+        found.select("cluster", F.posexplode("v").alias("i", "x"))
+        .groupBy("cluster", "i").agg(F.avg("x").alias("x"))
+        .groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("mean"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))
+    )
+    # One row of k means.
+    placed = found.join(F.broadcast(means))
+    away = F.transform_values("means", lambda _, mean: _squared_distance(F.col("v"), mean))
+    return placed.withColumn("away", away).select(
+        "vec_id", "label", (F.element_at("away", F.col("cluster")) <= F.array_min(F.map_values("away")) + 1e-9).alias("own_is_nearest")
+    )
 
 
-@query("tfidf_kmeans")
+@query(
+    "tfidf_kmeans",
+    """select text, count(*) copies, 1::bigint clusters, true in_range from {documents} group by 1""",
+)
 def tfidf_kmeans(t):
-    return clustering.tfidf_clusters(t.spread("documents").select("doc_id", "text"), "text").select("doc_id", "cluster")
+    """Equal texts share one of the three clusters."""
+    docs = t("documents").select("doc_id", "text")
+    found = clustering.tfidf_clusters(docs, "text").select("doc_id", "cluster")
+    return docs.join(found, "doc_id").groupBy("text").agg(
+        F.count("*").alias("copies"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.min(F.col("cluster").between(0, 2)).alias("in_range"),
+    )
 
 
-def _new_meals(t):
-    todo = staging.new_reviews(staged(t), t("v_processed"))
-    return meals.meal_mentions(todo, extraction.phrase_completer(PHRASES))
+NEW = f"""{STAGED}, {DICTIONARY},
+    fresh as (select row_number() over () id, business_name, rating, review_text from staged
+              where business_name not in (select business_name from {{v_processed}})),
+    cut as (select id, business_name, rating,
+                   list_filter(string_split(regexp_replace(review_text, '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g'), ' '), lambda x: x <> '') ws
+            from fresh),
+    runs as (
+        select id, business_name, rating, unnest(list_distinct(list_concat(ws,
+               list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+               list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) meal_name from cut),
+    mentions as (select business_name, rating, r.meal_name, (rating - 1) / 4.0 sentiment
+                 from runs r join dictionary d on r.meal_name = d.meal_name)""".replace("{{", "{").replace("}}", "}")
+
 
+def _extract(t):
+    dictionary = _dictionary(t)
+    return lambda reviews: meals.known_mentions(reviews, dictionary)
 
-@query("new_business_meals")
+
+@query(
+    "new_business_meals",
+    f"""with {NEW} select business_name, rating, meal_name, sentiment, count(*) mentions, true labelled from mentions group by 1, 2, 3, 4""",
+)
 def new_business_meals(t):
-    return _new_meals(t)
+    """All mentions are kept, and each label is a meal of the same business."""
+    found = stored(meals.meal_mentions(staging.new_reviews(staged(t), t("v_processed")), _extract(t)), "new-meals")
+    known = found.select(F.col("business_name").alias("b"), F.col("meal_name").alias("m")).distinct().withColumn("known", F.lit(True))
+    rows = found.join(known, (F.col("business_name") == F.col("b")) & (F.col("cluster_label") == F.col("m")), "left")
+    return rows.groupBy("business_name", "rating", "meal_name", "sentiment").agg(
+        F.count("*").alias("mentions"), F.min(F.coalesce("known", F.lit(False))).alias("labelled")
+    )
 
 
 @query(
     "new_business_counts",
-    f"""with {STAGED},
-        found as (
-            select business_name, rating, list_filter(["""
-    + ", ".join(f"case when contains(review_text, '{p}') then '{p}' end" for p in PHRASES)
-    + """], lambda x: x is not null) hits
-            from staged where business_name not in (select business_name from {v_processed}))
-        select business_name, meal_name, 0.5::double sentiment, count(*) mentions, sum(rating)::bigint ratings
-        from (select business_name, rating, unnest(case when len(hits) = 0 then [''] else hits end) meal_name from found)
-        group by 1, 2""",
+    f"""with {NEW} select business_name, meal_name, count(*) mentions, sum(rating)::bigint ratings from mentions group by 1, 2""",
 )
 def new_business_counts(t):
-    return _new_meals(t).groupBy("business_name", "meal_name", "sentiment").agg(
+    todo = staging.new_reviews(staged(t), t("v_processed"))
+    return _extract(t)(todo).groupBy("business_name", "meal_name").agg(
         F.count("*").alias("mentions"), F.sum("rating").alias("ratings")
     )
+
+
+@query(
+    "new_business_recs",
+    f"""with {NEW} select business_name, count(*)::bigint total_reviews, round(avg(rating), 6) avg_rating from mentions group by 1""",
+)
+def new_business_recs(t):
+    """Processed to the end: the load is appended, read back and recommended; no mention gets lost on the way."""
+    store = TableStore(t.spark, scratch_path(t.spark, "store"))
+    store.create_empty(["mart.meal_mentions", "mart.feedback"])
+    todo = staging.new_reviews(staged(t), t("v_processed"))
+    whole = meals.process_new(store, todo, _extract(t), "load-1")
+    recs = marts.recommendations(whole, store.read("mart.feedback"))
+    weighed = F.sum(F.col("avg_review_rating") * F.col("total_reviews")) / F.sum("total_reviews")
+    return rounded(
+        recs.groupBy("business_name").agg(F.sum("total_reviews").alias("total_reviews"), weighed.alias("avg_rating")), 6, "avg_rating"
+    )

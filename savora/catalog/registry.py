@@ -23,10 +23,6 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return views.view(self.spark, self.sf_dir, name)
 
-    def spread(self, name: str, base: str = "documents") -> DataFrame:
-        """The same for rows that take long to work on: the base table's scan is spread first."""
-        return views.view(self.spark, self.sf_dir, name, base)
-
 
 def query(name: str, oracle: str | None = None):
     def add(build: Callable[[Tables], DataFrame]):

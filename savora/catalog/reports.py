@@ -200,12 +200,12 @@ CLOUD = CUT + f""",
 
 @query("word_cloud", f"with {CLOUD} select word, n from cloud order by n desc, key limit 100")
 def word_cloud(t):
-    return dashboard.cloud_terms(t.spread("v_sheet"))
+    return dashboard.cloud_terms(t("v_sheet"))
 
 
 @query("word_freq", f"with {WORDS} select word, n from counts order by n desc, word limit 100")
 def word_freq(t):
-    return dashboard.word_counts(t.spread("v_sheet"))
+    return dashboard.word_counts(t("v_sheet"))
 
 
 @query(
@@ -218,7 +218,7 @@ def word_freq(t):
         select word, n from merged order by n desc, word limit 100""",
 )
 def word_freq_plurals(t):
-    return dashboard.word_counts(t.spread("v_sheet"), merge_plurals=True)
+    return dashboard.word_counts(t("v_sheet"), merge_plurals=True)
 
 
 @query(

@@ -10,17 +10,18 @@ from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from savora.operators.ranks import with_running_count
 from savora.session import stored
 
 # Workers get this module's functions by value and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_ROWS = 1024
-UNIT = ["business_name", "meal_name", "sentiment"]
+# Names that are clustered together in one task; longer lists of a business are cut into such runs.
+RUN_NAMES = 512
 
 
 def mention_text(meal: Column, sentiment: Column) -> Column:
@@ -36,15 +37,21 @@ def _trigrams(text: Column) -> Column:
 
 
 def embed_text(rows: DataFrame, text: Column, size: int = 64, name: str = "embedding") -> DataFrame:
-    """Hashed character trigrams, scaled to unit length."""
-    hashed = HashingTF(inputCol="grams__", outputCol="tf__", numFeatures=size)
-    scaled = Normalizer(inputCol="tf__", outputCol="unit__")
-    with_grams = rows.withColumn("text__", text).withColumn("grams__", _trigrams(F.col("text__")))
-    return (
-        scaled.transform(hashed.transform(with_grams))
-        .withColumn(name, vector_to_array("unit__", "float32"))
-        .drop("text__", "grams__", "tf__", "unit__")
-    )
+    """Hashed character trigrams, scaled to unit length. The hash is the head of an MD5, which SQL engines share."""
+    def place(gram: Column) -> Column:
+        return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(size))
+
+    def counts(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)))
+
+    def length(c: Column) -> Column:
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+
+    # Arrays of one element, as what a lambda is given is worked out once and not for every entry.
+    counted = F.transform(F.array(F.transform(_trigrams(text), place)), counts)
+    measured = F.transform(counted, lambda c: F.struct(c.alias("c"), length(c).alias("length")))
+    scaled = F.transform(measured, lambda m: F.transform(m["c"], lambda x: (x / m["length"]).cast("float")))
+    return rows.withColumn(name, scaled[0])
 
 
 def _weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -75,93 +82,85 @@ def _weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, rounds: in
         total = member.sum(axis=1)
         filled = total > 0
         centers[filled] = (member @ points)[filled] / total[filled, None]
+    # A center that lost all its points takes the one farthest from its own.
+    for empty in np.setdiff1d(np.arange(k), labels):
+        away = ((points - centers[labels]) ** 2).sum(axis=1)
+        away[np.bincount(labels, minlength=k)[labels] < 2] = -1
+        far = int(away.argmax())
+        if away[far] < 0:
+            break
+        labels[far] = empty
+        centers[empty] = points[far]
     return labels
 
 
-def _cut_into_cells(units: DataFrame, cell_rows: int) -> DataFrame:
-    """Cells of like names, each with its share of k and the number of its first cluster.
-
-    The least hash of a name's trigrams picks the area: the more trigrams two names share, the likelier
-    they meet. An area that is still too big is split by hash.
-    """
-    low = units.withColumn("low__", F.lower(F.coalesce("meal_name", F.lit(""))))
-    least = F.array_min(F.transform(_trigrams(F.col("low__")), lambda g: F.xxhash64(g)))
-    areas = F.ceil(F.col("pairs") / cell_rows) * 2
-    placed = low.withColumn("area", F.pmod(least, areas).cast("int")).drop("low__")
-    held = F.col("held")
-    share = F.greatest(F.lit(1), F.floor(F.col("k") * held / (F.col("pairs") * F.col("parts"))))
-    earlier = Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        placed.groupBy(F.col("business_name").alias("b"), F.col("area").alias("a"), "pairs", "k")
-        .agg(F.count("*").alias("held"))
-        .withColumn("parts", F.ceil(held / cell_rows).cast("int"))
-        .withColumn("share", share.cast("int"))
-        .withColumn("first", F.coalesce(F.sum(F.col("share") * F.col("parts")).over(earlier), F.lit(0)))
-        .select("b", "a", "parts", "share", "first")
-    )
-    return (
-        placed.join(cells, F.col("business_name").eqNullSafe(F.col("b")) & (F.col("area") == F.col("a")))
-        .withColumn("part", F.pmod(F.xxhash64("meal_name", "sentiment"), "parts").cast("int"))
-        .withColumn("base", (F.col("first") + F.col("part") * F.col("share")).cast("bigint"))
-        .select(*UNIT, "weight", "area", "part", "share", "base")
-    )
-
-
 def cluster_mentions(
-    mentions: DataFrame, percent: int = 50, size: int = 64, cell_rows: int = CELL_ROWS, rounds: int = 25
+    mentions: DataFrame,
+    percent: int = 50,
+    size: int = 64,
+    rounds: int = 25,
+    with_sentiment: bool = True,
+    vector: str | None = None,
+    run_names: int = RUN_NAMES,
 ) -> DataFrame:
     """``mentions`` plus ``cluster``, numbered from 0 within each business.
 
-    k is that percentage of the business's distinct names, at least one. Distinct pairs are clustered
-    with their counts as weights. A business with more than ``cell_rows`` pairs is cut into cells of
-    like names; each cell gets its share of k, so no task ever holds more than about ``cell_rows``
-    vectors at a time and none is left out. Vectors are made where the cells are, not shuffled.
+    k is that percentage of the business's distinct names, at least one. Distinct names are clustered,
+    with their counts as weights, so equal names are never apart. A name's vector comes from the name
+    and its mean sentiment, from the name alone, or from a column of vectors (the smallest the name has).
+
+    The names of a business, in alphabetical order, are cut into equal runs of at most about
+    ``run_names``, and k is dealt to the runs so that the parts add up to k; there are never more runs
+    than clusters. A short list is one run, a longer one several: the rule is the same. No task holds
+    more than one run, and the order of a business's names is never sorted in one task.
     """
-    units = mentions.groupBy(*UNIT).agg(F.count("*").alias("weight"))
+    unit = ["business_name", "meal_name"]
+    mean = F.avg(F.coalesce("sentiment", F.lit(0.5)).cast("decimal(18,6)")).cast("double")
+    names = mentions.groupBy(*unit).agg(
+        F.count("*").alias("weight"),
+        mean.alias("sentiment"),
+        *([F.min(vector).alias("embedding")] if vector else []),
+    )
+    names = names.withColumn("low", F.lower("meal_name")).withColumn("one", F.lit(1))
+    ranked = with_running_count(names, ["business_name"], ["low", "meal_name"], "one")
+    ranked = stored(ranked.withColumn("rank", F.col("upto") - 1).drop("one", "upto", "low"), "ranked-names")
+    n, k, runs, run = (F.col(c) for c in ("n", "k", "runs", "run"))
     sizes = (
-        units.groupBy("business_name", "meal_name")
-        .agg(F.count("*").alias("pairs"))
-        .groupBy("business_name")
-        .agg(
-            F.sum("pairs").alias("pairs"),
-            F.greatest(F.lit(1), F.floor(F.count("*") * percent / 100)).cast("int").alias("k"),
-        )
-        .withColumnRenamed("business_name", "b")
+        ranked.groupBy(F.col("business_name").alias("b"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("k", F.greatest(F.lit(1), F.floor(n * percent / 100)).cast("bigint"))
+        .withColumn("runs", F.least(F.ceil(n / run_names), k))
     )
-    sized = units.join(sizes, F.col("business_name").eqNullSafe(F.col("b"))).drop("b")
-    small = sized.where(F.col("pairs") <= cell_rows).select(
-        *UNIT, "weight", F.lit(0).alias("area"), F.lit(0).alias("part"),
-        F.col("k").alias("share"), F.lit(0).cast("bigint").alias("base"),
+    placed = (
+        ranked.join(sizes, F.col("business_name").eqNullSafe(F.col("b")))
+        .withColumn("run", F.floor(F.col("rank") * runs / n))
+        .withColumn("first", F.floor(run * k / runs))
+        .withColumn("share", F.floor((run + 1) * k / runs) - F.col("first"))
+        .drop("b", "n", "k", "runs", "rank")
     )
-    large = _cut_into_cells(sized.where(F.col("pairs") > cell_rows), cell_rows)
-    # Cells cost far more time than bytes: a set number of partitions is not merged for being small.
-    cell = ["business_name", "area", "part"]
-    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = small.unionByName(large).repartition(tasks, *cell)
-    text = mention_text(F.coalesce("meal_name", F.lit("")), F.coalesce("sentiment", F.lit(0.5)))
-    ready = embed_text(dealt, text, size)
+    if not vector:
+        name = F.coalesce("meal_name", F.lit(""))
+        placed = embed_text(placed, mention_text(name, F.col("sentiment")) if with_sentiment else F.lower(name), size)
 
     def solve(held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values(["meal_name", "sentiment"], na_position="first")
-        points = np.stack(held["embedding"].to_numpy()).astype(np.float32)
+        held = held.sort_values("meal_name", na_position="first")
+        points = np.stack(held["embedding"].to_numpy()).astype(np.float64)
         k = int(min(held["share"].iloc[0], len(held)))
         labels = _weighted_kmeans(points, held["weight"].to_numpy(dtype=np.float64), k, rounds)
-        return held[UNIT].assign(cluster=labels + int(held["base"].iloc[0]))
+        return held[unit].assign(cluster=labels + int(held["first"].iloc[0]))
 
-    solved = ready.groupBy(*cell).applyInPandas(
-        solve, "business_name string, meal_name string, sentiment double, cluster int"
+    solved = (
+        placed.groupBy("business_name", "run")
+        .applyInPandas(solve, "business_name string, meal_name string, cluster int")
+        .toDF("b", "m", "cluster")
     )
-    solved = solved.toDF("b", "m", "s", "cluster")
     return mentions.join(
-        solved,
-        F.col("business_name").eqNullSafe(F.col("b"))
-        & F.col("meal_name").eqNullSafe(F.col("m"))
-        & F.col("sentiment").eqNullSafe(F.col("s")),
-    ).drop("b", "m", "s")
+        solved, F.col("business_name").eqNullSafe(F.col("b")) & F.col("meal_name").eqNullSafe(F.col("m"))
+    ).drop("b", "m")
 
 
 def kmeans_vectors(
-    vectors: DataFrame, column: str, k: int, seed: int = 11, rounds: int = 20
+    vectors: DataFrame, column: str, k: int, seed: int = 11, rounds: int = 100
 ) -> DataFrame:
     """Cluster one large set of vectors; k is a parameter, so the centers stay small."""
     if k < 1:
@@ -169,7 +168,7 @@ def kmeans_vectors(
     ready = vectors.withColumn("features", array_to_vector(column))
     if k == 1:
         return ready.drop("features").withColumn("cluster", F.lit(0))
-    fitted = KMeans(k=k, seed=seed, maxIter=rounds, predictionCol="cluster").fit(ready)
+    fitted = KMeans(k=k, seed=seed, maxIter=rounds, tol=0.0, predictionCol="cluster").fit(ready)
     return fitted.transform(ready).drop("features")
 
 

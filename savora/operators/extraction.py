@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from savora.functions.response import build_prompt
+from savora.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,38 +23,29 @@ PAUSE_SECONDS = 65.0
 Completer = Callable[[Sequence[str]], Sequence[str]]
 
 
-def phrase_completer(phrases: Sequence[str], sentiment: float = 0.5) -> Completer:
-    """Offline stand-in for a hosted model: answers with the phrases the review holds."""
-
-    def complete(prompts: Sequence[str]) -> list[str]:
-        answers = []
-        for prompt in prompts:
-            review = prompt.split("```", 1)[1]
-            found = [f'["{p}", {sentiment}]' for p in phrases if p in review]
-            answers.append(f"[{', '.join(found)}]" if found else "No Meals in Review")
-        return answers
-
-    return complete
-
-
 def extract_responses(
     reviews: DataFrame,
     complete: Completer,
     text: str = "review_text",
     batch_rows: int = BATCH_ROWS,
     lanes: int | None = None,
-    pause: float = 0.0,
+    pause: float | None = None,
 ) -> DataFrame:
     """``reviews`` plus ``response``, asking ``complete`` for ``batch_rows`` prompts at a time.
 
     With a quota, set ``lanes`` to the number of tasks that may call at once and give each its part of
-    the quota: every lane waits ``pause`` x lanes seconds after a full batch.
+    the quota: every lane waits ``pause`` x lanes seconds after a full batch. A pause without lanes is
+    refused, as then every running task would call at the full quota.
     """
+    if pause and not lanes:
+        raise ValueError("a pause keeps a quota only together with lanes")
+    if lanes and pause is None:
+        pause = PAUSE_SECONDS
     fields = [*reviews.schema.fields, T.StructField("response", T.StringType())]
     asked = reviews.withColumn("prompt__", build_prompt(F.col(text)))
     if lanes:
         asked = asked.repartition(lanes)
-    wait = pause * (lanes or 1)
+    wait = (pause or 0.0) * (lanes or 1)
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -80,26 +72,25 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
 
 
-def phrases_of(words: Column, longest: int) -> Column:
-    """Distinct runs of one to ``longest`` words; each length extends the one before it."""
-    runs, found = words, [words]
-    for n in range(2, longest + 1):
-        following = F.slice(words, F.lit(n), F.size(words))
-        runs = F.filter(
-            F.zip_with(runs, following, lambda a, b: F.concat(a, F.lit(" "), b)),
-            lambda run: run.isNotNull(),
-        )
-        found.append(runs)
-    return F.array_distinct(F.concat(*found))
-
-
 def extract_by_dictionary(
-    reviews: DataFrame, dictionary: DataFrame, key: str, text: str = "text", longest: int = 2
+    reviews: DataFrame, dictionary: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
-    """Each review with each dictionary meal it mentions; sentiment is the rating scaled to 0..1."""
-    meals = dictionary.select(F.lower("meal_name").alias("meal_name")).distinct()
+    """Each review with each dictionary meal it mentions; sentiment is the rating scaled to 0..1.
+
+    A meal may have any number of words. Each word of a text first meets the words that meals begin with;
+    only where one does, the runs of words as long as those meals are looked up.
+    """
+    meals = dictionary.select(words_of(F.col("meal_name")).alias("ws")).where(F.size("ws") > 0).distinct()
+    meals = stored(meals.select(F.col("ws")[0].alias("word"), F.size("ws").alias("n"), F.array_join("ws", " ").alias("meal_name")), "dictionary")
+    # How long the meals are that begin with a word: a few numbers per word.
+    starts = stored(meals.groupBy("word").agg(F.collect_set("n").alias("lengths")), "first-words")
+    longest = meals.agg(F.max("n").alias("n")).select("n").scalar()
     cut = reviews.where(F.col(text).isNotNull()).select(key, "rating", words_of(F.col(text)).alias("words"))
-    runs = cut.select(key, "rating", F.explode_outer(phrases_of(F.col("words"), longest)).alias("meal_name"))
-    return runs.join(meals, "meal_name").select(
+    placed = cut.select(key, "rating", "words", F.posexplode("words").alias("place", "word"))
+    ahead = F.slice("words", F.col("place") + 1, F.coalesce(longest, F.lit(1)))
+    begun = placed.select(key, "rating", "word", ahead.alias("ahead")).distinct().join(starts, "word")
+    runs = begun.select(key, "rating", "ahead", F.explode("lengths").alias("n")).where(F.size("ahead") >= F.col("n"))
+    said = runs.select(key, "rating", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("meal_name")).distinct()
+    return said.join(meals.select("meal_name"), "meal_name").select(
         key, "rating", "meal_name", ((F.col("rating") - 1) / F.lit(4.0)).alias("sentiment")
     )

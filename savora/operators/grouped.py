@@ -8,10 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark's default threshold for cutting ranked groups before the shuffle, and shards beyond it.
-LIMIT_BEFORE_SHUFFLE = 1000
-SHARDS = 64
-
 
 def attach_group_stats(
     rows: DataFrame, keys: Sequence[str], *stats: Column, source: DataFrame | None = None
@@ -28,11 +24,6 @@ def attach_group_stats(
     return rows.join(small, same, "left").drop(*[f"{k}__g" for k in keys])
 
 
-def small_enough(rows: DataFrame, most: int) -> bool:
-    """Whether there are at most that many rows; counts no further than one beyond."""
-    return rows.limit(most + 1).count() <= most
-
-
 def modal_value(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """The most frequent value per group; ties go to the smallest, nulls never win.
 
@@ -43,22 +34,14 @@ def modal_value(rows: DataFrame, keys: Sequence[str], value: str, name: str) ->
     return counts.groupBy(*keys).agg(best[value].alias(name))
 
 
-def _cut(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
-
-
 def first_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per group in column ``position``.
 
-    For a small k Spark cuts every map task to k rows per group before the shuffle, so a hot group is
-    no problem. For a larger one the group is first cut shard by shard.
+    k is a small number of rows to show: Spark cuts every map task to k rows per group before the shuffle,
+    so a hot group is no problem. Ranks deep into a group are the work of ``operators/ranks.py``.
     """
-    if k > LIMIT_BEFORE_SHUFFLE:
-        hashed = [name for name, kind in rows.dtypes if "map<" not in kind]
-        sharded = rows.withColumn("shard__", F.pmod(F.xxhash64(*hashed), F.lit(SHARDS)))
-        rows = _cut(sharded, [*keys, "shard__"], order, k).drop("shard__", "position")
-    return _cut(rows, keys, order, k)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("position", F.row_number().over(window)).where(F.col("position") <= k)
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:

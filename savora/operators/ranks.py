@@ -1,31 +1,52 @@
-"""Exact order statistics per group without sorting the groups.
-
-A few groups (crawl snapshots, say) may hold all rows, so a window per group would run in as many
-tasks. These operators count keys in coarse ranges, find the range holding the wanted rank, and count
-single keys inside that range only. Both counts combine map-side, and the second reads only the key
-range it needs. What comes back to the driver is one number per listed group and rank, which then
-stands as a literal in later filters: no join, and a plan that stays flat when steps follow each other.
+"""Exact order statistics per group without sorting a group in one task.
+
+A few groups (crawl snapshots, say) may hold all rows, so a window per group would run in as many tasks.
+Here keys are counted, which combines map-side, and the counted keys are range-partitioned by group and
+key. The counts of whole partitions tell how many rows come before each, and a window only ever runs
+within one partition, whatever the keys look like. What comes back to the driver is one number per
+listed group and rank, which then stands as a literal in later filters: no join, and a plan that stays
+flat when steps follow each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE_BITS = 20
+from savora.session import stored
+
+
+def with_running_count(counts: DataFrame, groups: Sequence[str], order: Sequence[str], n: str) -> DataFrame:
+    """``upto``: the sum of ``n`` over the group up to and with each row; (groups, order) is unique.
+
+    The partitions are stored, as their numbers must not change between the two uses.
+    """
+    ranged = counts.repartitionByRange(*groups, *order)
+    placed = stored(ranged.withColumn("range__", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*groups).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        placed.groupBy(*groups, "range__")
+        .agg(F.sum(n).alias("in_range__"))
+        .withColumn("before__", F.coalesce(F.sum("in_range__").over(earlier), F.lit(0)))
+        .drop("in_range__")
+        .toDF(*[f"{g}__g" for g in groups], "r__g", "before__")
+    )
+    within = Window.partitionBy(*groups, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("range__") == F.col("r__g")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}__g"))
+    return (
+        placed.withColumn("within__", F.sum(n).over(within))
+        .join(before, same)
+        .withColumn("upto", F.col("before__") + F.col("within__"))
+        .select(*counts.columns, "upto")
+    )
 
 
 def keys_at_ranks(
-    rows: DataFrame,
-    group: str,
-    key: str,
-    groups: Sequence[str],
-    ranks: Mapping[str, Column],
-    bits: int = COARSE_BITS,
+    rows: DataFrame, group: str, key: str, groups: Sequence[str], ranks: Mapping[str, Column]
 ) -> dict[str, dict[str, int]]:
     """For each listed group, the key at every rank; a rank is an expression over the count ``n``.
 
@@ -33,48 +54,25 @@ def keys_at_ranks(
     """
     if not groups:
         return {}
-    known = rows.where(F.col(group).isin(list(groups)) & F.col(key).isNotNull()).select(
-        F.col(group).alias("g"), F.col(key).cast("bigint").alias("v")
-    )
-    running = Window.partitionBy("g").orderBy("hi").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("name"), at.cast("bigint").alias("at")) for name, at in ranks.items()]
-    )
-    before = F.col("upto") - F.col("c")
-    ranges = (
-        known.groupBy("g", F.shiftright("v", bits).alias("hi"))
+    counts = (
+        rows.where(F.col(group).isin(list(groups)) & F.col(key).isNotNull())
+        .groupBy(F.col(group).alias("g"), F.col(key).cast("bigint").alias("v"))
         .agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(running))
-        .withColumn("n", F.sum("c").over(Window.partitionBy("g")))
-        .withColumn("rank", F.explode(wanted))
-        .where((F.col("rank.at") > before) & (F.col("rank.at") <= F.col("upto")))
-        .select("g", "hi", "rank.name", (F.col("rank.at") - before).alias("within"))
-        .collect()
     )
-    if not ranges:
-        return {}
-    def in_range(r) -> Column:
-        return (F.col("g") == r.g) & F.col("v").between(r.hi << bits, ((r.hi + 1) << bits) - 1)
-
-    def hit(r) -> Column:
-        return in_range(r) & (before < r.within) & (F.col("upto") >= r.within)
-
-    running = Window.partitionBy("g", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        known.where(reduce(or_, map(in_range, ranges)))
-        .groupBy("g", "v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("hi", F.shiftright("v", bits))
-        .withColumn("upto", F.sum("c").over(running))
-        .where(reduce(or_, map(hit, ranges)))
-        .select("g", "hi", "v", "upto", "c")
-        .collect()
+    running = with_running_count(counts, ["g"], ["v"], "c")
+    sizes = running.groupBy("g").agg(F.max("upto").alias("n"))
+    wanted = sizes.select(
+        F.col("g").alias("h"),
+        F.explode(
+            F.array(*[F.struct(F.lit(name).alias("name"), at.cast("bigint").alias("at")) for name, at in ranks.items()])
+        ).alias("rank"),
     )
+    hit = (F.col("g") == F.col("h")) & (F.col("upto") - F.col("c") < F.col("rank.at")) & (F.col("rank.at") <= F.col("upto"))
+    # As many rows as there are listed groups and ranks.
+    found = running.join(F.broadcast(wanted), hit).select("g", "rank.name", "v").collect()
     keys: dict[str, dict[str, int]] = {}
-    for r in ranges:
-        keys.setdefault(r.g, {})[r.name] = next(
-            f.v for f in found if (f.g, f.hi) == (r.g, r.hi) and f.upto - f.c < r.within <= f.upto
-        )
+    for r in found:
+        keys.setdefault(r.g, {})[r.name] = r.v
     return keys
 
 

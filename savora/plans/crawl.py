@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from savora.functions.text import day_label, occurrences, url_authority
 from savora.operators.ranks import by_group, doubled_medians, first_n_per_group
+from savora.session import stored
 
 # Outlier distance, histogram bins, points of a density curve, domains shown.
 MAD_LIMIT = 10
@@ -53,10 +54,16 @@ def truncate_to_shortest(records: DataFrame, snapshots: Sequence[str]) -> DataFr
 def freshness(
     records: DataFrame, column: str, snapshots: Sequence[str], n: int | None = None, even: bool = True
 ) -> DataFrame:
-    """Records whose time stamps are compared: sampled if asked, without outliers, equal in number."""
-    taken = sample(records, snapshots, n) if n else records
-    kept = reject_outliers(taken.select("snapshot", "record_id", column), column, snapshots)
-    return truncate_to_shortest(kept, snapshots) if even else kept
+    """Records whose time stamps are compared: sampled if asked, without outliers, equal in number.
+
+    The three columns needed are stored first and the filtered rows after: the table itself is read once,
+    and what compares the snapshots reads neither it nor the steps again.
+    """
+    narrow = records.where(F.col("snapshot").isin(list(snapshots))).select("snapshot", "record_id", column)
+    narrow = stored(narrow, "crawl-times")
+    taken = sample(narrow, snapshots, n) if n else narrow
+    kept = stored(reject_outliers(taken, column, snapshots), "crawl-kept")
+    return stored(truncate_to_shortest(kept, snapshots), "crawl-even") if even else kept
 
 
 def snapshot_stats(records: DataFrame, column: str) -> DataFrame:
@@ -78,12 +85,15 @@ def _bounds(records: DataFrame, column: str) -> tuple[Column, Column]:
 
 
 def histogram(records: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """Counts per snapshot in equal bins over the range of all snapshots; empty bins have no row."""
+    """Counts per snapshot in equal bins over the range of all snapshots; empty bins have a row with 0."""
     low, high = _bounds(records, column)
     value = F.col(column)
     place = F.floor(F.try_divide((value - low) * bins, high - low)) + 1
     bucket = F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int")
-    return records.groupBy("snapshot", bucket.alias("bin")).agg(F.count("*").alias("n"))
+    counts = records.groupBy("snapshot", bucket.alias("bin")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("snapshot").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    every = held.select("snapshot", "held", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return every.select("snapshot", "bin", F.coalesce(F.try_element_at("held", "bin"), F.lit(0)).alias("n"))
 
 
 def density(
@@ -97,7 +107,7 @@ def density(
     size = records.groupBy("snapshot").agg(
         F.count("*").alias("total"), F.stddev_samp(column).alias("spread")
     )
-    bins_of = histogram(records, column, bins).join(size, "snapshot")
+    bins_of = histogram(records, column, bins).where("n > 0").join(size, "snapshot")
     step = (high - low) / F.lit(float(bins))
     curve = bins_of.withColumn("center", low + (F.col("bin") - 0.5) * step).withColumn(
         "width", F.col("spread") * F.pow(F.col("total"), F.lit(-0.2))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from savora.functions.response import explode_meals, parse_response
 from savora.operators.clustering import cluster_mentions
-from savora.operators.extraction import Completer, extract_responses
+from savora.operators.extraction import Completer, extract_by_dictionary, extract_responses
 from savora.operators.grouped import first_per_group, modal_value
+from savora.plans.staging import new_reviews
 from savora.session import stored
-from savora.sources.tables import meal_mention_rows
+from savora.sources.tables import TableStore, meal_mention_rows
 
 
 def label_clusters(mentions: DataFrame) -> DataFrame:
@@ -50,25 +53,53 @@ def with_sample_labels(mentions: DataFrame, seed: int = 7) -> DataFrame:
     return mentions.join(labels, F.col("cluster").eqNullSafe(F.col("c")), "left").drop("c")
 
 
+def asked_mentions(reviews: DataFrame, complete: Completer, **call) -> DataFrame:
+    """Mentions from a model's answers; the answers are stored, so nothing is asked twice."""
+    asked = extract_responses(reviews.select("business_name", "rating", "review_text"), complete, **call)
+    answers = stored(asked.select("business_name", "rating", "response"), "answers")
+    return explode_meals(parse_response(answers)).select("business_name", "rating", "meal_name", "sentiment")
+
+
+def known_mentions(reviews: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Mentions of the dictionary's meals, one per meal and review."""
+    numbered = stored(
+        reviews.select("business_name", "rating", "review_text").withColumn("review__", F.monotonically_increasing_id()), "reviews"
+    )
+    found = extract_by_dictionary(numbered.select("review__", "rating", "review_text"), dictionary, "review__", "review_text")
+    named = numbered.select("review__", "business_name")
+    return found.join(named, "review__").select("business_name", "rating", "meal_name", "sentiment")
+
+
 def meal_mentions(
-    reviews: DataFrame, complete: Completer, percent: int = 50, trial_rows: int | None = None, **call
+    reviews: DataFrame,
+    extract: Callable[[DataFrame], DataFrame],
+    percent: int = 50,
+    trial_rows: int | None = None,
 ) -> DataFrame:
-    """Ask, read, explode, cluster and label, for every business in ``reviews``.
+    """Extract, cluster and label, for every business in ``reviews``.
 
-    The model's answers and the clusters are stored before they are read again, so nothing is asked or
-    clustered twice. ``trial_rows`` keeps that many reviews per business; by default all are processed.
+    ``extract`` gives (business_name, rating, meal_name, sentiment): ``asked_mentions`` with a model,
+    ``known_mentions`` with a dictionary. ``trial_rows`` keeps that many reviews per business; by default
+    all are processed.
     """
     if trial_rows:
         reviews = first_per_group(
             reviews, ["business_name"], [F.col("review_text"), F.col("rating")], trial_rows
         ).drop("position")
-    asked = extract_responses(reviews.select("business_name", "rating", "review_text"), complete, **call)
-    answers = stored(asked.select("business_name", "rating", "response"), "answers")
-    mentions = explode_meals(parse_response(answers)).select("business_name", "rating", "meal_name", "sentiment")
+    mentions = stored(extract(reviews), "mentions")
     clustered = stored(cluster_mentions(mentions, percent), "clusters")
     return meal_mention_rows(label_clusters(clustered))
 
 
+def process_new(
+    store: TableStore, staged: DataFrame, extract: Callable[[DataFrame], DataFrame], batch: str
+) -> DataFrame:
+    """Mentions of businesses without any are found and appended as one load; the whole table comes back."""
+    todo = new_reviews(staged, store.read("mart.meal_mentions"))
+    store.append("mart.meal_mentions", meal_mentions(todo, extract), batch)
+    return store.read("mart.meal_mentions")
+
+
 def merge_plurals(mentions: DataFrame, per_business: bool = False) -> DataFrame:
     """Labels that are another label plus 's' lose the 's': one pass, over all businesses by default.
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from savora.functions.measures import minutes_at_quota
 from savora.functions.text import city_of, clean_text
-from savora.operators.grouped import first_per_group, small_enough
+from savora.operators.grouped import first_per_group
 
 
 def restaurants(business: DataFrame, keyword: str = "restaurant") -> DataFrame:
@@ -28,15 +28,12 @@ def staging_reviews(
     reviews: DataFrame,
     keyword: str = "restaurant",
     unicode_letters: bool = False,
-    most_broadcast: int = 500_000,
 ) -> DataFrame:
     """Cleaned, distinct reviews of restaurants.
 
     Both sides are made distinct before the join, which gives the same rows as after it: copies
-    collapse map-side, and the join, coming last, may have its hot keys split. Up to
-    ``most_broadcast`` restaurants (some hundred bytes each) are broadcast instead, and reviews of
-    other businesses then drop out before anything is cleaned or shuffled; beyond that number Spark's
-    own Bloom filter and sort-merge join do the work.
+    collapse map-side, and the join, coming last, may have its hot keys split. Whether the restaurants
+    are broadcast is left to Spark, which knows their size.
     """
     text = F.col("text")
     if "review_text" in reviews.columns:
@@ -46,9 +43,6 @@ def staging_reviews(
         said = clean_text(text, unicode_letters)
         kept = reviews.where(text.isNotNull())
     places = restaurants(business, keyword).distinct()
-    if small_enough(places, most_broadcast):
-        places = F.broadcast(places)
-        kept = kept.join(F.broadcast(places.select("gmap_id").distinct()), "gmap_id", "left_semi")
     spoken = kept.select("gmap_id", "user_id", "rating", said.alias("review_text")).distinct()
     return spoken.join(places, "gmap_id").select(
         "gmap_id", "business_name", "address", "city", "user_id", "rating", "review_text"

@@ -56,14 +56,3 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a plain scan over at least as many partitions as there are cores.
-
-    For costly work on a few files that cannot be split further. A large input passes unchanged.
-    The first column, an id, says where a row goes, as that needs no sort.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, rows.columns[0])

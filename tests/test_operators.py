@@ -26,13 +26,15 @@ def drawn(seed, n=400):
     ]
 
 
-@pytest.mark.parametrize("seed,bits", [(1, 20), (2, 4), (3, 2)])
-def test_medians(spark, seed, bits):
+@pytest.mark.parametrize("seed,hashed", [(1, False), (2, False), (3, True)])
+def test_medians(spark, seed, hashed):
     values = drawn(seed)
+    if hashed:
+        values = [(g, v and v * 0x9E3779B97F4A7C1 % (1 << 62) - (1 << 61)) for g, v in values]
     rows = records(spark, values)
     n = F.col("n")
     found = ranks.keys_at_ranks(
-        rows, "snapshot", "stamp", GROUPS, {"lo": F.floor((n + 1) / 2), "hi": F.floor(n / 2) + 1, "first": F.lit(1)}, bits
+        rows, "snapshot", "stamp", GROUPS, {"lo": F.floor((n + 1) / 2), "hi": F.floor(n / 2) + 1, "first": F.lit(1)}
     )
     for g in GROUPS:
         own = [v for k, v in values if k == g and v is not None]
@@ -81,12 +83,22 @@ def test_histogram_like_numpy(spark):
     values = [("a", rng.randint(0, 1000)) for _ in range(500)] + [("b", 0), ("b", 1000)]
     found = crawl.histogram(records(spark, values), "stamp", 10)
     counts, _ = np.histogram([v for g, v in values if g == "a"], bins=10, range=(0, 1000))
-    assert {r.bin: r.n for r in found.where("snapshot = 'a'").collect()} == {i + 1: c for i, c in enumerate(counts) if c}
-    assert {(r.bin, r.n) for r in found.where("snapshot = 'b'").collect()} == {(1, 1), (10, 1)}
-    flat = crawl.histogram(records(spark, [("a", 5)] * 3), "stamp").collect()
+    assert {r.bin: r.n for r in found.where("snapshot = 'a'").collect()} == {i + 1: c for i, c in enumerate(counts)}
+    assert {(r.bin, r.n) for r in found.where("snapshot = 'b' and n > 0").collect()} == {(1, 1), (10, 1)}
+    assert found.where("snapshot = 'b'").count() == 10
+    flat = crawl.histogram(records(spark, [("a", 5)] * 3), "stamp").where("n > 0").collect()
     assert [(r.bin, r.n) for r in flat] == [(1, 3)]
 
 
+def test_running_counts_of_hashed_keys_stay_within_partitions(spark):
+    counts = spark.range(20_000).select(F.lit("a").alias("g"), F.xxhash64("id").alias("v"), F.lit(1).alias("c"))
+    found = ranks.with_running_count(counts, ["g"], ["v"], "c")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("range__" in line for line in plan.split("\n") if "Window [sum(c" in line)
+    rows = sorted((r.v, r.upto) for r in found.collect())
+    assert [u for _, u in rows] == list(range(1, 20_001))
+
+
 def test_density_is_close_to_the_exact_curve(spark):
     rng = random.Random(9)
     values = [int(rng.gauss(10**6, 10**4)) for _ in range(400)]
@@ -104,36 +116,49 @@ def pairs_of(spark, counts):
     return spark.createDataFrame(rows, "business_name string, meal_name string, sentiment double, rating int")
 
 
-def check_clusters(rows, percent, slack):
-    clustered = clustering.cluster_mentions(rows, percent, cell_rows=64).collect()
+def check_clusters(rows, percent=50, **options):
+    """All rows are kept, equal names are together, and there are exactly k clusters, numbered from 0."""
+    clustered = clustering.cluster_mentions(rows, percent, **options).collect()
     assert len(clustered) == rows.count()
-    units, names = {}, {}
+    of_name = {}
     for r in clustered:
-        units.setdefault((r.business_name, r.meal_name, r.sentiment), set()).add(r.cluster)
-        names.setdefault(r.business_name, ({*()}, {*()}))
-        names[r.business_name][0].add(r.meal_name)
-        names[r.business_name][1].add(r.cluster)
-    assert all(len(found) == 1 for found in units.values())
-    for found, clusters in names.values():
-        k = max(1, len(found) * percent // 100)
-        assert 1 <= len(clusters) <= k + slack
-    return names
+        of_name.setdefault((r.business_name, r.meal_name), set()).add(r.cluster)
+    assert all(len(found) == 1 for found in of_name.values())
+    for business in {b for b, _ in of_name}:
+        found = [next(iter(c)) for (b, _), c in of_name.items() if b == business]
+        assert sorted(set(found)) == list(range(max(1, len(found) * percent // 100)))
+    return {k: next(iter(c)) for k, c in of_name.items()}
+
+
+def test_clusters_of_any_size(spark):
+    rows = pairs_of(spark, {"one": 1, "two": 3, "fifty": 50, "1024": 1024, "1025": 1025}).union(pairs_of(spark, {"two": 3}))
+    check_clusters(rows)
+    check_clusters(pairs_of(spark, {"a": 90, "b": 7}), run_names=8)
+    check_clusters(pairs_of(spark, {"a": 300}), percent=1)
 
 
-def test_clusters_of_small_businesses(spark):
-    rows = pairs_of(spark, {"one": 1, "two": 3, "fifty": 50}).union(pairs_of(spark, {"two": 3}))
-    check_clusters(rows, 50, 0)
+def test_clusters_of_six_thousand_names(spark):
+    check_clusters(pairs_of(spark, {"big": 6000}))
 
 
-def test_clusters_of_a_business_in_cells(spark):
-    names = check_clusters(pairs_of(spark, {"big": 900, "small": 9}), 50, 64)
-    assert len(names["big"][1]) > 250
+def test_names_with_many_sentiments_stay_whole(spark):
+    rows = [("a", name, i / 1500, 1) for name in ("food", "taco") for i in range(1500)]
+    found = check_clusters(spark.createDataFrame(rows, "business_name string, meal_name string, sentiment double, rating int"))
+    assert set(found.values()) == {0}
+
+
+def test_names_alone_and_given_vectors(spark):
+    rows = [("a", "x", 0.0, [0.0, 1.0]), ("a", "y", 1.0, [0.0, 1.1]), ("a", "z", 0.0, [5.0, 0.0]), ("a", "w", 1.0, [5.1, 0.0]), (None, None, None, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "business_name string, meal_name string, sentiment double, v array<double>")
+    found = check_clusters(frame, vector="v")
+    assert found["a", "x"] == found["a", "y"] != found["a", "z"] == found["a", "w"]
+    check_clusters(frame, with_sentiment=False)
 
 
 def test_clusters_repeat(spark):
     rows = pairs_of(spark, {"a": 120, "b": 20})
-    once = {tuple(r) for r in clustering.cluster_mentions(rows, cell_rows=64).collect()}
-    again = {tuple(r) for r in clustering.cluster_mentions(rows.repartition(7), cell_rows=64).collect()}
+    once = {tuple(r) for r in clustering.cluster_mentions(rows, run_names=32).collect()}
+    again = {tuple(r) for r in clustering.cluster_mentions(rows.repartition(7), run_names=32).collect()}
     assert once == again
 
 
@@ -152,13 +177,6 @@ def test_preview_cuts_hot_groups_before_the_shuffle(spark):
     assert top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
 
 
-def test_many_rows_per_group(spark):
-    rows = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"))
-    top = grouped.first_per_group(rows, ["g"], [F.desc("k")], 1500)
-    found = top.groupBy("g").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.max("position").alias("p"))
-    assert {tuple(r) for r in found.collect()} == {(0, 1500, 2000, 1500), (1, 1500, 2001, 1500)}
-
-
 def test_group_stats_join_null_groups(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), (None, 7)], "g string, v int")
     found = grouped.attach_group_stats(rows, ["g"], F.max("v").alias("top")).collect()

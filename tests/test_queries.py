@@ -10,6 +10,8 @@ import __spark_entry__ as entry  # noqa: E402
 from tools.compare import compare, connect  # noqa: E402
 
 FOLDER = os.environ.get("SAVORA_SF_DIR", "/root/testdata/sf0.001")
+# Hashing, tokenizers, learned models and checksums that DuckDB lacks.
+BEYOND_SQL = {"op3_interleave", "op6_bpe_cuts", "op7_token_shards", "op8_toxicity", "op10_packing", "pipeline"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -22,7 +24,8 @@ def con():
 def test_query(spark, con, name):
     problem, count, _ = compare(spark, con, FOLDER, name)
     assert problem is None
-    assert count >= 0
+    # Queries beyond SQL are compared with brute force in tests/llm; here they must at least give rows.
+    assert name in entry.oracle_sql() or (name in BEYOND_SQL and count > 0)
 
 
 def test_every_oracle_has_a_query():

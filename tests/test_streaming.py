@@ -1,21 +1,45 @@
+import pytest
+
 from savora.session import scratch_path
-from savora.sources import files, tables
+from savora.sources import tables
 from savora.streaming.feedback import VOTE, append_votes
 
 
-def test_votes_are_appended_once(spark):
-    store = tables.TableStore(spark, scratch_path(spark, "store"))
-    store.create_empty(["mart.feedback"])
-    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "checkpoint")
+@pytest.fixture
+def store(spark):
+    found = tables.TableStore(spark, scratch_path(spark, "store"))
+    found.create_empty(["mart.feedback"])
+    return found
+
 
-    def land(*votes):
-        spark.createDataFrame(list(votes), VOTE).coalesce(1).write.mode("append").json(landing)
-        append_votes(store, landing, checkpoint, "2024-01-02").awaitTermination()
+def land(spark, landing, *votes):
+    spark.createDataFrame(list(votes), VOTE).coalesce(1).write.mode("append").json(landing)
 
-    land(("Anna's", "taco", 1), ("Anna's", "taco", 0))
-    land(("Anna's", "soup", None))
+
+def test_votes_are_appended_once(spark, store):
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "checkpoint")
+    land(spark, landing, ("Anna's", "taco", 1), ("Anna's", "taco", 0))
+    append_votes(store, landing, checkpoint, create_date="2024-01-02").awaitTermination()
+    land(spark, landing, ("Anna's", "soup", None))
+    append_votes(store, landing, checkpoint, create_date="2024-01-02").awaitTermination()
     append_votes(store, landing, checkpoint).awaitTermination()
     found = store.read("mart.feedback").orderBy("meal_name", "rec_flag").collect()
     assert [(r.meal_name, r.rec_flag, str(r.create_date)) for r in found] == [
         ("soup", None, "2024-01-02"), ("taco", False, "2024-01-02"), ("taco", True, "2024-01-02"),
     ]
+
+
+def test_two_streams_and_two_starts_keep_every_vote(spark, store):
+    for stream in ("web", "app"):
+        landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "checkpoint")
+        for meal in ("taco", "soup"):
+            land(spark, landing, (stream, meal, 1))
+            append_votes(store, landing, checkpoint, stream).awaitTermination()
+    found = {(r.business_name, r.meal_name) for r in store.read("mart.feedback").collect()}
+    assert found == {(s, m) for s in ("web", "app") for m in ("taco", "soup")}
+    assert store.read("mart.feedback").where("create_date is null").count() == 0
+
+
+def test_a_checkpoint_is_required(store):
+    with pytest.raises(TypeError):
+        append_votes(store, "/nowhere")

@@ -70,7 +70,7 @@ def test_dictionary_against_brute_force(spark):
     meals = ["hot dog", "taco", "blue cheese soup"]
     reviews = spark.createDataFrame([(i, 1 + i % 5, t) for i, t in enumerate(texts)], "id int, rating int, text string")
     dictionary = spark.createDataFrame([(m,) for m in meals], "meal_name string")
-    found = extraction.extract_by_dictionary(reviews, dictionary, "id", longest=3).collect()
+    found = extraction.extract_by_dictionary(reviews, dictionary, "id").collect()
     expected = {(i, m) for i, t in enumerate(texts) for m in meals if f" {m} " in f" {t.lower().rstrip('!')} "}
     assert {(r.id, r.meal_name) for r in found} == expected and len(found) == len(expected)
 
