@@ -91,31 +91,41 @@ def _filters(directions: int, reach: float, seed: int):
 
 
 def _compare(threshold: float):
-    def run(block: pa.RecordBatch, mask: np.ndarray | None) -> dict:
-        names = block.schema.names
-        key = block.column(0)[0].as_py()
-        n = block.num_rows
-        reps, nodes, copies = (block.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("rep", "node", "copies"))
-        flat = block.column(names.index("vector")).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        unit = _unit(flat.reshape(n, -1))
+    def one(key: int, unit: np.ndarray, side: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
         near = unit @ unit.T >= threshold
         np.fill_diagonal(near, False)
-        if mask is not None:
-            near &= mask[:, None] != mask[None, :]
+        if side[0]:
+            near &= side[:, None] != side[None, :]
         if near.any():
             # Pairs that share a smaller filter have been met there.
-            filters = block.column(names.index("filters"))
-            offsets, values = filters.offsets.to_numpy(), filters.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(n), np.diff(offsets))
-            smaller = values < key
-            distinct, place = np.unique(values[smaller], return_inverse=True)
-            has = np.zeros((n, len(distinct)), dtype=np.float32)
+            owner = np.repeat(np.arange(len(unit)), np.diff(offsets))
+            own = values[offsets[0]:offsets[-1]]
+            smaller = own < key
+            distinct, place = np.unique(own[smaller], return_inverse=True)
+            has = np.zeros((len(unit), len(distinct)), dtype=np.float32)
             has[owner[smaller], place] = 1
             near &= has @ has.T < 0.5
-        at = np.flatnonzero(near.any(axis=1))
-        links = near[at] @ copies
-        label = lists.local_components(n, np.nonzero(near), reps)
-        return {"rep": reps[at], "node": nodes[at], "links": links, "least": label[at]}
+        return near
+
+    def run(some: pa.RecordBatch, starts: np.ndarray) -> dict:
+        names = some.schema.names
+        reps, nodes, copies, keys = (some.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("rep", "node", "copies", "filter"))
+        vectors, filters = (some.column(names.index(c)) for c in ("vector", "filters"))
+        flat, at = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+        values, offsets = filters.values.to_numpy(zero_copy_only=False), filters.offsets.to_numpy()
+        side = lists.sides(some)
+        found: dict[str, list] = {n: [np.zeros(0, np.int64)] for n in LINKS.names}
+        for a, b in zip(starts.tolist(), starts[1:].tolist()):
+            if b - a < 2:
+                continue
+            unit = _unit(flat[at[a]:at[b]].astype(np.float64).reshape(b - a, -1))
+            near = one(int(keys[a]), unit, side[a:b], offsets[a:b + 1], values)
+            rows = np.flatnonzero(near.any(axis=1))
+            if len(rows):
+                label = lists.local_components(np.nonzero(near), reps[a:b])
+                for n, v in (("rep", reps[a:b][rows]), ("node", nodes[a:b][rows]), ("links", near[rows] @ copies[a:b]), ("least", label[rows])):
+                    found[n].append(v)
+        return {n: np.concatenate(v) for n, v in found.items()}
 
     return run
 

@@ -26,27 +26,19 @@ def blocks(members: DataFrame, key: str, member: str, most: int, name: str) -> D
     return rows.withColumn("i", F.least("chunk", "other")).withColumn("k", F.greatest("chunk", "other")).drop("n__", "other")
 
 
-def compared(rows: DataFrame, key: str, compare: Callable[[pa.RecordBatch, np.ndarray | None], dict], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Run ``compare`` on each block of ``rows`` (columns key, i, k, chunk first).
+def compared(rows: DataFrame, key: str, compare: Callable[[pa.RecordBatch, np.ndarray], dict], schema: pa.Schema, ddl: str) -> DataFrame:
+    """Run ``compare`` on the blocks of ``rows`` (columns key, i, k, chunk first).
 
-    It gets the block's rows and, for a block of two chunks, a mask of those in the first: only pairs across
-    count then. It returns the columns of its result.
+    It gets some whole blocks, one after the other, and where each begins, with the end behind the last;
+    it returns the columns of its result. In a block of two chunks (i <> k) only pairs across count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {n: [] for n in schema.names}
-        size = 0
-        for block in _blocks_of(batches):
-            i, k = block.column(1)[0].as_py(), block.column(2)[0].as_py()
-            mask = None if i == k else block.column(3).to_numpy(zero_copy_only=False) == i
-            for n, values in compare(block, mask).items():
-                held[n].append(values)
-            size += len(held[schema.names[0]][-1])
-            if size > 50_000 or len(held[schema.names[0]]) > 5_000:
-                yield _batch(held, schema)
-                held, size = {n: [] for n in schema.names}, 0
-        if size:
-            yield _batch(held, schema)
+        for some, starts in _whole_blocks(batches):
+            found = compare(some, starts)
+            size = len(found[schema.names[0]])
+            for at in range(0, size, 50_000):
+                yield pa.record_batch([pa.array(found[f.name][at:at + 50_000], f.type) for f in schema], schema=schema)
 
     first = [key, "i", "k", "chunk"]
     rest = [c for c in rows.columns if c not in first]
@@ -54,48 +46,54 @@ def compared(rows: DataFrame, key: str, compare: Callable[[pa.RecordBatch, np.nd
     return placed.mapInArrow(run, ddl)
 
 
-def _batch(held: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.concatenate(held[f.name]), f.type) for f in schema], schema=schema)
+def sides(block: pa.RecordBatch) -> np.ndarray:
+    """Which of a block's two chunks each row is from; all 0 in a block of one."""
+    i, k, chunk = (block.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+    return np.where(i == k, 0, np.where(chunk == i, 1, 2))
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one block after the other, from rows sorted by block."""
+def may_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows with these sides are a pair of their block."""
+    return (a == 0) | (a != b)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by block, some whole blocks at a time."""
     rest: pa.Table | None = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
         table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        table = table.combine_chunks()
+        table = table if rest is None else pa.concat_tables([rest, table])
         starts = _starts(table)
         if len(starts) > 1:
-            one = table.to_batches()[0]
-            for a, b in zip(starts, starts[1:]):
-                yield one.slice(a, b - a)
+            yield table.slice(0, starts[-1]).combine_chunks().to_batches()[0], starts
         rest = table.slice(starts[-1])
     if rest is not None:
-        yield rest.combine_chunks().to_batches()[0]
+        yield rest.combine_chunks().to_batches()[0], np.array([0, rest.num_rows])
 
 
-def _starts(table: pa.Table) -> list[int]:
+def _starts(table: pa.Table) -> np.ndarray:
     changed = np.zeros(table.num_rows, dtype=bool)
     changed[0] = True
     for column in range(3):
         values = table.column(column).to_numpy()
         changed[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(changed).tolist()
+    return np.flatnonzero(changed)
 
 
-def local_components(n: int, links: tuple[np.ndarray, np.ndarray], order: np.ndarray) -> np.ndarray:
-    """For each of n members the smallest ``order`` it is linked to, directly or over others."""
-    label = order.copy()
+def local_components(links: tuple[np.ndarray, np.ndarray], order: np.ndarray) -> np.ndarray:
+    """For each member the smallest ``order`` it is linked to, directly or over others."""
+    at_rank = np.argsort(order, kind="stable")
+    label = np.empty(len(order), dtype=np.int64)
+    label[at_rank] = np.arange(len(order))
     a, b = links
-    while len(a):
-        low = np.minimum(label[a], label[b])
+    while True:
         before = label.copy()
+        low = np.minimum(label[a], label[b])
         np.minimum.at(label, a, low)
         np.minimum.at(label, b, low)
+        # On to the label of the member that gave the label, so that chains halve.
+        label = np.minimum(label, label[at_rank[label]])
         if (label == before).all():
-            break
-    return label
+            return order[at_rank[label]]

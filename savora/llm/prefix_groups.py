@@ -107,55 +107,50 @@ def _sets(width: int, percent: int):
     return run
 
 
-def _pairs_in_reach(sizes: np.ndarray, percent: int, step: int = 128) -> Iterator[tuple[slice, slice]]:
-    """Row and column stretches of members sorted by size that hold all pairs of similar size."""
-    n = len(sizes)
-    for a in range(0, n, step):
-        b = min(n, a + step)
-        last = int(np.searchsorted(sizes * percent, sizes[b - 1] * 100, "right"))
-        yield slice(a, b), slice(a, last)
-
-
-def _similar(n: np.ndarray, sketches: np.ndarray, percent: int, row: slice, column: slice) -> np.ndarray:
-    """Pairs of row and column whose sizes and sketches allow the wanted similarity, each pair once."""
-    both = n[row][:, None] + n[column][None, :]
-    fit = 100 * n[row][:, None] >= percent * n[column][None, :]
-    apart = np.zeros(fit.shape, dtype=np.int64)
-    for w in range(SKETCH_WORDS):
-        apart += np.bitwise_count(sketches[row, w][:, None] ^ sketches[column, w][None, :])
-    fit &= (100 + percent) * apart <= (100 - percent) * both
-    return fit & (np.arange(row.start, row.stop)[:, None] < np.arange(column.start, column.stop)[None, :])
+def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: np.ndarray, percent: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within blocks whose sizes and sketches allow the wanted similarity.
+
+    Rows are sorted by block and size, so the partners of a row by size are the next ones; all rows step
+    on together until none has a partner left. With ``before``, the members in front of the shared one, a
+    pair can at most share the fewer of those and the fewer of the rest.
+    """
+    left, right = [], []
+    a, step = np.arange(len(n) - 1), 1
+    while len(a):
+        b = a + step
+        a, b = a[b < len(n)], b[b < len(n)]
+        go_on = (block[a] == block[b]) & (100 * n[a] >= percent * n[b])
+        a, b = a[go_on], b[go_on]
+        both = n[a] + n[b]
+        fit = lists.may_pair(side[a], side[b])
+        if before is not None:
+            most = np.minimum(before[a], before[b]) + np.minimum(n[a] - before[a], n[b] - before[b])
+            fit &= (100 + percent) * most >= percent * both
+        x, y, both = a[fit], b[fit], both[fit]
+        apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+        near = (100 + percent) * apart <= (100 - percent) * both
+        left.append(x[near])
+        right.append(y[near])
+        step += 1
+    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
 
 
 def _clusters(percent: int):
-    """Of each block of groups under a shared prefix member, the clusters of sets that may have partners."""
-
-    def run(block: pa.RecordBatch, mask: np.ndarray | None) -> dict:
-        names = block.schema.names
-        size, place = (block.column(names.index(c)).to_numpy() for c in ("n", "position"))
-        order = np.argsort(size, kind="stable")
-        size, place = size[order], place[order]
-        side = mask[order] if mask is not None else None
-        groups = [block.column(names.index("members"))[i].as_py() for i in order.tolist()]
-        reps = np.array([m["rep"] for g in groups for m in g], dtype=np.int64)
-        sketches = np.frombuffer(b"".join(m["sketch"] for g in groups for m in g), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
-        group_of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        sizes, places = size[group_of], place[group_of]
-        sides = side[group_of] if side is not None else None
-        left, right = [], []
-        for row, column in _pairs_in_reach(sizes, percent):
-            fit = _similar(sizes, sketches, percent, row, column)
-            # At most so many members lie before and behind the shared one in both sets.
-            before = np.minimum(places[row][:, None], places[column][None, :])
-            behind = np.minimum((sizes - places)[row][:, None], (sizes - places)[column][None, :])
-            fit &= (100 + percent) * (before + behind) >= percent * (sizes[row][:, None] + sizes[column][None, :])
-            if sides is not None:
-                fit &= sides[row][:, None] != sides[column][None, :]
-            a, b = np.nonzero(fit)
-            left.append(a + row.start)
-            right.append(b + column.start)
-        a, b = np.concatenate(left), np.concatenate(right)
-        label = lists.local_components(len(reps), (a, b), reps)
+    """Of blocks of groups under a shared prefix member, the clusters of sets that may have partners."""
+
+    def run(some: pa.RecordBatch, starts: np.ndarray) -> dict:
+        names = some.schema.names
+        size, place = (some.column(names.index(c)).to_numpy() for c in ("n", "position"))
+        groups = some.column(names.index("members"))
+        members = groups.flatten()
+        reps = members.field("rep").to_numpy()
+        sketches = np.frombuffer(b"".join(members.field("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+        row = np.repeat(np.arange(some.num_rows), np.diff(groups.offsets.to_numpy()))
+        block = np.searchsorted(starts, row, "right")
+        order = np.lexsort((size[row], block))
+        row, block, reps, sketches = row[order], block[order], reps[order], sketches[order]
+        a, b = _candidates(block, size[row], lists.sides(some)[row], sketches, percent, place[row])
+        label = lists.local_components((a, b), reps)
         at = np.unique(np.concatenate([a, b]))
         return {"label": label[at], "rep": reps[at]}
 
@@ -174,31 +169,28 @@ class _Forest:
 
 
 def _verified(width: int, percent: int):
-    """Of each block of sets, edges that connect all those similar enough."""
-
-    def run(block: pa.RecordBatch, mask: np.ndarray | None) -> dict:
-        names = block.schema.names
-        reps = block.column(names.index("rep")).to_numpy()
-        sets = [shingles(t.as_py() or b"", width) for t in block.column(names.index("text")).cast(pa.large_binary())]
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        order = np.argsort(n, kind="stable")
-        n, reps, sets = n[order], reps[order], [sets[i] for i in order.tolist()]
-        side = mask[order] if mask is not None else None
-        sketches = np.stack([sketch(s) for s in sets])
-        forest, edges = _Forest(len(sets)), []
-        for row, column in _pairs_in_reach(n, percent):
-            fit = _similar(n, sketches, percent, row, column)
-            if side is not None:
-                fit &= side[row][:, None] != side[column][None, :]
-            for a, b in np.argwhere(fit).tolist():
-                a, b = a + row.start, b + column.start
+    """Of blocks of sets, edges that connect all those similar enough."""
+
+    def run(some: pa.RecordBatch, starts: np.ndarray) -> dict:
+        names = some.schema.names
+        reps, side = some.column(names.index("rep")).to_numpy(), lists.sides(some)
+        texts = some.column(names.index("text")).cast(pa.large_binary())
+        edges = []
+        for start, stop in zip(starts.tolist(), starts[1:].tolist()):
+            sets = [shingles(t.as_py() or b"", width) for t in texts[start:stop]]
+            order = np.argsort([len(s) for s in sets], kind="stable")
+            sets, own, sides = [sets[i] for i in order.tolist()], reps[start:stop][order], side[start:stop][order]
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            left, right = _candidates(np.zeros(len(n), np.int64), n, sides, np.stack([sketch(s) for s in sets]), percent)
+            forest = _Forest(len(sets))
+            for a, b in zip(left.tolist(), right.tolist()):
                 x, y = forest.top(a), forest.top(b)
                 if x == y:
                     continue
                 common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                     forest.up[y] = x
-                    edges.append((reps[a], reps[b]))
+                    edges.append((own[a], own[b]))
         found = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return {"a": found[:, 0], "b": found[:, 1]}
 

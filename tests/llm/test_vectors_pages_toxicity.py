@@ -93,8 +93,11 @@ def test_filters_are_all_that_exceed_the_bar():
 
 
 def test_local_components():
-    label = lists.local_components(5, (np.array([0, 3]), np.array([2, 2])), np.array([7, 1, 9, 3, 4]))
+    label = lists.local_components((np.array([0, 3]), np.array([2, 2])), np.array([7, 1, 9, 3, 4]))
     assert label.tolist() == [3, 1, 3, 3, 4]
+    chain = np.random.default_rng(0).permutation(500)
+    label = lists.local_components((chain[:-1], chain[1:]), np.arange(500) + 7)
+    assert label.tolist() == [7] * 500
 
 
 def digest(html):
