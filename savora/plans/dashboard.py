@@ -190,23 +190,34 @@ def cloud_terms(
     cut = sheet.select(split_words(F.col(text)).alias("words"))
     words = F.col("words")
     listed = list(stopwords)
+    alone = F.transform(words, lambda w: F.struct(F.lit(False).alias("pair"), F.when(~F.lower(w).isin(listed), w).alias("word")))
     met = F.zip_with(
         words,
         F.slice(words, F.lit(2), F.size(words)),
-        lambda a, b: F.when(
-            ~F.lower(a).isin(listed) & ~F.lower(b).isin(listed), F.concat(a, F.lit(" "), b)
+        lambda a, b: F.struct(
+            F.lit(True).alias("pair"),
+            F.when(~F.lower(a).isin(listed) & ~F.lower(b).isin(listed), F.concat(a, F.lit(" "), b)).alias("word"),
         ),
     )
-    singles = stored(_counted(cut.select(F.explode_outer(words).alias("word")), stopwords), "words")
-    pairs = stored(_counted(cut.select(F.explode_outer(met).alias("word")), stopwords), "pairs")
-    terms = stored(_merged(singles), "terms")
-    total = singles.agg(F.sum("n").alias("n")).first().n
+    # One pass over the texts. "Outer" keeps Spark from working the list out once more to test its size.
+    said = cut.select(F.explode_outer(F.concat(alone, met)).alias("t")).select("t.*").where("word is not null")
+    counted = stored(said.groupBy("pair", "word").agg(F.count("*").alias("n")), "words-and-pairs")
+    singles, pairs = (counted.where(F.col("pair") == p).drop("pair") for p in (False, True))
+    terms = _merged(singles)
+    total = singles.agg(F.sum("n").alias("n")).first().n or 0
     parts = F.split(F.col("key"), " ")
-    found = (
+    # The counts of a pair's two words come by one lookup of both, grouped by the pair.
+    looked_up = (
         _merged(pairs)
-        .select("key", F.col("n").alias("both"), _base(parts[0]).alias("b1"), _base(parts[1]).alias("b2"))
-        .join(terms.toDF("b1", "key1", "c1"), "b1")
-        .join(terms.toDF("b2", "key2", "c2"), "b2")
+        .select("key", F.col("n").alias("both"), F.posexplode(F.array(_base(parts[0]), _base(parts[1]))).alias("place", "base"))
+        .join(terms.toDF("base", "term", "c"), "base")
+    )
+
+    def of(place: int, name: str) -> Column:
+        return F.max(F.when(F.col("place") == place, F.col(name)))
+
+    found = looked_up.groupBy("key", "both").agg(
+        of(0, "term").alias("key1"), of(1, "term").alias("key2"), of(0, "c").alias("c1"), of(1, "c").alias("c2")
     )
     score = _pair_score(F.col("both"), F.col("c1"), F.col("c2"), F.lit(total))
     chosen = stored(found.where(score > threshold).select("key", "both", "key1", "key2"), "chosen")
@@ -215,11 +226,11 @@ def cloud_terms(
         .groupBy("key")
         .agg(F.sum("both").alias("inside"))
     )
-    alone = terms.join(inside, "key", "left").select(
+    apart = terms.join(inside, "key", "left").select(
         "key", (F.col("n") - F.coalesce("inside", F.lit(0))).alias("n")
     )
     shown = (
-        alone.where(F.col("n") > 0)
+        apart.where(F.col("n") > 0)
         .unionByName(chosen.select("key", F.col("both").alias("n")))
         .orderBy(F.desc("n"), "key")
         .limit(top)
