@@ -3,10 +3,10 @@
 A document is the set of its distinct word shingles, each a 64-bit hash; the order of the hashes is the global
 order. Two sets as similar as wanted share a member of their prefixes, the first `size - least overlap + 1`
 members. Documents with equal sets are one; sets with the same prefix and size are one group, and only
-groups are posted under their prefix members. Where group lists meet, pairs of groups are filtered by size
-and by the position of the shared member, then expanded to their sets, which are filtered by a bound on
-the overlap from 512-bit parity sketches. Each of these filters passes every pair that is similar enough.
-What is left, clusters of sets with possible partners, is verified set against set on the whole texts.
+groups are posted under their prefix members. Where groups meet in the list of a member, they are expanded to
+their sets, of which pairs are filtered by size and by a bound on the overlap from 512-bit parity
+sketches. Each of these filters passes every pair that is similar enough. What is left, clusters of sets
+with possible partners, is verified set against set on the whole texts.
 
 A pair whose two sets already hang together needs no verification, as only classes are asked for. Lists
 are worked on in blocks, so neither a large group of near copies nor a passage that many documents share
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savora.llm import lists
@@ -33,13 +33,14 @@ from savora.llm.components import components
 from savora.session import stored
 
 SKETCH_WORDS = 8
-MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 1024, 512, 64
+MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 512, 512, 16
+BITS = 1 << 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())]
 )
-SETS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, p1 bigint, p2 bigint, prefix array<bigint>, sketch binary"
+SETS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, gid bigint, prefix array<bigint>, sketch binary"
 CLUSTERS = pa.schema([("label", pa.int64()), ("rep", pa.int64())])
 CLUSTERS_DDL = "label bigint, rep bigint"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -95,24 +96,22 @@ def _sets(width: int, percent: int):
                     members = shingles(text.as_py() or b"", width)
                     n = len(members)
                     if n == 0:
-                        rows.append((doc_id, 0, 0, 0, 0, 0, [], b""))
+                        rows.append((doc_id, 0, 0, 0, 0, [], b""))
                         continue
                     prefix = members[:n - least_overlap(n, percent) + 1]
-                    rows.append(
-                        (doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), _digest(prefix, _ODD[0]), _digest(prefix, _ODD[2]), prefix.view(np.int64), sketch(members).tobytes())
-                    )
+                    group = _digest(np.append(prefix, np.uint64(n)), _ODD[2])
+                    rows.append((doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), group, prefix.view(np.int64), sketch(members).tobytes()))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), SETS, strict=True)], schema=SETS)
 
     return run
 
 
-def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: np.ndarray, percent: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within blocks whose sizes and sketches allow the wanted similarity.
 
     Rows are sorted by block and size, so the partners of a row by size are the next ones; all rows step
-    on together until none has a partner left. With ``before``, the members in front of the shared one, a
-    pair can at most share the fewer of those and the fewer of the rest.
+    on together until none has a partner left.
     """
     left, right = [], []
     a, step = np.arange(len(n) - 1), 1
@@ -123,9 +122,6 @@ def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: np
         a, b = a[go_on], b[go_on]
         both = n[a] + n[b]
         fit = lists.may_pair(side[a], side[b])
-        if before is not None:
-            most = np.minimum(before[a], before[b]) + np.minimum(n[a] - before[a], n[b] - before[b])
-            fit &= (100 + percent) * most >= percent * both
         x, y, both = a[fit], b[fit], both[fit]
         apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
         near = (100 + percent) * apart <= (100 - percent) * both
@@ -140,16 +136,15 @@ def _clusters(percent: int):
 
     def run(some: pa.RecordBatch, starts: np.ndarray) -> dict:
         names = some.schema.names
-        size, place = (some.column(names.index(c)).to_numpy() for c in ("n", "position"))
         groups = some.column(names.index("members"))
         members = groups.flatten()
-        reps = members.field("rep").to_numpy()
+        reps, size = (members.field(c).to_numpy() for c in ("rep", "n"))
         sketches = np.frombuffer(b"".join(members.field("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
         row = np.repeat(np.arange(some.num_rows), np.diff(groups.offsets.to_numpy()))
         block = np.searchsorted(starts, row, "right")
-        order = np.lexsort((size[row], block))
-        row, block, reps, sketches = row[order], block[order], reps[order], sketches[order]
-        a, b = _candidates(block, size[row], lists.sides(some)[row], sketches, percent, place[row])
+        order = np.lexsort((size, block))
+        row, block, reps, size, sketches = row[order], block[order], reps[order], size[order], sketches[order]
+        a, b = _candidates(block, size, lists.sides(some)[row], sketches, percent)
         label = lists.local_components((a, b), reps)
         at = np.unique(np.concatenate([a, b]))
         return {"label": label[at], "rep": reps[at]}
@@ -197,6 +192,35 @@ def _verified(width: int, percent: int):
     return run
 
 
+def _perhaps(ids: DataFrame) -> Column:
+    """A test on ``doc_id`` that passes all of ``ids`` (one bigint column) and few others.
+
+    The ids set bits in a bitmap of a fixed 2 MB, so what the driver and the tasks hold does not grow. With
+    very many ids more others pass; the join behind it drops them.
+    """
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
+    found = (
+        ids.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        .collect()
+    )
+    per_bucket = 8 * len(found[0].bits) if found else 1
+    bits = {r.bucket: np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little") for r in found}
+
+    def run(buckets: pa.Array, positions: pa.Array) -> pa.Array:
+        b, p = buckets.to_numpy(zero_copy_only=False), positions.to_numpy(zero_copy_only=False)
+        passes = np.zeros(len(b), dtype=bool)
+        for bucket in np.unique(b):
+            if bucket in bits:
+                own = b == bucket
+                passes[own] = bits[bucket][p[own] % per_bucket] > 0
+        return pa.array(passes)
+
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    return F.arrow_udf(run, "boolean")(F.bitmap_bucket_number(own), F.bitmap_bit_position(own))
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by sets of ``width`` words at ``percent`` % Jaccard."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -205,38 +229,42 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "tex
     distinct = stored(
         sets.where("n > 0 and doc_id is not null")
         .groupBy(*same)
-        .agg(F.min_by(F.struct("p1", "p2", "prefix", "sketch"), "doc_id").alias("r"), F.min("doc_id").alias("rep"))
+        .agg(F.min_by(F.struct("gid", "prefix", "sketch"), "doc_id").alias("r"), F.min("doc_id").alias("rep"))
         .select(*same, "rep", "r.*"),
         "distinct-sets",
     )
-    group = ["p1", "p2", "n"]
-    # A group of many sets is several rows of a bounded number of sets each.
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("in_group") / MOST_MEMBERS)).alias("part")
-    many = stored(distinct.groupBy(*group).agg(F.count("*").alias("in_group")).where(F.col("in_group") > MOST_MEMBERS), "large-groups")
-    members = distinct.join(many, group, "left").withColumn("part", F.coalesce(part, F.lit(0)))
+    # The sets of each group, in rows of a bounded number of them. If two groups had one digest they would be
+    # compared as one, and nothing lost.
+    sizes = stored(distinct.groupBy("gid").agg(F.count("*").alias("in_group")).where(F.col("in_group") > 1), "group-sizes")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("in_group", F.lit(1)) / MOST_MEMBERS))
     groups = stored(
-        members.groupBy(*group, "part").agg(
-            F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.collect_list(F.struct("rep", "sketch")).alias("members")
-        ),
+        distinct.select("gid", "rep", "n", "sketch")
+        .join(sizes, "gid", "left")
+        .groupBy("gid", part.alias("part"))
+        .agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
+        .withColumn("unit", F.xxhash64("gid", "part")),
         "groups",
     )
-    postings = groups.select("gid", F.posexplode("prefix").alias("position", "member"))
-    # A group row alone under all its members may still hold sets that are partners of each other.
-    inner = groups.where(F.size("members") > 1).select(
-        F.xxhash64("gid", F.lit("inner")).alias("member"), F.lit(0).alias("i"), F.lit(0).alias("k"), F.lit(0).alias("chunk"), "gid", F.lit(0).cast("bigint").alias("position")
-    )
-    placed = lists.blocks(postings, "member", "gid", MOST_POSTINGS, "posting-sizes").select(
-        "member", "i", "k", "chunk", "gid", F.col("position").cast("bigint").alias("position")
-    )
-    payload = groups.select("gid", "n", "members")
-    met = placed.union(inner.select(*placed.columns)).join(payload, "gid").select("member", "i", "k", "chunk", "n", "position", "members")
-    clusters = stored(lists.compared(met, "member", _clusters(percent), CLUSTERS, CLUSTERS_DDL).distinct(), "clusters")
+    # One posting per group and prefix member, as far as another group might share the member.
+    postings = distinct.select("gid", F.explode("prefix").alias("member"))
+    shared = stored(postings.groupBy("member").agg(F.count("*").alias("sets")).where("sets > 1").select("member"), "shared-members")
+    postings = postings.join(shared, "member").distinct().join(groups.select("gid", "unit"), "gid")
+    postings = stored(postings.select("member", "unit"), "postings")
+    placed = lists.blocks(postings, "member", "unit", MOST_POSTINGS, "posting-sizes").select("member", "i", "k", "chunk", "unit")
+    # Rows of several sets are also compared within themselves.
+    alone = [F.lit(0).alias(c) for c in ("i", "k", "chunk")]
+    inner = groups.where(F.size("members") > 1).select(F.xxhash64("unit", F.lit("inner")).alias("member"), *alone, "unit")
+    met = placed.union(inner).join(groups.select("unit", "members"), "unit").select("member", "i", "k", "chunk", "members")
+    clusters = lists.compared(met, "member", _clusters(percent), CLUSTERS, CLUSTERS_DDL)
+    # Clusters that share a set become one, so that each text is needed once.
+    hung = components(clusters)
+    linked = hung.select(F.col("component").alias("label"), F.col("id").alias("rep"))
+    clusters = stored(linked.union(hung.select("component", "component").distinct()), "clusters")
     wanted = lists.blocks(clusters, "label", "rep", MOST_SETS, "cluster-sizes")
-    near = clusters.select("rep").distinct()
-    texts = stored(rows.join(near, rows["doc_id"] == near["rep"], "left_semi").distinct(), "near-texts")
+    near = clusters.select("rep")
+    texts = rows.where(_perhaps(near)).join(near, rows["doc_id"] == near["rep"], "left_semi").distinct()
     verified = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("label", "i", "k", "chunk", "rep", "text")
-    edges = lists.compared(verified, "label", _verified(width, percent), EDGES, EDGES_DDL)
-    hung = components(edges)
+    hung = components(lists.compared(verified, "label", _verified(width, percent), EDGES, EDGES_DDL))
     of_set = stored(
         distinct.select(*same, "rep").join(hung.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("c")),
         "set-classes",
