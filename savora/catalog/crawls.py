@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savora.catalog.registry import query, rounded, sql_list
-from savora.catalog.views import SNAPSHOTS, TERMS
+from savora.catalog.views import SNAPSHOTS, TERMS, TEXT_TERMS
 from savora.plans import crawl
 
 STAMP = "last_modified_timestamp"
@@ -105,6 +105,32 @@ def mentions(t):
     return crawl.term_counts(t("v_crawl"), "url", TERMS, SNAPSHOTS)
 
 
+@query(
+    "crawl_time_stats",
+    f"""with {EVEN.replace(STAMP, "crawl_timestamp")}
+        select snapshot, count(*) n, min(crawl_timestamp) min_value, max(crawl_timestamp) max_value,
+               round(avg(crawl_timestamp), 4) mean_value from even group by 1""",
+)
+def crawl_time_stats(t):
+    """The same comparison for the time of the crawl itself."""
+    found = crawl.snapshot_stats(crawl.freshness(t("v_web"), "crawl_timestamp", SNAPSHOTS), "crawl_timestamp")
+    return rounded(found.select("snapshot", "n", "min_value", "max_value", "mean_value"), 4, "mean_value")
+
+
+@query(
+    "text_term_counts",
+    " union all ".join(
+        f"""select snapshot, '{term}' term,
+                   cast(sum((length(text) - length(replace(lower(text), '{term}', ''))) // {len(term)}) as bigint) n
+            from {{v_crawl_text}} group by 1"""
+        for term in TEXT_TERMS
+    ),
+)
+def text_term_counts(t):
+    """Terms in the page text instead of the address."""
+    return crawl.term_counts(t("v_crawl_text"), "text", TEXT_TERMS, SNAPSHOTS)
+
+
 @query("term_counts", TERM_COUNTS)
 def term_counts(t):
     return mentions(t)

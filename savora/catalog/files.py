@@ -74,10 +74,23 @@ def append_feedback(t):
        where business_name is not null and review_text is not null and rating is not null""",
 )
 def pairs_nested(t):
-    made = pairs.nested_pairs(pairs.complete_rows(t("v_sheet")))
+    landed = scratch_path(t.spark, "pairs-nested")
+    files.write_json_lines(pairs.nested_pairs(pairs.complete_rows(t("v_sheet"))), landed)
+    made = files.read_json_lines(t.spark, landed, "input_text struct<business_name string>, output_text string")
     return made.select("input_text.business_name", "output_text")
 
 
+@query(
+    "scan_sheet",
+    """select gmap_id, business_name, user_id, rating, nullif(review_text, '') review_text from {v_sheet}""",
+)
+def scan_sheet(t):
+    """The sheet as a CSV export, read by its schema."""
+    landed = scratch_path(t.spark, "sheet-csv")
+    files.write_csv(files.upper_names(t("v_sheet")), landed)
+    return files.read_csv(t.spark, landed, schemas.REVIEWS_SHEET)
+
+
 @query(
     "pairs_flat",
     """select business_name input_text, review_text output_text from {v_sheet}
@@ -179,12 +192,19 @@ def _local(t):
     hit = lambda i: F.struct(
         name.alias("title"),
         F.when(key % 4 != 0, i + F.lit(0.25)).alias("rating"),
+        (key * 10 + i).cast("int").alias("reviews"),
         F.concat(F.lit("p"), i.cast("string")).alias("place_id"),
+        F.concat(F.lit("d"), key.cast("string")).alias("data_id"),
+        F.concat(i.cast("string"), F.lit(" Main St, "), F.col("c_mktsegment")).alias("address"),
+        F.when(key % 2 != 0, F.concat(F.lit("+"), key.cast("string"))).alias("phone"),
         F.when(key % 3 != 0, F.col("c_mktsegment")).alias("website"),
+        F.concat(F.lit("r/"), name).alias("reviews_link"),
+        F.concat(F.lit("f/"), name).alias("photos_link"),
         F.when(
             key % 6 != 0,
             F.struct((F.col("c_nationkey") + 0.5).alias("latitude"), (i + F.lit(0.125)).alias("longitude")),
         ).alias("gps_coordinates"),
+        F.when(key % 5 != 0, F.concat(F.lit("t/"), i.cast("string"))).alias("thumbnail"),
     )
     fails = key % 7 == 0
     hits = F.transform(F.sequence(F.lit(1), F.lit(2)), hit)
@@ -201,16 +221,17 @@ _LOCAL = """(select *, unnest(range(1, 3)) i from {customer} where c_custkey % 7
 @query(
     "flatten_local",
     f"""select c_name place_name, case when c_custkey % 4 <> 0 then i + 0.25::double end rating,
-               'p' || i place_id, case when c_custkey % 3 <> 0 then c_mktsegment end website,
+               cast(c_custkey * 10 + i as int) reviews, 'p' || i place_id, 'd' || c_custkey data_id,
+               i || ' Main St, ' || c_mktsegment address, case when c_custkey % 2 <> 0 then '+' || c_custkey end phone,
+               case when c_custkey % 3 <> 0 then c_mktsegment end website, 'r/' || c_name reviews_link,
+               'f/' || c_name photos_link, case when c_custkey % 5 <> 0 then 't/' || i end thumbnail,
                case when c_custkey % 6 <> 0 then c_nationkey + 0.5::double end latitude,
                case when c_custkey % 6 <> 0 then i + 0.125::double end longitude
         from {_LOCAL}""",
 )
 def flatten_local(t):
     flat = payloads.flatten_local_results(_local(t))
-    return flat.select(
-        "place_name", "rating", "place_id", "website", "gps_coordinates.latitude", "gps_coordinates.longitude"
-    )
+    return flat.select("*", "gps_coordinates.latitude", "gps_coordinates.longitude").drop("gps_coordinates")
 
 
 @query("flatten_local_errors", "select c_custkey, 'no results' error from {customer} where c_custkey % 7 = 0")

@@ -9,7 +9,8 @@ from savora.catalog.views import DENIED_PART, DENIED_WORDS
 from savora.functions.text import clean_text
 from savora.operators.grouped import value_counts
 from savora.plans import marts, meals, recommend, staging
-from savora.session import stored
+from savora.session import scratch_path, stored
+from savora.sources.tables import TableStore, dated
 
 RULES = {"words": DENIED_WORDS, "part": DENIED_PART}
 
@@ -237,6 +238,24 @@ def dietary_grid(t):
     return recommend.dietary_prompts(menu)
 
 
+@query(
+    "dietary_answers",
+    f"""with {RECS} select business_name, meal_name, q dietary_question,
+               'Ask about: ' || q dietary_response, date '2024-05-01' create_date
+        from recs, (select unnest([{sql_list(recommend.QUESTIONS)}]) q) where {MENU}""",
+)
+def dietary_answers(t):
+    """Answers, here plain text for each question, are appended with their day and read back."""
+    store = TableStore(t.spark, scratch_path(t.spark, "store"))
+    store.create_empty(["mart.dietary_responses"])
+    menu = recommend.menu_filter(marts.meal_reviews(t("v_mentions")), **RULES)
+    prompts = recommend.dietary_prompts(menu)
+    answered = prompts.withColumn("response", F.concat(F.lit("Ask about: "), F.col("dietary_question")))
+    rows = dated(recommend.dietary_responses(answered), "2024-05-01")
+    store.append("mart.dietary_responses", rows, "answers-1")
+    return store.read("mart.dietary_responses")
+
+
 @query(
     "meal_rollup",
     """select cluster_label, count(*) cluster_label_count, round(avg(sentiment), 9) sentiment_avg,

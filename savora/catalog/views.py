@@ -74,10 +74,12 @@ VIEWS = {
                case when event_id % 13 = 0 then null
                     else 1704067200 + event_id * 60
                          + case when event_id % 500 = 0 then 1000000000 else 0 end
-               end last_modified_timestamp
+               end last_modified_timestamp, 1706000000 + event_id * 90 crawl_timestamp
         from {events}""",
     "v_crawl": """
         select concat('s', cast(page_id % 4 as string)) snapshot, page_id record_id, url from {pages}""",
+    "v_crawl_text": """
+        select concat('s', cast(page_id % 4 as string)) snapshot, page_id record_id, html text from {pages}""",
     "v_dictionary": """
         select distinct p_name meal_name from {part}""",
 }
@@ -86,6 +88,7 @@ SNAPSHOTS = ["s0", "s1", "s2", "s3"]
 TERMS = ["/en/", "/fr/", "/de/", "example.com", "page=2"]
 DENIED_WORDS = ["blue bolt", "red widget"]
 DENIED_PART = "ring"
+TEXT_TERMS = ["<p>", "the", "</html>", "href"]
 WATCHED = ["click", "view", "purchase"]
 
 _NAME = re.compile(r"\{(" + "|".join([*TABLES, *VIEWS]) + r")\}")
