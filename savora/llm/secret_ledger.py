@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from savora.llm.common import text_or_empty
-from savora.session import scratch_path
+from savora.session import scratch_path, stored
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,8 @@ def scanned(versions: DataFrame, ledger: str | None = None, content: str = "text
     spark = versions.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
     scan(versions, ledger, content, rules)
-    found = findings(spark, ledger, rules).withColumnRenamed("blob", "blob__")
+    # Written, so that the join can split a blob that very many paths hold.
+    found = stored(findings(spark, ledger, rules).withColumnRenamed("blob", "blob__"), "findings")
     kept = [c for c in versions.columns if c.lower() not in {"blob__", *(r.kind for r in rules)}]
     paths = versions.select(*kept).withColumn("blob__", blob_of(content))
     return paths.join(found, "blob__").drop("blob__")
@@ -183,7 +184,8 @@ def redacted(docs: DataFrame, ledger: str | None = None, text: str = "text", rul
     scan(docs, ledger, text, rules)
     kinds = [r.kind for r in rules]
     found = findings(spark, ledger, rules).select(F.col("blob").alias("blob__"), listed(kinds).alias("spans__"))
-    rows = docs.withColumn("blob__", blob_of(text)).join(found.where(F.size("spans__") > 0), "blob__", "left")
+    found = stored(found.where(F.size("spans__") > 0), "findings")
+    rows = docs.withColumn("blob__", blob_of(text)).join(found, "blob__", "left")
     body = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cleaned = F.aggregate(
