@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,8 @@ def build_session(app: str = "savora", master: str | None = None, **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local session may go without one; it then gets a fresh folder under /tmp.
+    Only a local session may go without one; it then gets a fresh folder under /tmp, which goes when the
+    program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,6 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="savora-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _LOCAL_FOLDER[0], ignore_errors=True)
     return _LOCAL_FOLDER[0]
 
 
