@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
 from savora.llm.common import record_batches
-from savora.llm.tokens import byte_alphabet, token_bytes
+from savora.llm.tokens import as_symbols, byte_alphabet, token_bytes
 
 TABLE_ENTRIES = 300_000
 _BLANKS = b" \t\n\x0b\x0c\r"
-_PLAIN = re.compile(r"([A-Za-z]+)([.,!?;:]*)")
+# Letters that normalising only lower-cases, one by one, with punctuation behind them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 DDL = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 
@@ -92,7 +93,9 @@ class CutEncoder:
         """The pre-tokens of a chunk, in byte symbols."""
         plain = _PLAIN.fullmatch(chunk)
         if plain is not None:
-            return [w for w in (plain[1].lower(), plain[2]) if w]
+            letters = plain[1].lower()
+            letters = letters if letters.isascii() else as_symbols(letters)
+            return [letters, plain[2]] if plain[2] else [letters]
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))]
 
     def _chunk(self, chunk: bytes) -> bytes:
