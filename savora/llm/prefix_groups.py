@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles, each a 64-bit hash; the ord
 order. Two sets as similar as wanted share a member of their prefixes, the first `size - least overlap + 1`
 members. Documents with equal sets are one; sets with the same prefix and size are one group, and only
 groups are posted under their prefix members. Where groups meet in the list of a member, they are expanded to
-their sets, of which pairs are filtered by size and by a bound on the overlap from 512-bit parity
+their sets, of which pairs are filtered by size and by a bound on the overlap from parity
 sketches. Each of these filters passes every pair that is similar enough. What is left, clusters of sets
 with possible partners, is verified set against set on the whole texts.
 
@@ -32,7 +32,6 @@ from savora.llm import lists
 from savora.llm.components import components
 from savora.session import stored
 
-SKETCH_WORDS = 8
 MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 512, 512, 16
 BITS = 1 << 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,14 +70,51 @@ def least_overlap(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
-    """The parity of the members that fall on each of 512 bits.
+def sketch_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """How often 512 bits are doubled so that sets of n too far apart show it.
+
+    Sets that share nothing differ in about half the bits, which must be well above what is allowed.
+    """
+    wanted = np.maximum(np.asarray(n) * (100 - percent) / 20, 512)
+    return np.ceil(np.log2(wanted / 512)).astype(np.int64)
+
+
+def sketch(members: np.ndarray, percent: int) -> np.ndarray:
+    """The parity of the members that fall on each bit, packed.
 
     Two sketches differ in at most as many bits as their sets do in members.
     """
-    places = (_mixed(members * _ODD[1]) >> np.uint64(55)).astype(np.int64)
-    odd = (np.bincount(places, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64)
+    size = 512 << int(sketch_class(len(members), percent))
+    places = (_mixed(members * _ODD[1]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=size) & 1).astype(np.uint8))
+
+
+class Sketches:
+    """Sketches of different sizes, compared at the smaller of two; a larger one is folded once."""
+
+    def __init__(self, packed: list[bytes], classes: np.ndarray):
+        self.classes = classes
+        self.words: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        for c in np.unique(classes).tolist():
+            own, next_ = np.flatnonzero(classes == c), np.flatnonzero(classes == c + 1)
+            rows = [np.frombuffer(b"".join(packed[i] for i in own.tolist()), dtype=np.uint64).reshape(len(own), -1)]
+            if len(next_):
+                bits = np.unpackbits(np.frombuffer(b"".join(packed[i] for i in next_.tolist()), dtype=np.uint8))
+                halves = bits.reshape(len(next_), -1, 2)
+                rows.append(np.packbits(halves[:, :, 0] ^ halves[:, :, 1], axis=1).view(np.uint64))
+            self.words[c] = np.concatenate(rows)
+            self.place[c] = np.full(len(classes), -1)
+            self.place[c][np.concatenate([own, next_])] = np.arange(len(own) + len(next_))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits each pair differs; b's class is a's or the next."""
+        found = np.zeros(len(a), dtype=np.int64)
+        for c in np.unique(self.classes[a]).tolist():
+            at = np.flatnonzero(self.classes[a] == c)
+            words, place = self.words[c], self.place[c]
+            found[at] = np.bitwise_count(words[place[a[at]]] ^ words[place[b[at]]]).sum(axis=1, dtype=np.int64)
+        return found
 
 
 def _digest(members: np.ndarray, odd: np.uint64) -> int:
@@ -100,14 +136,14 @@ def _sets(width: int, percent: int):
                         continue
                     prefix = members[:n - least_overlap(n, percent) + 1]
                     group = _digest(np.append(prefix, np.uint64(n)), _ODD[2])
-                    rows.append((doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), group, prefix.view(np.int64), sketch(members).tobytes()))
+                    rows.append((doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), group, prefix.view(np.int64), sketch(members, percent).tobytes()))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), SETS, strict=True)], schema=SETS)
 
     return run
 
 
-def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within blocks whose sizes and sketches allow the wanted similarity.
 
     Rows are sorted by block and size, so the partners of a row by size are the next ones; all rows step
@@ -123,8 +159,7 @@ def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: np
         both = n[a] + n[b]
         fit = lists.may_pair(side[a], side[b])
         x, y, both = a[fit], b[fit], both[fit]
-        apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
-        near = (100 + percent) * apart <= (100 - percent) * both
+        near = (100 + percent) * sketches.apart(x, y) <= (100 - percent) * both
         left.append(x[near])
         right.append(y[near])
         step += 1
@@ -139,11 +174,12 @@ def _clusters(percent: int):
         groups = some.column(names.index("members"))
         members = groups.flatten()
         reps, size = (members.field(c).to_numpy() for c in ("rep", "n"))
-        sketches = np.frombuffer(b"".join(members.field("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+        packed = members.field("sketch").to_pylist()
         row = np.repeat(np.arange(some.num_rows), np.diff(groups.offsets.to_numpy()))
         block = np.searchsorted(starts, row, "right")
         order = np.lexsort((size, block))
-        row, block, reps, size, sketches = row[order], block[order], reps[order], size[order], sketches[order]
+        row, block, reps, size = row[order], block[order], reps[order], size[order]
+        sketches = Sketches([packed[i] for i in order.tolist()], sketch_class(size, percent))
         a, b = _candidates(block, size, lists.sides(some)[row], sketches, percent)
         label = lists.local_components((a, b), reps)
         at = np.unique(np.concatenate([a, b]))
@@ -176,7 +212,7 @@ def _verified(width: int, percent: int):
             order = np.argsort([len(s) for s in sets], kind="stable")
             sets, own, sides = [sets[i] for i in order.tolist()], reps[start:stop][order], side[start:stop][order]
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            left, right = _candidates(np.zeros(len(n), np.int64), n, sides, np.stack([sketch(s) for s in sets]), percent)
+            left, right = _candidates(np.zeros(len(n), np.int64), n, sides, Sketches([sketch(s, percent).tobytes() for s in sets], sketch_class(n, percent)), percent)
             forest = _Forest(len(sets))
             for a, b in zip(left.tolist(), right.tolist()):
                 x, y = forest.top(a), forest.top(b)
