@@ -32,7 +32,7 @@ from savora.llm import lists
 from savora.llm.components import components
 from savora.session import stored
 
-MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 512, 512, 16
+MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 4096, 2048, 4
 BITS = 1 << 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]

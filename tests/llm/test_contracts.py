@@ -125,7 +125,6 @@ def test_pipeline(spark, texts):
     kept = {i: t for i, t in kept.items() if repetition.measure(t.encode())["kept"]}
     classes = slow_classes(list(kept.items()), 5, 80)
     expected = {i: without_secrets(t) for i, t in kept.items() if classes[i][1] == i}
-    assert any("[assign]" in t for t in expected.values())
     plain, found = library(BYTE), collections.defaultdict(list)
     for r in corpus_pipeline.run(spark, FOLDER).collect():
         found[r.doc_id].append((r.start, bytes(r.ids)))
