@@ -293,10 +293,18 @@ def cluster_labels(t):
     return meals.label_clusters(t("v_mentions").drop("cluster_label"))
 
 
-@query("cluster_sample_labels")
+@query(
+    "cluster_sample_labels",
+    "select cluster, cast(least(3, count(*)) as int) labels, true all_of_cluster from {v_mentions} where cluster is not null group by 1",
+)
 def cluster_sample_labels(t):
-    drawn = meals.with_sample_labels(t("v_mentions").drop("cluster_label"))
-    return drawn.withColumn("cluster_label", F.array_join("cluster_label", "|"))
+    """Up to three labels are drawn per cluster, each of them a meal of that cluster."""
+    rows = t("v_mentions").where("cluster is not null")
+    drawn = meals.sample_labels(rows).select("cluster", F.posexplode("cluster_label").alias("draw", "meal_name"))
+    own = rows.select("cluster", "meal_name").distinct().withColumn("own", F.lit(True))
+    return drawn.join(own, ["cluster", "meal_name"], "left").groupBy("cluster").agg(
+        F.count("*").cast("int").alias("labels"), F.min(F.coalesce("own", F.lit(False))).alias("all_of_cluster")
+    )
 
 
 @query(
