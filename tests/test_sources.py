@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from savora import schemas
-from savora.session import scratch_path, shared_folder, spread, stored
+from savora.session import scratch_path, shared_folder, stored
 from savora.sources import files, payloads, tables
 
 
@@ -62,11 +62,9 @@ def test_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-def test_stored_and_spread(spark):
+def test_stored(spark):
     rows = spark.range(10, numPartitions=1)
     assert stored(rows, "x").count() == 10
-    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(spark.range(100, numPartitions=64)).rdd.getNumPartitions() == 64
 
 
 def test_gzip_lines_can_be_spread(spark):

@@ -85,7 +85,7 @@ def test_batches_and_answers(spark):
     found = extraction.extract_responses(rows, complete).collect()
     assert all(r.response.startswith(f"taco {r.id} of ") for r in found)
     assert sorted({r.response.rsplit(" ", 1)[1] for r in found}) == ["10", "90"]
-    lanes = extraction.extract_responses(rows, complete, lanes=2)
+    lanes = extraction.extract_responses(rows, complete, lanes=2, pause=0)
     assert lanes.rdd.getNumPartitions() == 2 and lanes.count() == 1000
 
 
