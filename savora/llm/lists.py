@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from savora.session import stored
 
 
-def blocks(members: DataFrame, key: str, member: str, most: int, name: str) -> DataFrame:
-    """The (key, member) rows of all lists of two or more, with block columns ``i``, ``k`` and their own ``chunk``."""
-    counts = stored(members.groupBy(key).agg(F.count("*").alias("n__")).where("n__ > 1"), name)
-    chunks = F.ceil(F.col("n__") / most).cast("int")
+def blocks(members: DataFrame, key: str, member: str, most: int, name: str, weight: str | None = None, most_weight: int = 1) -> DataFrame:
+    """The (key, member) rows of all lists of two or more, with block columns ``i``, ``k`` and their own ``chunk``.
+
+    With a column ``weight`` a chunk also weighs at most about ``most_weight``, or is one member.
+    """
+    weighed = F.sum(weight) if weight else F.lit(0)
+    counts = stored(members.groupBy(key).agg(F.count("*").alias("n__"), weighed.alias("weight__")).where("n__ > 1"), name)
+    by_weight = F.least("n__", F.ceil(F.col("weight__") / most_weight))
+    chunks = F.greatest(F.ceil(F.col("n__") / most), by_weight).cast("int")
     rows = members.join(counts, key).withColumn("chunk", F.pmod(F.xxhash64(member), chunks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    return rows.withColumn("i", F.least("chunk", "other")).withColumn("k", F.greatest("chunk", "other")).drop("n__", "other")
+    return rows.withColumn("i", F.least("chunk", "other")).withColumn("k", F.greatest("chunk", "other")).drop("n__", "weight__", "other", *([weight] if weight else []))
 
 
 def compared(rows: DataFrame, key: str, compare: Callable[[pa.RecordBatch, np.ndarray], dict], schema: pa.Schema, ddl: str) -> DataFrame:
@@ -64,13 +69,34 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
         if batch.num_rows == 0:
             continue
         table = pa.Table.from_batches([batch])
+        table = table.cast(pa.schema([f.with_type(_large(f.type)) for f in table.schema]))
         table = table if rest is None else pa.concat_tables([rest, table])
         starts = _starts(table)
         if len(starts) > 1:
-            yield table.slice(0, starts[-1]).combine_chunks().to_batches()[0], starts
+            yield _one_batch(table.slice(0, starts[-1])), starts
         rest = table.slice(starts[-1])
     if rest is not None:
-        yield rest.combine_chunks().to_batches()[0], np.array([0, rest.num_rows])
+        yield _one_batch(rest), np.array([0, rest.num_rows])
+
+
+def _large(kind: pa.DataType) -> pa.DataType:
+    """The type with 64-bit offsets, at every depth; 32-bit ones end at 2 GiB a column."""
+    if pa.types.is_string(kind):
+        return pa.large_string()
+    if pa.types.is_binary(kind):
+        return pa.large_binary()
+    if pa.types.is_list(kind):
+        return pa.large_list(kind.value_field.with_type(_large(kind.value_type)))
+    if pa.types.is_struct(kind):
+        return pa.struct([f.with_type(_large(f.type)) for f in kind])
+    return kind
+
+
+def _one_batch(table: pa.Table) -> pa.RecordBatch:
+    batches = table.combine_chunks().to_batches()
+    if len(batches) != 1:
+        raise RuntimeError(f"a block of {table.num_rows} rows came apart into {len(batches)} batches")
+    return batches[0]
 
 
 def _starts(table: pa.Table) -> np.ndarray:

@@ -33,13 +33,15 @@ from savora.llm.components import components
 from savora.session import stored
 
 MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 4096, 2048, 4
+# Bytes of text in a chunk that is verified.
+MOST_BYTES = 1 << 26
 BITS = 1 << 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64())]
 )
-SETS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, gid bigint, prefix array<bigint>, sketch binary"
+SETS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, gid bigint, prefix array<bigint>, sketch binary, size bigint"
 CLUSTERS = pa.schema([("label", pa.int64()), ("rep", pa.int64())])
 CLUSTERS_DDL = "label bigint, rep bigint"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -129,14 +131,15 @@ def _sets(width: int, percent: int):
                 part = batch.slice(start, 1000)
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()), strict=True):
-                    members = shingles(text.as_py() or b"", width)
+                    whole = text.as_py() or b""
+                    members = shingles(whole, width)
                     n = len(members)
                     if n == 0:
-                        rows.append((doc_id, 0, 0, 0, 0, [], b""))
+                        rows.append((doc_id, 0, 0, 0, 0, [], b"", len(whole)))
                         continue
                     prefix = members[:n - least_overlap(n, percent) + 1]
                     group = _digest(np.append(prefix, np.uint64(n)), _ODD[2])
-                    rows.append((doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), group, prefix.view(np.int64), sketch(members, percent).tobytes()))
+                    rows.append((doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), group, prefix.view(np.int64), sketch(members, percent).tobytes(), len(whole)))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), SETS, strict=True)], schema=SETS)
 
@@ -296,7 +299,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "tex
     hung = components(clusters)
     linked = hung.select(F.col("component").alias("label"), F.col("id").alias("rep"))
     clusters = stored(linked.union(hung.select("component", "component").distinct()), "clusters")
-    wanted = lists.blocks(clusters, "label", "rep", MOST_SETS, "cluster-sizes")
+    # With what the texts of a set's first id weigh; copies of a text are read once.
+    weighed = sets.where("n > 0").join(clusters.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("label", "doc_id", *same).agg(F.max("size").alias("size"))
+    weighed = stored(weighed.groupBy("label", F.col("doc_id").alias("rep")).agg(F.sum("size").alias("size")), "weighed-clusters")
+    wanted = lists.blocks(weighed, "label", "rep", MOST_SETS, "cluster-sizes", "size", MOST_BYTES)
     near = clusters.select("rep")
     texts = rows.where(_perhaps(near)).join(near, rows["doc_id"] == near["rep"], "left_semi").distinct()
     verified = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("label", "i", "k", "chunk", "rep", "text")

@@ -8,10 +8,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from savora.llm import bpe_cuts, interleave, packing, prefix_groups, repetition, secret_ledger, token_shards, tokens
+from savora.llm import bpe_cuts, interleave, lists, packing, prefix_groups, repetition, secret_ledger, token_shards, tokens
 from savora.session import scratch_path
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -212,6 +213,40 @@ def test_prefix_groups(spark, monkeypatch, width, percent):
     assert kept == {i for i, (_, c) in found.items() if i == c}
 
 
+def test_blocks_of_texts_past_two_gib_stay_whole():
+    some = pa.record_batch([pa.array([1] * 64), *[pa.array([0] * 64)] * 3, pa.array(["x" * (1 << 20)] * 64)], names=["label", "i", "k", "chunk", "text"])
+    (block, starts), = lists._whole_blocks(iter([some] * 33))
+    assert block.num_rows == 64 * 33 == starts[-1]
+
+
+def test_blocks_that_come_apart_are_an_error():
+    with pytest.raises(RuntimeError):
+        lists._one_batch(pa.table({"x": pa.array([], pa.int64())}))
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([(1, i, 1000 if i % 2 else 10) for i in range(200)] + [(2, i, 10**6) for i in range(3)], "label long, rep long, size long")
+    placed = lists.blocks(rows, "label", "rep", 10**6, "test", "size", 10_000).collect()
+    size = {(r.label, r.rep): r.size for r in rows.collect()}
+    held = collections.Counter()
+    for r in placed:
+        held[r.label, r.chunk] += size[r.label, r.rep] if r.i == r.k else 0
+    assert sum(held.values()) == sum(size.values())
+    assert max(n for (label, _), n in held.items() if label == 1) < 30_000
+    assert max(n for (label, _), n in held.items() if label == 2) < 3 * 10**6
+
+
+def test_prefix_groups_in_blocks_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(prefix_groups, "MOST_BYTES", 3000)
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(150)]
+    docs = [(i, " ".join(w if rng.random() > 0.004 * (i % 5) else f"x{i}" for w in base)) for i in range(60)]
+    docs += [(7, docs[7][1]), (8, docs[8][1].upper())]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in prefix_groups.classes(frame, 3, 90).collect()}
+    assert found == {(i, *c) for i, c in slow_classes(docs, 3, 90).items()}
+
+
 def test_prefix_groups_on_odd_rows(odd_documents, no_documents):
     rows = prefix_groups.classes(odd_documents, 3, 90).collect()
     assert len(rows) == odd_documents.count()
