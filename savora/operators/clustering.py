@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 
 import numpy as np
@@ -20,8 +21,10 @@ from savora.session import stored
 # Workers get this module's functions by value and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Names that are clustered together in one task; longer lists of a business are cut into such runs.
+# Names that are clustered together in one task; blocks of more are refined.
 RUN_NAMES = 512
+# Parts of a signature that come from the vector, with the axes of each; those of its hash part vectors that are all alike.
+PARTS, AXES, HASH_PARTS = 8, 4, 8
 
 
 def mention_text(meal: Column, sentiment: Column) -> Column:
@@ -94,6 +97,65 @@ def _weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, rounds: in
     return labels
 
 
+@functools.lru_cache(maxsize=8)
+def _axes(length: int) -> np.ndarray:
+    """Seeded random directions; across the diagonal, as counts all lie along it."""
+    axes = np.random.default_rng([23, length]).normal(size=(length, PARTS * AXES))
+    return axes - axes.mean(axis=0) if length > 1 else axes
+
+
+def _signature(vectors: pd.Series) -> pd.Series:
+    """One digit a part: the axis a vector is nearest to, and on which side."""
+    found = pd.Series("", index=vectors.index, dtype=object)
+    for length, own in vectors.groupby(vectors.map(len)):
+        along = (np.stack(own.to_numpy()).astype(np.float64) @ _axes(int(length))).reshape(len(own), PARTS, AXES)
+        nearest = np.abs(along).argmax(axis=2)
+        digits = 2 * nearest + (np.take_along_axis(along, nearest[:, :, None], axis=2)[:, :, 0] < 0)
+        found[own.index] = ["".join(map(str, row)) for row in digits.tolist()]
+    return found
+
+
+def _blocks(cells: DataFrame, percent: int, run_names: int) -> DataFrame:
+    """``cells`` (b, signature, n) with ``block``, a prefix of the signature.
+
+    All names are parted by the first part; blocks of more than ``run_names`` by the next. Parts that are
+    due no cluster join their first sibling that is due one; where none is, they stay one block.
+    """
+    cells = stored(cells.withColumn("block", F.lit("")), "cells")
+    for part in range(PARTS + HASH_PARTS):
+        crowded = cells.groupBy("b", "block").agg(F.sum("n").alias("in_block"))
+        if part:
+            crowded = crowded.where(F.col("in_block") > run_names)
+            if crowded.isEmpty():
+                break
+        crowded = stored(crowded.select("b", "block"), "crowded")
+        digit = F.substring("signature", part + 1, 1)
+        parts = stored(cells.join(crowded, ["b", "block"]).groupBy("b", "block", digit.alias("digit")).agg(F.sum("n").alias("m")), "parts")
+        due = F.col("m") * percent >= 100
+        first = parts.where(due).groupBy("b", "block").agg(F.min("digit").alias("first"))
+        to = F.when(due, F.col("digit")).otherwise(F.coalesce("first", F.lit("*")))
+        # Written, so that the join can split a business with very many names.
+        moves = stored(parts.join(first, ["b", "block"], "left").select("b", "block", "digit", to.alias("to")), "moves")
+        moved = cells.withColumn("digit", digit).join(moves, ["b", "block", "digit"], "left")
+        cells = stored(moved.select("b", "signature", "n", F.concat("block", F.coalesce("to", F.lit(""))).alias("block")), "cells")
+    return cells
+
+
+def _shares(blocks: DataFrame, percent: int) -> DataFrame:
+    """Of each block (b, block, in_block) its ``share`` of its business's k and the number of its ``first`` cluster.
+
+    Each has its own percentage, rounded down; what is left of k goes to the largest remainders.
+    """
+    due = F.col("in_block") * percent
+    blocks = blocks.withColumn("base", F.floor(due / 100)).withColumn("rest", -(due % 100))
+    k = F.greatest(F.lit(1), F.floor(F.sum("in_block") * percent / 100))
+    left = stored(blocks.groupBy("b").agg((k - F.sum("base")).alias("left")), "shares-left")
+    blocks = blocks.withColumn("hash", F.xxhash64("block")).withColumn("one", F.lit(1))
+    ranked = with_running_count(blocks, ["b"], ["rest", "hash", "block"], "one").join(left, "b")
+    dealt = ranked.select("b", "block", (F.col("base") + (F.col("upto") <= F.col("left")).cast("bigint")).alias("share"))
+    return with_running_count(dealt, ["b"], ["block"], "share").withColumn("first", F.col("upto") - F.col("share")).drop("upto")
+
+
 def cluster_mentions(
     mentions: DataFrame,
     percent: int = 50,
@@ -109,10 +171,10 @@ def cluster_mentions(
     with their counts as weights, so equal names are never apart. A name's vector comes from the name
     and its mean sentiment, from the name alone, or from a column of vectors (the smallest the name has).
 
-    The names of a business, in alphabetical order, are cut into equal runs of at most about
-    ``run_names``, and k is dealt to the runs so that the parts add up to k; there are never more runs
-    than clusters. A short list is one run, a longer one several: the rule is the same. No task holds
-    more than one run, and the order of a business's names is never sorted in one task.
+    The names of a business of any size are blocked by a signature of their vectors, and k is dealt to
+    the blocks so that the parts add up to k. Blocks of more than ``run_names`` are refined by the next
+    part of the signature, so a further name changes its own block, and the share of one other at most.
+    No task holds more than a block; a block passes ``run_names`` only where less would be due no cluster.
     """
     unit = ["business_name", "meal_name"]
     mean = F.avg(F.coalesce("sentiment", F.lit(0.5)).cast("decimal(18,6)")).cast("double")
@@ -121,26 +183,15 @@ def cluster_mentions(
         mean.alias("sentiment"),
         *([F.min(vector).alias("embedding")] if vector else []),
     )
-    names = names.withColumn("low", F.lower("meal_name")).withColumn("one", F.lit(1))
-    ranked = with_running_count(names, ["business_name"], ["low", "meal_name"], "one")
-    ranked = stored(ranked.withColumn("rank", F.col("upto") - 1).drop("one", "upto", "low"), "ranked-names")
-    n, k, runs, run = (F.col(c) for c in ("n", "k", "runs", "run"))
-    sizes = (
-        ranked.groupBy(F.col("business_name").alias("b"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("k", F.greatest(F.lit(1), F.floor(n * percent / 100)).cast("bigint"))
-        .withColumn("runs", F.least(F.ceil(n / run_names), k))
-    )
-    placed = (
-        ranked.join(sizes, F.col("business_name").eqNullSafe(F.col("b")))
-        .withColumn("run", F.floor(F.col("rank") * runs / n))
-        .withColumn("first", F.floor(run * k / runs))
-        .withColumn("share", F.floor((run + 1) * k / runs) - F.col("first"))
-        .drop("b", "n", "k", "runs", "rank")
-    )
+    name = F.coalesce("meal_name", F.lit(""))
     if not vector:
-        name = F.coalesce("meal_name", F.lit(""))
-        placed = embed_text(placed, mention_text(name, F.col("sentiment")) if with_sentiment else F.lower(name), size)
+        names = embed_text(names, mention_text(name, F.col("sentiment")) if with_sentiment else F.lower(name), size)
+    signature = F.concat(F.pandas_udf(_signature, "string")("embedding"), F.substring(F.md5(name), 1, HASH_PARTS))
+    key = F.coalesce(F.concat(F.lit("="), "business_name"), F.lit(""))
+    signed = stored(names.select(key.alias("b"), *unit, "weight", "embedding", signature.alias("signature")), "signed-names")
+    cells = _blocks(signed.groupBy("b", "signature").agg(F.count("*").alias("n")), percent, run_names)
+    shares = stored(_shares(cells.groupBy("b", "block").agg(F.sum("n").alias("in_block")), percent), "shares")
+    placed = signed.join(cells.drop("n"), ["b", "signature"]).join(shares, ["b", "block"])
 
     def solve(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("meal_name", na_position="first")
@@ -150,7 +201,7 @@ def cluster_mentions(
         return held[unit].assign(cluster=labels + int(held["first"].iloc[0]))
 
     solved = (
-        placed.groupBy("business_name", "run")
+        placed.groupBy("b", "block")
         .applyInPandas(solve, "business_name string, meal_name string, cluster int")
         .toDF("b", "m", "cluster")
     )

@@ -1,5 +1,6 @@
 """Ranks, outliers, clusters and skewed groups."""
 
+import itertools
 import random
 import statistics
 
@@ -141,6 +142,30 @@ def test_clusters_of_six_thousand_names(spark):
     check_clusters(pairs_of(spark, {"big": 6000}))
 
 
+def shared(clusters):
+    held = {}
+    for (_, name), cluster in clusters.items():
+        held.setdefault(cluster, []).append(name)
+    return {p for names in held.values() for p in itertools.combinations(sorted(names), 2)}
+
+
+def dishes(n):
+    rng = random.Random(n)
+    parts = [["grilled", "spicy", "crispy", "smoked", "sweet", "house", "baked", "old"], ["chicken", "beef", "lobster", "tofu", "pork", "bean", "shrimp", "duck"], ["taco", "burrito", "roll", "soup", "salad", "curry", "burger", "bowl"]]
+    every = [" ".join(words) for words in itertools.product(*parts)]
+    rng.shuffle(every)
+    return every
+
+
+@pytest.mark.parametrize("new", ["aaa", "fish and chips", "zucchini fritters"])
+def test_clusters_survive_one_more_name(spark, new):
+    names = dishes(1)
+    assert len(names) == clustering.RUN_NAMES
+    frame = lambda some: spark.createDataFrame([("a", n, 1.0, 5) for n in some], "business_name string, meal_name string, sentiment double, rating int")
+    before, after = shared(check_clusters(frame(names))), shared(check_clusters(frame([*names, new])))
+    assert len(before & after) >= 0.6 * len(before)
+
+
 def test_names_with_many_sentiments_stay_whole(spark):
     rows = [("a", name, i / 1500, 1) for name in ("food", "taco") for i in range(1500)]
     found = check_clusters(spark.createDataFrame(rows, "business_name string, meal_name string, sentiment double, rating int"))
