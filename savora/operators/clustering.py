@@ -173,7 +173,7 @@ def cluster_mentions(
 
     The names of a business of any size are blocked by a signature of their vectors, and k is dealt to
     the blocks so that the parts add up to k. Blocks of more than ``run_names`` are refined by the next
-    part of the signature, so a further name changes its own block, and the share of one other at most.
+    part of the signature, so a further name mostly changes its own block, and shares of a few others.
     No task holds more than a block; a block passes ``run_names`` only where less would be due no cluster.
     """
     unit = ["business_name", "meal_name"]
