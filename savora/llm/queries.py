@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import bpe_cuts, cap_filters, interleave, packing, prefix_groups, repetition, secret_ledger, token_shards, toxicity, warc_salvage
+from savora.llm import bpe_cuts, cap_filters, interleave, packing, prefix_groups, prefix_trie, repetition, secret_ledger, structure_repair, token_shards, toxicity, warc_salvage
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,97 @@ select doc_id, cast(n as bigint) as n_shingles, c as component_id from n join m
 @query("op2_prefix_groups", _JACCARD)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_groups.classes(table(spark, folder, "documents"), width=3, percent=90)
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit; DuckDB has no such function."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: [cast(ascii(ch) as bigint), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda s, b: xor(xor(s, b) >> 1, case when xor(s, b) & 1 = 1 then 3988292384 else 0 end)"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {bits}), {step}), 4294967295)"
+
+
+_TRIE = f"""
+with o as (
+  select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, turn from conversations where conv_id is not null),
+t as (
+  select c, md5(length(r) || ':' || r || x) as g, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as w,
+         row_number() over (partition by c order by turn nulls first, r, md5(length(r) || ':' || r || x)) as i
+  from o),
+h as (select distinct c, {_crc32_sql("cast(c as varchar)")} % 4 as h from t),
+p as (
+  select c, g, w, 0 as own, i from h join (select c as b, g, w, i from t) on b = c - c % 20 and i <= h
+  union all select c, g, w, 1, i from t join h using (c) where i > h),
+q as (select c, g, w, row_number() over (partition by c order by own, i) as d from p),
+f as (
+  select c, string_agg(g, '' order by d) as path, list(w order by d) as ws from q group by c
+  union all select c, '', [] from h where c not in (select c from q)),
+e as (select c, path, ws, unnest(range(0, len(ws) + 1)) as d from f),
+n as (
+  select substr(path, 1, 32 * d) as node, d, min(c) as conv, count(*) as n, case when d = 0 then 0 else any_value(ws[d]) end as w,
+         sha256(coalesce(string_agg(case when len(ws) = d then cast(c as varchar) end, ',' order by c), '')) as ends
+  from e group by 1, 2),
+k as (select substr(node, 1, 32 * (d - 1)) as node, count(*) as kids from n where d > 0 group by 1),
+m as (select n.*, coalesce(kids, 0) as kids from n left join k using (node)),
+u as (
+  select substr(node, 1, 32 * up) as node, sum((n - 1) * w) as saved, count(*) filter (where kids = 0) as leaves
+  from (select *, unnest(range(0, d + 1)) as up from m) group by 1)
+select m.conv as conv_id, m.d as depth, a.conv as parent_conv_id, m.n as n_convs, m.kids as n_children,
+       cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, m.ends as ends_sha256
+from m join u using (node) left join n a on m.d > 0 and a.node = substr(m.node, 1, 32 * (m.d - 1))"""
+
+
+@query("op11_prefix_trie", _TRIE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, folder, "conversations"))
+
+
+_REPAIR = f"""
+with recursive o as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {_crc32_sql("conv_id || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as harm
+  from conversations where conv_id is not null),
+d as (
+  select conv_id, turn, case when harm = 4 then 'user' else role end as role,
+         case when harm = 1 then '' when harm = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when harm = 3 then [0, 1] when harm = 0 then [] else [0] end) as copy from o),
+p0 as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(length(role) || ':' || role || text), copy) as i from d),
+p as (select *, row_number() over (partition by conv_id, role, text order by i) as seen from p0),
+f as (
+  select *, substr(role, 1, 1) as first, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'b' when seen > 1 then 'd'
+    when regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) not in ('.', '!', '?') then 't' else '' end as fault
+  from p),
+w as (select *, lag(first) over (partition by conv_id order by i) || first as pair from f),
+c as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank,
+         count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+         count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from w group by 1),
+ins(q, q1, audit, fee, text) as (
+  values (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 3, chr(10) || 'user:'),
+         (1, 2, 'I', 3, chr(10) || 'user:'), (3, 2, 'I', 3, chr(10) || 'user:'), (2, 3, 'I', 3, chr(10) || 'assistant:'),
+         (0, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:')),
+ed(q1, first, q2, edit, fee, role) as (
+  values (0, '', 0, 'D', 4, ''), (1, '', 1, 'D', 4, ''), (2, '', 2, 'D', 4, ''), (3, '', 3, 'D', 4, ''), (0, 's', 1, 'K', 0, ''),
+         (0, 'u', 2, 'K', 0, ''), (1, 'u', 2, 'K', 0, ''), (3, 'u', 2, 'K', 0, ''), (2, 'a', 3, 'K', 0, ''), (0, '', 2, 'R', 3, 'user'),
+         (1, '', 2, 'R', 3, 'user'), (3, '', 2, 'R', 3, 'user'), (2, '', 3, 'R', 3, 'assistant')),
+g as (
+  select distinct conv_id, cast(0 as bigint) as i, 0 as q, {{'cost': 0, 'audit': '', 'text': ''}} as best from p
+  union all
+  select g.conv_id, f.i, q2, min({{'cost': best.cost + ins.fee + ed.fee + case when edit <> 'D' and fault = 't' then 3 else 0 end,
+         'audit': best.audit || ins.audit || edit,
+         'text': best.text || ins.text || case edit when 'D' then '' when 'K' then chr(10) || f.role || ':' || f.text else chr(10) || ed.role || ':' || f.text end}})
+  from g join f on f.conv_id = g.conv_id and f.i = g.i + 1 join ins on ins.q = g.q
+  join ed on ed.q1 = ins.q1 and (ed.first = '' or ed.first = f.first) and (edit = 'D' or fault not in ('b', 'd'))
+  group by g.conv_id, f.i, q2),
+z as (
+  select g.conv_id, min({{'cost': best.cost + ins.fee, 'audit': best.audit || ins.audit, 'text': best.text || ins.text}}) as best
+  from g join (select conv_id, max(i) as i from p group by 1) using (conv_id, i) join ins on ins.q = g.q and ins.q1 in (0, 3) group by 1)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost,
+       coalesce(best.audit, '') as audit, sha256(coalesce(substr(best.text, 2), '')) as repaired_sha256
+from (select distinct conv_id from o) left join c using (conv_id) left join z using (conv_id)"""
+
+
+@query("op12_structure_repair", _REPAIR)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return structure_repair.repairs(table(spark, folder, "conversations"))
