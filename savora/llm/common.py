@@ -6,12 +6,14 @@ import posixpath
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = (1 << 64) - 1
+BITS = 1 << 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,3 +61,32 @@ def record_batches(rows: Iterable[tuple], schema: pa.Schema, most_bytes: int = 4
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.record_batch([pa.array(v, t.type) for v, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+def perhaps_in(ids: DataFrame) -> Column:
+    """A test on ``doc_id`` that passes all of ``ids`` (one bigint column) and few others.
+
+    The ids set bits in a bitmap of a fixed 2 MB, so what the driver and the tasks hold does not grow. With
+    very many ids more others pass; the join behind it drops them.
+    """
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
+    found = (
+        ids.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        .collect()
+    )
+    per_bucket = 8 * len(found[0].bits) if found else 1
+    bits = {r.bucket: np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little") for r in found}
+
+    def run(buckets: pa.Array, positions: pa.Array) -> pa.Array:
+        b, p = buckets.to_numpy(zero_copy_only=False), positions.to_numpy(zero_copy_only=False)
+        passes = np.zeros(len(b), dtype=bool)
+        for bucket in np.unique(b):
+            if bucket in bits:
+                own = b == bucket
+                passes[own] = bits[bucket][p[own] % per_bucket] > 0
+        return pa.array(passes)
+
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    return F.arrow_udf(run, "boolean")(F.bitmap_bucket_number(own), F.bitmap_bit_position(own))

@@ -25,17 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from savora.llm import lists
+from savora.llm.common import perhaps_in
 from savora.llm.components import components
 from savora.session import stored
 
 MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 4096, 2048, 4
 # Bytes of text in a chunk that is verified.
 MOST_BYTES = 1 << 26
-BITS = 1 << 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SETS = pa.schema(
@@ -231,35 +231,6 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _perhaps(ids: DataFrame) -> Column:
-    """A test on ``doc_id`` that passes all of ``ids`` (one bigint column) and few others.
-
-    The ids set bits in a bitmap of a fixed 2 MB, so what the driver and the tasks hold does not grow. With
-    very many ids more others pass; the join behind it drops them.
-    """
-    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
-    found = (
-        ids.select(place.alias("place"))
-        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-        .collect()
-    )
-    per_bucket = 8 * len(found[0].bits) if found else 1
-    bits = {r.bucket: np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little") for r in found}
-
-    def run(buckets: pa.Array, positions: pa.Array) -> pa.Array:
-        b, p = buckets.to_numpy(zero_copy_only=False), positions.to_numpy(zero_copy_only=False)
-        passes = np.zeros(len(b), dtype=bool)
-        for bucket in np.unique(b):
-            if bucket in bits:
-                own = b == bucket
-                passes[own] = bits[bucket][p[own] % per_bucket] > 0
-        return pa.array(passes)
-
-    own = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    return F.arrow_udf(run, "boolean")(F.bitmap_bucket_number(own), F.bitmap_bit_position(own))
-
-
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by sets of ``width`` words at ``percent`` % Jaccard."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -304,7 +275,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "tex
     weighed = stored(weighed.groupBy("label", F.col("doc_id").alias("rep")).agg(F.sum("size").alias("size")), "weighed-clusters")
     wanted = lists.blocks(weighed, "label", "rep", MOST_SETS, "cluster-sizes", "size", MOST_BYTES)
     near = clusters.select("rep")
-    texts = rows.where(_perhaps(near)).join(near, rows["doc_id"] == near["rep"], "left_semi").distinct()
+    texts = rows.where(perhaps_in(near)).join(near, rows["doc_id"] == near["rep"], "left_semi").distinct()
     verified = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("label", "i", "k", "chunk", "rep", "text")
     hung = components(lists.compared(verified, "label", _verified(width, percent), EDGES, EDGES_DDL))
     of_set = stored(

@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and the SQL for those that SQL can express."""
+"""The operators over their whole tables, and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savora.llm import bpe_cuts, cap_filters, interleave, packing, prefix_groups, prefix_trie, repetition, secret_ledger, structure_repair, token_shards, toxicity, warc_salvage
+from savora.llm import bpe_cuts, cap_filters, interleave, packing, prefix_groups, prefix_trie, repetition, secret_ledger, structure_repair, substring_dedup, token_shards, toxicity, warc_salvage
 from savora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,3 +348,25 @@ from (select distinct conv_id from o) left join c using (conv_id) left join z us
 @query("op12_structure_repair", _REPAIR)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return structure_repair.repairs(table(spark, folder, "conversations"))
+
+
+_SUBSTRING = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+w as (
+  select doc_id, unnest(range(0, greatest(len(ws) - 12, 0))) as i,
+         unnest(list_transform(range(1, greatest(len(ws) - 12, 0) + 1), lambda i: array_to_string(ws[i:i + 12], ' '))) as g from d),
+r as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as least from w) where doc_id > least),
+x as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from d),
+c as (
+  select x.doc_id, x.i, x.word, r.i is not null as gone
+  from x left join (select distinct doc_id, unnest(range(i + 1, i + 14)) as i from r) r using (doc_id, i)),
+k as (
+  select doc_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where not gone), '') as kept
+  from c group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)"""
+
+
+@query("op13_substring_dedup", _SUBSTRING)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, folder, "documents"), width=13, digest=True)
