@@ -3,10 +3,15 @@
 Writing: pages with equal payloads share one response record, that of the smallest page id; the others are
 revisit records that refer to it. Each task writes archives of its own, one gzip member per record.
 
-Reading: every record is checked (member checksum, version line, lengths, block digest). After a failed
-check the reader searches on for the next valid start, a gzip member that opens with a version line
-or, in an archive that is not compressed, a version line itself, reads on from there, and logs the bytes in
-between as a quarantined gap. Nothing but one record and one block of the file is in memory at a time.
+Reading: every record is checked (member checksum, version line, header digest, lengths, block digest). What is
+read is decided anew at every position: a gzip member that opens with a version line, or a version line itself. After a
+failed check the reader searches on for the next start of either kind that passes all checks, reads on from
+there, and logs the bytes in between as a quarantined gap. Nothing but one record and one block of the file is in memory at a time; a
+member is unpacked no further than its header says.
+
+The header digest, an extension field over all other header lines, is required of archives that this writer
+made; for those of others pass ``signed=False``, then it is checked where there is one. A number that is
+malformed, not absent, breaks its record.
 
 Null payloads are empty ones; empty payloads are payloads like others (`least_bytes` says from which
 size on copies become revisits). Rows without a page id are written with an empty id; they count as
@@ -36,6 +41,8 @@ VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 GZIP_MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_FIELD, REFERS_FIELD, LENGTH_FIELD = "WARC-X-Page-ID", "WARC-X-Refers-To-Page-ID", "WARC-X-Payload-Length"
+HEADER_FIELD = "WARC-X-Header-Digest"
+HEADER_BYTES = 64 << 20
 ARCHIVES = pa.schema([("folder", pa.string()), ("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 ARCHIVES_DDL = "folder string, archive string, records bigint, bytes bigint"
 READ = pa.schema(
@@ -78,8 +85,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if revisit:
         fields += [("WARC-Profile", REVISIT_PROFILE), (REFERS_FIELD, _one_line(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    return VERSIONS[1] + head + b"\r\n" + block + b"\r\n\r\n"
+    head = VERSIONS[1] + "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
+    return head + f"{HEADER_FIELD}: sha1:{digest_of(head)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def _member(data: bytes) -> bytes:
@@ -93,8 +100,10 @@ def with_types(pages: DataFrame, least_bytes: int = 0, payload: str = "html") ->
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     large = F.octet_length("payload") >= least_bytes
-    first = (
-        rows.where(large).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # Written, so that the join can split a payload that very many pages share.
+    first = stored(
+        rows.where(large).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"),
+        "first-pages",
     )
     revisit = large & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return (
@@ -167,23 +176,6 @@ class Broken(Exception):
     """A record that fails a check."""
 
 
-def _member_at(source: Source, start: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``start`` and its end."""
-    unpacker, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not unpacker.eof:
-            data = source.read(at, min(64 << 10, source.size - at))
-            if not data:
-                raise Broken("member cut off")
-            parts.append(unpacker.decompress(data))
-            if parts[0] and not parts[0].startswith(tuple(v[:len(parts[0])] for v in VERSIONS)):
-                raise Broken("no version line")
-            at += len(data)
-    except zlib.error as error:
-        raise Broken(f"member: {error}") from None
-    return b"".join(parts), at - len(unpacker.unused_data)
-
-
 def _fields(head: bytes) -> dict[str, str]:
     found = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
@@ -194,15 +186,28 @@ def _fields(head: bytes) -> dict[str, str]:
     return found
 
 
-def _checked(data: bytes) -> dict:
-    """The parts of one whole record."""
-    head, blank, rest = data.partition(b"\r\n\r\n")
-    if not head.startswith(tuple(v[:-2] for v in VERSIONS)) or not blank:
-        raise Broken("no version line or header")
+def _header(head: bytes, signed: bool) -> tuple[dict[str, str], int]:
+    """The fields of a whole header and the length of the block, once the header has passed its checks."""
+    if not (head + b"\r\n").startswith(VERSIONS):
+        raise Broken("no version line")
+    lines, _, last = head.rpartition(b"\r\n")
+    name, _, digest = last.decode("utf-8", "replace").partition(": ")
+    if name == HEADER_FIELD:
+        if digest != f"sha1:{digest_of(lines + b'\r\n')}":
+            raise Broken("header digest")
+    elif signed:
+        raise Broken("no header digest")
     fields = _fields(head)
     length = fields.get("content-length", "")
-    if not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not (length.isascii() and length.isdigit()):
         raise Broken("length of the block")
+    return fields, int(length)
+
+
+def _checked(fields: dict[str, str], rest: bytes) -> dict:
+    """The parts of one record whose header is good; ``rest`` is what follows the header's blank line."""
+    if rest[-4:] != b"\r\n\r\n":
+        raise Broken("end of the block")
     block = rest[:-4]
     if fields.get("warc-block-digest") not in (None, f"sha1:{digest_of(block)}"):
         raise Broken("block digest")
@@ -214,7 +219,11 @@ def _checked(data: bytes) -> dict:
 
     def number(name: str) -> int | None:
         value = fields.get(name.lower(), "")
-        return int(value) if value.lstrip("-").isdigit() else None
+        if not value:
+            return None
+        if not (value.isascii() and value.removeprefix("-").isdigit()):
+            raise Broken(f"number in {name}")
+        return int(value)
 
     return {
         "page_id": number(PAGE_FIELD), "record_type": kind, "url": fields.get("warc-target-uri"), "refers_to": number(REFERS_FIELD),
@@ -222,34 +231,71 @@ def _checked(data: bytes) -> dict:
     }
 
 
-def _plain_at(source: Source, start: int) -> tuple[bytes, int]:
-    """The bytes of the record at ``start`` of an archive without compression, and its end."""
-    if not source.read(start, 10).startswith(VERSIONS):
-        raise Broken("no version line")
-    stop = source.find((b"\r\n\r\n",), start)
-    if stop >= source.size:
+def _member_at(source: Source, start: int, signed: bool) -> tuple[dict, int]:
+    """The record in the gzip member at ``start``, and the member's end."""
+    unpacker, data, at, tail = zlib.decompressobj(31), bytearray(), start, b""
+    fields, body, length, seen = None, 0, 0, 0
+    try:
+        while not unpacker.eof:
+            if not tail:
+                tail = source.read(at, min(64 << 10, source.size - at))
+                if not tail:
+                    raise Broken("member cut off")
+                at += len(tail)
+            data += unpacker.decompress(tail, 1 << 20)
+            tail = unpacker.unconsumed_tail
+            if fields is None:
+                if not data[:10].startswith(tuple(v[:len(data)] for v in VERSIONS)):
+                    raise Broken("no version line")
+                stop = data.find(b"\r\n\r\n", max(0, seen - 3))
+                seen = len(data)
+                if stop >= 0:
+                    fields, length = _header(bytes(data[:stop]), signed)
+                    body = stop + 4
+                elif len(data) > HEADER_BYTES:
+                    raise Broken("header without an end")
+            if fields is not None and len(data) > body + length + 4:
+                raise Broken("length of the block")
+    except zlib.error as error:
+        raise Broken(f"member: {error}") from None
+    if fields is None or len(data) != body + length + 4:
+        raise Broken("length of the block")
+    return _checked(fields, bytes(data[body:])), at - len(unpacker.unused_data)
+
+
+def _plain_at(source: Source, start: int, signed: bool) -> tuple[dict, int]:
+    """The record that is written at ``start`` as it is, and its end."""
+    # A header has no version line but its first, so the search ends at the next record at the latest.
+    ends = (b"\r\n\r\n", *(b"\n" + v for v in VERSIONS))
+    stop = source.find(ends, start)
+    if source.read(stop, 4) != ends[0]:
         raise Broken("header cut off")
-    length = _fields(source.read(start, stop - start)).get("content-length", "")
-    if not length.isdigit() or stop + 8 + int(length) > source.size:
+    fields, length = _header(source.read(start, stop - start), signed)
+    body = stop + 4
+    if body + length + 4 > source.size:
         raise Broken("block cut off")
-    end = stop + 8 + int(length)
-    return source.read(start, end - start), end
+    return _checked(fields, source.read(body, length + 4)), body + length + 4
+
+
+def _record_at(source: Source, start: int, signed: bool) -> tuple[dict, int]:
+    head = source.read(start, min(10, source.size - start))
+    if head.startswith(GZIP_MAGIC):
+        return _member_at(source, start, signed)
+    if head.startswith(VERSIONS):
+        return _plain_at(source, start, signed)
+    raise Broken("neither a member nor a version line")
 
 
-def salvage(source: Source) -> Iterator[tuple[int, int, dict | None, str | None]]:
+def salvage(source: Source, signed: bool = True) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(start, length, record, None) of each good record and (start, length, None, reason) of each gap."""
-    packed = source.read(0, 3) == GZIP_MAGIC or source.find(VERSIONS, 0) == source.size
-    whole = _member_at if packed else _plain_at
-    patterns = (GZIP_MAGIC,) if packed else VERSIONS
     at, gap, reason = 0, None, None
     while at < source.size:
         try:
-            data, end = whole(source, at)
-            found = _checked(data)
+            found, end = _record_at(source, at, signed)
         except Broken as error:
             if gap is None:
                 gap, reason = at, str(error)
-            at = source.find(patterns, at + 1)
+            at = source.find((GZIP_MAGIC, *VERSIONS), at + 1)
             continue
         if gap is not None:
             yield gap, at - gap, None, reason
@@ -260,7 +306,7 @@ def salvage(source: Source) -> Iterator[tuple[int, int, dict | None, str | None]
         yield gap, source.size - gap, None, reason
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, signed: bool = True) -> DataFrame:
     """All records of the listed archives (``folder``, ``archive``); gaps are the rows with ``quarantined``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +317,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for folder, archive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     files, root = open_folder(folder)
                     with files.open_input_file(joined_path(root, archive)) as file:
-                        for start, length, found, reason in salvage(Source(file)):
+                        for start, length, found, reason in salvage(Source(file), signed):
                             values = [found[n] for n in names] if found else [None] * len(names)
                             yield archive, start, length, found is None, reason, *values
 
