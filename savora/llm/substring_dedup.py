@@ -21,9 +21,7 @@ take none from others. Rows that repeat an id are not smaller than each other; e
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +40,13 @@ ROWS = 2
 # Cells a sketch row has at least and at most, and cells of one piece of it.
 LEAST_CELLS, MOST_CELLS, PIECE_CELLS = 1 << 22, 1 << 30, 1 << 22
 # Windows of a chunk of documents, and bytes of text whose words are looked at together.
-CHUNK_WINDOWS, BLOCK_BYTES = 1 << 22, 4 << 20
-MOST_NAMES = 1 << 19
+CHUNK_WINDOWS, BLOCK_BYTES = 1 << 20, 2 << 20
+# Bytes up to which words are coded all at once.
+LONG_WORD = 256
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 SKETCHES = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("shift", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 SKETCHES_DDL = "row int, piece int, shift int, once binary, twice binary"
 MERGED = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("bits", pa.binary())])
@@ -64,28 +65,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Names:
-    """Two 64-bit codes for each word, made once; emptied when it has grown too large."""
-
-    def __init__(self):
-        self.place: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.codes = np.zeros((0, 2), np.uint64)
-        self.size = 0
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.place) > MOST_NAMES or self.size > 1 << 25:
-            self.__init__()
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        known = len(self.codes)
-        if len(self.place) > known:
-            new = self._last(len(self.place) - known)
-            self.size += sum(map(len, new))
-            digests = b"".join(xxhash.xxh3_128_digest(w) for w in new)
-            self.codes = np.concatenate([self.codes, np.frombuffer(digests, np.uint64).reshape(-1, 2)])
-        return self.codes[at]
-
-    def _last(self, n: int) -> list[bytes]:
-        return list(islice(reversed(self.place), n))[::-1]
+def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``data`` begins, and two 64-bit codes for each."""
+    raw = np.frombuffer(data, np.uint8)
+    word = np.concatenate([[False], ~_BLANK[raw], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    # Eight bytes at every place; what lies behind a word's end is masked.
+    loads = np.ndarray((len(data) + 1,), "<u8", data + b"\0" * 8, strides=(1,))
+    codes = [size.astype(np.uint64) * odd for odd in _ODD[:2]]
+    at = np.flatnonzero(size <= LONG_WORD)
+    for step in range(0, LONG_WORD, 8):
+        at = at[size[at] > step]
+        if not len(at):
+            break
+        part = loads[begin[at] + step] & _MASKS[np.minimum(size[at] - step, 8)]
+        for lane, odd in zip(codes, _ODD[:2], strict=True):
+            lane[at] = _mixed((lane[at] ^ part) * odd)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = np.frombuffer(xxhash.xxh3_128_digest(data[begin[i]:begin[i] + size[i]]), np.uint64)
+        codes[0][i], codes[1][i] = digest
+    return begin, np.stack(codes, axis=1)
 
 
 class Chunk:
@@ -102,34 +102,32 @@ class Chunk:
         self.base: list[np.ndarray] = []
         self.windows = self.words = 0
 
-    def add(self, rows: list[tuple[int, int, list[bytes]]], names: _Names) -> None:
-        """Documents with an id, as (id, tag, words)."""
-        codes = names([w for _, _, words in rows for w in words])
+    def add(self, rows: list[tuple[int, int, bytes]]) -> None:
+        """Documents with an id, as (id, tag, text)."""
+        places, codes = word_codes(b" ".join(text for _, _, text in rows))
         if len(codes) < self.width:
             return
-        sizes = np.array([len(words) for _, _, words in rows])
-        begin = np.cumsum(sizes) - sizes
+        ends = np.cumsum([len(text) + 1 for _, _, text in rows])
+        stop = np.searchsorted(places, ends)
+        sizes = np.diff(stop, prepend=0)
+        begin = stop - sizes
         n = np.maximum(sizes - self.width + 1, 0)
         doc = np.repeat(np.arange(len(rows)), n)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        total = self._digest(codes[:, 0], _ODD[0])
         at = begin[doc] + start
+        total = np.full(len(codes) - self.width + 1, self.width, dtype=np.uint64)
+        for j in range(self.width):
+            total = _mixed(total * _ODD[0] + codes[j:len(codes) - self.width + 1 + j, 0])
         self.first.append(total[at])
-        self.doc.append(doc + len(self.ids))
+        self.doc.append((doc + len(self.ids)).astype(np.int32))
         self.start.append(start)
         self.base.append(at + self.words)
-        self.codes.append(codes[:, 1])
+        self.codes.append(codes[:, 1].copy())
         self.ids += [i for i, _, _ in rows]
         self.tags += [t for _, t, _ in rows]
         self.windows += len(doc)
         self.words += len(codes)
 
-    def _digest(self, codes: np.ndarray, odd: np.uint64) -> np.ndarray:
-        total = np.full(len(codes) - self.width + 1, self.width, dtype=np.uint64)
-        for j in range(self.width):
-            total = _mixed(total * odd + codes[j:len(codes) - self.width + 1 + j])
-        return total
-
     def cells(self, bits: int) -> Iterator[np.ndarray]:
         """For each sketch row the cells of all windows, a document's repeated windows once."""
         first, doc = np.concatenate(self.first), np.concatenate(self.doc)
@@ -141,8 +139,8 @@ class Chunk:
         for row in range(ROWS):
             yield np.sort(cell_of(first, row, bits))
 
-    def repeated(self, bits: int, sketch: list[np.ndarray]) -> Iterator[tuple[np.ndarray | None, ...]]:
-        """Columns of ``FOUND``: the smallest id of each window under its key, then runs of windows that must go, under none."""
+    def repeated(self, bits: int, sketch: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Columns of ``FOUND``: the smallest id of each window under its key (n is 0), then runs of n windows that must go."""
         first, doc, start = (np.concatenate(x) for x in (self.first, self.doc, self.start))
         flagged = np.ones(len(first), dtype=bool)
         for row in range(ROWS):
@@ -162,22 +160,27 @@ class Chunk:
         least = ids[doc][begins][np.cumsum(begins) - 1]
         gone = ids[doc] > least
         open_ = ~gone
-        yield first[open_].view(np.int64), second[open_].view(np.int64), ids[doc[open_]], tags[doc[open_]], start[open_], np.ones(int(open_.sum()), np.int64)
+        yield first[open_].view(np.int64), second[open_].view(np.int64), ids[doc[open_]], tags[doc[open_]], start[open_], np.zeros(int(open_.sum()), np.int64)
         doc, start = doc[gone], start[gone]
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         run = np.ones(len(doc), dtype=bool)
         run[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
         begin = np.flatnonzero(run)
-        yield None, None, ids[doc[begin]], tags[doc[begin]], start[begin], np.diff(np.append(begin, len(doc)))
+        yield tags[doc[begin]], start[begin], ids[doc[begin]], tags[doc[begin]], start[begin], np.diff(np.append(begin, len(doc)))
 
 
 def cell_of(first: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (first if row == 0 else _mixed(first * _ODD[row])) >> np.uint64(64 - bits)
 
 
+def shift_for(gap: float) -> int:
+    """How many low bits are written as they are, so that the gaps of the rest are about 64."""
+    return max(0, int(gap).bit_length() - 7)
+
+
 def packed_cells(cells: np.ndarray, shift: int) -> bytes:
-    """Sorted distinct numbers as bytes: the gaps of what is above ``shift`` bits in runs of 255 and a rest, then the low bytes."""
+    """Sorted distinct numbers as bytes: the gaps of what is above ``shift`` bits in runs of 255 and a rest, then the low bits."""
     if not len(cells):
         return b""
     high = (cells >> np.uint64(shift)).astype(np.int64)
@@ -185,43 +188,43 @@ def packed_cells(cells: np.ndarray, shift: int) -> bytes:
     longer = gaps // 255
     out = np.full(int(longer.sum()) + len(gaps), 255, dtype=np.uint8)
     out[np.cumsum(longer + 1) - 1] = gaps % 255
-    low = cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :shift // 8]
+    low = np.packbits((cells[:, None] >> np.arange(shift, dtype=np.uint64) & np.uint64(1)).astype(np.uint8))
     return np.uint32(len(cells)).tobytes() + out.tobytes() + low.tobytes()
 
 
 def unpacked_cells(data: bytes, shift: int) -> np.ndarray:
     if not data:
         return np.zeros(0, np.int64)
-    n, wide = int(np.frombuffer(data[:4], np.uint32)[0]), shift // 8
-    gaps = np.frombuffer(data, np.uint8, len(data) - 4 - n * wide, 4)
+    n = int(np.frombuffer(data[:4], np.uint32)[0])
+    wide = (n * shift + 7) // 8
+    gaps = np.frombuffer(data, np.uint8, len(data) - 4 - wide, 4)
     cells = (np.cumsum(gaps, dtype=np.int64)[gaps != 255]) << shift
-    low = np.frombuffer(data, np.uint8, n * wide, len(data) - n * wide).reshape(n, wide)
-    for j in range(wide):
-        cells |= low[:, j].astype(np.int64) << (8 * j)
+    if shift:
+        low = np.unpackbits(np.frombuffer(data, np.uint8, wide, len(data) - wide), count=n * shift).reshape(n, shift)
+        cells |= low.astype(np.int64) @ (1 << np.arange(shift))
     return cells
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
     """Rows (doc_id, tag, text) in chunks of documents."""
-    chunk, names = Chunk(width), _Names()
-    held: list[tuple[int, int, list[bytes]]] = []
+    chunk = Chunk(width)
+    held: list[tuple[int, int, bytes]] = []
     weight = 0
     for batch in batches:
         for doc_id, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
             whole = text.as_py()
-            words = whole.split() if whole and doc_id is not None else []
-            if len(words) < width:
+            if not whole or doc_id is None:
                 continue
-            held.append((doc_id, tag, words))
+            held.append((doc_id, tag, whole))
             weight += len(whole)
             if weight >= BLOCK_BYTES:
-                chunk.add(held, names)
+                chunk.add(held)
                 held, weight = [], 0
                 if chunk.windows >= CHUNK_WINDOWS:
                     yield chunk
                     chunk = Chunk(width)
     if held:
-        chunk.add(held, names)
+        chunk.add(held)
     if chunk.windows:
         yield chunk
 
@@ -230,9 +233,7 @@ def _sketched(width: int, bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for chunk in _chunks(batches, width):
             for row, cells in enumerate(chunk.cells(bits)):
-                # Gaps of about 16 above the low bytes that are written as they are.
-                gap = (1 << bits) / max(len(cells), 1)
-                shift = 0 if gap < 256 else 8 if gap < 1 << 16 else 16
+                shift = shift_for((1 << bits) / max(len(cells), 1))
                 new = np.ones(len(cells), dtype=bool)
                 new[1:] = cells[1:] != cells[:-1]
                 once, twice = cells[new], cells[~new]
@@ -294,9 +295,8 @@ def _candidates(width: int, bits: int, path: str):
         for chunk in _chunks(batches, width):
             sketch = _load(path, bits) if sketch is None else sketch
             for columns in chunk.repeated(bits, sketch):
-                for at in range(0, len(columns[-1]), 50_000):
-                    n = len(columns[-1][at:at + 50_000])
-                    yield pa.record_batch([pa.nulls(n, pa.int64()) if c is None else pa.array(c[at:at + n], pa.int64()) for c in columns], schema=FOUND)
+                for at in range(0, len(columns[0]), 50_000):
+                    yield pa.record_batch([pa.array(c[at:at + 50_000], pa.int64()) for c in columns], schema=FOUND)
 
     return run
 
@@ -333,11 +333,12 @@ def repeats(rows: DataFrame, width: int, bits: int) -> DataFrame:
     sketches = rows.mapInArrow(_sketched(width, bits), SKETCHES_DDL)
     path = scratch_path(rows.sparkSession, "sketch")
     sketches.repartition("row", "piece").sortWithinPartitions("row", "piece").mapInArrow(_summed, MERGED_DDL).write.parquet(path)
-    found = stored(rows.mapInArrow(_candidates(width, bits, path), FOUND_DDL), "windows")
-    least = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
-    across = found.where("k1 is not null").withColumn("least", least).where("doc_id > least").drop("least")
-    inside = found.where("k1 is null")
-    return across.union(inside).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = rows.mapInArrow(_candidates(width, bits, path), FOUND_DDL)
+    # Runs are keyed by their document and place, so that they spread; they take no part in the comparison.
+    least = F.min(F.when(F.col("n") == 0, F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
+    gone = found.withColumn("least", least).where("n > 0 or doc_id > least")
+    run = F.struct("start", F.greatest("n", F.lit(1)).alias("n"))
+    return gone.groupBy("doc_id", "tag").agg(F.collect_list(run).alias("runs"))
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, text: str = "text", digest: bool = False, most_cells: int = MOST_CELLS) -> DataFrame:

@@ -62,8 +62,8 @@ def test_full_sketch_loses_nothing(spark):
     rows = [(i, texts[i % 25] + " tail") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sketch = [np.full(substring_dedup.LEAST_CELLS >> 3, 255, np.uint8)] * substring_dedup.ROWS
-    chunk, names = substring_dedup.Chunk(13), substring_dedup._Names()
-    chunk.add([(i, 0, t.encode().split()) for i, t in rows], names)
+    chunk = substring_dedup.Chunk(13)
+    chunk.add([(i, 0, t.encode()) for i, t in rows])
     exact, runs = chunk.repeated(22, sketch)
     assert len(exact[0]) + runs[-1].sum() == chunk.windows
     found = {r.doc_id: r.n_removed for r in substring_dedup.deduplicated(docs, most_cells=1).collect()}
@@ -74,7 +74,19 @@ def test_empty_table(spark):
     assert substring_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("shift", [0, 8, 16])
+def test_words_are_coded_alike_wherever_they_stand():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("ab\u00e9\u00a0") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 200, 256, 257, 3000]))) for _ in range(400)]
+    text = "".join(w + rng.choice([" ", "\n\t", "\x0b\x0c", "\r "]) for w in words + words[::-1]).encode()
+    begin, codes = substring_dedup.word_codes(text)
+    assert [text[a:].split(None, 1)[0].decode() for a in begin] == words + words[::-1]
+    assert (codes == codes[::-1]).all() and len({tuple(c) for c in codes.tolist()}) == len(set(words))
+    assert len({c for c in codes[:, 0].tolist()}) == len({c for c in codes[:, 1].tolist()}) == len(set(words))
+    for empty in (b"", b" \n"):
+        assert len(substring_dedup.word_codes(empty)[0]) == 0
+
+
+@pytest.mark.parametrize("shift", [0, 3, 8, 13])
 def test_cells_come_back(shift):
     rng = np.random.default_rng(shift)
     for n in (0, 1, 7, 5000):
@@ -85,11 +97,11 @@ def test_cells_come_back(shift):
 def test_estimates_are_never_too_low():
     """Every window that two documents share is flagged by the merged sketches of all chunks."""
     rng = random.Random(9)
-    texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(300)).encode().split() for _ in range(30)]
+    texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(300)).encode() for _ in range(30)]
     chunks = []
     for part in range(3):
         chunk = substring_dedup.Chunk(5)
-        chunk.add([(i, 0, texts[i % 12]) for i in range(part, 30, 3)], substring_dedup._Names())
+        chunk.add([(i, 0, texts[i % 12]) for i in range(part, 30, 3)])
         chunks.append(chunk)
     for row in range(substring_dedup.ROWS):
         met = np.zeros(1 << 22, np.int64)
