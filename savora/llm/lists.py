@@ -108,6 +108,48 @@ def _starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+class Forest:
+    """Which members hang together, links taken in as they are found."""
+
+    def __init__(self, n: int):
+        self.top = np.arange(n)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.top[a] != self.top[b]
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.top[a], self.top[b]
+            open_ = x != y
+            if not open_.any():
+                return
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(self.top, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = self.top[self.top]
+                if (up == self.top).all():
+                    break
+                self.top = up
+
+
+def steps(block: np.ndarray, size: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within blocks whose sizes allow the similarity, some at a time.
+
+    Rows are sorted by block and size, so the partners of a row by size are the next ones; all rows step
+    on together until none has a partner left.
+    """
+    a, step = np.arange(len(size) - 1), 1
+    while len(a):
+        b = a + step
+        inside = b < len(size)
+        a, b = a[inside], b[inside]
+        go_on = (block[a] == block[b]) & (100 * size[a] >= percent * size[b])
+        a, b = a[go_on], b[go_on]
+        fit = may_pair(side[a], side[b])
+        yield a[fit], b[fit]
+        step += 1
+
+
 def local_components(links: tuple[np.ndarray, np.ndarray], order: np.ndarray) -> np.ndarray:
     """For each member the smallest ``order`` it is linked to, directly or over others."""
     at_rank = np.argsort(order, kind="stable")

@@ -3,14 +3,18 @@
 A document is the set of its distinct word shingles, each a 64-bit hash; the order of the hashes is the global
 order. Two sets as similar as wanted share a member of their prefixes, the first `size - least overlap + 1`
 members. Documents with equal sets are one; sets with the same prefix and size are one group, and only
-groups are posted under their prefix members. Where groups meet in the list of a member, they are expanded to
-their sets, of which pairs are filtered by size and by a bound on the overlap from parity
-sketches. Each of these filters passes every pair that is similar enough. What is left, clusters of sets
-with possible partners, is verified set against set on the whole texts.
+groups are posted under their prefix members, with their size and the member's place in the prefix.
 
-A pair whose two sets already hang together needs no verification, as only classes are asked for. Lists
-are worked on in blocks, so neither a large group of near copies nor a passage that many documents share
-lands in one task, and no task emits pairs.
+A member that one group alone has needs no list; a count-min sketch of all prefixes tells most of them before anything is
+shuffled. Of lists with the same groups one is kept: near copies share most of their prefixes, and would meet once
+for each. In a list, pairs of groups are filtered by size and by what the member's places leave to
+share; only the groups of pairs that pass are expanded to their sets, of which pairs are filtered by a bound on the
+overlap from parity sketches. Each of these filters passes every pair that is similar enough. What is left,
+clusters of sets with possible partners, is verified set against set on the whole texts.
+
+A pair whose two sets already hang together needs no verification, as only classes are asked for; links are
+taken into a forest as they are found, and no task keeps or emits pairs. Lists are worked on in blocks of a bounded
+number of sets, so neither a large group of near copies nor a passage that many documents share lands in one task.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A document with fewer words than a shingle has the
 whole sequence as its only member; one without words has the empty set and links with nothing, like a
@@ -28,12 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from savora.llm import lists
-from savora.llm.common import perhaps_in
+from savora.llm import lists, sketches
+from savora.llm.common import perhaps_in, record_batches
 from savora.llm.components import components
 from savora.session import stored
 
-MOST_POSTINGS, MOST_SETS, MOST_MEMBERS = 4096, 2048, 4
+# Sets of a chunk that is filtered and of one that is verified, sets of a row, and pairs looked at together.
+MOST_POSTINGS, MOST_SETS, MOST_MEMBERS, MOST_PAIRS = 4096, 2048, 64, 1 << 20
+# Prefix members of a partial sketch.
+CHUNK_MEMBERS = 1 << 20
 # Bytes of text in a chunk that is verified.
 MOST_BYTES = 1 << 26
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -46,6 +53,8 @@ CLUSTERS = pa.schema([("label", pa.int64()), ("rep", pa.int64())])
 CLUSTERS_DDL = "label bigint, rep bigint"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 EDGES_DDL = "a bigint, b bigint"
+POSTINGS = pa.schema([("member", pa.int64()), ("gid", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+POSTINGS_DDL = "member bigint, gid bigint, n bigint, place bigint"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -146,27 +155,67 @@ def _sets(width: int, percent: int):
     return run
 
 
-def _candidates(block: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within blocks whose sizes and sketches allow the wanted similarity.
+def least_common(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest intersection of sets of these sizes that are similar enough."""
+    return -(-percent * (a + b) // (100 + percent))
 
-    Rows are sorted by block and size, so the partners of a row by size are the next ones; all rows step
-    on together until none has a partner left.
-    """
-    left, right = [], []
-    a, step = np.arange(len(n) - 1), 1
-    while len(a):
-        b = a + step
-        a, b = a[b < len(n)], b[b < len(n)]
-        go_on = (block[a] == block[b]) & (100 * n[a] >= percent * n[b])
-        a, b = a[go_on], b[go_on]
-        both = n[a] + n[b]
-        fit = lists.may_pair(side[a], side[b])
-        x, y, both = a[fit], b[fit], both[fit]
-        near = (100 + percent) * sketches.apart(x, y) <= (100 - percent) * both
-        left.append(x[near])
-        right.append(y[near])
-        step += 1
-    return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (gid, n, prefix) as their members, hashed, with the group, size and place of each."""
+    for batch in batches:
+        lists_ = batch.column(2)
+        length = np.diff(lists_.offsets.to_numpy())
+        row = np.repeat(np.arange(batch.num_rows), length)
+        begin = np.cumsum(length) - length
+        members = lists_.flatten().to_numpy(zero_copy_only=False)
+        gid, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        yield members, gid[row], n[row], np.arange(len(row)) - begin[row]
+
+
+def _hashed(members: np.ndarray) -> np.ndarray:
+    # Prefix members are the smallest hashes, so they are mixed once more.
+    return _mixed(members.view(np.uint64) * _ODD[1])
+
+
+def _sketched(bits: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, size = [], 0
+        for members, *_ in _prefixes(batches):
+            held.append(_hashed(members))
+            size += len(members)
+            if size >= CHUNK_MEMBERS:
+                yield from sketches.of(np.concatenate(held), bits)
+                held, size = [], 0
+        if size:
+            yield from sketches.of(np.concatenate(held), bits)
+
+    return lambda batches: record_batches(rows(batches), sketches.PARTS)
+
+
+def _posted(bits: int, path: str):
+    """Postings of the members that may be in several groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _prefixes(batches):
+            found = sketches.repeated(_hashed(columns[0]), bits, sketches.load(path, bits))
+            columns = [c[found] for c in columns]
+            for at in range(0, len(columns[0]), 50_000):
+                yield pa.record_batch([pa.array(c[at:at + 50_000], pa.int64()) for c in columns], schema=POSTINGS)
+
+    return run
+
+
+def _expanded(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of sets of these pairs of rows, some at a time; of a row with itself each pair once."""
+    count = size[a] * size[b]
+    cuts = np.searchsorted(np.cumsum(count), np.arange(MOST_PAIRS, int(count.sum()) + MOST_PAIRS, MOST_PAIRS), "right")
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]):
+        x, y, many = a[start:stop], b[start:stop], count[start:stop]
+        pair = np.repeat(np.arange(len(x)), many)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+        left, right = begin[x[pair]] + at // size[y[pair]], begin[y[pair]] + at % size[y[pair]]
+        once = (x[pair] != y[pair]) | (left < right)
+        yield left[once], right[once]
 
 
 def _clusters(percent: int):
@@ -174,34 +223,41 @@ def _clusters(percent: int):
 
     def run(some: pa.RecordBatch, starts: np.ndarray) -> dict:
         names = some.schema.names
+        n, place, gid = (some.column(names.index(c)).to_numpy() for c in ("n", "place", "gid"))
         groups = some.column(names.index("members"))
         members = groups.flatten()
-        reps, size = (members.field(c).to_numpy() for c in ("rep", "n"))
-        packed = members.field("sketch").to_pylist()
-        row = np.repeat(np.arange(some.num_rows), np.diff(groups.offsets.to_numpy()))
-        block = np.searchsorted(starts, row, "right")
-        order = np.lexsort((size, block))
-        row, block, reps, size = row[order], block[order], reps[order], size[order]
-        sketches = Sketches([packed[i] for i in order.tolist()], sketch_class(size, percent))
-        a, b = _candidates(block, size, lists.sides(some)[row], sketches, percent)
-        label = lists.local_components((a, b), reps)
-        at = np.unique(np.concatenate([a, b]))
-        return {"label": label[at], "rep": reps[at]}
+        reps, packed = members.field("rep").to_numpy(), members.field("sketch").to_pylist()
+        size = np.diff(groups.offsets.to_numpy())
+        begin = np.cumsum(size) - size
+        block = np.searchsorted(starts, np.arange(some.num_rows), "right")
+        order = np.lexsort((n, block))
+        block, n, place, gid, size, begin, side = block[order], n[order], place[order], gid[order], size[order], begin[order], lists.sides(some)[order]
+        of = np.zeros(len(reps), dtype=np.int64)
+        of[np.repeat(begin, size) + np.arange(len(reps)) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(n, size)
+        compared, forest, met = Sketches(packed, sketch_class(of, percent)), lists.Forest(len(reps)), np.zeros(len(reps), dtype=bool)
+
+        def expand(a: np.ndarray, b: np.ndarray) -> None:
+            for x, y in _expanded(a, b, begin, size):
+                open_ = forest.apart(x, y)
+                x, y = x[open_], y[open_]
+                near = (100 + percent) * compared.apart(x, y) <= (100 - percent) * (of[x] + of[y])
+                forest.link(x[near], y[near])
+                met[x[near]] = met[y[near]] = True
+
+        # A place of -1 marks the list of one group's own rows, each compared with itself too.
+        inner = np.flatnonzero((place < 0) & (size > 1) & (side == 0))
+        expand(inner, inner)
+        for a, b in lists.steps(block, n, side, percent):
+            left = np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+            fit = np.where(place[a] < 0, True, (gid[a] != gid[b]) & (left >= least_common(n[a], n[b], percent)))
+            expand(a[fit], b[fit])
+        least = np.full(len(reps), np.iinfo(np.int64).max)
+        np.minimum.at(least, forest.top, reps)
+        return {"label": least[forest.top][met], "rep": reps[met]}
 
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
 def _verified(width: int, percent: int):
     """Of blocks of sets, edges that connect all those similar enough."""
 
@@ -215,22 +271,39 @@ def _verified(width: int, percent: int):
             order = np.argsort([len(s) for s in sets], kind="stable")
             sets, own, sides = [sets[i] for i in order.tolist()], reps[start:stop][order], side[start:stop][order]
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            left, right = _candidates(np.zeros(len(n), np.int64), n, sides, Sketches([sketch(s, percent).tobytes() for s in sets], sketch_class(n, percent)), percent)
-            forest = _Forest(len(sets))
-            for a, b in zip(left.tolist(), right.tolist()):
-                x, y = forest.top(a), forest.top(b)
-                if x == y:
-                    continue
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                    forest.up[y] = x
-                    edges.append((own[a], own[b]))
+            compared = Sketches([sketch(s, percent).tobytes() for s in sets], sketch_class(n, percent))
+            forest = lists.Forest(len(sets))
+            for x, y in lists.steps(np.zeros(len(n), np.int64), n, sides, percent):
+                open_ = forest.apart(x, y)
+                x, y = x[open_], y[open_]
+                near = (100 + percent) * compared.apart(x, y) <= (100 - percent) * (n[x] + n[y])
+                for at in np.flatnonzero(near).tolist():
+                    pair = x[at:at + 1], y[at:at + 1]
+                    if not forest.apart(*pair)[0]:
+                        continue
+                    a, b = int(x[at]), int(y[at])
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                        forest.link(*pair)
+                        edges.append((own[a], own[b]))
         found = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return {"a": found[:, 0], "b": found[:, 1]}
 
     return run
 
 
+def _lists(heads: DataFrame, percent: int) -> DataFrame:
+    """Postings (member, gid, n, place) of one row a group, one list of each set of groups that share a member."""
+    total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bits = sketches.bits_for(total)
+    path = sketches.merged(heads.mapInArrow(_sketched(bits), sketches.PARTS_DDL))
+    postings = stored(heads.mapInArrow(_posted(bits, path), POSTINGS_DDL), "prefix-postings")
+    marks = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    each = postings.groupBy("member").agg(F.count("*").alias("groups"), *marks).where("groups > 1")
+    kept = stored(each.groupBy("groups", "x1", "x2").agg(F.min("member").alias("member")).select("member"), "lists")
+    return postings.join(kept, "member")
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by sets of ``width`` words at ``percent`` % Jaccard."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -243,28 +316,31 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "tex
         .select(*same, "rep", "r.*"),
         "distinct-sets",
     )
-    # The sets of each group, in rows of a bounded number of them. If two groups had one digest they would be
-    # compared as one, and nothing lost.
-    sizes = stored(distinct.groupBy("gid").agg(F.count("*").alias("in_group")).where(F.col("in_group") > 1), "group-sizes")
+    # The sets of each group, in rows of a bounded number of them. Two groups of one digest would be told apart by
+    # their size and first member, and be compared as one.
+    group = ["gid", "n", "lead"]
+    distinct = distinct.withColumn("lead", F.col("prefix")[0])
+    sizes = distinct.groupBy(*group).agg(F.count("*").alias("in_group"), F.min("rep").alias("head"))
+    sizes = stored(sizes.where("in_group > 1"), "group-sizes")
+    grouped = distinct.join(sizes, group, "left")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("in_group", F.lit(1)) / MOST_MEMBERS))
-    groups = stored(
-        distinct.select("gid", "rep", "n", "sketch")
-        .join(sizes, "gid", "left")
-        .groupBy("gid", part.alias("part"))
-        .agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("members"))
-        .withColumn("unit", F.xxhash64("gid", "part")),
-        "groups",
+    units = (
+        grouped.groupBy("gid", "n", part.alias("part"))
+        .agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
+        .select("gid", "n", F.xxhash64("gid", "part").alias("unit"), F.size("members").cast("bigint").alias("held"), "members")
     )
-    # One posting per group and prefix member, as far as another group might share the member.
-    postings = distinct.select("gid", F.explode("prefix").alias("member"))
-    shared = stored(postings.groupBy("member").agg(F.count("*").alias("sets")).where("sets > 1").select("member"), "shared-members")
-    postings = postings.join(shared, "member").distinct().join(groups.select("gid", "unit"), "gid")
-    postings = stored(postings.select("member", "unit"), "postings")
-    placed = lists.blocks(postings, "member", "unit", MOST_POSTINGS, "posting-sizes").select("member", "i", "k", "chunk", "unit")
-    # Rows of several sets are also compared within themselves.
-    alone = [F.lit(0).alias(c) for c in ("i", "k", "chunk")]
-    inner = groups.where(F.size("members") > 1).select(F.xxhash64("unit", F.lit("inner")).alias("member"), *alone, "unit")
-    met = placed.union(inner).join(groups.select("unit", "members"), "unit").select("member", "i", "k", "chunk", "members")
+    units = stored(units, "units")
+    postings = _lists(grouped.where("head is null or rep = head").select("gid", "n", "prefix"), percent)
+    posted = postings.join(units.select("gid", "unit", "held"), "gid").select("member", "gid", "n", "place", "unit", "held")
+    # Groups of several sets are also compared within themselves.
+    own = units.join(sizes.select("gid", "n"), ["gid", "n"], "left_semi").select(F.xxhash64("gid", F.lit("own")).alias("member"), "gid", "n", F.lit(-1).cast("bigint").alias("place"), "unit", "held")
+    alone = own.withColumn("i", F.lit(0)).withColumn("k", F.lit(0)).withColumn("chunk", F.lit(0))
+    listed = stored(posted.union(own), "postings")
+    placed = lists.blocks(listed, "member", "unit", MOST_POSTINGS, "list-sizes", "held", MOST_POSTINGS)
+    single = listed.groupBy("member").agg(F.count("*").alias("rows"), F.max("place").alias("at")).where("rows = 1 and at < 0").select("member")
+    columns = ["member", "i", "k", "chunk", "gid", "place", "unit"]
+    met = placed.select(*columns).union(alone.join(single, "member").select(*columns))
+    met = met.join(units.select("unit", "n", "members"), "unit").select("member", "i", "k", "chunk", "gid", "n", "place", "members")
     clusters = lists.compared(met, "member", _clusters(percent), CLUSTERS, CLUSTERS_DDL)
     # Clusters that share a set become one, so that each text is needed once.
     hung = components(clusters)

@@ -10,7 +10,7 @@ id; windows are judged on the input. Two passes over the texts find them:
   but the smallest id of a window are settled at once; only that one meets the other chunks, so a passage that a
   third of all documents share sends one row a chunk and window.
 
-The cells grow with the bytes of the table, up to ``most_cells`` a row, which bounds what a worker holds (``ROWS`` x
+The cells grow with the bytes of the table, up to ``most_cells`` a row, which bounds what a worker holds (``sketches.ROWS`` x
 ``most_cells`` / 8 bytes). Beyond that the estimates get looser and more windows reach the exact grouping, where they are sorted out;
 the result is the same.
 
@@ -25,32 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import xxhash
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from savora.llm.common import open_folder, perhaps_in, record_batches
-from savora.session import scratch_path, stored
+from savora.llm import sketches
+from savora.llm.common import perhaps_in, record_batches
+from savora.session import stored
 
 WIDTH = 13
-ROWS = 2
-# Cells a sketch row has at least and at most, and cells of one piece of it.
-LEAST_CELLS, MOST_CELLS, PIECE_CELLS = 1 << 22, 1 << 30, 1 << 22
 # Windows of a chunk of documents, and bytes of text whose words are looked at together.
-CHUNK_WINDOWS, BLOCK_BYTES = 1 << 20, 2 << 20
+CHUNK_WINDOWS, BLOCK_BYTES = 1 << 19, 2 << 20
 # Bytes up to which words are coded all at once.
 LONG_WORD = 256
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
-SKETCHES = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("shift", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-SKETCHES_DDL = "row int, piece int, shift int, once binary, twice binary"
-MERGED = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("bits", pa.binary())])
-MERGED_DDL = "row int, piece int, bits binary"
 FOUND = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "doc_id", "tag", "start", "n")])
 FOUND_DDL = "k1 bigint, k2 bigint, doc_id bigint, tag bigint, start bigint, n bigint"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -59,12 +51,6 @@ DIGESTS = pa.schema([*list(RESULT)[:3], ("kept_sha256", pa.string())])
 DIGESTS_DDL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(33))
-
-
 def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of ``data`` begins, and two 64-bit codes for each."""
     raw = np.frombuffer(data, np.uint8)
@@ -81,7 +67,7 @@ def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             break
         part = loads[begin[at] + step] & _MASKS[np.minimum(size[at] - step, 8)]
         for lane, odd in zip(codes, _ODD[:2], strict=True):
-            lane[at] = _mixed((lane[at] ^ part) * odd)
+            lane[at] = sketches.mixed((lane[at] ^ part) * odd)
     for i in np.flatnonzero(size > LONG_WORD).tolist():
         digest = np.frombuffer(xxhash.xxh3_128_digest(data[begin[i]:begin[i] + size[i]]), np.uint64)
         codes[0][i], codes[1][i] = digest
@@ -117,7 +103,7 @@ class Chunk:
         at = begin[doc] + start
         total = np.full(len(codes) - self.width + 1, self.width, dtype=np.uint64)
         for j in range(self.width):
-            total = _mixed(total * _ODD[0] + codes[j:len(codes) - self.width + 1 + j, 0])
+            total = sketches.mixed(total * _ODD[0] + codes[j:len(codes) - self.width + 1 + j, 0])
         self.first.append(total[at])
         self.doc.append((doc + len(self.ids)).astype(np.int32))
         self.start.append(start)
@@ -128,31 +114,25 @@ class Chunk:
         self.windows += len(doc)
         self.words += len(codes)
 
-    def cells(self, bits: int) -> Iterator[np.ndarray]:
-        """For each sketch row the cells of all windows, a document's repeated windows once."""
+    def distinct(self) -> np.ndarray:
+        """The digests of all windows, a document's repeated windows once."""
         first, doc = np.concatenate(self.first), np.concatenate(self.doc)
         order = np.argsort(first, kind="stable")
         first, doc = first[order], doc[order]
         again = np.zeros(len(first), dtype=bool)
         again[1:] = (first[1:] == first[:-1]) & (doc[1:] == doc[:-1])
-        first = first[~again]
-        for row in range(ROWS):
-            yield np.sort(cell_of(first, row, bits))
+        return first[~again]
 
     def repeated(self, bits: int, sketch: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
         """Columns of ``FOUND``: the smallest id of each window under its key (n is 0), then runs of n windows that must go."""
         first, doc, start = (np.concatenate(x) for x in (self.first, self.doc, self.start))
-        flagged = np.ones(len(first), dtype=bool)
-        for row in range(ROWS):
-            cell = cell_of(first, row, bits)
-            flagged &= (sketch[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        at = np.flatnonzero(flagged)
+        at = np.flatnonzero(sketches.repeated(first, bits, sketch))
         first, doc, start = first[at], doc[at], start[at]
         ids, tags = np.array(self.ids, dtype=np.int64), np.array(self.tags, dtype=np.int64)
         base, codes = np.concatenate(self.base)[at], np.concatenate(self.codes)
         second = np.full(len(at), self.width, dtype=np.uint64)
         for j in range(self.width):
-            second = _mixed(second * _ODD[2] + codes[base + j])
+            second = sketches.mixed(second * _ODD[2] + codes[base + j])
         order = np.lexsort((ids[doc], second, first))
         first, second, doc, start = first[order], second[order], doc[order], start[order]
         begins = np.ones(len(order), dtype=bool)
@@ -170,41 +150,6 @@ class Chunk:
         yield tags[doc[begin]], start[begin], ids[doc[begin]], tags[doc[begin]], start[begin], np.diff(np.append(begin, len(doc)))
 
 
-def cell_of(first: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (first if row == 0 else _mixed(first * _ODD[row])) >> np.uint64(64 - bits)
-
-
-def shift_for(gap: float) -> int:
-    """How many low bits are written as they are, so that the gaps of the rest are about 64."""
-    return max(0, int(gap).bit_length() - 7)
-
-
-def packed_cells(cells: np.ndarray, shift: int) -> bytes:
-    """Sorted distinct numbers as bytes: the gaps of what is above ``shift`` bits in runs of 255 and a rest, then the low bits."""
-    if not len(cells):
-        return b""
-    high = (cells >> np.uint64(shift)).astype(np.int64)
-    gaps = np.diff(high, prepend=0)
-    longer = gaps // 255
-    out = np.full(int(longer.sum()) + len(gaps), 255, dtype=np.uint8)
-    out[np.cumsum(longer + 1) - 1] = gaps % 255
-    low = np.packbits((cells[:, None] >> np.arange(shift, dtype=np.uint64) & np.uint64(1)).astype(np.uint8))
-    return np.uint32(len(cells)).tobytes() + out.tobytes() + low.tobytes()
-
-
-def unpacked_cells(data: bytes, shift: int) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.int64)
-    n = int(np.frombuffer(data[:4], np.uint32)[0])
-    wide = (n * shift + 7) // 8
-    gaps = np.frombuffer(data, np.uint8, len(data) - 4 - wide, 4)
-    cells = (np.cumsum(gaps, dtype=np.int64)[gaps != 255]) << shift
-    if shift:
-        low = np.unpackbits(np.frombuffer(data, np.uint8, wide, len(data) - wide), count=n * shift).reshape(n, shift)
-        cells |= low.astype(np.int64) @ (1 << np.arange(shift))
-    return cells
-
-
 def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
     """Rows (doc_id, tag, text) in chunks of documents."""
     chunk = Chunk(width)
@@ -232,68 +177,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
 def _sketched(width: int, bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for chunk in _chunks(batches, width):
-            for row, cells in enumerate(chunk.cells(bits)):
-                shift = shift_for((1 << bits) / max(len(cells), 1))
-                new = np.ones(len(cells), dtype=bool)
-                new[1:] = cells[1:] != cells[:-1]
-                once, twice = cells[new], cells[~new]
-                twice = np.unique(twice)
-                borders = np.arange(0, (1 << bits) + 1, PIECE_CELLS, dtype=np.uint64)
-                a, b = np.searchsorted(once, borders), np.searchsorted(twice, borders)
-                for piece in np.flatnonzero(np.diff(a)).tolist():
-                    parts = (x[i[piece]:i[piece + 1]] & np.uint64(PIECE_CELLS - 1) for x, i in ((once, a), (twice, b)))
-                    yield row, piece, shift, *(packed_cells(p, shift) for p in parts)
-
-    return lambda batches: record_batches(rows(batches), SKETCHES)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted sketches of chunks to one bit a cell, piece by piece."""
-
-    def rows() -> Iterator[tuple]:
-        now, met = None, np.zeros(PIECE_CELLS, np.uint8)
-        for batch in batches:
-            for row, piece, shift, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (row, piece):
-                    if now is not None:
-                        yield *now, np.packbits(met > 1, bitorder="little").tobytes()
-                    now, met = (row, piece), np.zeros(PIECE_CELLS, np.uint8)
-                cells = unpacked_cells(once, shift)
-                met[cells] = np.minimum(met[cells] + 1, 2)
-                met[unpacked_cells(twice, shift)] = 2
-        if now is not None:
-            yield *now, np.packbits(met > 1, bitorder="little").tobytes()
-
-    return record_batches(rows(), MERGED)
-
-
-_LOADED: dict[str, list[np.ndarray]] = {}
-
-
-def _load(path: str, bits: int) -> list[np.ndarray]:
-    """The merged sketch, read once by each worker from the shared folder."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        sketch = [np.zeros((1 << bits) >> 3, np.uint8) for _ in range(ROWS)]
-        files, folder = open_folder(path)
-        size = PIECE_CELLS >> 3
-        for info in files.get_file_info(fs.FileSelector(folder)):
-            if not info.base_name.startswith("part-"):
-                continue
-            with files.open_input_file(info.path) as data:
-                for batch in pq.ParquetFile(data).iter_batches(batch_size=32):
-                    for row, piece, found in zip(*(batch.column(c) for c in ("row", "piece", "bits")), strict=True):
-                        at = piece.as_py() * size
-                        sketch[row.as_py()][at:at + size] = np.frombuffer(found.as_buffer(), np.uint8)
-        _LOADED[path] = sketch
-    return _LOADED[path]
+            yield from sketches.of(chunk.distinct(), bits)
+
+    return lambda batches: record_batches(rows(batches), sketches.PARTS)
 
 
 def _candidates(width: int, bits: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = None
         for chunk in _chunks(batches, width):
-            sketch = _load(path, bits) if sketch is None else sketch
+            sketch = sketches.load(path, bits) if sketch is None else sketch
             for columns in chunk.repeated(bits, sketch):
                 for at in range(0, len(columns[0]), 50_000):
                     yield pa.record_batch([pa.array(c[at:at + 50_000], pa.int64()) for c in columns], schema=FOUND)
@@ -325,14 +218,12 @@ def _cut(width: int, digest: bool):
 def sketch_bits(docs: DataFrame, text: str, most_cells: int) -> int:
     """How many cells a sketch row gets, as a power of two: about four for each window of the table."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(LEAST_CELLS, min(most_cells, 1 << max(int(size) // 2, 1).bit_length())).bit_length() - 1
+    return sketches.bits_for(size // 8, most_cells)
 
 
 def repeats(rows: DataFrame, width: int, bits: int) -> DataFrame:
     """Of rows (doc_id, tag, text), the windows that must go as runs: ``doc_id``, ``tag`` and ``runs`` of (start, n)."""
-    sketches = rows.mapInArrow(_sketched(width, bits), SKETCHES_DDL)
-    path = scratch_path(rows.sparkSession, "sketch")
-    sketches.repartition("row", "piece").sortWithinPartitions("row", "piece").mapInArrow(_summed, MERGED_DDL).write.parquet(path)
+    path = sketches.merged(rows.mapInArrow(_sketched(width, bits), sketches.PARTS_DDL))
     found = rows.mapInArrow(_candidates(width, bits, path), FOUND_DDL)
     # Runs are keyed by their document and place, so that they spread; they take no part in the comparison.
     least = F.min(F.when(F.col("n") == 0, F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
@@ -341,7 +232,7 @@ def repeats(rows: DataFrame, width: int, bits: int) -> DataFrame:
     return gone.groupBy("doc_id", "tag").agg(F.collect_list(run).alias("runs"))
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH, text: str = "text", digest: bool = False, most_cells: int = MOST_CELLS) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH, text: str = "text", digest: bool = False, most_cells: int = sketches.MOST_CELLS) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept``, the words left joined by blanks (or ``kept_sha256``), of every document."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     marks = stored(repeats(rows, width, sketch_bits(rows, "text", most_cells)), "marks")

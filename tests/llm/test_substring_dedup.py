@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from savora.llm import substring_dedup
+from savora.llm import sketches, substring_dedup
 
 
 def slow(rows, width):
@@ -61,7 +61,7 @@ def test_full_sketch_loses_nothing(spark):
     texts = [" ".join(rng.choice("pqrstuvwxyz") for _ in range(200)) for _ in range(40)]
     rows = [(i, texts[i % 25] + " tail") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    sketch = [np.full(substring_dedup.LEAST_CELLS >> 3, 255, np.uint8)] * substring_dedup.ROWS
+    sketch = [np.full(sketches.LEAST_CELLS >> 3, 255, np.uint8)] * sketches.ROWS
     chunk = substring_dedup.Chunk(13)
     chunk.add([(i, 0, t.encode()) for i, t in rows])
     exact, runs = chunk.repeated(22, sketch)
@@ -91,7 +91,7 @@ def test_cells_come_back(shift):
     rng = np.random.default_rng(shift)
     for n in (0, 1, 7, 5000):
         cells = np.unique(rng.integers(0, 1 << 22, n)).astype(np.uint64)
-        assert (substring_dedup.unpacked_cells(substring_dedup.packed_cells(cells, shift), shift) == cells.astype(np.int64)).all()
+        assert (sketches.unpacked_cells(sketches.packed_cells(cells, shift), shift) == cells.astype(np.int64)).all()
 
 
 def test_estimates_are_never_too_low():
@@ -103,12 +103,12 @@ def test_estimates_are_never_too_low():
         chunk = substring_dedup.Chunk(5)
         chunk.add([(i, 0, texts[i % 12]) for i in range(part, 30, 3)])
         chunks.append(chunk)
-    for row in range(substring_dedup.ROWS):
+    for row in range(sketches.ROWS):
         met = np.zeros(1 << 22, np.int64)
         for chunk in chunks:
-            np.add.at(met, list(chunk.cells(22))[row].astype(np.int64), 1)
+            np.add.at(met, sketches.cell_of(chunk.distinct(), row, 22).astype(np.int64), 1)
         windows = {}
         for chunk in chunks:
             for h, d in zip(np.concatenate(chunk.first), np.concatenate(chunk.doc)):
                 windows.setdefault(int(h), set()).add(chunk.ids[d])
-        assert all(met[int(substring_dedup.cell_of(np.array([h], np.uint64), row, 22)[0])] >= len(ids) for h, ids in windows.items())
+        assert all(met[int(sketches.cell_of(np.array([h], np.uint64), row, 22)[0])] >= len(ids) for h, ids in windows.items())
