@@ -33,9 +33,9 @@ HEADER = struct.Struct("<8sIIQQQ")
 GAMMA = 1.5
 MOST_LEVELS = 200
 MANIFEST = pa.schema(
-    [("shard", pa.int64()), ("folder", pa.string()), ("payload", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("least", pa.int64()), ("most", pa.int64())]
+    [("shard", pa.int64()), ("folder", pa.string()), ("payload", pa.string()), ("index", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_null", pa.int64()), ("least", pa.int64()), ("most", pa.int64())]
 )
-MANIFEST_DDL = "shard bigint, folder string, payload string, index string, n_docs bigint, n_ids bigint, least bigint, most bigint"
+MANIFEST_DDL = "shard bigint, folder string, payload string, index string, n_docs bigint, n_ids bigint, n_null bigint, least bigint, most bigint"
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 DOCUMENTS_DDL = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         with files.open_output_stream(joined_path(root, f"{name}.idx")) as out:
             out.write(index.to_bytes())
         ends = (keys[0], keys[-1]) if keys else (None, None)
-        yield from record_batches([(shard, folder, f"{name}.bin", f"{name}.idx", len(starts) - 1, starts[-1], *ends)], MANIFEST)
+        yield from record_batches([(shard, folder, f"{name}.bin", f"{name}.idx", len(starts) - 1, starts[-1], n_null, *ends)], MANIFEST)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     placed = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie")
@@ -218,36 +218,56 @@ def _ids(payload, index: ShardIndex, entry: int) -> bytes:
     return np.frombuffer(raw, dtype=f"<u{index.width}").astype("<u4").tobytes()
 
 
-def read_documents(manifest: DataFrame) -> DataFrame:
-    """Every document of all shards, with the number of ids before it and its ids (little-endian 32-bit)."""
+def _read(manifest: DataFrame, keyed: bool) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    wanted = based if keyed else based.where("n_null > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for row in batch.to_pylist():
                     index, payload = _opened(row["folder"], row["payload"], row["index"])
+                    found = [(None, range(index.n_null))]
+                    if keyed:
+                        keys = np.unique(np.array(index.keys()[index.n_null:], dtype=np.int64))
+                        found += zip(keys.tolist(), index.find(keys), strict=True)
                     with payload:
-                        for entry, key in enumerate(index.keys()):
-                            ids = _ids(payload, index, entry)
-                            yield key, row["base"] + int(index.starts[entry]), len(ids) // 4, ids
+                        for key, entries in found:
+                            for entry in entries:
+                                ids = _ids(payload, index, entry)
+                                yield key, row["base"] + int(index.starts[entry]), len(ids) // 4, ids
 
         yield from record_batches(rows(), DOCUMENTS)
 
     # One task per shard: the manifest is small, the files are not.
-    spread = based.select("folder", "payload", "index", "base").repartition(max(1, manifest.count()))
+    spread = wanted.select("folder", "payload", "index", "base").repartition(max(1, manifest.count()))
     return spread.mapInArrow(run, DOCUMENTS_DDL)
 
 
+def read_documents(manifest: DataFrame) -> DataFrame:
+    """Every document of all shards, with the number of ids before it and its ids (little-endian 32-bit).
+
+    Keys are listed from the fingerprints, then each is looked up like any other.
+    """
+    return _read(manifest, keyed=True)
+
+
+def read_unkeyed(manifest: DataFrame) -> DataFrame:
+    """The documents without an id, which no key finds."""
+    return _read(manifest, keyed=False)
+
+
 def fetch(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents of the wanted keys (column ``doc_id``), through the index; ``start`` counts within the shard.
+    """The documents of the wanted keys (column ``doc_id``), through the index; columns as in ``read_documents``.
 
     The driver holds one row per shard file, as it does for any table's file listing.
     """
-    shards = [r for r in manifest.orderBy("shard").collect() if r.least is not None]
-    most = np.array([r.most for r in shards], dtype=np.int64)
-    least = np.array([r.least for r in shards], dtype=np.int64)
+    every = manifest.orderBy("shard").collect()
+    bases = np.cumsum([0, *[r.n_ids for r in every]]).tolist()
+    shards = [(r["folder"], r["payload"], r["index"], base) for r, base in zip(every, bases) if r.least is not None]
+    most = np.array([r.most for r in every if r.least is not None], dtype=np.int64)
+    least = np.array([r.least for r in every if r.least is not None], dtype=np.int64)
 
     def reach(ids: pa.Array) -> pa.Array:
         wanted = ids.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -256,20 +276,25 @@ def fetch(manifest: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            now, index, payload, base = -1, None, None, 0
             for batch in batches:
-                wanted: dict[int, list[int]] = {}
-                for shard, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    wanted.setdefault(shard, []).append(key)
-                for shard, found in wanted.items():
-                    index, payload = _opened(*(shards[shard][c] for c in ("folder", "payload", "index")))
-                    with payload:
-                        for key, entries in zip(found, index.find(np.array(found, dtype=np.int64)), strict=True):
-                            for entry in entries:
-                                ids = _ids(payload, index, entry)
-                                yield key, int(index.starts[entry]), len(ids) // 4, ids
+                shard, wanted = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                for own in np.unique(shard).tolist():
+                    if own != now:
+                        if payload is not None:
+                            payload.close()
+                        *names, base = shards[own]
+                        now, (index, payload) = own, _opened(*names)
+                    part = wanted[shard == own].astype(np.int64)
+                    for key, entries in zip(part.tolist(), index.find(part), strict=True):
+                        for entry in entries:
+                            ids = _ids(payload, index, entry)
+                            yield key, base + int(index.starts[entry]), len(ids) // 4, ids
+            if payload is not None:
+                payload.close()
 
         yield from record_batches(rows(), DOCUMENTS)
 
     wanted = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     placed = wanted.select(F.explode(F.arrow_udf(reach, "array<bigint>")("doc_id")).alias("shard"), "doc_id")
-    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, DOCUMENTS_DDL)
+    return placed.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, DOCUMENTS_DDL)
