@@ -4,7 +4,9 @@ Learning: from a bounded sample of labelled documents, thinned to one of each gr
 and word stems are kept that occur in toxic documents, in many different surroundings, far more often
 than chance allows. They form a trie. Scoring: the trie is intersected with Levenshtein automata; the
 intersection is made deterministic step by step as texts need it, so a word costs one lookup per
-character, and most words leave it after a few. Each match is then looked at in its context window:
+character, and most words leave it after a few. Runs of non-blanks with digits or signs among their letters are matched
+whole as well, so that a masked letter is one edit. Terms under five letters allow none, as too many clean words
+are one letter away from them. Each match is then looked at in its context window:
 inside quotation marks, or near a word that reports speech, it counts as quoted, else as abuse. A logistic
 model over these sums gives the score. Nothing but the text goes into a score.
 
@@ -19,6 +21,7 @@ import functools
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,6 @@ from savora.session import stored
 
 # Bounds of the sample the model is learned from.
 MOST_TOXIC, MOST_CLEAN = 8_000, 32_000
-MOST_TERMS = 5_000
 FOLDS = 5
 STEM = 4
 LEAST_SURROUNDINGS = 4
@@ -42,6 +44,7 @@ REPORTING = frozenset(
     "said says quoted quote called wrote term word insult insults dit cite mot sagte nannte wort zitat dijo palabra cita".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W_](?:\S*[^\W_])?")
 _OPENING, _CLOSING, _EITHER = "“«„‹", "”»‟›", "\"'`"
 N_FEATURES = 6
 
@@ -150,33 +153,76 @@ class Matcher:
             self.reset()
 
 
-def _quoted(line: str, start: int, end: int) -> bool:
-    """Whether quotation marks stand around the place within its line."""
-    before, after = line[:start], line[end:]
-    if sum(map(before.count, _OPENING)) > sum(map(before.count, _CLOSING)) and any(c in after for c in _CLOSING):
-        return True
-    return any(len(re.findall(rf"(?<!\w){q}|{q}(?!\w)", before)) % 2 and q in after for q in _EITHER)
+class _Marks:
+    """The quotation marks of a line, found once."""
+
+    def __init__(self, line: str):
+        self.line = line
+        self.opening = [i for i, c in enumerate(line) if c in _OPENING]
+        self.closing = [i for i, c in enumerate(line) if c in _CLOSING]
+        self.either = []
+        for q in _EITHER:
+            if q in line:
+                marks = [m.start() for m in re.finditer(rf"(?<!\w){q}|{q}(?!\w)", line)]
+                self.either.append((q, marks, line.rfind(q)))
+
+    def around(self, start: int, end: int) -> bool:
+        """Whether quotation marks stand around the place."""
+        if bisect_left(self.opening, start) > bisect_left(self.closing, start) and self.closing and self.closing[-1] >= end:
+            return True
+        for q, marks, last in self.either:
+            before = bisect_left(marks, start)
+            # Right before the place a mark opens, whatever it touches.
+            if start and self.line[start - 1] == q and not (before and marks[before - 1] == start - 1):
+                before += 1
+            if before % 2 and last >= end:
+                return True
+        return False
+
+
+def _matched(body: str, matcher: Matcher) -> dict[str, tuple[int, int]]:
+    """The matches among a text's words, and among its runs of non-blanks that have other signs between letters."""
+    words = set(_WORD.findall(body))
+    for token in set(body.split()):
+        if not token.isalpha():
+            core = _MASKED.search(token)
+            if core is not None and not core[0].isalpha() and _WORD.search(core[0]):
+                words.add(core[0])
+    return {w: m for w in words if (m := matcher.match(w)) is not None}
+
+
+def _hits(line: str, hits: dict[str, tuple[int, int]]) -> tuple[list[tuple[int, int, int, tuple[int, int]]], list[re.Match]]:
+    """(start, end, number of the word there, match) of the terms of a line, and its words."""
+    places = list(_WORD.finditer(line))
+    found = [(p.start(), p.end(), i, hits[p[0]]) for i, p in enumerate(places) if p[0] in hits]
+    starts, taken = [p.start() for p in places], {h[0] for h in found}
+    for place in _MASKED.finditer(line):
+        if place[0] in hits and not place[0].isalpha():
+            first = bisect_left(starts, place.start())
+            if taken.isdisjoint(starts[first:bisect_left(starts, place.end())]):
+                found.append((place.start(), place.end(), first, hits[place[0]]))
+    return found, places
 
 
 def features(text: str | None, matcher: Matcher) -> list[float]:
     """Sums over the matches of a text: abuse, quoted, misspelled abuse, strongest abuse, share of words, different terms."""
     body = (text or "").lower()
-    words = _WORD.findall(body)
     matcher.tidy()
-    hits = {w: m for w in set(words) if (m := matcher.match(w)) is not None}
+    hits = _matched(body, matcher)
     if not hits:
         return [0.0] * N_FEATURES
     abuse = quoted = misspelled = strongest = 0.0
-    n_abuse, kinds = 0, set()
+    n_abuse, n_words, kinds = 0, 0, set()
     for line in body.split("\n"):
-        places = list(_WORD.finditer(line))
-        for i, place in enumerate(places):
-            hit = hits.get(place[0])
-            if hit is None:
-                continue
+        found, places = _hits(line, hits)
+        n_words += len(places)
+        if not found:
+            continue
+        marks = _Marks(line)
+        for start, end, i, hit in found:
             weight = matcher.terms[hit[1]].weight
             window = places[max(0, i - WINDOW):i + WINDOW + 1]
-            if _quoted(line, place.start(), place.end()) or any(p[0] in REPORTING for p in window):
+            if marks.around(start, end) or any(p[0] in REPORTING for p in window):
                 quoted += weight
                 continue
             kinds.add(hit[1])
@@ -188,7 +234,7 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
             strongest = max(strongest, weight / (1 + hit[0]))
     return [
         math.log1p(abuse), math.log1p(quoted), math.log1p(misspelled), strongest,
-        min(1.0, 10 * n_abuse / len(words)), math.log1p(len(kinds)),
+        min(1.0, 10 * n_abuse / max(n_words, 1)), math.log1p(len(kinds)),
     ]
 
 
@@ -285,7 +331,6 @@ def learn_terms(sample: DataFrame) -> list[Term]:
     best = (
         rated.where((F.col("gain") > bar) & (F.col("odds") > 3) & (F.col("pos") >= LEAST_SURROUNDINGS))
         .orderBy(F.desc("gain"), F.desc(F.char_length("term")), "term", "stem")
-        .limit(4 * MOST_TERMS)
         .collect()
     )
     return _chosen([(r.term, r.stem, r.pos, r.odds) for r in best])
@@ -296,18 +341,21 @@ def _chosen(rated: list[tuple[str, bool, int, float]]) -> list[Term]:
     support = {(term, stem): pos for term, stem, pos, _ in rated}
     taken: list[Term] = []
     stems: set[str] = set()
+    longest: dict[str, int] = {}
+    for term, stem, pos, _ in rated:
+        if stem:
+            longest[term[:-1]] = max(pos, longest.get(term[:-1], 0))
     for term, stem, pos, odds in sorted(rated, key=lambda r: (len(r[0]), r[1], r[0])):
         if any(term[:k] in stems for k in range(STEM, len(term) + 1)):
             continue
         if stem:
             if support.get((term, False), 0) >= 0.8 * pos:
                 continue
-            longer = max((support.get((t, True), 0) for t, s, _, _ in rated if s and len(t) == len(term) + 1 and t.startswith(term)), default=0)
-            if longer >= 0.8 * pos:
+            if longest.get(term, 0) >= 0.8 * pos:
                 continue
             stems.add(term)
         taken.append(Term(term, stem, float(odds)))
-    return taken[:MOST_TERMS]
+    return taken
 
 
 def fitted(sample: DataFrame, terms: list[Term]) -> Model:
