@@ -25,29 +25,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def _interleave_sql(shards: int, seed: int) -> str:
-    return f"""
-with d as (
-  select doc_id, source, coalesce(octet_length(encode(text)), 0) + 16 as size,
-         md5('s' || coalesce('=' || source, '-')) as stratum,
-         md5('{seed}:' || coalesce(cast(doc_id as varchar), '-')) as order1
-  from documents),
-r as (
-  select *, row_number() over (partition by stratum order by order1, doc_id, size) - 1 as rank,
-         count(*) over (partition by stratum) as n
-  from d),
-f as (
-  select *, (rank + cast(cast('0x' || substr(md5('{seed}|' || stratum), 1, 8) as bigint) as double) / 4294967296.0) / n as fraction
-  from r),
-p as (
-  select *, row_number() over (order by fraction, stratum, doc_id, size) - 1 as pos, count(*) over () as total from f)
-select doc_id, cast(size as bigint) as size, 'rows' as law, source,
-       cast(pos * {shards} // total as integer) as shard,
-       cast(pos - (pos * {shards} // total * total + {shards - 1}) // {shards} as bigint) as slot,
-       cast(null as integer) as grown_shard
-from p"""
-
-
 @query("op3_interleave")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     rows = interleave.interleaved(table(spark, folder, "documents"), shards=40, seed=7)
@@ -112,22 +89,26 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 def _repetition_sql() -> str:
     limits = repetition.COVERAGE_LIMITS
-    lengths = sorted({*limits, repetition.BASE_WINDOW})
+    lengths = sorted({*limits, *repetition.TOP_LIMITS, repetition.BASE_WINDOW})
     lead = ", ".join(f"lead(w, {j}) over o as w{j}" for j in range(1, max(lengths)))
     keys = {n: "w" + "".join(f", w{j}" for j in range(1, n)) for n in lengths}
-    repeated = ", ".join(f"i + {n} - 1 <= n_words and count(*) over (partition by doc_id, {keys[n]}) > 1 as d{n}" for n in lengths)
+    repeated = ", ".join(f"i + {n} - 1 <= n_words and count(*) over (partition by doc_id, {keys[n]}) > 1 as d{n}" for n in lengths if n not in repetition.TOP_LIMITS)
     covered = ", ".join(
-        f"bool_or(d{n}) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as c{n}" for n in lengths
+        f"bool_or(d{n}) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as c{n}" for n in lengths if n not in repetition.TOP_LIMITS
     )
-    sums = ", ".join(f"coalesce(sum(length(w)) filter (where c{n}), 0) as k{n}" for n in limits)
-    verdict = " or ".join(f"100 * k{n} > {limits[n]} * word_chars" for n in limits)
+    tops = repetition.TOP_LIMITS
+    times = ", ".join(f"case when i + {n} - 1 <= n_words then count(*) over (partition by doc_id, {keys[n]}) end as t{n}" for n in tops)
+    sizes = {n: "length(w)" + "".join(f" + length(w{j})" for j in range(1, n)) for n in tops}
+    weights = ", ".join(f"case when t{n} > 1 then t{n} * s{n} end as f{n}" for n in tops)
+    sums = ", ".join([f"coalesce(sum(length(w)) filter (where c{n}), 0) as k{n}" for n in limits] + [f"coalesce(max(f{n}), 0) as f{n}" for n in tops])
+    verdict = " or ".join([f"100 * k{n} > {limits[n]} * word_chars" for n in limits] + [f"100 * f{n} > {tops[n]} * word_chars" for n in tops])
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 x as (select doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d),
 w0 as (select doc_id, len(ws) as n_words, unnest(ws) as w, generate_subscripts(ws, 1) as i from x),
 w1 as (select *, {lead} from w0 window o as (partition by doc_id order by i)),
-w2 as (select doc_id, i, w, {repeated} from w1),
-w3 as (select doc_id, w, {covered} from w2),
+w2 as (select doc_id, i, w, {repeated}, {times}, {", ".join(f"{sizes[n]} as s{n}" for n in tops)} from w1),
+w3 as (select doc_id, w, {covered}, {weights} from w2),
 ws as (
   select doc_id, sum(length(w)) as word_chars, count(*) filter (where c{repetition.BASE_WINDOW}) as n_repeat_words, {sums}
   from w3 group by doc_id),
@@ -142,7 +123,7 @@ a as (
 b as (
   select a.*, coalesce(word_chars, 0) as word_chars, coalesce(n_repeat_words, 0) as n_repeat_words,
          coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(line_chars, 0) as line_chars, coalesce(dup_line_chars, 0) as dup_line_chars,
-         {", ".join(f"coalesce(k{n}, 0) as k{n}" for n in limits)}
+         {", ".join([f"coalesce(k{n}, 0) as k{n}" for n in limits] + [f"coalesce(f{n}, 0) as f{n}" for n in tops])}
   from a left join ws using (doc_id) left join ls using (doc_id)),
 v as (
   select *, n_words < {repetition.BASE_WORDS} or 100 * n_repeat_words > {repetition.BASE_REPEATED} * n_words as base_failed,
@@ -176,7 +157,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     manifest = token_shards.write_shards(table(spark, folder, "documents"), path, end_id=2)
-    rows = token_shards.read_documents(manifest)
+    docs = table(spark, folder, "documents")
+    rows = token_shards.fetch(manifest, docs).union(token_shards.read_unkeyed(manifest))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -2,7 +2,8 @@
 
 A text is cut into words of `[^\\x20\\x09-\\x0D]+`. For each n-gram length a rolling hash over the word
 codes finds the n-grams that occur twice or more; what counts is the share of the words' characters
-that lie inside such n-grams, so a repeated passage counts once however many n-grams it spans. Lines
+that lie inside such n-grams, so a repeated passage counts once however many n-grams it spans; for the
+shortest lengths it is the share of the single heaviest n-gram. Lines
 equal to an earlier line are measured the same way. Equal hashes are compared word by word, so a
 collision never counts.
 """
@@ -18,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Longest tolerated share, in per cent of word characters, inside n-grams found twice or more.
-COVERAGE_LIMITS = {2: 60, 3: 50, 4: 45, 5: 40, 6: 40, 8: 35, 10: 35}
+COVERAGE_LIMITS = {5: 40, 6: 40, 8: 35, 10: 35}
+# The same for the one n-gram that has the most characters over all its places. Short n-grams are found again in any long
+# text, so what all of them cover grows with its length; the share of a single one does not.
+TOP_LIMITS = {2: 20, 3: 18, 4: 16}
 # The same for lines equal to an earlier one, in per cent of the characters of lines with a word.
 LINE_LIMIT = 40
 # Symbols per hundred words.
@@ -32,11 +36,11 @@ _SYMBOLS = b"#*$%&|<>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 RESULT = pa.struct(
     [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "dup_line_chars")]
-    + [("dup_chars", pa.list_(pa.int64())), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
+    + [("dup_chars", pa.list_(pa.int64())), ("top_chars", pa.list_(pa.int64())), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
 )
 RESULT_DDL = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_chars bigint, "
-    "dup_line_chars bigint, dup_chars array<bigint>, base_failed boolean, kept boolean"
+    "dup_line_chars bigint, dup_chars array<bigint>, top_chars array<bigint>, base_failed boolean, kept boolean"
 )
 
 
@@ -47,22 +51,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _repeated(hashes: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
-    """Which of the windows of n words occur twice or more."""
+def _times(hashes: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """How often each window of n words occurs."""
     order = np.argsort(hashes, kind="stable")
     sorted_hashes = hashes[order]
     same = sorted_hashes[1:] == sorted_hashes[:-1]
-    found = np.zeros(len(hashes), dtype=bool)
+    times = np.ones(len(hashes), dtype=np.int64)
     if not same.any():
-        return found
+        return times
     left, right = order[:-1][same], order[1:][same]
     if any((words[left + j] != words[right + j]).any() for j in range(n)):
         windows = np.lib.stride_tricks.sliding_window_view(words, n)
         _, place, count = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
-        return count[place.ravel()] > 1
-    found[left] = True
-    found[right] = True
-    return found
+        return count[place.ravel()]
+    begin = np.flatnonzero(np.concatenate([[True], ~same]))
+    sizes = np.diff(np.append(begin, len(hashes)))
+    times[order] = np.repeat(sizes, sizes)
+    return times
 
 
 def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -74,7 +79,7 @@ def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(steps[:size]) > 0
 
 
-def measure(text: bytes | None, limits: dict[int, int] = COVERAGE_LIMITS) -> dict:
+def measure(text: bytes | None, limits: dict[int, int] = COVERAGE_LIMITS, tops: dict[int, int] = TOP_LIMITS) -> dict:
     """All measures of one text; a missing text has no words and fails the base rules."""
     text = text or b""
     words = text.split()
@@ -97,16 +102,22 @@ def measure(text: bytes | None, limits: dict[int, int] = COVERAGE_LIMITS) -> dic
         seen.add(line)
 
     mixed = _mixed(codes.astype(np.uint64))
-    hashes, dup_chars, repeat_words = mixed, {n: 0 for n in limits}, 0
-    for n in range(2, max(*limits, BASE_WINDOW) + 1):
+    hashes, dup_chars, top_chars, repeat_words = mixed, {n: 0 for n in limits}, {n: 0 for n in tops}, 0
+    upto = np.concatenate([[0], np.cumsum(chars)])
+    for n in range(2, max(*limits, *tops, BASE_WINDOW) + 1):
         if len(words) < n:
             break
         hashes = hashes[:-1] * _BASE + mixed[n - 1:]
-        if n not in limits and n != BASE_WINDOW:
+        if n not in limits and n not in tops and n != BASE_WINDOW:
             continue
-        starts = _repeated(hashes, codes, n)
+        times = _times(hashes, codes, n)
+        starts = times > 1
         if not starts.any():
             break  # a longer n-gram cannot be repeated either
+        if n in tops:
+            top_chars[n] = int((times * (upto[n:] - upto[:-n]))[starts].max())
+            if n not in limits and n != BASE_WINDOW:
+                continue
         inside = _covered(starts, n, len(words))
         if n in limits:
             dup_chars[n] = int(chars[inside].sum())
@@ -117,13 +128,14 @@ def measure(text: bytes | None, limits: dict[int, int] = COVERAGE_LIMITS) -> dic
     failed = len(words) < BASE_WORDS or 100 * repeat_words > BASE_REPEATED * len(words)
     too_much = (
         any(100 * dup_chars[n] > limits[n] * total for n in limits)
+        or any(100 * top_chars[n] > tops[n] * total for n in tops)
         or 100 * dup_line_chars > LINE_LIMIT * line_chars
         or 100 * symbols > SYMBOL_LIMIT * len(words)
     )
     return {
         "n_words": len(words), "word_chars": total, "n_symbols": symbols, "n_dup_lines": n_dup_lines,
         "n_repeat_words": repeat_words, "line_chars": line_chars, "dup_line_chars": dup_line_chars,
-        "dup_chars": [dup_chars[n] for n in limits], "base_failed": failed, "kept": not failed and not too_much,
+        "dup_chars": [dup_chars[n] for n in limits], "top_chars": [top_chars[n] for n in tops], "base_failed": failed, "kept": not failed and not too_much,
     }
 
 
