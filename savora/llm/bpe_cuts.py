@@ -26,7 +26,8 @@ from tokenizers import Tokenizer, models
 from savora.llm.common import record_batches
 from savora.llm.tokens import as_symbols, byte_alphabet, token_bytes
 
-TABLE_ENTRIES = 300_000
+# Entries of a table of pieces, and bytes of the texts and ids in each table; longer texts are encoded each time.
+TABLE_ENTRIES, TABLE_BYTES, LONG_TEXT = 300_000, 32 << 20, 256
 _BLANKS = b" \t\n\x0b\x0c\r"
 # Letters that normalising only lower-cases, one by one, with punctuation behind them.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
@@ -68,15 +69,25 @@ class CutEncoder:
         self.chunks: dict[bytes, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
+        self.held = {id(t): 0 for t in (self.chunks, self.first, self.last)}
+
+    def _hold(self, table: dict, text: str | bytes, ids: bytes) -> None:
+        """Keep a result, in a table that is emptied when it gets too large."""
+        if len(text) > LONG_TEXT:
+            return
+        if len(table) >= self.entries or self.held[id(table)] >= TABLE_BYTES:
+            table.clear()
+            self.held[id(table)] = 0
+        table[text] = ids
+        self.held[id(table)] += len(text) + len(ids)
 
     def _piece(self, symbols: str, ends_word: bool) -> bytes:
         table = self.last if ends_word else self.first
         found = table.get(symbols)
         if found is None:
-            if len(table) > self.entries:
-                table.clear()
             ids = [t.id for t in (self.ending if ends_word else self.inner).tokenize(symbols)]
-            found = table[symbols] = np.array(ids, dtype="<u4").tobytes()
+            found = np.array(ids, dtype="<u4").tobytes()
+            self._hold(table, symbols, found)
         return found
 
     def _word(self, symbols: str) -> bytes:
@@ -113,11 +124,11 @@ class CutEncoder:
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text in UTF-8, as little-endian unsigned 32-bit integers."""
         chunks = text.split()
-        if len(self.chunks) > self.entries:
-            self.chunks.clear()
-        for chunk in {c for c in chunks if c not in self.chunks}:
-            self.chunks[chunk] = self._chunk(chunk)
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        new = {c: self._chunk(c) for c in set(chunks) if c not in self.chunks}
+        parts = [new[c] if c in new else self.chunks[c] for c in chunks] if new else list(map(self.chunks.__getitem__, chunks))
+        for chunk, ids in new.items():
+            self._hold(self.chunks, chunk, ids)
+        return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
         """Without a decoder, a vocabulary's texts are its tokens side by side."""

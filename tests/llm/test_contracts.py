@@ -50,7 +50,9 @@ def test_op3(spark):
         shard = position * 40 // len(docs)
         expected[i] = (shard, position - -(-shard * len(docs) // 40))
     data = {i: (t or "").encode() for i, t, _ in docs}
-    for r in QUERIES["op3_interleave"](spark, FOLDER).collect():
+    rows = QUERIES["op3_interleave"](spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(expected)
+    for r in rows:
         assert (r["shard"], r["slot"], r["law"], r["grown_shard"]) == (*expected[r["doc_id"]], "rows", None)
         assert (r["size"], r["text_crc32"]) == (len(data[r["doc_id"]]) + 16, zlib.crc32(data[r["doc_id"]]))
 

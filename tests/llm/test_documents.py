@@ -10,9 +10,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from savora.llm import bpe_cuts, interleave, lists, packing, prefix_groups, repetition, secret_ledger, token_shards, tokens
+from savora.llm.common import open_folder
 from savora.session import scratch_path
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -137,16 +139,18 @@ def test_redacted(spark, odd_documents, no_documents):
 
 def slow_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    covered = {}
-    for n in {*repetition.COVERAGE_LIMITS, 5}:
+    covered, top = {}, dict.fromkeys(repetition.TOP_LIMITS, 0)
+    for n in {*repetition.COVERAGE_LIMITS, *repetition.TOP_LIMITS, 5}:
         grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
         count = collections.Counter(grams)
         covered[n] = {i + j for i, g in enumerate(grams) if count[g] > 1 for j in range(n)}
+        top[n] = max((c * sum(map(len, g)) for g, c in count.items() if c > 1), default=0)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered[5]),
         "dup_chars": [sum(len(words[i]) for i in covered[n]) for n in repetition.COVERAGE_LIMITS],
+        "top_chars": [top[n] for n in repetition.TOP_LIMITS],
     }
 
 
@@ -256,6 +260,22 @@ def test_prefix_groups_on_odd_rows(odd_documents, no_documents):
     assert prefix_groups.first_of_each(odd_documents).columns == odd_documents.columns
 
 
+def test_long_chunks_are_not_kept():
+    coder, rng = bpe_cuts.CutEncoder(WORD), random.Random(1)
+    for _ in range(300):
+        coder.encode("".join(rng.choice("\u4e00\u4e8c\u4e09abcxyz0189+/") for _ in range(4000)).encode())
+    assert all(len(k) <= bpe_cuts.LONG_TEXT for t in (coder.chunks, coder.first, coder.last) for k in t)
+    assert sum(coder.held.values()) <= 3 * (bpe_cuts.TABLE_BYTES + 10_000)
+
+
+def test_clean_books_are_kept():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(20_000)]
+    text = " ".join(rng.choices(words, weights=[1 / (i + 3) for i in range(20_000)], k=200_000)).encode()
+    assert repetition.measure(text)["kept"] and repetition.measure(text[:5000])["kept"]
+    assert not repetition.measure(b"buy now " * 40 + text[:600])["kept"]
+
+
 def test_token_shards(spark, odd_documents, no_documents):
     plain = library(BYTE)
     manifest = token_shards.write_shards(odd_documents, BYTE, end_id=2)
@@ -275,6 +295,25 @@ def test_token_shards(spark, odd_documents, no_documents):
     assert token_shards.read_documents(token_shards.write_shards(no_documents, BYTE, end_id=2)).count() == 0
 
 
+def test_a_wrong_slot_is_noticed(spark, odd_documents):
+    """Rows come through the hash: with two slots swapped, documents are missing or in the wrong place."""
+    manifest = token_shards.write_shards(odd_documents.coalesce(1), BYTE, end_id=2)
+    whole = lambda: sorted((r.doc_id, r.start) for r in token_shards.fetch(manifest, odd_documents).collect())
+    good = whole()
+    ordered = sorted((r.doc_id, r.start) for r in token_shards.read_documents(manifest).where("doc_id is not null").collect())
+    assert good == ordered and token_shards.read_unkeyed(manifest).count() == 2
+    row = manifest.where("n_docs > 5").orderBy(F.desc("n_docs")).first()
+    files, root = open_folder(row.folder)
+    with files.open_input_stream(f"{root}/{row['index']}") as f:
+        index = token_shards.ShardIndex.from_bytes(f.read())
+    entries = index.entries.copy()
+    entries[[0, 1]] = entries[[1, 0]]
+    broken = token_shards.ShardIndex(index.width, index.starts, index.n_null, index.table, index.prints, entries, index.counts)
+    with files.open_output_stream(f"{root}/{row['index']}") as f:
+        f.write(broken.to_bytes())
+    assert whole() != good
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64))
@@ -347,3 +386,39 @@ def test_digests_are_of_whole_texts(odd_documents):
     row = odd_documents.where("doc_id = 3").first()
     assert secret_ledger.scanned(odd_documents.where("doc_id = 3")).count() == 1
     assert hashlib.sha256(row.text.encode()).hexdigest() == odd_documents.where("doc_id = 3").select(secret_ledger.blob_of("text")).first()[0]
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        a, b = rng.integers(0, n, n // 2), rng.integers(0, n, n // 2)
+        forest = lists.Forest(n)
+        for part in np.array_split(np.arange(n // 2), 5):
+            forest.link(a[part], b[part])
+        expected = lists.local_components((a, b), np.arange(n))
+        assert (forest.top == expected).all() and (forest.apart(a, b) == False).all()  # noqa: E712
+
+
+def test_many_alike_sets_in_one_block_stay_small():
+    """No pairs are kept: sets of one cluster are in one tree after the first step."""
+    import resource
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.int64).astype(np.uint64)
+    size = 20_000
+    packed = []
+    for i in range(size):
+        members = base.copy()
+        members[i % 300] = np.uint64(i)
+        packed.append(prefix_groups.sketch(np.unique(members), 90).tobytes())
+    struct = pa.struct([("rep", pa.int64()), ("sketch", pa.large_binary())])
+    members = pa.array([[{"rep": i, "sketch": p}] for i, p in enumerate(packed)], pa.large_list(struct))
+    number = lambda v: pa.array(np.full(size, v), pa.int64())
+    block = pa.record_batch(
+        [number(1), number(0), number(0), number(0), pa.array(np.arange(size)), number(300), number(0), members],
+        names=["member", "i", "k", "chunk", "gid", "n", "place", "members"],
+    )
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = prefix_groups._clusters(90)(block, np.array([0, size]))
+    assert len(found["rep"]) == size and set(found["label"].tolist()) == {0}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000

@@ -278,6 +278,29 @@ def test_quotation_is_told_from_abuse():
     assert toxicity.features(None, matcher) == toxicity.features("", matcher) == toxicity.features("calm", matcher) == [0.0] * toxicity.N_FEATURES
 
 
+def test_masked_terms_are_matched():
+    matcher = toxicity.Matcher([toxicity.Term("idiot", False, 5.0), toxicity.Term("stupid", False, 4.0)])
+    for word in ("id1ot", "idi0t", "id*ot", "(st*pid!)", "st_pid", "st\u00b5pid"):
+        found = toxicity.features(f"You {word} there", matcher)
+        assert found[2] > 0 and found[0] == found[1] == 0, word
+    assert toxicity.features("an idiot-like st1ll don't 1234 mp3", matcher)[2] == 0
+
+
+def test_long_lines_take_linear_time():
+    matcher = toxicity.Matcher([toxicity.Term("idiot", False, 5.0)])
+    spent = []
+    for n in (30_000, 60_000):
+        started = time.time()
+        toxicity.features("you 'idiot' id*ot \"are " * n, matcher)
+        spent.append(time.time() - started)
+    assert spent[1] < 3 * spent[0] + 1
+
+
+def test_terms_are_not_cut_by_length():
+    rated = [(f"term{'x' * (i % 40)}{i}", False, 5, 4.0) for i in range(7000)]
+    assert len(toxicity._chosen(rated)) == 7000
+
+
 def toxic_corpus(spark):
     rng = random.Random(2)
     filler = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ren", "tos", "vul") for c in ("a", "en", "is", "or")]
