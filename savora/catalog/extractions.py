@@ -127,7 +127,8 @@ def extract_lexicon(t):
 def embed_meals(t):
     text = clustering.mention_text(F.col("meal_name"), F.col("sentiment"))
     texts = t("v_mentions").select(text.alias("t")).distinct()
-    long = clustering.embed_text(texts, F.col("t")).select("t", F.posexplode("embedding").alias("place", "value"))
+    # Not plain posexplode: the filter Spark derives from it would be pushed below the distinct and embed every row.
+    long = clustering.embed_text(texts, F.col("t")).select("t", F.posexplode_outer("embedding").alias("place", "value"))
     return rounded(long.where("value > 0").withColumn("value", F.col("value").cast("double")), 5, "value")
 
 

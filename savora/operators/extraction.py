@@ -2,70 +2,23 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator, Sequence
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from savora.functions.response import build_prompt
+from savora.operators.answers import AnswerLog, Completer, own_log
 from savora.session import stored
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Rows per request batch, and seconds to wait after a full one.
-BATCH_ROWS = 90
-PAUSE_SECONDS = 65.0
-
-Completer = Callable[[Sequence[str]], Sequence[str]]
-
 
 def extract_responses(
-    reviews: DataFrame,
-    complete: Completer,
-    text: str = "review_text",
-    batch_rows: int = BATCH_ROWS,
-    lanes: int | None = None,
-    pause: float | None = None,
+    reviews: DataFrame, complete: Completer, text: str = "review_text", log: AnswerLog | None = None, **call
 ) -> DataFrame:
-    """``reviews`` plus ``response``, asking ``complete`` for ``batch_rows`` prompts at a time.
+    """``reviews`` plus ``response``, the model's answer to the review's prompt.
 
-    With a quota, set ``lanes`` to the number of tasks that may call at once and give each its part of
-    the quota: every lane waits ``pause`` x lanes seconds after a full batch. A pause without lanes is
-    refused, as then every running task would call at the full quota.
+    Equal reviews are asked once. With a ``log`` that outlives the run, what it holds is not asked again;
+    ``call`` is passed on to ``AnswerLog.ask``.
     """
-    if pause and not lanes:
-        raise ValueError("a pause keeps a quota only together with lanes")
-    if lanes and pause is None:
-        pause = PAUSE_SECONDS
-    fields = [*reviews.schema.fields, T.StructField("response", T.StringType())]
-    asked = reviews.withColumn("prompt__", build_prompt(F.col(text)))
-    if lanes:
-        asked = asked.repartition(lanes)
-    wait = (pause or 0.0) * (lanes or 1)
-
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
-        for frame in frames:
-            for start in range(0, len(frame), batch_rows):
-                part = frame.iloc[start : start + batch_rows]
-                replies = list(complete(part["prompt__"].tolist()))
-                if len(replies) != len(part):
-                    raise ValueError("the model must answer every prompt once")
-                yield part.drop(columns="prompt__").assign(response=replies)
-                if wait and len(part) >= batch_rows:
-                    time.sleep(wait)
-
-    return asked.mapInPandas(answer, T.StructType(fields))
-
-
-def pending_reviews(reviews: DataFrame, answered: DataFrame, key: str) -> DataFrame:
-    """Reviews without a stored answer, so a broken run goes on where it stopped."""
-    return reviews.join(answered.select(key).distinct(), key, "left_anti")
+    return (log or own_log(reviews.sparkSession)).answered(reviews, complete, build_prompt(F.col(text)), **call)
 
 
 def words_of(text: Column) -> Column:
@@ -77,20 +30,27 @@ def extract_by_dictionary(
 ) -> DataFrame:
     """Each review with each dictionary meal it mentions; sentiment is the rating scaled to 0..1.
 
-    A meal may have any number of words. Each word of a text first meets the words that meals begin with;
-    only where one does, the runs of words as long as those meals are looked up.
+    A meal may have any number of words. Each word of a text first meets the words that meals begin with, alone
+    with its place; only there, back in its text, the runs of words are cut that are as long as those meals. So
+    what is shuffled does not depend on how long meals are.
     """
     meals = dictionary.select(words_of(F.col("meal_name")).alias("ws")).where(F.size("ws") > 0).distinct()
     meals = stored(meals.select(F.col("ws")[0].alias("word"), F.size("ws").alias("n"), F.array_join("ws", " ").alias("meal_name")), "dictionary")
     # How long the meals are that begin with a word: a few numbers per word.
     starts = stored(meals.groupBy("word").agg(F.collect_set("n").alias("lengths")), "first-words")
-    longest = meals.agg(F.max("n").alias("n")).select("n").scalar()
     cut = reviews.where(F.col(text).isNotNull()).select(key, "rating", words_of(F.col(text)).alias("words"))
-    placed = cut.select(key, "rating", "words", F.posexplode("words").alias("place", "word"))
-    ahead = F.slice("words", F.col("place") + 1, F.coalesce(longest, F.lit(1)))
-    begun = placed.select(key, "rating", "word", ahead.alias("ahead")).distinct().join(starts, "word")
-    runs = begun.select(key, "rating", "ahead", F.explode("lengths").alias("n")).where(F.size("ahead") >= F.col("n"))
-    said = runs.select(key, "rating", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("meal_name")).distinct()
-    return said.join(meals.select("meal_name"), "meal_name").select(
+    # Reviews that share a key are told apart by their words.
+    cut = cut.withColumn("text__", F.xxhash64("words"))
+    placed = cut.select(key, "text__", F.posexplode("words").alias("place", "word")).join(starts, "word")
+    begun = placed.groupBy(key, "text__").agg(F.collect_list(F.struct("place", "lengths")).alias("begun"))
+
+    def runs(at: Column) -> Column:
+        fitting = F.filter(at["lengths"], lambda n: at["place"] + n <= F.size("words"))
+        return F.transform(fitting, lambda n: F.array_join(F.slice("words", at["place"] + 1, n), " "))
+
+    said = cut.join(begun, [key, "text__"]).select(
+        key, "rating", F.explode(F.array_distinct(F.flatten(F.transform("begun", runs)))).alias("meal_name")
+    )
+    return said.distinct().join(meals.select("meal_name"), "meal_name").select(
         key, "rating", "meal_name", ((F.col("rating") - 1) / F.lit(4.0)).alias("sentiment")
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from savora.functions.response import explode_meals, parse_response
 from savora.operators.clustering import cluster_mentions
-from savora.operators.extraction import Completer, extract_by_dictionary, extract_responses
+from savora.operators.answers import AnswerLog, Completer
+from savora.operators.extraction import extract_by_dictionary, extract_responses
 from savora.operators.grouped import first_per_group, modal_value
 from savora.plans.staging import new_reviews
 from savora.session import stored
@@ -19,12 +20,12 @@ from savora.sources.tables import TableStore, meal_mention_rows
 def label_clusters(mentions: DataFrame) -> DataFrame:
     """Add ``cluster_label``: the modal meal of the business's cluster."""
     labels = modal_value(mentions, ["business_name", "cluster"], "meal_name", "cluster_label")
-    labels = labels.toDF("b", "c", "cluster_label")
+    labels = labels.toDF("b__", "c__", "cluster_label")
     return mentions.join(
         labels,
-        F.col("business_name").eqNullSafe(F.col("b")) & F.col("cluster").eqNullSafe(F.col("c")),
+        F.col("business_name").eqNullSafe(F.col("b__")) & F.col("cluster").eqNullSafe(F.col("c__")),
         "left",
-    ).drop("b", "c")
+    ).drop("b__", "c__")
 
 
 def sample_labels(mentions: DataFrame, seed: int = 7, most: int = 3) -> DataFrame:
@@ -49,15 +50,15 @@ def sample_labels(mentions: DataFrame, seed: int = 7, most: int = 3) -> DataFram
 
 
 def with_sample_labels(mentions: DataFrame, seed: int = 7) -> DataFrame:
-    labels = sample_labels(mentions, seed).withColumnRenamed("cluster", "c")
-    return mentions.join(labels, F.col("cluster").eqNullSafe(F.col("c")), "left").drop("c")
+    """Every mention with the labels drawn for its cluster."""
+    labels = sample_labels(mentions, seed).withColumnRenamed("cluster", "c__")
+    return mentions.join(labels, F.col("cluster").eqNullSafe(F.col("c__")), "left").drop("c__")
 
 
-def asked_mentions(reviews: DataFrame, complete: Completer, **call) -> DataFrame:
-    """Mentions from a model's answers; the answers are stored, so nothing is asked twice."""
-    asked = extract_responses(reviews.select("business_name", "rating", "review_text"), complete, **call)
-    answers = stored(asked.select("business_name", "rating", "response"), "answers")
-    return explode_meals(parse_response(answers)).select("business_name", "rating", "meal_name", "sentiment")
+def asked_mentions(reviews: DataFrame, complete: Completer, log: AnswerLog | None = None, **call) -> DataFrame:
+    """Mentions from a model's answers; they are logged batch by batch, so nothing is asked twice."""
+    asked = extract_responses(reviews.select("business_name", "rating", "review_text"), complete, log=log, **call)
+    return explode_meals(parse_response(asked)).select("business_name", "rating", "meal_name", "sentiment")
 
 
 def known_mentions(reviews: DataFrame, dictionary: DataFrame) -> DataFrame:

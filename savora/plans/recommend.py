@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from savora.operators.answers import AnswerLog, Completer, own_log
 from savora.operators.grouped import attach_group_stats
 
 # Weights of the score, step per feedback, generic words and questions.
@@ -116,6 +117,16 @@ def dietary_prompts(menu: DataFrame, questions: Sequence[str] = QUESTIONS) -> Da
     )
 
 
+def asked_dietary(menu: DataFrame, complete: Completer, questions: Sequence[str] = QUESTIONS, log: AnswerLog | None = None, **call) -> DataFrame:
+    """Rows for the responses table, with a model's answer to every question about every meal of ``menu``.
+
+    A meal that several businesses serve is asked about once.
+    """
+    prompts = dietary_prompts(menu, questions)
+    answered = (log or own_log(menu.sparkSession)).answered(prompts, complete, F.col("prompt"), **call)
+    return dietary_responses(answered)
+
+
 def dietary_responses(answered: DataFrame) -> DataFrame:
     """Answered prompts as rows for the responses table."""
     return answered.select(

@@ -75,25 +75,6 @@ def test_dictionary_against_brute_force(spark):
     assert {(r.id, r.meal_name) for r in found} == expected and len(found) == len(expected)
 
 
-def test_batches_and_answers(spark):
-    rows = spark.range(1000).select("id", F.concat(F.lit("I had taco "), "id").alias("review_text")).coalesce(1)
-
-    def complete(prompts):
-        assert len(prompts) <= 90
-        return [re.search(r"taco \d+", p).group() + f" of {len(prompts)}" for p in prompts]
-
-    found = extraction.extract_responses(rows, complete).collect()
-    assert all(r.response.startswith(f"taco {r.id} of ") for r in found)
-    assert sorted({r.response.rsplit(" ", 1)[1] for r in found}) == ["10", "90"]
-    lanes = extraction.extract_responses(rows, complete, lanes=2, pause=0)
-    assert lanes.rdd.getNumPartitions() == 2 and lanes.count() == 1000
-
-
-def test_pending_reviews(spark):
-    reviews = spark.range(5).withColumnRenamed("id", "k")
-    assert [r.k for r in extraction.pending_reviews(reviews, reviews.where("k < 3"), "k").orderBy("k").collect()] == [3, 4]
-
-
 def test_word_counts(spark):
     texts = ["The taco's tacos, Tacos 42 été", None, "class classes été I've it's b"]
     rows = spark.createDataFrame([(t,) for t in texts], "review_text string")
