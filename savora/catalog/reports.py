@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from savora.catalog.registry import query, rounded, sql_list
 from savora.catalog.views import WATCHED
 from savora.functions.text import CLOUD_STOPWORDS
-from savora.plans import dashboard, monitoring
+from savora.plans import dashboard, monitoring, partials
+from savora.session import scratch_path
+from savora.sources.tables import TableStore
+from savora.streaming import totals as streamed
 
 DAILY = """
     daily as (
@@ -54,6 +59,60 @@ def feedback_overall(t):
     return monitoring.feedback_overall(t("v_feedback"))
 
 
+# Estimates are compared as facts: no further from the exact count than four standard errors.
+_CLOSE = 4 * 1.04 / 2 ** (partials.LG_K / 2)
+_EXACT = """
+    select {key} count(distinct business_name) restaurants, count(distinct meal_name) meals, count(*) total_feedback,
+           cast(sum(case when rec_flag then 1 else 0 end) as bigint) total_pos_feedback,
+           cast(sum(case when rec_flag = false then 1 else 0 end) as bigint) total_neg_feedback,
+           true restaurants_close, true meals_close
+    from {{v_feedback}} {group}"""
+
+
+def _with_exact(found, feedback, *key):
+    """Totals from partials beside the exact distinct counts, and whether the estimates are close to them."""
+    # Without a key both are one row.
+    exact = feedback.groupBy(*key).agg(F.count_distinct("business_name").alias("restaurants"), F.count_distinct("meal_name").alias("meals"))
+    both = found.join(exact, list(key)) if key else found.join(F.broadcast(exact))
+    close = {f"{n}_close": F.abs(F.col(f"total_{n}_feedback") - F.col(n)) <= F.col(n) * F.lit(_CLOSE) + 1 for n in ("restaurants", "meals")}
+    return both.withColumns(close).select(*key, "restaurants", "meals", *partials.SUMS, *close)
+
+
+def _loads(t):
+    """Two loads of votes, each with its own partials; together they are the whole table."""
+    store = TableStore(t.spark, scratch_path(t.spark, "store"))
+    store.create_empty([partials.TABLE])
+    for n in range(2):
+        part = t("v_feedback").where(F.pmod(F.xxhash64("business_name", "meal_name"), F.lit(2)) == n)
+        partials.add_load(store, part, f"load-{n}")
+    return store.read(partials.TABLE)
+
+
+@query("feedback_partials_month", _EXACT.format(key="cast(date_trunc('month', create_date) as date) create_month,", group="group by 1"))
+def feedback_partials_month(t):
+    votes = t("v_feedback").withColumn("create_month", F.trunc("create_date", "month"))
+    return _with_exact(partials.totals(partials.by_month(_loads(t))), votes, "create_month")
+
+
+@query("feedback_partials_overall", _EXACT.format(key="", group=""))
+def feedback_partials_overall(t):
+    return _with_exact(partials.totals(partials.merged(_loads(t))), t("v_feedback"))
+
+
+@query("feedback_stream", _EXACT.format(key="create_date,", group="group by 1"))
+def feedback_stream(t):
+    """All votes landed as files in the order of a hash, so days come mixed, and read by two starts of the stream."""
+    store = TableStore(t.spark, scratch_path(t.spark, "store"))
+    store.create_empty([streamed.TABLE])
+    landing, checkpoint = (scratch_path(t.spark, n) for n in ("landing", "checkpoint"))
+    votes = t("v_feedback").select("business_name", "meal_name", F.col("rec_flag").cast("int").alias("feedback"), F.col("create_date").cast("timestamp").alias("voted_at"))
+    half = F.pmod(F.xxhash64("meal_name", "voted_at"), F.lit(2))
+    for n in range(2):
+        votes.where(half == n).write.mode("append").json(landing)
+        streamed.keep_totals(store, landing, checkpoint).awaitTermination()
+    return _with_exact(streamed.daily_totals(store), t("v_feedback"), "create_date")
+
+
 @query(
     "usage_total",
     f"""select warehouse_name, round(sum(credits_used), 4) total_credits_used from {{v_metering}}

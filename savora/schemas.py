@@ -13,6 +13,11 @@ MEAL_MENTIONS = (
     "cluster int, cluster_label string"
 )
 FEEDBACK = "business_name string, meal_name string, rec_flag boolean, create_date date"
+FEEDBACK_PARTIALS = (
+    "create_date date, total_feedback bigint, total_pos_feedback bigint, total_neg_feedback bigint, "
+    "businesses binary, meals binary"
+)
+FEEDBACK_STATES = FEEDBACK_PARTIALS + ", stream string, number bigint"
 DIETARY_RESPONSES = (
     "business_name string, meal_name string, dietary_question string, "
     "dietary_response string, create_date date"
@@ -55,5 +60,7 @@ TABLES = {
     "staging.reviews": STAGING_REVIEWS,
     "mart.meal_mentions": MEAL_MENTIONS,
     "mart.feedback": FEEDBACK,
+    "mart.feedback_partials": FEEDBACK_PARTIALS,
+    "mart.feedback_states": FEEDBACK_STATES,
     "mart.dietary_responses": DIETARY_RESPONSES,
 }
