@@ -39,5 +39,5 @@ def rows_from(rows: DataFrame, key: str, start: int) -> DataFrame:
     instead and the rest is a filter.
     """
     whole = rows.select(F.lit("all").alias("whole"), key)
-    found = keys_at_ranks(whole, "whole", key, ["all"], {"cut": F.least(F.col("n"), F.lit(start))})
+    found = keys_at_ranks(whole, "whole", key, ["all"], {"cut": lambda n: min(n, start)})
     return rows.where(F.col(key) > found["all"]["cut"]) if start and found else rows

@@ -33,14 +33,34 @@ def test_medians(spark, seed, hashed):
     if hashed:
         values = [(g, v and v * 0x9E3779B97F4A7C1 % (1 << 62) - (1 << 61)) for g, v in values]
     rows = records(spark, values)
-    n = F.col("n")
-    found = ranks.keys_at_ranks(
-        rows, "snapshot", "stamp", GROUPS, {"lo": F.floor((n + 1) / 2), "hi": F.floor(n / 2) + 1, "first": F.lit(1)}
-    )
+    wanted = {"lo": lambda n: (n + 1) // 2, "hi": lambda n: n // 2 + 1, "first": lambda n: 1, "beyond": lambda n: n + 1}
+    found = ranks.keys_at_ranks(rows, "snapshot", "stamp", GROUPS, wanted)
     for g in GROUPS:
         own = [v for k, v in values if k == g and v is not None]
         assert (found[g]["lo"], found[g]["hi"]) == (statistics.median_low(own), statistics.median_high(own))
-        assert found[g]["first"] == min(own)
+        assert found[g]["first"] == min(own) and "beyond" not in found[g]
+
+
+@pytest.mark.parametrize("kind", ["hashed", "tied", "even"])
+def test_ranks_count_a_narrow_range_only(spark, monkeypatch, kind):
+    """Of 200 000 keys, a few hundred counted ones are shuffled; a sketch that is far off costs a wider pass."""
+    value = {"hashed": F.xxhash64("id"), "tied": F.col("id") % 7, "even": F.col("id") * 1000}[kind]
+    rows = spark.range(200_000).select(F.lit("a").alias("snapshot"), F.col("id").alias("record_id"), value.alias("stamp"))
+    own = sorted(r.stamp for r in rows.collect())
+    sizes, counted = [], ranks._counted
+
+    def noted(*args):
+        found = counted(*args)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(ranks, "_counted", noted)
+    wanted = {"third": lambda n: n // 3, "last": lambda n: n}
+    expected = {"a": {"third": own[200_000 // 3 - 1], "last": own[-1]}}
+    assert ranks.keys_at_ranks(rows, "snapshot", "stamp", ["a"], wanted) == expected
+    assert len(sizes) == 1 and sizes[0] < 4000
+    monkeypatch.setattr(ranks, "_sketched", lambda rows: {"a": (200_000, [own[0]] * (ranks.POINTS + 1))})
+    assert ranks.keys_at_ranks(rows, "snapshot", "stamp", ["a"], wanted) == expected and len(sizes) > 2
 
 
 def test_absent_group(spark):
