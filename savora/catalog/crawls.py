@@ -131,6 +131,21 @@ def text_term_counts(t):
     return crawl.term_counts(t("v_crawl_text"), "text", TEXT_TERMS, SNAPSHOTS)
 
 
+# Two hundred pairs of letters, frequent and rare ones.
+MANY_TERMS = [a + b for a in "etaoinshrdlcumwf" for b in "etaoinshrdlcu"][:200]
+
+
+@query(
+    "many_term_counts",
+    f"""with terms as (select unnest([{sql_list(MANY_TERMS)}]) term), low as (select snapshot, lower(text) x from {{v_crawl_text}})
+        select snapshot, term, cast(sum((length(x) - length(replace(x, term, ''))) // length(term)) as bigint) n
+        from low, terms group by 1, 2""",
+)
+def many_term_counts(t):
+    """Many short terms that overlap each other."""
+    return crawl.term_counts(t("v_crawl_text"), "text", MANY_TERMS, SNAPSHOTS)
+
+
 @query("term_counts", TERM_COUNTS)
 def term_counts(t):
     return mentions(t)
@@ -179,6 +194,26 @@ def domain_corr(t):
     return rounded(crawl.domain_correlation(matrix(t), SNAPSHOTS), 9, "corr")
 
 
+# A hundred snapshots: the pages dealt by their number.
+WIDE = [f"w{i}" for i in range(100)]
+
+
+@query(
+    "domain_corr_wide",
+    f"""with c as (select 'w' || (record_id % 100) snapshot, {DOMAIN} as "domain", count(*) n from {{v_crawl}} group by 1, 2),
+        size as (select count(distinct "domain") n from c),
+        s as (select snapshot, sum(n) s, sum(n * n) ss from c group by 1),
+        p as (select a.snapshot a, b.snapshot b, sum(a.n * b.n) xy from c a join c b using ("domain") group by 1, 2)
+        select x.snapshot snapshot_a, y.snapshot snapshot_b,
+               round((size.n * coalesce(xy, 0) - x.s * y.s)
+                     / nullif(sqrt(cast(size.n * x.ss - x.s * x.s as double)) * sqrt(cast(size.n * y.ss - y.s * y.s as double)), 0), 9) corr
+        from s x join s y on true cross join size left join p on p.a = x.snapshot and p.b = y.snapshot""",
+)
+def domain_corr_wide(t):
+    dealt = t("v_crawl").withColumn("snapshot", F.concat(F.lit("w"), F.col("record_id") % 100))
+    return rounded(crawl.snapshot_correlation(crawl.domain_counts(dealt), WIDE), 9, "corr")
+
+
 @query(
     "domain_top",
     f"""with {MATRIX}, best as (select * from matrix order by s0 desc, s1 desc, s2 desc, s3 desc, "domain" limit 25)

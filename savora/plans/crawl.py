@@ -7,15 +7,25 @@ compared are listed by name, as they are few and the results have a column or ro
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from savora.functions.text import day_label, occurrences, url_authority
+from savora.functions.text import day_label, url_authority
 from savora.operators.ranks import by_group, doubled_medians, first_n_per_group
+from savora.operators.terms import term_totals
 from savora.session import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Domains of a block of cross products, and the whole numbers that floats hold exactly.
+_BLOCK, _EXACT = 4096, 2.0**53
+
 # Outlier distance, histogram bins, points of a density curve, domains shown.
 MAD_LIMIT = 10
 BINS = 100
@@ -126,13 +136,9 @@ def density(
 def term_counts(
     records: DataFrame, column: str, terms: Sequence[str], snapshots: Sequence[str]
 ) -> DataFrame:
-    """Occurrences of each term per snapshot, all terms in one pass."""
-    wide = (
-        records.where(F.col("snapshot").isin(list(snapshots)))
-        .groupBy("snapshot")
-        .agg(*[F.sum(occurrences(F.col(column), t)).alias(t) for t in terms])
-    )
-    return wide.unpivot(["snapshot"], [f"`{t}`" for t in terms], "term", "n")
+    """Occurrences of each term per snapshot, all terms in one pass however many they are."""
+    listed = records.where(F.col("snapshot").isin(list(snapshots)))
+    return term_totals(listed, "snapshot", F.col(column), terms)
 
 
 def term_share(counts: DataFrame) -> DataFrame:
@@ -159,20 +165,89 @@ def domain_matrix(records: DataFrame, snapshots: Sequence[str], url: str = "url"
     )
 
 
+def _gram(size: int):
+    """Sorted rows (domain, place, n) to sums and cross products (i, j, total); (-1, -1) counts domains, (-1, i) sums a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((size + 1, size + 1))
+        rest: tuple[str | None, np.ndarray] | None = None
+
+        def taken(matrix: np.ndarray) -> np.ndarray | None:
+            """Add a block; the totals come back when they would no longer be exact."""
+            nonlocal totals
+            block = np.hstack([matrix, np.ones((len(matrix), 1))])
+            more = block.T @ block
+            if (totals + more).max() >= _EXACT:
+                full, totals = totals, more
+                return full
+            totals += more
+            return None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            place, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            new = np.r_[True, names[1:] != names[:-1]]
+            matrix = np.zeros((int(new.sum()), size))
+            np.add.at(matrix, (np.cumsum(new) - 1, place), n)
+            if rest is not None:
+                if rest[0] == names[0]:
+                    matrix[0] += rest[1]
+                else:
+                    matrix = np.vstack([rest[1], matrix])
+            rest = (names[-1], matrix[-1].copy())
+            for at in range(0, len(matrix) - 1, _BLOCK):
+                full = taken(matrix[at:min(at + _BLOCK, len(matrix) - 1)])
+                if full is not None:
+                    yield _entries(full)
+        if rest is not None:
+            full = taken(rest[1][None, :])
+            if full is not None:
+                yield _entries(full)
+            yield _entries(totals)
+
+    return run
+
+
+def _entries(totals: np.ndarray) -> pa.RecordBatch:
+    size = len(totals) - 1
+    i, j = np.triu_indices(size + 1)
+    left, right = np.where(j == size, -1, i), np.where(j == size, np.where(i == size, -1, i), j)
+    columns = [pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(totals[i, j].astype(np.int64))]
+    return pa.record_batch(columns, names=["i", "j", "total"])
+
+
+def snapshot_correlation(counts: DataFrame, snapshots: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every two snapshots over all their domains, in long form.
+
+    ``counts`` holds (snapshot, domain, n), an absent pair counts 0. The domains are dealt once; each task adds up the
+    cross products of its domains block by block, so a hundred snapshots cost a matrix product, not thousands of
+    aggregates. Sums are whole numbers and exact.
+    """
+    names = list(dict.fromkeys(snapshots))
+    numbered = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
+    listed = counts.where(F.col("snapshot").isin(names) & F.col("n").isNotNull())
+    placed = listed.select("domain", F.element_at(numbered, F.col("snapshot")).alias("place"), F.col("n").cast("bigint").alias("n"))
+    parts = placed.repartition("domain").sortWithinPartitions("domain").mapInArrow(_gram(len(names)), "i int, j int, total bigint")
+    sums = stored(parts.groupBy("i", "j").agg(F.sum(F.col("total").cast("decimal(38,0)")).cast("double").alias("total")), "cross-products")
+    size = F.coalesce(sums.where("i = -1 and j = -1").select("total").scalar(), F.lit(0.0))
+    column = sums.where("i = -1 and j >= 0").select(F.col("j").alias("k"), F.col("total").alias("s"))
+    square = sums.where("i = j and i >= 0").select(F.col("i").alias("q"), F.col("total").alias("ss"))
+    spread = column.join(square, F.col("k") == F.col("q")).select("k", "s", (size * F.col("ss") - F.col("s") * F.col("s")).alias("v"))
+    pairs = sums.where("i >= 0").join(spread.toDF("i", "s_i", "v_i"), "i").join(spread.toDF("j", "s_j", "v_j"), "j")
+    corr = F.try_divide(size * F.col("total") - F.col("s_i") * F.col("s_j"), F.sqrt(F.col("v_i")) * F.sqrt(F.col("v_j")))
+    both = pairs.select("i", "j", corr.alias("corr"))
+    both = both.union(both.where("i <> j").select(F.col("j"), F.col("i"), "corr"))
+    name = F.array(*[F.lit(n) for n in names])
+    return both.select(
+        F.element_at(name, F.col("i") + 1).alias("snapshot_a"), F.element_at(name, F.col("j") + 1).alias("snapshot_b"), "corr"
+    )
+
+
 def domain_correlation(matrix: DataFrame, snapshots: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every two snapshots over the domains, in long form."""
-    names = list(snapshots)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    wide = matrix.agg(*[F.corr(F.col(f"`{names[i]}`"), F.col(f"`{names[j]}`")).alias(f"c{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(
-            F.lit(a).alias("snapshot_a"), F.lit(b).alias("snapshot_b"),
-            F.col(f"c{min(i, j)}_{max(i, j)}").alias("corr"),
-        )
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    return wide.select(F.inline(F.array(*cells)))
+    """The same from the wide table of counts."""
+    return snapshot_correlation(matrix.unpivot(["domain"], [f"`{s}`" for s in snapshots], "snapshot", "n"), snapshots)
 
 
 def top_domains(

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from savora.operators import clustering, grouped, ranks
+from savora.operators import terms as counting
 from savora.plans import crawl, monitoring
 
 GROUPS = ["a", "b", "c"]
@@ -236,3 +237,39 @@ def test_feedback_total_sums_daily_distincts(spark):
     total = monitoring.feedback_total(monitoring.feedback_daily(votes)).first()
     assert tuple(total) == (3, 2, 3, 1, 1, 33.3)
     assert tuple(monitoring.feedback_overall(votes).first())[:3] == (2, 1, 3)
+
+
+def test_many_terms_against_plain_counts(spark):
+    rng = random.Random(6)
+    terms = ["a", "aa", "aba", "b", "Ba", "cab", "ab", "zz", "é", "AB"]
+    rows = [(rng.choice(["s0", "s1", None]), rng.choice([None, "".join(rng.choice("abcABé ") for _ in range(rng.randint(0, 80)))])) for _ in range(300)]
+    frame = spark.createDataFrame([*rows, ("empty", "")], "snapshot string, text string")
+    found = {(r.snapshot, r.term): r.n for r in terms_of(frame, terms)}
+    expected = {(s, t): sum((x or "").lower().count(t.lower()) for g, x in rows if g == s) for s in ("s0", "s1", None) for t in terms}
+    assert found == expected | {("empty", t): 0 for t in terms}
+    assert terms_of(frame.limit(0), terms) == []
+    with pytest.raises(ValueError):
+        terms_of(frame, ["a", ""])
+
+
+def terms_of(frame, wanted):
+    return counting.term_totals(frame, "snapshot", F.col("text"), wanted).collect()
+
+
+def test_correlation_of_many_snapshots(spark):
+    rng = np.random.default_rng(5)
+    names = [f"s{i}" for i in range(100)]
+    matrix = rng.poisson(rng.gamma(0.3, 20, size=(500, 1)), size=(500, 100))
+    matrix[:, 7] = 3
+    rows = [(names[j], f"d{i}", int(matrix[i, j])) for i in range(500) for j in range(100) if matrix[i, j]]
+    counts = spark.createDataFrame(rows + [("other", "x", 5)], "snapshot string, domain string, n long").repartition(7)
+    found = {(r.snapshot_a, r.snapshot_b): r["corr"] for r in crawl.snapshot_correlation(counts, names).collect()}
+    seen = matrix[matrix.any(axis=1)].astype(float)
+    assert len(found) == 10_000
+    for i in range(0, 100, 9):
+        for j in range(100):
+            if 7 in (i, j):
+                continue
+            assert abs(found[names[i], names[j]] - np.corrcoef(seen[:, i], seen[:, j])[0, 1]) < 1e-9
+    assert found["s7", "s8"] is None or len(seen) < 500
+    assert crawl.snapshot_correlation(counts.limit(0), names).count() == 0
