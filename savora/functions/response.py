@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from savora.functions.literal import is_bad, literal_to_json
+
 # The wording of the task, the no-meal answer and the two sentinels.
 PROMPT_HEAD = (
     "\n    Your task is to perform the following actions:\n"
@@ -19,9 +21,6 @@ NO_MEALS = "No Meals in Review"
 SENTINEL_NAME = ""
 SENTINEL_SENTIMENT = 0.5
 
-_QUOTES = {"allowSingleQuotes": "true"}
-
-
 def build_prompt(text: Column) -> Column:
     """A missing review reads 'None' in the prompt."""
     return F.concat(F.lit(PROMPT_HEAD), F.coalesce(text, F.lit("None")), F.lit(PROMPT_TAIL))
@@ -30,13 +29,14 @@ def build_prompt(text: Column) -> Column:
 def parse_response(rows: DataFrame, response: str = "response") -> DataFrame:
     """Add ``status`` (ok, no_meals, bad_format) and ``items``, one text per list element.
 
-    The list is read one level at a time, so a bad element does not void its good neighbours.
+    The list is read one level at a time, so a bad element does not void its good neighbours. Both JSON and
+    Python notation are read, see ``literal``; nested elements come as JSON with numbers as texts.
     """
     answer = F.col(response)
     silent = F.contains(answer, F.lit(NO_MEALS))
-    listed = ~silent & F.trim(answer).startswith("[")
+    listed = ~silent & F.trim(answer).rlike(r"^[\[(]")
     return rows.withColumn(
-        "items", F.when(listed, F.from_json(answer, "array<string>", _QUOTES))
+        "items", F.when(listed, F.from_json(literal_to_json(answer), "array<string>"))
     ).withColumn(
         "status",
         F.when(silent, "no_meals").when(F.col("items").isNotNull(), "ok").otherwise("bad_format"),
@@ -45,9 +45,8 @@ def parse_response(rows: DataFrame, response: str = "response") -> DataFrame:
 
 def explode_meals(parsed: DataFrame) -> DataFrame:
     """One row per element; anything that is no pair becomes the sentinel ('', 0.5)."""
-    pair = F.when(
-        F.col("item").startswith("["), F.from_json(F.col("item"), "array<string>", _QUOTES)
-    )
+    listed = F.col("item").startswith("[") & ~is_bad(F.col("item"))
+    pair = F.when(listed, F.from_json(F.col("item"), "array<string>"))
     good = F.size("pair") == 2
     return (
         parsed.withColumn("item", F.explode_outer("items"))
