@@ -1,13 +1,13 @@
 """Jaccard join on word shingles by grouped prefixes.
 
-A document is the set of its distinct word shingles, each a 64-bit hash; the order of the hashes is the global
-order. Two sets as similar as wanted share a member of their prefixes, the first `size - least overlap + 1`
-members. Documents with equal sets are one; sets with the same prefix and size are one group, and only
+A document is the set of its distinct word shingles, each a 64-bit hash. A count-min sketch over every other shingle of
+all documents tells many of those that stand in one document only; the global order puts these first, then the rest,
+each part by hash. Two sets as similar as wanted share a member of their prefixes, the first `size - least overlap + 1`
+members, and shingles of one document are never shared, so most documents that are no near copies have nothing to post. Documents with equal sets are one; sets with the same prefix and size are one group, and only
 groups are posted under their prefix members, with their size and the member's place in the prefix.
 
-A member that one group alone has needs no list; a count-min sketch of all prefixes tells most of them before anything is
-shuffled. Of lists with the same groups one is kept: near copies share most of their prefixes, and would meet once
-for each. In a list, pairs of groups are filtered by size and by what the member's places leave to
+Of lists with the same groups one is kept: near copies share most of their prefixes, and would meet once for each
+member. In a list, pairs of groups are filtered by size and by what the member's places leave to
 share; only the groups of pairs that pass are expanded to their sets, of which pairs are filtered by a bound on the
 overlap from parity sketches. Each of these filters passes every pair that is similar enough. What is left,
 clusters of sets with possible partners, is verified set against set on the whole texts.
@@ -25,6 +25,7 @@ repeat an id are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,25 @@ from pyspark.sql import functions as F
 from savora.llm import lists, sketches
 from savora.llm.common import perhaps_in, record_batches
 from savora.llm.components import components
+from savora.llm.substring_dedup import word_codes
 from savora.session import stored
 
 # Sets of a chunk that is filtered and of one that is verified, sets of a row, and pairs looked at together.
 MOST_POSTINGS, MOST_SETS, MOST_MEMBERS, MOST_PAIRS = 4096, 2048, 64, 1 << 20
-# Prefix members of a partial sketch.
-CHUNK_MEMBERS = 1 << 20
+# Shingles of a partial sketch, and bytes of text whose words are looked at together.
+CHUNK_MEMBERS, BLOCK_BYTES = 1 << 20, 2 << 20
 # Bytes of text in a chunk that is verified.
 MOST_BYTES = 1 << 26
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gid", pa.int64()), ("lead", pa.int64()), ("shared", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64())]
 )
-SETS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, gid bigint, prefix array<bigint>, sketch binary, size bigint"
+SETS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, gid bigint, lead bigint, shared array<bigint>, sketch binary, size bigint"
 CLUSTERS = pa.schema([("label", pa.int64()), ("rep", pa.int64())])
 CLUSTERS_DDL = "label bigint, rep bigint"
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 EDGES_DDL = "a bigint, b bigint"
-POSTINGS = pa.schema([("member", pa.int64()), ("gid", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
-POSTINGS_DDL = "member bigint, gid bigint, n bigint, place bigint"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -133,78 +133,110 @@ def _digest(members: np.ndarray, odd: np.uint64) -> int:
         return int(np.add.reduce(_mixed(members * odd), dtype=np.uint64).astype(np.int64))
 
 
-def _sets(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()), strict=True):
-                    whole = text.as_py() or b""
-                    members = shingles(whole, width)
-                    n = len(members)
-                    if n == 0:
-                        rows.append((doc_id, 0, 0, 0, 0, [], b"", len(whole)))
-                        continue
-                    prefix = members[:n - least_overlap(n, percent) + 1]
-                    group = _digest(np.append(prefix, np.uint64(n)), _ODD[2])
-                    rows.append((doc_id, n, _digest(members, _ODD[0]), _digest(members, _ODD[2]), group, prefix.view(np.int64), sketch(members, percent).tobytes(), len(whole)))
-                if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), SETS, strict=True)], schema=SETS)
-
-    return run
-
-
-def least_common(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest intersection of sets of these sizes that are similar enough."""
-    return -(-percent * (a + b) // (100 + percent))
+class Members(NamedTuple):
+    """Sets of some documents: all members, sorted within each set, and where each set ends."""
+
+    ids: list
+    sizes: list[int]
+    members: np.ndarray
+    ends: np.ndarray
+
+
+def _members_of(rows: list[tuple[int | None, bytes]], width: int) -> Members:
+    places, codes = word_codes(b" ".join(text.translate(_LOWER) for _, text in rows))
+    codes = codes[:, 0]
+    stop = np.searchsorted(places, np.cumsum([len(text) + 1 for _, text in rows]))
+    words = np.diff(stop, prepend=0)
+    n = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    doc = np.repeat(np.arange(len(rows)), n)
+    at = np.repeat(stop - words, n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(words, width)[doc]
+    total = size.astype(np.uint64)
+    for j in range(width):
+        open_ = slice(None) if (size > j).all() else np.flatnonzero(size > j)
+        total[open_] = _mixed(total[open_] * _ODD[0] + codes[at[open_] + j])
+    order = np.lexsort((total, doc))
+    total, doc = total[order], doc[order]
+    new = np.ones(len(total), dtype=bool)
+    new[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
+    return Members([i for i, _ in rows], [len(t) for _, t in rows], total[new], np.cumsum(np.bincount(doc[new], minlength=len(rows))))
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Members]:
+    """Rows (doc_id, text) as sets, some documents at a time."""
+    held: list[tuple[int | None, bytes]] = []
+    weight = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            held.append((doc_id, text.as_py() or b""))
+            weight += len(held[-1][1])
+            if weight >= BLOCK_BYTES or len(held) == 10_000:
+                yield _members_of(held, width)
+                held, weight = [], 0
+    if held:
+        yield _members_of(held, width)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows (gid, n, prefix) as their members, hashed, with the group, size and place of each."""
-    for batch in batches:
-        lists_ = batch.column(2)
-        length = np.diff(lists_.offsets.to_numpy())
-        row = np.repeat(np.arange(batch.num_rows), length)
-        begin = np.cumsum(length) - length
-        members = lists_.flatten().to_numpy(zero_copy_only=False)
-        gid, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        yield members, gid[row], n[row], np.arange(len(row)) - begin[row]
+def _sampled(members: np.ndarray) -> np.ndarray:
+    """Every other shingle, by hash: enough to fill the prefix of a document of its own."""
+    return (members & np.uint64(1)).astype(bool)
 
 
 def _hashed(members: np.ndarray) -> np.ndarray:
-    # Prefix members are the smallest hashes, so they are mixed once more.
-    return _mixed(members.view(np.uint64) * _ODD[1])
+    return _mixed(members * _ODD[1])
 
 
-def _sketched(bits: int):
+def _sketched(width: int, bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, size = [], 0
-        for members, *_ in _prefixes(batches):
-            held.append(_hashed(members))
-            size += len(members)
+        for block in _blocks_of(batches, width):
+            held.append(_hashed(block.members[_sampled(block.members)]))
+            size += len(held[-1])
             if size >= CHUNK_MEMBERS:
-                yield from sketches.of(np.concatenate(held), bits)
+                yield from sketches.of(np.concatenate(held), bits, 1)
                 held, size = [], 0
         if size:
-            yield from sketches.of(np.concatenate(held), bits)
+            yield from sketches.of(np.concatenate(held), bits, 1)
 
     return lambda batches: record_batches(rows(batches), sketches.PARTS)
 
 
-def _posted(bits: int, path: str):
-    """Postings of the members that may be in several groups."""
+def _sets(width: int, percent: int, bits: int, path: str):
+    """Sets with their prefixes; of these only the members that other documents may have are given out, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _prefixes(batches):
-            found = sketches.repeated(_hashed(columns[0]), bits, sketches.load(path, bits))
-            columns = [c[found] for c in columns]
-            for at in range(0, len(columns[0]), 50_000):
-                yield pa.record_batch([pa.array(c[at:at + 50_000], pa.int64()) for c in columns], schema=POSTINGS)
+        for block in _blocks_of(batches, width):
+            members, sampled = block.members, _sampled(block.members)
+            alone = np.zeros(len(members), dtype=bool)
+            alone[sampled] = ~sketches.repeated(_hashed(members[sampled]), bits, sketches.load(path, bits, 1))
+            rows, start = [], 0
+            for doc_id, size, stop in zip(block.ids, block.sizes, block.ends.tolist(), strict=True):
+                own, first, start = members[start:stop], alone[start:stop], stop
+                n = len(own)
+                if n == 0:
+                    rows.append((doc_id, 0, 0, 0, 0, 0, [], b"", size))
+                    continue
+                length = n - least_overlap(n, percent) + 1
+                at_front = min(int(first.sum()), length)
+                shared = own[~first][:length - at_front]
+                prefix = np.concatenate([own[first][:at_front], shared])
+                group = _digest(np.append(prefix, np.uint64(n)), _ODD[2])
+                rows.append((
+                    doc_id, n, _digest(own, _ODD[0]), _digest(own, _ODD[2]), group, int(prefix[:1].view(np.int64)[0]),
+                    shared.view(np.int64), sketch(own, percent).tobytes(), size,
+                ))
+            for at in range(0, len(rows), 1000):
+                part = rows[at:at + 1000]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*part), SETS, strict=True)], schema=SETS)
 
     return run
 
 
+def least_common(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest intersection of sets of these sizes that are similar enough."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def _expanded(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of sets of these pairs of rows, some at a time; of a row with itself each pair once."""
     count = size[a] * size[b]
@@ -285,8 +317,12 @@ def _verified(width: int, percent: int):
                     common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                         forest.link(*pair)
-                        edges.append((own[a], own[b]))
-        found = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            # Each set hangs on the smallest id of its tree, as stars settle in few rounds.
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, forest.top, own)
+            hung = np.flatnonzero(least[forest.top] != own)
+            edges.append(np.stack([own[hung], least[forest.top][hung]], axis=1))
+        found = np.concatenate([np.zeros((0, 2), np.int64), *edges])
         return {"a": found[:, 0], "b": found[:, 1]}
 
     return run
@@ -294,10 +330,11 @@ def _verified(width: int, percent: int):
 
 def _lists(heads: DataFrame, percent: int) -> DataFrame:
     """Postings (member, gid, n, place) of one row a group, one list of each set of groups that share a member."""
-    total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    bits = sketches.bits_for(total)
-    path = sketches.merged(heads.mapInArrow(_sketched(bits), sketches.PARTS_DDL))
-    postings = stored(heads.mapInArrow(_posted(bits, path), POSTINGS_DDL), "prefix-postings")
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    # Places count from the end, as members of one document come first and are not given out.
+    place = length - F.size("shared") + F.col("at")
+    postings = heads.select("gid", "n", "shared", F.posexplode("shared").alias("at", "member"))
+    postings = stored(postings.select("member", "gid", "n", place.cast("bigint").alias("place")), "prefix-postings")
     marks = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     each = postings.groupBy("member").agg(F.count("*").alias("groups"), *marks).where("groups > 1")
     kept = stored(each.groupBy("groups", "x1", "x2").agg(F.min("member").alias("member")).select("member"), "lists")
@@ -307,39 +344,45 @@ def _lists(heads: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document, by sets of ``width`` words at ``percent`` % Jaccard."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets = stored(rows.mapInArrow(_sets(width, percent), SETS_DDL), "sets")
+    # About two cells for each shingle that is counted.
+    bits = sketches.bits_for((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 32)
+    path = sketches.merged(rows.mapInArrow(_sketched(width, bits), sketches.PARTS_DDL))
+    sets = stored(rows.mapInArrow(_sets(width, percent, bits, path), SETS_DDL), "sets")
     same = ["s1", "s2", "n"]
     distinct = stored(
         sets.where("n > 0 and doc_id is not null")
         .groupBy(*same)
-        .agg(F.min_by(F.struct("gid", "prefix", "sketch"), "doc_id").alias("r"), F.min("doc_id").alias("rep"))
+        .agg(F.min_by(F.struct("gid", "lead", "shared", "sketch"), "doc_id").alias("r"), F.min("doc_id").alias("rep"))
         .select(*same, "rep", "r.*"),
         "distinct-sets",
     )
     # The sets of each group, in rows of a bounded number of them. Two groups of one digest would be told apart by
     # their size and first member, and be compared as one.
     group = ["gid", "n", "lead"]
-    distinct = distinct.withColumn("lead", F.col("prefix")[0])
     sizes = distinct.groupBy(*group).agg(F.count("*").alias("in_group"), F.min("rep").alias("head"))
     sizes = stored(sizes.where("in_group > 1"), "group-sizes")
     grouped = distinct.join(sizes, group, "left")
+    postings = stored(_lists(grouped.where("(head is null or rep = head) and size(shared) > 0").select("gid", "n", "shared"), percent), "postings")
+    # Only groups that meet others, or have several sets, are needed from here on.
+    wanted = postings.select("gid", "n").union(sizes.select("gid", "n")).distinct()
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("in_group", F.lit(1)) / MOST_MEMBERS))
     units = (
-        grouped.groupBy("gid", "n", part.alias("part"))
+        grouped.join(wanted, ["gid", "n"], "left_semi")
+        .groupBy("gid", "n", part.alias("part"))
         .agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
-        .select("gid", "n", F.xxhash64("gid", "part").alias("unit"), F.size("members").cast("bigint").alias("held"), "members")
+        .select("gid", "n", F.xxhash64("gid", "n", "part").alias("unit"), F.size("members").cast("bigint").alias("held"), "members")
     )
     units = stored(units, "units")
-    postings = _lists(grouped.where("head is null or rep = head").select("gid", "n", "prefix"), percent)
-    posted = postings.join(units.select("gid", "unit", "held"), "gid").select("member", "gid", "n", "place", "unit", "held")
+    posted = postings.join(units.select("gid", "n", "unit", "held"), ["gid", "n"]).select("member", "gid", "place", "unit", "held")
     # Groups of several sets are also compared within themselves.
-    own = units.join(sizes.select("gid", "n"), ["gid", "n"], "left_semi").select(F.xxhash64("gid", F.lit("own")).alias("member"), "gid", "n", F.lit(-1).cast("bigint").alias("place"), "unit", "held")
-    alone = own.withColumn("i", F.lit(0)).withColumn("k", F.lit(0)).withColumn("chunk", F.lit(0))
-    listed = stored(posted.union(own), "postings")
+    own = units.join(sizes.select("gid", "n").distinct(), ["gid", "n"], "left_semi")
+    own = own.select(F.xxhash64("gid", "n", F.lit("own")).alias("member"), "gid", F.lit(-1).cast("bigint").alias("place"), "unit", "held")
+    listed = stored(posted.union(own), "list-rows")
     placed = lists.blocks(listed, "member", "unit", MOST_POSTINGS, "list-sizes", "held", MOST_POSTINGS)
-    single = listed.groupBy("member").agg(F.count("*").alias("rows"), F.max("place").alias("at")).where("rows = 1 and at < 0").select("member")
+    single = own.groupBy("member").agg(F.count("*").alias("rows")).where("rows = 1").select("member")
     columns = ["member", "i", "k", "chunk", "gid", "place", "unit"]
-    met = placed.select(*columns).union(alone.join(single, "member").select(*columns))
+    alone = own.join(single, "member").withColumns({c: F.lit(0) for c in ("i", "k", "chunk")})
+    met = placed.select(*columns).union(alone.select(*columns))
     met = met.join(units.select("unit", "n", "members"), "unit").select("member", "i", "k", "chunk", "gid", "n", "place", "members")
     clusters = lists.compared(met, "member", _clusters(percent), CLUSTERS, CLUSTERS_DDL)
     # Clusters that share a set become one, so that each text is needed once.
@@ -349,10 +392,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "tex
     # With what the texts of a set's first id weigh; copies of a text are read once.
     weighed = sets.where("n > 0").join(clusters.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("label", "doc_id", *same).agg(F.max("size").alias("size"))
     weighed = stored(weighed.groupBy("label", F.col("doc_id").alias("rep")).agg(F.sum("size").alias("size")), "weighed-clusters")
-    wanted = lists.blocks(weighed, "label", "rep", MOST_SETS, "cluster-sizes", "size", MOST_BYTES)
+    chosen = lists.blocks(weighed, "label", "rep", MOST_SETS, "cluster-sizes", "size", MOST_BYTES)
     near = clusters.select("rep")
     texts = rows.where(perhaps_in(near)).join(near, rows["doc_id"] == near["rep"], "left_semi").distinct()
-    verified = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("label", "i", "k", "chunk", "rep", "text")
+    verified = chosen.join(texts, chosen["rep"] == texts["doc_id"]).select("label", "i", "k", "chunk", "rep", "text")
     hung = components(lists.compared(verified, "label", _verified(width, percent), EDGES, EDGES_DDL))
     of_set = stored(
         distinct.select(*same, "rep").join(hung.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("c")),

@@ -75,10 +75,10 @@ def unpacked_cells(data: bytes, shift: int) -> np.ndarray:
     return cells
 
 
-def of(hashes: np.ndarray, bits: int) -> Iterator[tuple]:
+def of(hashes: np.ndarray, bits: int, n_rows: int = ROWS) -> Iterator[tuple]:
     """The partial sketch of a chunk's hashes, each counted as often as it is there, as rows of ``PARTS``."""
     borders = np.arange(0, (1 << bits) + 1, PIECE_CELLS, dtype=np.uint64)
-    for row in range(ROWS):
+    for row in range(n_rows):
         cells = np.sort(cell_of(hashes, row, bits))
         shift = shift_for((1 << bits) / max(len(cells), 1))
         new = np.ones(len(cells), dtype=bool)
@@ -113,11 +113,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LOADED: dict[str, list[np.ndarray]] = {}
 
 
-def load(path: str, bits: int) -> list[np.ndarray]:
+def load(path: str, bits: int, n_rows: int = ROWS) -> list[np.ndarray]:
     """The merged sketch, read once by each worker from the shared folder."""
     if path not in _LOADED:
         _LOADED.clear()
-        sketch = [np.zeros((1 << bits) >> 3, np.uint8) for _ in range(ROWS)]
+        sketch = [np.zeros((1 << bits) >> 3, np.uint8) for _ in range(n_rows)]
         files, folder = open_folder(path)
         size = PIECE_CELLS >> 3
         for info in files.get_file_info(fs.FileSelector(folder)):
@@ -142,7 +142,7 @@ def merged(parts: DataFrame) -> str:
 def repeated(hashes: np.ndarray, bits: int, sketch: list[np.ndarray]) -> np.ndarray:
     """Which hashes may occur twice."""
     found = np.ones(len(hashes), dtype=bool)
-    for row in range(ROWS):
+    for row, met in enumerate(sketch):
         cell = cell_of(hashes, row, bits)
-        found &= (sketch[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        found &= (met[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     return found
