@@ -255,6 +255,32 @@ def new_business_meals(t):
     )
 
 
+@query(
+    "later_load",
+    """select business_name, count(*) mentions, count(distinct meal_name) meals, true kept, true one_label, true numbered
+       from {v_mentions} where meal_name is not null group by 1""",
+)
+def later_load(t):
+    """Two loads: the second brings new names and repeats old ones, whose clusters keep number and label."""
+    store = TableStore(t.spark, scratch_path(t.spark, "store"))
+    store.create_empty(["mart.meal_mentions", "mart.meal_centres"])
+    mentions = t("v_mentions").select("business_name", "rating", "meal_name", "sentiment")
+    later = F.pmod(F.xxhash64("meal_name"), F.lit(4)) == 0
+    # Of the names of the first load, some mentions come with the second.
+    first = ~later & (F.col("sentiment") < 0.5)
+    named = ["business_name", "meal_name"]
+    before = meals.add_load(store, mentions.where(first), "load-1").groupBy(*named).agg(F.first("cluster").alias("old"), F.first("cluster_label").alias("old_label"))
+    meals.add_load(store, mentions.where(~first), "load-2")
+    rows = store.read("mart.meal_mentions")
+    labels = rows.groupBy("business_name", "cluster").agg(F.count_distinct("cluster_label").alias("labels"), F.min("cluster").alias("lowest"))
+    facts = rows.join(before, named, "left").join(labels, ["business_name", "cluster"])
+    kept = F.col("old").isNull() | ((F.col("old") == F.col("cluster")) & F.col("old_label").eqNullSafe(F.col("cluster_label")))
+    return facts.groupBy("business_name").agg(
+        F.count("*").alias("mentions"), F.count_distinct("meal_name").alias("meals"), F.bool_and(kept).alias("kept"),
+        F.bool_and(F.col("labels") <= 1).alias("one_label"), F.bool_and(F.col("lowest") >= 0).alias("numbered"),
+    )
+
+
 @query(
     "new_business_counts",
     f"""with {NEW} select business_name, meal_name, count(*) mentions, sum(rating)::bigint ratings from mentions group by 1, 2""",

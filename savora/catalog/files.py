@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from savora import schemas
 from savora.catalog.registry import joined_text, query
+from savora.catalog.views import TABLES
 from savora.plans import pairs
 from savora.session import scratch_path
-from savora.sources import files, payloads, tables
+from savora.sources import files, json_arrays, payloads, tables
 
 
 @query(
@@ -31,6 +32,14 @@ def ingest_json_doc(t):
     return files.read_json_document(t.spark, landed, "conv_id bigint, turn bigint, role string, text string")
 
 
+@query("ingest_json_array", "select doc_id, text, lang, source, n_chars from {documents}")
+def ingest_json_array(t):
+    """Huge documents: every file is cut into ranges of 64 kB, so one array is read by many tasks."""
+    landed = scratch_path(t.spark, "array-json")
+    files.write_json_documents(t("documents"), landed)
+    return json_arrays.read_json_array(t.spark, landed, TABLES["documents"], 1 << 16)
+
+
 @query("csv_roundtrip", "select doc_id, text, lang, n_chars from {documents}")
 def csv_roundtrip(t):
     landed = scratch_path(t.spark, "documents-csv")

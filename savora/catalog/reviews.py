@@ -307,6 +307,24 @@ def cluster_sample_labels(t):
     )
 
 
+@query(
+    "sampled_on_rows",
+    """select cluster, count(*) mentions, cast(least(3, count(*)) as int) labels, 1::bigint lists, true own_draws
+       from {v_mentions} where cluster is not null group by 1""",
+)
+def sampled_on_rows(t):
+    """The drawn labels stand on every mention of their cluster, the same list on each, drawn from its meals."""
+    rows = t("v_mentions").where("cluster is not null").drop("cluster_label").withColumn("c", F.lit("kept"))
+    found = meals.with_sample_labels(rows)
+    own = rows.groupBy("cluster").agg(F.collect_set("meal_name").alias("own"))
+    known = found.join(own, "cluster").where("c = 'kept'")
+    inside = F.forall("cluster_label", lambda m: F.array_contains("own", m))
+    return known.groupBy("cluster").agg(
+        F.count("*").alias("mentions"), F.max(F.size("cluster_label")).alias("labels"),
+        F.count_distinct("cluster_label").alias("lists"), F.bool_and(inside).alias("own_draws"),
+    )
+
+
 @query(
     "meal_value_counts",
     "select meal_name, count(*) n from {v_mentions} where meal_name is not null group by 1",

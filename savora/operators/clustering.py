@@ -42,10 +42,11 @@ def _trigrams(text: Column) -> Column:
 def embed_text(rows: DataFrame, text: Column, size: int = 64, name: str = "embedding") -> DataFrame:
     """Hashed character trigrams, scaled to unit length. The hash is the head of an MD5, which SQL engines share."""
     def place(gram: Column) -> Column:
-        return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(size))
+        return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(size)).cast("int")
 
     def counts(places: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)))
+        # Without an inner lambda: these are worked out entry by entry, removal is not.
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(places) - F.size(F.array_remove(places, i)))
 
     def length(c: Column) -> Column:
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
@@ -115,6 +116,11 @@ def _signature(vectors: pd.Series) -> pd.Series:
     return found
 
 
+def vector_signature(vector: str) -> Column:
+    """The digits of a column of vectors; alike vectors mostly share the first ones."""
+    return F.pandas_udf(_signature, "string")(vector)
+
+
 def _blocks(cells: DataFrame, percent: int, run_names: int) -> DataFrame:
     """``cells`` (b, signature, n) with ``block``, a prefix of the signature.
 
@@ -186,7 +192,7 @@ def cluster_mentions(
     name = F.coalesce("meal_name", F.lit(""))
     if not vector:
         names = embed_text(names, mention_text(name, F.col("sentiment")) if with_sentiment else F.lower(name), size)
-    signature = F.concat(F.pandas_udf(_signature, "string")("embedding"), F.substring(F.md5(name), 1, HASH_PARTS))
+    signature = F.concat(vector_signature("embedding"), F.substring(F.md5(name), 1, HASH_PARTS))
     key = F.coalesce(F.concat(F.lit("="), "business_name"), F.lit(""))
     signed = stored(names.select(key.alias("b"), *unit, "weight", "embedding", signature.alias("signature")), "signed-names")
     cells = _blocks(signed.groupBy("b", "signature").agg(F.count("*").alias("n")), percent, run_names)

@@ -12,6 +12,7 @@ MEAL_MENTIONS = (
     "business_name string, rating int, meal_name string, sentiment double, "
     "cluster int, cluster_label string"
 )
+MEAL_CENTRES = "business_name string, cluster int, cluster_label string, centre array<float>"
 FEEDBACK = "business_name string, meal_name string, rec_flag boolean, create_date date"
 FEEDBACK_PARTIALS = (
     "create_date date, total_feedback bigint, total_pos_feedback bigint, total_neg_feedback bigint, "
@@ -59,6 +60,7 @@ TABLES = {
     "raw.reviews": RAW_REVIEWS,
     "staging.reviews": STAGING_REVIEWS,
     "mart.meal_mentions": MEAL_MENTIONS,
+    "mart.meal_centres": MEAL_CENTRES,
     "mart.feedback": FEEDBACK,
     "mart.feedback_partials": FEEDBACK_PARTIALS,
     "mart.feedback_states": FEEDBACK_STATES,

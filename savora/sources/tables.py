@@ -49,6 +49,11 @@ class TableStore:
             reader = reader.schema(f"{schemas.TABLES[table]}, {BATCH} string")
         return reader.parquet(self.path(table)).drop(BATCH)
 
+    def read_but(self, table: str, batch: str) -> DataFrame:
+        """The table without one load, for a job that writes that load."""
+        reader = self.spark.read.option("basePath", self.path(table)).schema(f"{schemas.TABLES[table]}, {BATCH} string")
+        return reader.parquet(self.path(table)).where(F.col(BATCH) != batch).drop(BATCH)
+
     def register_views(self, tables: Iterable[str]) -> None:
         """Make tables known to SQL as ``layer_table``; ``spark.catalog.listTables`` lists them."""
         for table in tables:
