@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from savora.catalog.registry import Tables, query, rounded, sql_list
 from savora.catalog.views import DENIED_PART, DENIED_WORDS
-from savora.functions.text import clean_text
+from savora.functions.text import clean_text, register_sql_functions, undouble_quotes
 from savora.operators.grouped import value_counts
 from savora.plans import marts, meals, recommend, staging
 from savora.session import scratch_path, stored
@@ -325,6 +325,35 @@ def sampled_on_rows(t):
     )
 
 
+@query(
+    "reviews_of_business",
+    f"""with {STAGED} select business_name, rating, review_text from staged
+        where business_name = (select min(s_name) from {{supplier}} where s_suppkey % 3 < 2)""",
+)
+def reviews_of_business(t):
+    """All reviews of one business, as they go to extraction."""
+    chosen = t("supplier").where("s_suppkey % 3 < 2").agg(F.min("s_name").alias("name")).first()["name"]
+    return staging.reviews_of(staged(t), chosen)
+
+
+@query("undouble_quotes", "select doc_id, replace(text, repeat(chr(39), 2), chr(39)) as name from {documents}")
+def undouble(t):
+    return t("documents").select("doc_id", undouble_quotes(F.col("text")).alias("name"))
+
+
+@query(
+    "sql_cleaning",
+    """select lang, count(*) n, cast(sum(length(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g'))) as bigint) chars
+       from {documents} group by 1""",
+)
+def sql_cleaning(t):
+    """The cleaning step called from SQL text."""
+    register_sql_functions(t.spark)
+    return t.spark.sql(
+        "select lang, count(*) n, sum(length(clean_special_characters(text))) chars from {documents} group by lang", documents=t("documents")
+    )
+
+
 @query(
     "meal_value_counts",
     "select meal_name, count(*) n from {v_mentions} where meal_name is not null group by 1",
