@@ -129,13 +129,12 @@ def pairs_rest(t):
 
 
 def _payload(t, table, schema, **fields):
-    """One payload per row of ``table``, as JSON text parsed by its schema."""
-    text = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    """One payload per row of ``table``, landed as a line of JSON and read back by its schema."""
     rows = t(table)
     key = rows.columns[0]
-    return files.with_json(rows.select(key, text.alias("body")), "body", f"struct<{schema}>").select(
-        key, "payload.*"
-    )
+    landed = scratch_path(t.spark, "payloads")
+    files.write_json_lines(rows.select(key, F.struct(*[v.alias(k) for k, v in fields.items()]).alias("payload")), landed)
+    return files.read_json_lines(t.spark, landed, f"{key} bigint, payload struct<{schema}>").select(key, "payload.*")
 
 
 def _places(t):
