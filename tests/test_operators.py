@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from savora.operators import clustering, grouped, ranks
 from savora.operators import terms as counting
-from savora.plans import crawl, monitoring
+from savora.plans import crawl, meals, monitoring
 
 GROUPS = ["a", "b", "c"]
 
@@ -273,3 +273,25 @@ def test_correlation_of_many_snapshots(spark):
             assert abs(found[names[i], names[j]] - np.corrcoef(seen[:, i], seen[:, j])[0, 1]) < 1e-9
     assert found["s7", "s8"] is None or len(seen) < 500
     assert crawl.snapshot_correlation(counts.limit(0), names).count() == 0
+
+
+def test_labels_are_drawn_as_often_as_meals_occur(spark):
+    """Over 2000 clusters, a meal with nine of ten mentions is drawn nine times of ten; columns of other names stay."""
+    rows = spark.range(20_000).select(
+        (F.col("id") % 2000).cast("int").alias("cluster"), F.when(F.col("id") < 18_000, "taco").otherwise("soup").alias("meal_name"), F.lit("x").alias("c"), F.lit("y").alias("b")
+    )
+    found = meals.with_sample_labels(rows)
+    assert found.count() == 20_000 and {(r.c, r.b) for r in found.select("c", "b").distinct().collect()} == {("x", "y")}
+    draws = found.select("cluster", "cluster_label").distinct().select(F.explode("cluster_label").alias("m"))
+    share = draws.agg(F.avg((F.col("m") == "taco").cast("double"))).first()[0]
+    assert draws.count() == 6000 and abs(share - 0.9) < 0.02
+    assert meals.sample_labels(rows).collect() != meals.sample_labels(rows, seed=8).collect()
+
+
+def test_tfidf_clusters_tell_subjects_apart(spark):
+    """Texts of three subjects, few words of each in any text: the clusters are the subjects."""
+    rng = random.Random(7)
+    words = [[f"{s}{i}" for i in range(12)] for s in ("soup", "bike", "tax")]
+    texts = [(i, i % 3, " ".join(rng.choices(words[i % 3], k=15) + ["the", "and"])) for i in range(300)]
+    found = clustering.tfidf_clusters(spark.createDataFrame(texts, "i int, subject int, t string"), "t").collect()
+    assert len({(r.subject, r.cluster) for r in found}) == 3 == len({r.cluster for r in found})
