@@ -202,7 +202,8 @@ WIDE = [f"w{i}" for i in range(100)]
     "domain_corr_wide",
     f"""with c as (select 'w' || (record_id % 100) snapshot, {DOMAIN} as "domain", count(*) n from {{v_crawl}} group by 1, 2),
         size as (select count(distinct "domain") n from c),
-        s as (select snapshot, sum(n) s, sum(n * n) ss from c group by 1),
+        s as (select w.snapshot, coalesce(sum(n), 0) s, coalesce(sum(n * n), 0) ss
+              from (select 'w' || unnest(range(0, 100)) snapshot) w left join c on w.snapshot = c.snapshot group by 1),
         p as (select a.snapshot a, b.snapshot b, sum(a.n * b.n) xy from c a join c b using ("domain") group by 1, 2)
         select x.snapshot snapshot_a, y.snapshot snapshot_b,
                round((size.n * coalesce(xy, 0) - x.s * y.s)
