@@ -6,7 +6,8 @@ whose blob and rule version are not in the ledger yet, each once however many pa
 what it finds, and joins the ledger's findings back to all paths.
 
 Spans are counted in code points, end exclusive, leftmost and without overlaps per rule. Positions come
-from cutting the text at the matches: the lengths of the cuts and of the matches add up.
+from cutting the text at the matches: the lengths of the cuts and of the matches add up, chunk by chunk, so
+that a text with very many matches takes little more time for each than one with few.
 
 Null contents are the empty text, which has a blob of its own and no findings. Repeated rows, and copies
 under other paths, get the same findings. Empty tables give empty results.
@@ -14,7 +15,7 @@ under other paths, get the same findings. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,43 +59,67 @@ def blob_of(content: str | Column) -> Column:
     return F.sha2(text_or_empty(content).cast("binary"), 256)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; what a lambda refers to outside is worked out at each entry."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(values: Column, width: int) -> Column:
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int"))
+    cut = F.transform(starts, lambda i: F.slice(values, i * width + 1, F.lit(width)))
+    return F.when(F.size(values) > 0, cut).otherwise(F.array())
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], width: int = 256) -> Column:
+    """The values of an array of ints, each combined with all before it.
+
+    Appending copies an array, so chunks have running values of their own, and only one value a chunk runs
+    over all of them.
+    """
+    def last(c: Column) -> Column:
+        return F.get(c, F.size(c) - 1)
+
+    def walk(c: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(c, none, lambda before, x: F.concat(before, F.array(F.coalesce(combine(last(before), x), x))))
+
+    def joined(parts: Column, tops: Column) -> Column:
+        def lifted(c: Column, i: Column) -> Column:
+            return F.when(i == 0, c).otherwise(F.transform(c, lambda x: combine(F.get(tops, i - 1), x)))
+
+        return F.flatten(F.transform(parts, lifted))
+
+    walked = _with(values, lambda bound: F.transform(_chunks(bound, width), walk))
+    return _with(walked, lambda parts: _with(walk(F.transform(parts, last)), lambda tops: joined(parts, tops)))
+
+
 def spans_of(content: Column, rule: Rule) -> Column:
     """The rule's spans in a text, as structs of start and end."""
     whole = F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(0))
     measured = F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     cuts = F.split(content, rule.pattern, -1)
-    # A match begins behind the cuts and matches before it.
+    # A match ends behind the cuts and matches up to it.
     steps = F.zip_with(
         F.slice(cuts, 1, F.size(whole)),
         F.arrays_zip(whole.alias("m"), measured.alias("g")),
         lambda cut, hit: F.struct(
-            F.char_length(cut).alias("gap"), F.char_length(hit["m"]).alias("size"), F.char_length(hit["g"]).alias("least")
-        ),
-    )
-    none = F.array().cast(SPANS)
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda state, step: F.struct(
-            (state["at"] + step["gap"] + step["size"]).alias("at"),
-            F.when(
-                step["least"] >= rule.least,
-                F.concat(
-                    state["spans"],
-                    F.array(
-                        F.struct(
-                            (state["at"] + step["gap"]).alias("start"),
-                            (state["at"] + step["gap"] + step["size"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(state["spans"])
-            .alias("spans"),
+            (F.char_length(cut) + F.char_length(hit["m"])).alias("step"),
+            F.char_length(hit["m"]).alias("size"),
+            F.char_length(hit["g"]).alias("least"),
         ),
-        lambda state: state["spans"],
     )
-    return F.when(content.rlike(rule.pattern), walked).otherwise(none)
+
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda s: s["step"]), lambda a, b: a + b)
+        # Those that are too short become null, which keeps their place until the others have theirs.
+        spans = F.zip_with(
+            found,
+            ends,
+            lambda s, end: F.when(s["least"] >= rule.least, F.struct((end - s["size"]).alias("start"), end.alias("end"))),
+        )
+        return F.filter(spans, lambda s: s.isNotNull()).cast(SPANS)
+
+    return F.when(content.rlike(rule.pattern), _with(steps, placed)).otherwise(F.array().cast(SPANS))
 
 
 def _history(spark: SparkSession, ledger: str) -> DataFrame | None:
@@ -174,6 +199,37 @@ def scanned(versions: DataFrame, ledger: str | None = None, content: str = "text
     return paths.join(found, "blob__").drop("blob__")
 
 
+def _replaced(body: Column, spans: Column, width: int = 256) -> Column:
+    """The text with its spans, sorted by start, replaced by their kinds; overlapping ones by the first's."""
+    def cut(marks: Column) -> Column:
+        base = marks[0]["at"]
+        # Characters are counted from the start of a text, so the part of some marks is cut out first.
+        part = F.substring(body, base + 1, F.element_at(marks, -1)["start"] - base)
+
+        def piece(text: Column) -> Column:
+            pieces = F.transform(
+                marks,
+                lambda m: F.concat(F.substring(text, m["at"] - base + 1, m["start"] - m["at"]), F.lit("["), m["kind"], F.lit("]")),
+            )
+            return F.array_join(pieces, "")
+
+        return _with(part, piece)
+
+    def whole(reached: Column) -> Column:
+        # ``at``: how far all spans before reach.
+        marks = F.transform(
+            spans,
+            lambda s, i: F.struct(
+                F.when(i == 0, F.lit(0)).otherwise(F.get(reached, i - 1)).alias("at"), s["start"].alias("start"), s["kind"].alias("kind")
+            ),
+        )
+        kept = F.filter(marks, lambda m: m["start"] >= m["at"])
+        pieces = _with(kept, lambda bound: F.array_join(F.transform(_chunks(bound, width), cut), ""))
+        return F.concat(pieces, F.substring(body, F.array_max(reached) + 1, F.char_length(body)))
+
+    return _with(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), whole)
+
+
 def redacted(docs: DataFrame, ledger: str | None = None, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents, all columns kept, with every secret in their text replaced by its kind in brackets.
 
@@ -186,20 +242,6 @@ def redacted(docs: DataFrame, ledger: str | None = None, text: str = "text", rul
     found = findings(spark, ledger, rules).select(F.col("blob").alias("blob__"), listed(kinds).alias("spans__"))
     found = stored(found.where(F.size("spans__") > 0), "findings")
     rows = docs.withColumn("blob__", blob_of(text)).join(found, "blob__", "left")
+    cleaned = _replaced(F.col(text), F.col("spans__"))
     body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(
-        F.col("spans__"),
-        start,
-        lambda state, s: F.when(
-            s["start"] >= state["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    state["out"], F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]")
-                ).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))),
-        lambda state: F.concat(state["out"], F.substring(body, state["at"] + 1, F.char_length(body))),
-    )
     return rows.withColumn(text, F.when(F.col("spans__").isNotNull(), cleaned).otherwise(body)).select(*docs.columns)

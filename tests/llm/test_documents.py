@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -128,6 +129,27 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     assert [tuple(s) for s in rows[2, "v2"].assign] == [(0, 10)] and rows[1, "v1"].assign == rows[3, "v1"].assign != []
 
 
+def test_very_many_secrets_in_one_text(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{rng.bytes(16).hex()} é" + (" token: abc", " password=abcdefgh9", "")[i % 3] for i in range(20_000)]
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    for rule in secret_ledger.BASE_RULES:
+        spans = docs.select(secret_ledger.spans_of(F.col("text"), rule).alias("spans")).first().spans
+        wanted = [m.span() for m in re.finditer(rule.pattern, text) if len(m.group(rule.group)) >= rule.least]
+        assert [tuple(s) for s in spans] == wanted
+    cleaned = re.sub("[0-9a-f]{32,}", "[hex]", text).replace("password=abcdefgh9", "[assign]")
+    assert secret_ledger.redacted(docs).first().text == cleaned
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 4, 8, 9, 10, 64])
+def test_running_values(spark, size):
+    values = [(7 * i) % 11 for i in range(size)]
+    column = F.lit(values).cast("array<int>") if values else F.array().cast("array<int>")
+    for combine, wanted in ((lambda a, b: a + b, itertools.accumulate(values)), (F.greatest, itertools.accumulate(values, max))):
+        assert spark.range(1).select(secret_ledger.running(column, combine, 3)).first()[0] == list(wanted)
+
+
 def test_redacted(spark, odd_documents, no_documents):
     docs = spark.createDataFrame([(1, "é password=" + "0" * 40 + " end", "x"), (2, None, None), (3, "clean", "y")], "doc_id long, text string, spans__x string")
     rows = {r.doc_id: r for r in secret_ledger.redacted(docs).collect()}
