@@ -9,8 +9,10 @@ cosine in double precision, so no pair below the threshold is linked. Measured o
 0.95 the defaults find over 99.9 % (`tests/llm`).
 
 Equal vectors are one vector with a number of copies. A pair that shares several filters counts in the
-smallest of them only. The list of a filter is worked on in blocks. The lists keep their length if
-`directions` grows with the square root of the number of vectors.
+smallest of them only. The filters of one codeword of the first half are a bin, and a vector is shuffled
+once for each bin it is in; the lists of a bin's filters are compared there, and the rows of a crowded bin
+are worked on in blocks. Lists keep their length if `directions` grows with the square root of the number
+of vectors, and bins then grow with that root.
 
 Vectors that are null or zero, or hold null or non-finite components, link with nothing; so do rows
 without an id. Vectors of different lengths never link. Rows that repeat an id are one node.
@@ -32,7 +34,9 @@ from savora.session import stored
 
 LINKS = pa.schema([("rep", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
 LINKS_DDL = "rep bigint, node bigint, links bigint, least bigint"
-MOST = 1024
+MOST = 4096
+# Postings of filters that are compared at a time, and rows of one product of vectors.
+RUN, TILE = 256, 256
 
 
 @functools.lru_cache(maxsize=8)
@@ -90,26 +94,77 @@ def _filters(directions: int, reach: float, seed: int):
     return run
 
 
+def _held_by_both(owner: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """Whether each of the ``left`` rows shares one of the values with each of the ``right``; ``rows`` there are."""
+    mine = np.zeros(rows, dtype=bool)
+    mine[left] = True
+    # Only values of the left rows can be shared.
+    distinct = np.unique(values[mine[owner]])
+    if not len(distinct):
+        return np.zeros((len(left), len(right)), dtype=bool)
+    at = np.minimum(np.searchsorted(distinct, values), len(distinct) - 1)
+    met = distinct[at] == values
+    has = np.zeros((rows, len(distinct)), dtype=np.float32)
+    has[owner[met], at[met]] = 1
+    return has[left] @ has[right].T > 0.5
+
+
+def _ranges(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all entries of some rows, and the number among these rows each belongs to."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    of = np.repeat(np.arange(len(rows)), sizes)
+    return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes - offsets[rows], sizes), of
+
+
+def _runs(filters: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Neighbouring filters that together have some ``RUN`` postings: the first, the last, and the rows in them."""
+    order = np.argsort(filters, kind="stable")
+    filters, rows = filters[order], rows[order]
+    starts = np.flatnonzero(np.r_[True, filters[1:] != filters[:-1]])
+    run = starts // RUN
+    starts = starts[np.r_[True, run[1:] != run[:-1]]]
+    for a, b in zip(starts, np.r_[starts[1:], len(filters)]):
+        held = np.unique(rows[a:b])
+        if len(held) > 1:
+            yield filters[a], filters[b - 1], held
+
+
 def _compare(threshold: float):
-    def one(key: int, unit: np.ndarray, side: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
-        near = unit @ unit.T >= threshold
-        np.fill_diagonal(near, False)
-        if side[0]:
-            near &= side[:, None] != side[None, :]
-        if near.any():
-            # Pairs that share a smaller filter have been met there.
-            owner = np.repeat(np.arange(len(unit)), np.diff(offsets))
-            own = values[offsets[0]:offsets[-1]]
-            smaller = own < key
-            distinct, place = np.unique(own[smaller], return_inverse=True)
-            has = np.zeros((len(unit), len(distinct)), dtype=np.float32)
-            has[owner[smaller], place] = 1
-            near &= has @ has.T < 0.5
-        return near
+    def one(key: int, unit: np.ndarray, side: np.ndarray, copies: np.ndarray, offsets: np.ndarray, values: np.ndarray):
+        """Of a block's rows the number of linked vectors, and who hangs together."""
+        owner = np.repeat(np.arange(len(unit)), np.diff(offsets))
+        links, forest = np.zeros(len(unit), dtype=np.int64), lists.Forest(len(unit))
+        here = values >= key
+        for low, high, rows in _runs(values[here], owner[here]):
+            if side[0] and len(np.unique(side[rows])) < 2:
+                continue
+            for at in range(0, len(rows), TILE):
+                tile = rows[at:at + TILE]
+                near = unit[tile] @ unit[rows].T >= threshold
+                near[np.arange(len(tile)), at + np.arange(len(tile))] = False
+                if side[0]:
+                    near &= side[tile][:, None] != side[rows][None, :]
+                mine = near.any(axis=1)
+                if not mine.any():
+                    continue
+                theirs = near.any(axis=0)
+                left, right, near = tile[mine], rows[theirs], near[np.ix_(mine, theirs)]
+                # A pair counts where it meets in the smallest filter it shares.
+                both = np.union1d(left, right)
+                held, of = _ranges(offsets, both)
+                own, x, y = values[held], np.searchsorted(both, left), np.searchsorted(both, right)
+                in_run, before = (own >= low) & (own <= high), own < low
+                near &= _held_by_both(of[in_run], own[in_run], x, y, len(both))
+                near &= ~_held_by_both(of[before], own[before], x, y, len(both))
+                links[left] += near @ copies[right]
+                x, y = np.nonzero(near)
+                apart = forest.apart(left[x], right[y])
+                forest.link(left[x[apart]], right[y[apart]])
+        return links, forest.top
 
     def run(some: pa.RecordBatch, starts: np.ndarray) -> dict:
         names = some.schema.names
-        reps, nodes, copies, keys = (some.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("rep", "node", "copies", "filter"))
+        reps, nodes, copies, keys = (some.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("rep", "node", "copies", "bin"))
         vectors, filters = (some.column(names.index(c)) for c in ("vector", "filters"))
         flat, at = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
         values, offsets = filters.values.to_numpy(zero_copy_only=False), filters.offsets.to_numpy()
@@ -119,12 +174,15 @@ def _compare(threshold: float):
             if b - a < 2:
                 continue
             unit = _unit(flat[at[a]:at[b]].astype(np.float64).reshape(b - a, -1))
-            near = one(int(keys[a]), unit, side[a:b], offsets[a:b + 1], values)
-            rows = np.flatnonzero(near.any(axis=1))
-            if len(rows):
-                label = lists.local_components(np.nonzero(near), reps[a:b])
-                for n, v in (("rep", reps[a:b][rows]), ("node", nodes[a:b][rows]), ("links", near[rows] @ copies[a:b]), ("least", label[rows])):
-                    found[n].append(v)
+            # Numbered by id, so that the top of a tree is its smallest.
+            order = a + np.argsort(reps[a:b], kind="stable")
+            held, _ = _ranges(offsets, order)
+            own = np.r_[0, np.cumsum(offsets[order + 1] - offsets[order])]
+            links, top = one(int(keys[a]), unit[order - a], side[order], copies[order], own, values[held])
+            linked = np.flatnonzero(links)
+            rep = reps[order]
+            for n, v in (("rep", rep[linked]), ("node", nodes[order][linked]), ("links", links[linked]), ("least", rep[top[linked]])):
+                found[n].append(v)
         return {n: np.concatenate(v) for n, v in found.items()}
 
     return run
@@ -149,9 +207,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, directions: int = 512
         .mapInArrow(_filters(directions, reach, seed), f"vector {dict(whole.dtypes)['vector']}, rep bigint, copies bigint, node bigint, filters array<bigint>"),
         "vectors",
     )
-    postings = reps.select(F.explode("filters").alias("filter"), "rep", "node")
-    placed = lists.blocks(postings, "filter", "node", most, "filter-sizes").join(reps, ["rep", "node"])
-    links = stored(lists.compared(placed, "filter", _compare(threshold), LINKS, LINKS_DDL), "links")
+    # A bin has the filters of one codeword of the first half. A vector goes there once for all of them,
+    # with the filters up to the bin's end, as those behind it decide nothing there.
+    bins = F.array_distinct(F.transform("filters", lambda f: f - F.pmod(f, F.lit(directions))))
+    binned = reps.withColumn("bin", F.explode(bins))
+    binned = binned.withColumn("filters", F.filter("filters", lambda f: f < F.col("bin") + directions))
+    links = stored(lists.compared(lists.blocks(binned, "bin", "node", most, "bin-sizes"), "bin", _compare(threshold), LINKS, LINKS_DDL), "links")
     counts = links.groupBy("rep", "node").agg(F.sum("links").alias("links"))
     groups = components(links.select("rep", "least"))
     known = stored(
