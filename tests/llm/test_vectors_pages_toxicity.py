@@ -63,6 +63,23 @@ def test_cap_filters(spark):
     assert cap_filters.near_vectors(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [cap_filters.MOST, 200])
+def test_cap_filters_on_one_large_group(spark, most):
+    """Lists longer than a run of filters and a tile of rows, whole and dealt into blocks."""
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([rng.normal(size=64) + 0.2 * rng.normal(size=(600, 64)), rng.normal(size=(300, 64))]).astype(np.float32)
+    rows = list(zip(rng.permutation(900).tolist(), vectors.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    ids = np.array([r[0] for r in rows])
+    label = lists.local_components(np.nonzero(near), ids)
+    wanted = {i: (n, c) for i, n, c in zip(ids.tolist(), (near.sum(axis=1) - 1).tolist(), label.tolist())}
+    assert near.sum() > 100_000
+    assert {r.vec_id: (r.n_links, r.component_id) for r in cap_filters.near_vectors(frame, most=most).collect()} == wanted
+
+
 def test_repeated_and_missing_vector_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None), (3, [0.0, 1.0])]
     found = cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
