@@ -6,6 +6,7 @@ from which the state at the start of each follows. In the second pass each task
 top-level elements and reads on behind its end until its last element is whole. Elements are parsed by Spark.
 
 An element is parsed as a row of the schema, null where it is none. Blanks, an empty array and an empty file are no rows.
+A task takes as many ranges as make up its share of the bytes, one after the other.
 Compressed files cannot be cut; ``read_json_document`` reads them.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANGE_BYTES = 64 << 20
+# Bytes of a task, about; small ranges are not a task each.
+TASK_BYTES = 16 << 20
 _STATES = pa.schema([("path", pa.string()), ("at", pa.int64()), ("quotes", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64())])
 _OPEN, _CLOSE, _QUOTE, _BACK, _COMMA = (np.frombuffer(c, np.uint8) for c in (b"[{", b"]}", b'"', b"\\", b","))
 
@@ -74,6 +77,12 @@ def _ranges(spark: SparkSession, path: str, range_bytes: int) -> list[tuple[str,
     return [(prefix + p, at, min(at + range_bytes, size)) for p, size in kept for at in range(0, size, range_bytes)]
 
 
+def _tasks(spark: SparkSession, ranges: list[tuple[str, int, int]]) -> int:
+    """In how many tasks the ranges are read."""
+    by_bytes = -(-sum(end - start for _, start, end in ranges) // TASK_BYTES)
+    return min(len(ranges), max(by_bytes, spark.sparkContext.defaultParallelism))
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -143,7 +152,8 @@ def read_json_array(spark: SparkSession, path: str, schema: str, range_bytes: in
     ranges = _ranges(spark, path, range_bytes)
     if not ranges:
         return spark.createDataFrame([], schema)
-    frame = spark.createDataFrame(ranges, "path string, start bigint, stop bigint").repartition(len(ranges))
+    tasks = _tasks(spark, ranges)
+    frame = spark.createDataFrame(ranges, "path string, start bigint, stop bigint").repartition(tasks)
     states = {(r.path, r.at): r for r in frame.mapInArrow(_measured, "path string, at bigint, quotes bigint, outside bigint, inside bigint").collect()}
     placed, now = [], None
     for name, start, end in ranges:
@@ -153,6 +163,6 @@ def read_json_array(spark: SparkSession, path: str, schema: str, range_bytes: in
         placed.append((name, start, end, in_string, depth))
         state = states[name, start]
         now = (name, bool((state.quotes + in_string) % 2), depth + (state.inside if in_string else state.outside))
-    wanted = spark.createDataFrame(placed, "path string, start bigint, stop bigint, in_string boolean, depth bigint").repartition(len(placed))
+    wanted = spark.createDataFrame(placed, "path string, start bigint, stop bigint, in_string boolean, depth bigint").repartition(tasks)
     elements = wanted.mapInArrow(_elements(range_bytes), "element string")
     return elements.select(F.from_json("element", schema).alias("row")).select("row.*")

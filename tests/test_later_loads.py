@@ -88,3 +88,12 @@ def test_json_arrays_in_ranges(spark, range_bytes):
     order = lambda r: (r["i"], r["t"], str(r["l"]))
     assert sorted(found, key=order) == sorted(expected, key=order)
     assert json_arrays.read_json_array(spark, f"{folder}/c.json", schema, range_bytes).count() == 1
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    rows = [{"a": i, "b": "x" * (i % 40) + '["\\'} for i in range(3000)]
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps(rows))
+    read = json_arrays.read_json_array(spark, str(path), "a bigint, b string", 64)
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted((r.a, r.b) for r in read.collect()) == [(r["a"], r["b"]) for r in rows]
