@@ -295,3 +295,47 @@ def test_tfidf_clusters_tell_subjects_apart(spark):
     texts = [(i, i % 3, " ".join(rng.choices(words[i % 3], k=15) + ["the", "and"])) for i in range(300)]
     found = clustering.tfidf_clusters(spark.createDataFrame(texts, "i int, subject int, t string"), "t").collect()
     assert len({(r.subject, r.cluster) for r in found}) == 3 == len({r.cluster for r in found})
+
+
+def test_blocks_of_names_are_solved_batch_by_batch(spark):
+    """No call per block; blocks that run over batches stay whole, and businesses are kept apart."""
+    from savora.operators import clustering
+
+    names = {None: 1, "": 2, "a": 3, "b": 41, "c": 120}
+    rows = [(b, None if i == 0 else f"meal {i * 37 % 101} {i}", 0.25) for b, n in names.items() for i in range(n) for _ in range(1 + i % 2)]
+    mentions = spark.createDataFrame(rows, "business_name string, meal_name string, sentiment double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {}
+    try:
+        for batch in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            clustered = clustering.cluster_mentions(mentions)
+            assert "FlatMapGroups" not in clustered._jdf.queryExecution().toString()
+            found[batch] = sorted(map(str, clustered.collect()))
+            numbers = {}
+            for r in clustered.collect():
+                numbers.setdefault(r.business_name, set()).add(r.cluster)
+            assert numbers == {b: set(range(max(1, n // 2))) for b, n in names.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert found["3"] == found["10000"] and len(found["3"]) == len(rows)
+
+
+def test_embedding_counts_the_grams_of_odd_texts(spark):
+    import hashlib
+
+    import numpy as np
+
+    from savora.operators import clustering
+
+    texts = ["", "a", "ab", "abc", "aaaa aaaa", "é\U0001f600xß", None] * 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in clustering.embed_text(rows, rows.t, 16).collect():
+        if r.t is None:
+            assert r.embedding == [None] * 16
+            continue
+        counts = np.zeros(16)
+        for i in range(max(len(r.t) - 2, 1)):
+            counts[int(hashlib.md5(r.t[i : i + 3].encode()).hexdigest()[:8], 16) % 16] += 1
+        assert r.embedding == (counts / np.sqrt((counts**2).sum())).astype(np.float32).tolist()
+    assert "ArrowEvalPython" in clustering.embed_text(rows, rows.t, 16)._jdf.queryExecution().toString()
