@@ -97,3 +97,28 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     read = json_arrays.read_json_array(spark, str(path), "a bigint, b string", 64)
     assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert sorted((r.a, r.b) for r in read.collect()) == [(r["a"], r["b"]) for r in rows]
+
+
+def test_names_meet_centres_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(stored_clusters, "TILE", 5)
+    rng = np.random.default_rng(4)
+    vectors, centres = (rng.integers(0, 3, (n, 6)).astype(np.float32) for n in (60, 30))
+    centres[7] = centres[3]
+    businesses = ["Anna's", None, ""]
+    names = [(businesses[i % 3], None if i == 4 else f"n{i}", v.tolist()) for i, v in enumerate(vectors)] + [("Anna's", "short", [1.0, 1.0])]
+    held = [(businesses[j % 2], j, f"l{j}", v.tolist()) for j, v in enumerate(centres)] + [("Anna's", 99, "none", None)]
+    named = spark.createDataFrame(names, "business_name string, meal_name string, embedding array<float>")
+    stored = spark.createDataFrame(held, "business_name string, cluster int, cluster_label string, centre array<float>")
+    near = stored_clusters.nearest_centres(named, stored, 0.8)
+    assert "FlatMapCoGroups" in near._jdf.queryExecution().toString()
+    found = {(r.business_name, r.meal_name): (r.cluster, r.cluster_label) for r in near.collect()}
+    wanted = {}
+    for business, name, v in names:
+        v, best = np.array(v, float), (0.0, 0, None)
+        for other, number, label, c in held:
+            if other == business and c is not None and len(c) == len(v) and np.any(v) and np.any(c):
+                cosine = v @ np.array(c) / (np.sqrt(v @ v) * np.sqrt(np.dot(c, c)))
+                best = max(best, (round(cosine, 9), -number, label))
+        if best[0] >= 0.8:
+            wanted[business, name] = (-best[1], best[2])
+    assert found == wanted and len(wanted) > 5
