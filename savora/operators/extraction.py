@@ -51,6 +51,7 @@ def extract_by_dictionary(
     said = cut.join(begun, [key, "text__"]).select(
         key, "rating", F.explode(F.array_distinct(F.flatten(F.transform("begun", runs)))).alias("meal_name")
     )
-    return said.distinct().join(meals.select("meal_name"), "meal_name").select(
+    # Runs that are no meals are most of them, and go before the rest is shuffled.
+    return said.join(meals.select("meal_name"), "meal_name", "left_semi").distinct().select(
         key, "rating", "meal_name", ((F.col("rating") - 1) / F.lit(4.0)).alias("sentiment")
     )

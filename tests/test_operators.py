@@ -339,3 +339,14 @@ def test_embedding_counts_the_grams_of_odd_texts(spark):
             counts[int(hashlib.md5(r.t[i : i + 3].encode()).hexdigest()[:8], 16) % 16] += 1
         assert r.embedding == (counts / np.sqrt((counts**2).sum())).astype(np.float32).tolist()
     assert "ArrowEvalPython" in clustering.embed_text(rows, rows.t, 16)._jdf.queryExecution().toString()
+
+
+def test_runs_that_are_no_meals_go_before_the_shuffle(spark):
+    from savora.operators import extraction
+
+    reviews = spark.createDataFrame([(1, 3, "red soup and red soup"), (1, 3, "Red soup"), (1, 5, "red soup"), (2, 1, None)], "k int, rating int, text string")
+    meals = spark.createDataFrame([("red soup",), ("Red Soup",), ("and",), ("red bean",)], "meal_name string")
+    found = extraction.extract_by_dictionary(reviews, meals, "k")
+    assert sorted(map(tuple, found.collect())) == [(1, 3, "and", 0.5), (1, 3, "red soup", 0.5), (1, 5, "red soup", 1.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [") < plan.index("Join LeftSemi")
