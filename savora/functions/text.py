@@ -68,8 +68,9 @@ def day_label(epoch_seconds: Column) -> Column:
 def split_words(text: Column) -> Column:
     """Words as the word-cloud library cuts them: no "'s" at the end, no bare numbers."""
     found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_']*"), F.lit(0))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, "'[sS]$", ""))
-    return F.filter(bare, lambda w: ~w.rlike(r"^\p{Nd}+$"))
+    # Tests of bytes first: a pattern for every word takes most of the time.
+    bare = F.transform(found, lambda w: F.when(w.endswith("'s") | w.endswith("'S"), F.left(w, F.length(w) - 2)).otherwise(w))
+    return F.filter(bare, lambda w: w.between("A", "\x7f") | ~w.rlike(r"^\p{Nd}+$"))
 
 
 def strip_stopwords(text: Column, stopwords: list[str]) -> Column:

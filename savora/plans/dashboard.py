@@ -187,17 +187,16 @@ def cloud_terms(
     its words. Pairs are taken within a review. The counts are stored, as several steps read them;
     nothing after them goes back to the text, and spellings are looked up for the shown terms only.
     """
-    cut = sheet.select(split_words(F.col(text)).alias("words"))
-    words = F.col("words")
     listed = list(stopwords)
-    alone = F.transform(words, lambda w: F.struct(F.lit(False).alias("pair"), F.when(~F.lower(w).isin(listed), w).alias("word")))
+    # A stop word is null from here on; each word is looked up once.
+    kept = F.transform(split_words(F.col(text)), lambda w: F.when(~F.lower(w).isin(listed), w))
+    cut = sheet.select(kept.alias("words"))
+    words = F.col("words")
+    alone = F.transform(words, lambda w: F.struct(F.lit(False).alias("pair"), w.alias("word")))
     met = F.zip_with(
         words,
         F.slice(words, F.lit(2), F.size(words)),
-        lambda a, b: F.struct(
-            F.lit(True).alias("pair"),
-            F.when(~F.lower(a).isin(listed) & ~F.lower(b).isin(listed), F.concat(a, F.lit(" "), b)).alias("word"),
-        ),
+        lambda a, b: F.struct(F.lit(True).alias("pair"), F.concat(a, F.lit(" "), b).alias("word")),
     )
     # One pass over the texts. "Outer" keeps Spark from working the list out once more to test its size.
     said = cut.select(F.explode_outer(F.concat(alone, met)).alias("t")).select("t.*").where("word is not null")

@@ -350,3 +350,14 @@ def test_runs_that_are_no_meals_go_before_the_shuffle(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 3, "and", 0.5), (1, 3, "red soup", 0.5), (1, 5, "red soup", 1.0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [") < plan.index("Join LeftSemi")
+
+
+def test_words_are_tested_by_bytes_before_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from savora.functions.text import split_words
+
+    text = "Anna's it'S 12 ١٢ 1a _ _1 é9 it's' x'sy 's 7's ß O'Neil's"
+    cut = spark.createDataFrame([(text,), (None,)], "t string").select(split_words(F.col("t")).alias("w"))
+    assert [r.w for r in cut.collect()] == [["Anna", "it", "1a", "_", "_1", "é9", "it's'", "x'sy", "s", "ß", "O'Neil"], None]
+    assert "regexp_replace" not in cut._jdf.queryExecution().optimizedPlan().toString()
