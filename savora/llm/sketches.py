@@ -1,9 +1,12 @@
-"""Count-min sketches of which hashes occur twice, partial ones packed small, merged ones one bit a cell.
+"""Sketches of which hashes occur twice, partial ones packed small, merged ones one bit a cell.
 
-A partial sketch covers the hashes of one chunk of a table; of each sketch row it lists the cells met once and those met
-more often, piece by piece, about a byte or two a cell. Merging adds them up and keeps whether a cell was met
+A partial sketch covers the hashes of one chunk of a table; it lists the cells met once and those met more often, piece by
+piece, about a byte or two a cell. Merging adds them up, a piece at a time, and keeps whether a cell was met
 twice. The merged sketch lies in the shared folder, and each worker reads it once. Estimates are never too
 low: a hash that occurs twice has all its cells met twice.
+
+With ``finer`` bits the hashes are counted in that many times finer cells, and only those met twice get a bit in each row of
+the merged sketch. So workers hold bits for what is repeated, not for all that was counted.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from savora.llm.common import open_folder, record_batches
 from savora.session import scratch_path
 
 ROWS = 2
-# Cells a sketch row has at least and at most, and cells of one piece of it.
-LEAST_CELLS, MOST_CELLS, PIECE_CELLS = 1 << 22, 1 << 30, 1 << 22
+# Bits by which cells are finer while they are counted, if asked for.
+FINER = 6
+# Cells a sketch row has at least and at most.
+LEAST_CELLS, MOST_CELLS = 1 << 22, 1 << 30
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-PARTS = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("shift", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-PARTS_DDL = "row int, piece int, shift int, once binary, twice binary"
+PARTS = pa.schema([("piece", pa.int32()), ("shift", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+PARTS_DDL = "piece int, shift int, once binary, twice binary"
 MERGED = pa.schema([("row", pa.int32()), ("piece", pa.int32()), ("bits", pa.binary())])
 MERGED_DDL = "row int, piece int, bits binary"
 
@@ -40,8 +45,22 @@ def bits_for(hashes: int, most_cells: int = MOST_CELLS) -> int:
     return max(LEAST_CELLS, min(most_cells, 1 << max(4 * int(hashes), 1).bit_length())).bit_length() - 1
 
 
+def piece_bits(finer: int) -> int:
+    """The counted cells of one piece, as a power of two."""
+    return 22 + min(finer, 2)
+
+
+def _row_cell(counted: np.ndarray, row: int, finer: int) -> np.ndarray:
+    """A counted cell's cell in a row of the merged sketch. All its cells lie in the same piece."""
+    if row == 0:
+        return counted >> np.uint64(finer)
+    own = piece_bits(finer) - finer
+    return counted >> np.uint64(piece_bits(finer)) << np.uint64(own) | mixed(counted * _ODD) >> np.uint64(64 - own)
+
+
 def cell_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (hashes if row == 0 else mixed(hashes * _ODD)) >> np.uint64(64 - bits)
+    """With one row the cells are the same whatever ``finer`` was."""
+    return hashes >> np.uint64(64 - bits) if row == 0 else _row_cell(hashes >> np.uint64(64 - bits - FINER), row, FINER)
 
 
 def shift_for(gap: float) -> int:
@@ -75,39 +94,48 @@ def unpacked_cells(data: bytes, shift: int) -> np.ndarray:
     return cells
 
 
-def of(hashes: np.ndarray, bits: int, n_rows: int = ROWS) -> Iterator[tuple]:
+def of(hashes: np.ndarray, bits: int, finer: int = 0) -> Iterator[tuple]:
     """The partial sketch of a chunk's hashes, each counted as often as it is there, as rows of ``PARTS``."""
-    borders = np.arange(0, (1 << bits) + 1, PIECE_CELLS, dtype=np.uint64)
-    for row in range(n_rows):
-        cells = np.sort(cell_of(hashes, row, bits))
-        shift = shift_for((1 << bits) / max(len(cells), 1))
-        new = np.ones(len(cells), dtype=bool)
-        new[1:] = cells[1:] != cells[:-1]
-        once, twice = cells[new], np.unique(cells[~new])
-        a, b = np.searchsorted(once, borders), np.searchsorted(twice, borders)
-        for piece in np.flatnonzero(np.diff(a)).tolist():
-            parts = (x[i[piece]:i[piece + 1]] & np.uint64(PIECE_CELLS - 1) for x, i in ((once, a), (twice, b)))
-            yield row, piece, shift, *(packed_cells(p, shift) for p in parts)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits, own = bits + finer, piece_bits(finer)
+    borders = np.arange(0, (1 << bits) + 1, 1 << own, dtype=np.uint64)
+    cells = np.sort(hashes >> np.uint64(64 - bits))
+    shift = shift_for((1 << bits) / max(len(cells), 1))
+    new = np.ones(len(cells), dtype=bool)
+    new[1:] = cells[1:] != cells[:-1]
+    once, twice = cells[new], np.unique(cells[~new])
+    a, b = np.searchsorted(once, borders), np.searchsorted(twice, borders)
+    for piece in np.flatnonzero(np.diff(a)).tolist():
+        parts = (x[i[piece]:i[piece + 1]] & np.uint64((1 << own) - 1) for x, i in ((once, a), (twice, b)))
+        yield piece, shift, *(packed_cells(p, shift) for p in parts)
+
+
+def _summed(n_rows: int, finer: int):
     """Sorted sketches of chunks to one bit a cell, piece by piece."""
+    counted, cells = 1 << piece_bits(finer), 1 << piece_bits(finer) - finer
+
+    def merged_piece(piece: int, met: np.ndarray) -> Iterator[tuple]:
+        twice = np.flatnonzero(met > 1).astype(np.uint64)
+        for row in range(n_rows):
+            marks = np.zeros(cells, np.uint8)
+            marks[_row_cell(twice | np.uint64(piece * counted), row, finer) & np.uint64(cells - 1)] = 1
+            yield row, piece, np.packbits(marks, bitorder="little").tobytes()
 
-    def rows() -> Iterator[tuple]:
-        now, met = None, np.zeros(PIECE_CELLS, np.uint8)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, met = None, np.zeros(counted, np.uint8)
         for batch in batches:
-            for row, piece, shift, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (row, piece):
+            for piece, shift, once, twice in zip(*batch.columns, strict=True):
+                if now != piece.as_py():
                     if now is not None:
-                        yield *now, np.packbits(met > 1, bitorder="little").tobytes()
-                    now, met = (row, piece), np.zeros(PIECE_CELLS, np.uint8)
-                cells = unpacked_cells(once, shift)
-                met[cells] = np.minimum(met[cells] + 1, 2)
-                met[unpacked_cells(twice, shift)] = 2
+                        yield from merged_piece(now, met)
+                    now = piece.as_py()
+                    met[:] = 0
+                at = unpacked_cells(once.as_py(), shift.as_py())
+                met[at] = np.minimum(met[at] + 1, 2)
+                met[unpacked_cells(twice.as_py(), shift.as_py())] = 2
         if now is not None:
-            yield *now, np.packbits(met > 1, bitorder="little").tobytes()
+            yield from merged_piece(now, met)
 
-    return record_batches(rows(), MERGED)
+    return lambda batches: record_batches(rows(batches), MERGED)
 
 
 _LOADED: dict[str, list[np.ndarray]] = {}
@@ -119,23 +147,27 @@ def load(path: str, bits: int, n_rows: int = ROWS) -> list[np.ndarray]:
         _LOADED.clear()
         sketch = [np.zeros((1 << bits) >> 3, np.uint8) for _ in range(n_rows)]
         files, folder = open_folder(path)
-        size = PIECE_CELLS >> 3
         for info in files.get_file_info(fs.FileSelector(folder)):
             if not info.base_name.startswith("part-"):
                 continue
             with files.open_input_file(info.path) as data:
                 for batch in pq.ParquetFile(data).iter_batches(batch_size=32):
                     for row, piece, found in zip(*(batch.column(c) for c in ("row", "piece", "bits")), strict=True):
-                        at = piece.as_py() * size
-                        sketch[row.as_py()][at:at + size] = np.frombuffer(found.as_buffer(), np.uint8)
+                        own = np.frombuffer(found.as_buffer(), np.uint8)
+                        sketch[row.as_py()][piece.as_py() * len(own):(piece.as_py() + 1) * len(own)] = own
         _LOADED[path] = sketch
     return _LOADED[path]
 
 
-def merged(parts: DataFrame) -> str:
+def forget() -> None:
+    """Give back what ``load`` holds, so that workers without a task hold nothing."""
+    _LOADED.clear()
+
+
+def merged(parts: DataFrame, n_rows: int = 1, finer: int = 0) -> str:
     """Add up partial sketches; the folder of the merged one comes back."""
     path = scratch_path(parts.sparkSession, "sketch")
-    parts.repartition("row", "piece").sortWithinPartitions("row", "piece").mapInArrow(_summed, MERGED_DDL).write.parquet(path)
+    parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(_summed(n_rows, finer), MERGED_DDL).write.parquet(path)
     return path
 
 

@@ -3,16 +3,17 @@
 A window is some consecutive words of one document. A word goes if a window over it also starts in a document with a smaller
 id; windows are judged on the input. Two passes over the texts find them:
 
-* The first counts windows in count-min sketches, one a chunk of documents and range of cells, each document once. A
-  sketch of a chunk is the sorted list of its cells, about a byte or two for each window and row; merging sums
-  them and leaves one bit a cell: whether it was met twice. Estimates are never too low, so no repeated window is lost.
+* The first counts windows in sketches, one a chunk of documents and range of cells, each document once. A
+  sketch of a chunk is the sorted list of its cells, about two bytes for each window; merging sums them and leaves bits
+  only for those met twice. Estimates are never too low, so no repeated window is lost.
 * The second groups exactly the windows estimated repeated, by a 128-bit digest of their words. Within a chunk all
   but the smallest id of a window are settled at once; only that one meets the other chunks, so a passage that a
-  third of all documents share sends one row a chunk and window.
+  third of all documents share sends one row a chunk and window. Other windows are dropped as soon as they are met, block
+  by block, so a chunk holds 24 bytes for each window that may be repeated and nothing else.
 
 The cells grow with the bytes of the table, up to ``most_cells`` a row, which bounds what a worker holds (``sketches.ROWS`` x
-``most_cells`` / 8 bytes). Beyond that the estimates get looser and more windows reach the exact grouping, where they are sorted out;
-the result is the same.
+``most_cells`` / 8 bytes, and only during a task). Beyond that the estimates get looser and more windows reach the exact grouping, where
+they are sorted out; the result is the same.
 
 Words are `[^\\x20\\x09-\\x0D]+`, as they are. Null and empty texts have no words. Documents without an id keep all words and
 take none from others. Rows that repeat an id are not smaller than each other; each is judged by its own text.
@@ -21,7 +22,7 @@ take none from others. Rows that repeat an id are not smaller than each other; e
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from savora.llm import sketches
-from savora.llm.common import perhaps_in, record_batches
+from savora.llm.common import flagged, record_batches
 from savora.session import stored
 
 WIDTH = 13
-# Windows of a chunk of documents, and bytes of text whose words are looked at together.
-CHUNK_WINDOWS, BLOCK_BYTES = 1 << 19, 2 << 20
+# Windows held of a chunk of documents, and bytes of text whose words are looked at together.
+CHUNK_WINDOWS, BLOCK_BYTES = 1 << 19, 1 << 18
+# Rows of ``FOUND`` given out at a time.
+FOUND_ROWS = 20_000
 # Bytes up to which words are coded all at once.
 LONG_WORD = 256
 
@@ -75,18 +78,20 @@ def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """The windows of some documents: their first digests, documents and places; the second digest on demand."""
+    """The windows of some documents: their two digests, documents and places.
 
-    def __init__(self, width: int):
-        self.width = width
+    Without ``exact`` only first digests and documents are held. With a sketch only windows that may be repeated are.
+    """
+
+    def __init__(self, width: int, exact: bool = True, bits: int = 0, sketch: list[np.ndarray] | None = None):
+        self.width, self.exact, self.bits, self.sketch = width, exact, bits, sketch
         self.ids: list[int] = []
         self.tags: list[int] = []
         self.first: list[np.ndarray] = []
+        self.second: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
         self.start: list[np.ndarray] = []
-        self.codes: list[np.ndarray] = []
-        self.base: list[np.ndarray] = []
-        self.windows = self.words = 0
+        self.windows = 0
 
     def add(self, rows: list[tuple[int, int, bytes]]) -> None:
         """Documents with an id, as (id, tag, text)."""
@@ -98,21 +103,27 @@ class Chunk:
         sizes = np.diff(stop, prepend=0)
         begin = stop - sizes
         n = np.maximum(sizes - self.width + 1, 0)
-        doc = np.repeat(np.arange(len(rows)), n)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), n)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         at = begin[doc] + start
         total = np.full(len(codes) - self.width + 1, self.width, dtype=np.uint64)
         for j in range(self.width):
             total = sketches.mixed(total * _ODD[0] + codes[j:len(codes) - self.width + 1 + j, 0])
-        self.first.append(total[at])
-        self.doc.append((doc + len(self.ids)).astype(np.int32))
-        self.start.append(start)
-        self.base.append(at + self.words)
-        self.codes.append(codes[:, 1].copy())
+        first = total[at]
+        if self.sketch is not None:
+            kept = np.flatnonzero(sketches.repeated(first, self.bits, self.sketch))
+            first, doc, start, at = first[kept], doc[kept], start[kept], at[kept]
+        self.first.append(first)
+        self.doc.append(doc + np.int32(len(self.ids)))
+        if self.exact:
+            second = np.full(len(at), self.width, dtype=np.uint64)
+            for j in range(self.width):
+                second = sketches.mixed(second * _ODD[2] + codes[at + j, 1])
+            self.second.append(second)
+            self.start.append(start.astype(np.int32))
         self.ids += [i for i, _, _ in rows]
         self.tags += [t for _, t, _ in rows]
-        self.windows += len(doc)
-        self.words += len(codes)
+        self.windows += len(first)
 
     def distinct(self) -> np.ndarray:
         """The digests of all windows, a document's repeated windows once."""
@@ -123,36 +134,40 @@ class Chunk:
         again[1:] = (first[1:] == first[:-1]) & (doc[1:] == doc[:-1])
         return first[~again]
 
-    def repeated(self, bits: int, sketch: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Columns of ``FOUND``: the smallest id of each window under its key (n is 0), then runs of n windows that must go."""
-        first, doc, start = (np.concatenate(x) for x in (self.first, self.doc, self.start))
-        at = np.flatnonzero(sketches.repeated(first, bits, sketch))
-        first, doc, start = first[at], doc[at], start[at]
+    def repeated(self, bits: int = 0, sketch: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """Columns of ``FOUND``: the smallest id of each window under its key (n is 0), then runs of n windows that must go.
+
+        Both come by document and place, which packs well. A sketch drops windows that were held without one.
+        """
+        first, second, doc, start = (np.concatenate(x) for x in (self.first, self.second, self.doc, self.start))
+        if sketch is not None:
+            at = np.flatnonzero(sketches.repeated(first, bits, sketch))
+            first, second, doc, start = first[at], second[at], doc[at], start[at]
         ids, tags = np.array(self.ids, dtype=np.int64), np.array(self.tags, dtype=np.int64)
-        base, codes = np.concatenate(self.base)[at], np.concatenate(self.codes)
-        second = np.full(len(at), self.width, dtype=np.uint64)
-        for j in range(self.width):
-            second = sketches.mixed(second * _ODD[2] + codes[base + j])
         order = np.lexsort((ids[doc], second, first))
-        first, second, doc, start = first[order], second[order], doc[order], start[order]
         begins = np.ones(len(order), dtype=bool)
-        begins[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        least = ids[doc][begins][np.cumsum(begins) - 1]
-        gone = ids[doc] > least
-        open_ = ~gone
-        yield first[open_].view(np.int64), second[open_].view(np.int64), ids[doc[open_]], tags[doc[open_]], start[open_], np.zeros(int(open_.sum()), np.int64)
+        begins[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
+        own = ids[doc[order]]
+        gone = np.zeros(len(order), dtype=bool)
+        gone[order] = own > own[begins][np.cumsum(begins) - 1]
+        del order, begins, own
+        at = np.flatnonzero(~gone)
+        for i in range(0, len(at), FOUND_ROWS):
+            part = at[i:i + FOUND_ROWS]
+            own = doc[part]
+            yield first[part].view(np.int64), second[part].view(np.int64), ids[own], tags[own], start[part], np.zeros(len(part), np.int64)
         doc, start = doc[gone], start[gone]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
         run = np.ones(len(doc), dtype=bool)
         run[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
         begin = np.flatnonzero(run)
-        yield tags[doc[begin]], start[begin], ids[doc[begin]], tags[doc[begin]], start[begin], np.diff(np.append(begin, len(doc)))
+        n = np.diff(np.append(begin, len(doc)))
+        doc, start = doc[begin], start[begin]
+        yield tags[doc], start, ids[doc], tags[doc], start, n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], new: Callable[[], Chunk]) -> Iterator[Chunk]:
     """Rows (doc_id, tag, text) in chunks of documents."""
-    chunk = Chunk(width)
+    chunk = new()
     held: list[tuple[int, int, bytes]] = []
     weight = 0
     for batch in batches:
@@ -167,7 +182,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
                 held, weight = [], 0
                 if chunk.windows >= CHUNK_WINDOWS:
                     yield chunk
-                    chunk = Chunk(width)
+                    chunk = new()
     if held:
         chunk.add(held)
     if chunk.windows:
@@ -176,20 +191,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
 
 def _sketched(width: int, bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for chunk in _chunks(batches, width):
-            yield from sketches.of(chunk.distinct(), bits)
+        for chunk in _chunks(batches, lambda: Chunk(width, exact=False)):
+            yield from sketches.of(chunk.distinct(), bits, sketches.FINER)
 
     return lambda batches: record_batches(rows(batches), sketches.PARTS)
 
 
 def _candidates(width: int, bits: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = None
-        for chunk in _chunks(batches, width):
-            sketch = sketches.load(path, bits) if sketch is None else sketch
-            for columns in chunk.repeated(bits, sketch):
-                for at in range(0, len(columns[0]), 50_000):
-                    yield pa.record_batch([pa.array(c[at:at + 50_000], pa.int64()) for c in columns], schema=FOUND)
+        try:
+            for chunk in _chunks(batches, lambda: Chunk(width, True, bits, sketches.load(path, bits))):
+                for columns in chunk.repeated():
+                    for at in range(0, len(columns[0]), FOUND_ROWS):
+                        yield pa.record_batch([pa.array(c[at:at + FOUND_ROWS], pa.int64()) for c in columns], schema=FOUND)
+        finally:
+            sketches.forget()
 
     return run
 
@@ -216,14 +232,14 @@ def _cut(width: int, digest: bool):
 
 
 def sketch_bits(docs: DataFrame, text: str, most_cells: int) -> int:
-    """How many cells a sketch row gets, as a power of two: about four for each window of the table."""
+    """How many cells a sketch row gets, as a power of two: about one for each window of the table."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return sketches.bits_for(size // 8, most_cells)
+    return sketches.bits_for(size // 32, most_cells)
 
 
 def repeats(rows: DataFrame, width: int, bits: int) -> DataFrame:
     """Of rows (doc_id, tag, text), the windows that must go as runs: ``doc_id``, ``tag`` and ``runs`` of (start, n)."""
-    path = sketches.merged(rows.mapInArrow(_sketched(width, bits), sketches.PARTS_DDL))
+    path = sketches.merged(rows.mapInArrow(_sketched(width, bits), sketches.PARTS_DDL), sketches.ROWS, sketches.FINER)
     found = rows.mapInArrow(_candidates(width, bits, path), FOUND_DDL)
     # Runs are keyed by their document and place, so that they spread; they take no part in the comparison.
     least = F.min(F.when(F.col("n") == 0, F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
@@ -237,8 +253,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, text: str = "text", digest
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     marks = stored(repeats(rows, width, sketch_bits(rows, "text", most_cells)), "marks")
     ddl, keys = DIGESTS_DDL if digest else RESULT_DDL, ["doc_id", "tag"]
-    perhaps = F.coalesce(perhaps_in(marks.select("doc_id")), F.lit(False))
+    tested = flagged(rows, marks.select("doc_id"), "perhaps")
     # Texts without a mark stay where they are.
-    marked = rows.where(perhaps).join(marks, keys, "left").select("doc_id", "text", "runs")
-    plain = rows.where(~perhaps).select("doc_id", "text", F.lit(None).cast("array<struct<start: bigint, n: bigint>>").alias("runs"))
+    marked = tested.where("perhaps").join(marks, keys, "left").select("doc_id", "text", "runs")
+    plain = tested.where("not perhaps").select("doc_id", "text", F.lit(None).cast("array<struct<start: bigint, n: bigint>>").alias("runs"))
     return marked.mapInArrow(_cut(width, digest), ddl).union(plain.mapInArrow(_cut(width, digest), ddl))

@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from savora.llm import sketches, substring_dedup
+from savora.llm.common import flagged
 
 
 def slow(rows, width):
@@ -112,3 +114,47 @@ def test_estimates_are_never_too_low():
             for h, d in zip(np.concatenate(chunk.first), np.concatenate(chunk.doc)):
                 windows.setdefault(int(h), set()).add(chunk.ids[d])
         assert all(met[int(sketches.cell_of(np.array([h], np.uint64), row, 22)[0])] >= len(ids) for h, ids in windows.items())
+
+
+def test_workers_hold_little(spark, monkeypatch):
+    """Windows that are not repeated are not held, a chunk's arrays take few bytes, and no sketch outlives its task."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(40))
+    rows = [(i, " ".join([*(f"w{rng.randint(0, 10**9)}" for _ in range(300)), *([passage] * (i % 10 == 0))])) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("doc_id", "0L tag", "text")
+    bits = sketches.LEAST_CELLS.bit_length() - 1
+    path = sketches.merged(docs.mapInArrow(substring_dedup._sketched(13, bits), sketches.PARTS_DDL), sketches.ROWS, sketches.FINER)
+    chunks, whole = [], substring_dedup.Chunk
+    monkeypatch.setattr(substring_dedup, "Chunk", lambda *a, **b: chunks.append(whole(*a, **b)) or chunks[-1])
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], names=["doc_id", "tag", "text"])
+    found = list(substring_dedup._candidates(13, bits, path)(iter([batch])))
+    assert sum(len(c.ids) for c in chunks) == 1000 and len(chunks) == 1
+    # 28 windows of the passage stand in 100 documents; few others may be taken for repeated.
+    assert 2800 <= sum(c.windows for c in chunks) <= 4000
+    assert sum(x.nbytes for c in chunks for part in (c.first, c.second, c.doc, c.start) for x in part) == 24 * chunks[0].windows
+    assert sum(b.num_rows for b in found) >= 28 + 99 and not sketches._LOADED
+
+
+@pytest.mark.parametrize("finer, n_rows", [(0, 1), (sketches.FINER, 2)])
+def test_merged_sketch(spark, finer, n_rows):
+    """What occurs in two chunks is flagged; of 400 000 hashes that occur once, counted finely, hardly one is."""
+    rng = np.random.default_rng(4)
+    twice = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    chunks = [np.concatenate([twice, rng.integers(0, 1 << 64, 200_000, dtype=np.uint64)]) for _ in range(2)]
+    parts = [(p, s, bytes(a), bytes(b)) for c in chunks for p, s, a, b in sketches.of(c, 22, finer)]
+    path = sketches.merged(spark.createDataFrame(parts, sketches.PARTS_DDL), n_rows, finer)
+    sketch = sketches.load(path, 22, n_rows)
+    assert sketches.repeated(twice, 22, sketch).all()
+    others = np.concatenate([c[20_000:] for c in chunks])
+    assert sketches.repeated(others, 22, sketch).mean() < (0.01 if finer else 0.2)
+    sketches.forget()
+
+
+def test_flagged(spark):
+    """Every id of the list is flagged, hardly any other, and no row is lost or comes twice."""
+    rows = spark.createDataFrame([(i if i % 7 else None, i) for i in range(3000)] + [(1, -1)], "doc_id long, x long")
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 5)] + [(5,)], "doc_id long")
+    found = [tuple(r) for r in flagged(rows, ids, "perhaps").collect()]
+    assert sorted(x for _, x, _ in found) == [-1, *range(3000)]
+    assert all(p for i, _, p in found if i is not None and i % 5 == 0) and sum(p for i, _, p in found if i and i % 5) < 10
+    assert not any(p for _, _, p in flagged(rows, ids.limit(0), "perhaps").collect())
